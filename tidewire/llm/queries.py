@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import components, langid, repeats, residue, sentences
+from . import components, incremental, langid, repeats, residue, sentences
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,6 +38,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_articles(table(spark, d, "articles"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.duplicates(table(spark, d, "incoming_articles"), table(spark, d, "articles"), table(spark, d, "article_url_aliases"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_rows(table(spark, d, "documents"))
 
