@@ -25,9 +25,11 @@ from ..session import cut_lineage
 THRESHOLD = 0.6
 SHINGLE = 5
 #: A paragraph ends after a word whose hash falls in one of this many classes.
-PARAGRAPH_WORDS = 10
+PARAGRAPH_WORDS = 8
+#: Each text is cut into paragraphs in so many independent ways, so that edits that touch every paragraph of one leave some of another.
+CUTS = 3
 #: Share of a record's words that its looked-up paragraphs must hold; above 1 - THRESHOLD, the most a copy can lack.
-LOOKED_UP = 0.65
+LOOKED_UP = 0.75
 BUCKETS = 64
 # Digests of the empty text (SHA-256, SHA-1, MD5, SHA-512, SHA-384, SHA-224).
 EMPTY_HASHES = (
@@ -101,16 +103,23 @@ class Words:
         at = np.arange(self.count - k + 1)
         return np.unique(self.spans(at, at + k - 1))
 
-    def paragraphs(self) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, words) of the content-defined paragraphs of at least five words in all, repeated ones once."""
+    def paragraphs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(cut, hash, words) of the content-defined paragraphs; a text under five words has none. Repeated ones of a cut count once."""
         if self.count < SHINGLE:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            return np.zeros(0, np.uint8), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         at = np.arange(self.count)
-        cut = np.flatnonzero(self.spans(at, at) % np.uint64(PARAGRAPH_WORDS) == 0)
-        last = np.unique(np.append(cut, self.count - 1))
-        first = np.concatenate([[0], last[:-1] + 1])
-        h, k = np.unique(self.spans(first, last), return_index=True)
-        return h, (last - first + 1)[k]
+        word = self.spans(at, at)
+        cuts, hashes, sizes = [], [], []
+        for cut in range(CUTS):
+            chosen = (word >> np.uint64(16 * cut)) % np.uint64(PARAGRAPH_WORDS) == 0
+            chosen[-1] = True
+            last = np.flatnonzero(chosen)
+            first = np.concatenate([[0], last[:-1] + 1])
+            h, k = np.unique(self.spans(first, last) + np.uint64(cut), return_index=True)
+            cuts.append(np.full(len(h), cut, np.uint8))
+            hashes.append(h)
+            sizes.append((last - first + 1)[k])
+        return np.concatenate(cuts), np.concatenate(hashes), np.concatenate(sizes)
 
 
 def jaccard(a: str | None, b: str | None) -> float:
@@ -120,7 +129,7 @@ def jaccard(a: str | None, b: str | None) -> float:
 
 
 def paragraph_keys(records: DataFrame, id_col: str = "id", text_col: str = "body") -> DataFrame:
-    """(id, text_key, key, words): content-defined paragraphs of each text, with a hash of its whole normalised content.
+    """(id, text_key, cut, key, words): content-defined paragraphs of each text, with a hash of its whole normalised content.
 
     Texts under five words have none.
     """
@@ -129,22 +138,23 @@ def paragraph_keys(records: DataFrame, id_col: str = "id", text_col: str = "body
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 piece = batch.slice(at, 512)
-                ids, whole, keys, words = [], [], [], []
+                ids, whole, cuts, keys, words = [], [], [], [], []
                 for i, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
                     if i is None or not text:
                         continue
                     w = Words(text)
-                    h, k = w.paragraphs()
+                    c, h, k = w.paragraphs()
                     ids += [i] * len(h)
+                    cuts.append(c)
                     keys.append(h)
                     words.append(k)
                     if len(h):
                         whole.append(np.repeat(w.spans(np.array([0]), np.array([w.count - 1])), len(h)))
                 join = lambda x, empty: np.concatenate(x) if x else empty
                 none = np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.string()), "text_key": pa.array(join(whole, none).view(np.int64)), "key": pa.array(join(keys, none).view(np.int64)), "words": pa.array(join(words, np.zeros(0, np.int64)).astype(np.int32))})
+                yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.string()), "text_key": pa.array(join(whole, none).view(np.int64)), "cut": pa.array(join(cuts, np.zeros(0, np.uint8)).astype(np.int8)), "key": pa.array(join(keys, none).view(np.int64)), "words": pa.array(join(words, np.zeros(0, np.int64)).astype(np.int32))})
 
-    return records.select(F.col(id_col).cast("string"), F.col(text_col)).mapInArrow(run, "id string, text_key bigint, key bigint, words int")
+    return records.select(F.col(id_col).cast("string"), F.col(text_col)).mapInArrow(run, "id string, text_key bigint, cut tinyint, key bigint, words int")
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -190,11 +200,11 @@ def _text_matches(own: DataFrame, old: DataFrame, new_texts: DataFrame, old_text
     """
     wanted = own.select("key").dropDuplicates(["key"])
     met_old = cut_lineage(old.select("id", "text_key", "key").join(wanted, "key", "left_semi"))
-    mine = own.select("text_key", "key", "words").dropDuplicates(["text_key", "key"])
+    mine = own.select("text_key", "cut", "key", "words").dropDuplicates(["text_key", "key"])
     met = met_old.select("text_key", "key").unionByName(mine.select("text_key", "key")).dropDuplicates(["text_key", "key"])
     often = met.groupBy("key").agg(F.count("*").alias("often"))
-    ranked = mine.join(often, "key").withColumn("total", F.sum("words").over(Window.partitionBy("text_key")))
-    before = F.sum("words").over(Window.partitionBy("text_key").orderBy("often", "key").rowsBetween(Window.unboundedPreceding, -1))
+    ranked = mine.join(often, "key").withColumn("total", F.sum("words").over(Window.partitionBy("text_key", "cut")))
+    before = F.sum("words").over(Window.partitionBy("text_key", "cut").orderBy("often", "key").rowsBetween(Window.unboundedPreceding, -1))
     looked = ranked.withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("before") <= F.lit(LOOKED_UP) * F.col("total")) & (F.col("often") > 1)).select(F.col("text_key").alias("a"), "key")
     pairs = cut_lineage(looked.join(met.withColumnRenamed("text_key", "b"), "key").where("a <> b").select("a", "b").dropDuplicates(["a", "b"]))
     old_first = met_old.groupBy("text_key").agg(F.min("id").alias("id"))
