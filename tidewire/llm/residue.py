@@ -11,6 +11,7 @@ scraps is left. Placeholders and editors' notes count wherever they stand, unles
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -61,6 +62,7 @@ PLACEHOLDER = re.compile(
 # Any placeholder holds one of these; notes are announced by the automaton.
 _HINTS = ("{{", "{%", "${", "#{", "<%", "[", "%%", "@@", "__", "<<", "TK", "XXX", "xxx", "TBD", "TODO", "FIXME")
 _QUOTED = re.compile(r"“[^“”\n]{1,300}”|„[^„“”\n]{1,300}[“”]|«[^«»\n]{1,300}»|»[^«»\n]{1,300}«|\"[^\"\n]{1,300}\"|‘[^‘’\n]{1,300}’|‹[^‹›\n]{1,300}›")
+_COMBINING = re.compile("[\u0300-\u036f]")
 _SPACES = re.compile(r"[^\S\n]+")
 MIN_PROSE_WORDS = 8
 #: Up to so many words of prose of unknown kind may stand beside error or filler text.
@@ -74,6 +76,13 @@ def note_hints() -> list[str]:
     return [x.strip().lower() for x in [*plain, *sentences.split("|")] if len(x.strip()) > 4]
 
 
+def fold(text: str) -> str:
+    """Without diacritics, as some publishers drop them; ASCII texts unchanged."""
+    if text.isascii():
+        return text
+    return _COMBINING.sub("", unicodedata.normalize("NFD", text)).replace("ł", "l")
+
+
 @lru_cache(maxsize=1)
 def automaton():
     """The automaton over all phrases; built once in each worker."""
@@ -82,6 +91,7 @@ def automaton():
     machine = ahocorasick.Automaton()
     for kind, block in ((1, ERROR_PHRASES), (2, FILLER_PHRASES), (3, FURNITURE_PHRASES), (4, "|".join(note_hints()))):
         for phrase in filter(None, (p.strip() for line in block.split("\n") for p in line.split("|"))):
+            phrase = fold(phrase)
             if phrase not in machine:
                 machine.add_word(phrase, (kind, len(phrase)))
     machine.make_automaton()
@@ -104,7 +114,7 @@ def is_residue(body: str | None) -> bool:
     """Whether a body holds no report but residue. Null and blank bodies are no case."""
     if body is None or not body.strip():
         return False
-    low = body.lower()
+    low = fold(body.lower())
     if "  " in low or "\xa0" in low or "\t" in low:
         low = _SPACES.sub(" ", low)
     hits = [(end - n + 1, end + 1, kind) for end, (kind, n) in automaton().iter(low)]
