@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import components, incremental, langid, repeats, residue, sentences
+from . import boilerplate, components, incremental, langid, repeats, residue, sentences
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -22,6 +22,16 @@ def p1_paragraph_languages(spark: SparkSession, d: str) -> DataFrame:
     return langid.paragraph_languages(articles, langid.fit_model(articles)).withColumn("shares", F.to_json("shares"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    articles = table(spark, d, "articles")
+    return boilerplate.furniture_lines(articles, boilerplate.fit_model(articles))
+
+
+def p2_reports(spark: SparkSession, d: str) -> DataFrame:
+    articles = table(spark, d, "articles")
+    return boilerplate.main_bodies(articles, boilerplate.fit_model(articles))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return repeats.repeated_lines(table(spark, d, "articles"))
 
