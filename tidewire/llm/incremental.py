@@ -25,7 +25,9 @@ from ..session import cut_lineage
 THRESHOLD = 0.6
 SHINGLE = 5
 #: A paragraph ends after a word whose hash falls in one of this many classes.
-PARAGRAPH_WORDS = 8
+PARAGRAPH_WORDS = 12
+#: Shorter ones are phrases that any text may hold; they count only in texts that have no longer one.
+LEAST_WORDS = 6
 #: Each text is cut into paragraphs in so many independent ways, so that edits that touch every paragraph of one leave some of another.
 CUTS = 3
 #: Share of a record's words that its looked-up paragraphs must hold; above 1 - THRESHOLD, the most a copy can lack.
@@ -115,6 +117,9 @@ class Words:
             chosen[-1] = True
             last = np.flatnonzero(chosen)
             first = np.concatenate([[0], last[:-1] + 1])
+            enough = last - first + 1 >= LEAST_WORDS
+            if enough.any():
+                first, last = first[enough], last[enough]
             h, k = np.unique(self.spans(first, last) + np.uint64(cut), return_index=True)
             cuts.append(np.full(len(h), cut, np.uint8))
             hashes.append(h)
