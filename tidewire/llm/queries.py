@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..session import table
-from . import boilerplate, components, incremental, langid, repeats, residue, sentences
+from ..session import cut_lineage, table
+from . import boilerplate, components, incremental, langid, mixing, packing, repeats, residue, sentences, tokens
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -17,8 +18,6 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_paragraph_languages(spark: SparkSession, d: str) -> DataFrame:
     articles = table(spark, d, "articles")
-    from pyspark.sql import functions as F
-
     return langid.paragraph_languages(articles, langid.fit_model(articles)).withColumn("shares", F.to_json("shares"))
 
 
@@ -52,6 +51,39 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.duplicates(table(spark, d, "incoming_articles"), table(spark, d, "articles"), table(spark, d, "article_url_aliases"))
 
 
+def _capacities(spark: SparkSession, d: str) -> list[int]:
+    return [r["capacity_tokens"] for r in table(spark, d, "pack_capacities").collect()]  # a fixed table of a few rows
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    return cut_lineage(tokens.with_tokens(table(spark, d, "documents"), "text", ["doc_id"]))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """All permitted capacities jointly."""
+    return packing.pack(_sized(spark, d), _capacities(spark, d))
+
+
+def p8_containers_each(spark: SparkSession, d: str) -> DataFrame:
+    """A packing for each capacity alone."""
+    return packing.pack_each(_sized(spark, d), _capacities(spark, d))
+
+
+def _mixture(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents").withColumn("text_hash", F.sha2("text", 256))
+    sized = tokens.with_tokens(documents, "text", ["doc_id", "source", "text_hash"])
+    targets = {r["source"]: (r["target_share"], r["max_repeats"]) for r in table(spark, d, "mix_targets").collect()}  # a fixed table of a few rows
+    return mixing.mixture(sized, targets)
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.reached_shares(_mixture(spark, d), table(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_rows(table(spark, d, "documents"))
 
