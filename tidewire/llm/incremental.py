@@ -33,6 +33,8 @@ CUTS = 3
 #: Share of a record's words that its looked-up paragraphs must hold; above 1 - THRESHOLD, the most a copy can lack.
 LOOKED_UP = 0.75
 BUCKETS = 64
+#: So many ids, about 12 MB, are broadcast at most.
+BROADCAST_IDS = 200_000
 # Digests of the empty text (SHA-256, SHA-1, MD5, SHA-512, SHA-384, SHA-224).
 EMPTY_HASHES = (
     "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855", "da39a3ee5e6b4b0d3255bfef95601890afd80709", "d41d8cd98f00b204e9800998ecf8427e",
@@ -215,10 +217,16 @@ def _text_matches(own: DataFrame, old: DataFrame, new_texts: DataFrame, old_text
     old_first = met_old.groupBy("text_key").agg(F.min("id").alias("id"))
     new_first = own.groupBy("text_key").agg(F.min("id").alias("id"))
     sides = pairs.select(F.col("b").alias("text_key")).dropDuplicates(["text_key"])
-    body = lambda first, texts: first.join(texts, "id").select("text_key", "body").dropDuplicates(["text_key"])
-    old_bodies = body(old_first.join(sides, "text_key", "left_semi"), old_texts)
-    new_bodies = body(new_first, new_texts)
-    others = old_bodies.unionByName(new_bodies.join(sides, "text_key", "left_semi")).dropDuplicates(["text_key"])
+    wanted_old = cut_lineage(old_first.join(sides, "text_key", "left_semi"))
+    # few texts of history are needed: their ids are broadcast if they are few by count, else the join shuffles
+    if wanted_old.count() <= BROADCAST_IDS:
+        wanted_old = F.broadcast(wanted_old)
+    # a repeated row is dropped where the join has put it, by id, so no text moves again
+    body = lambda first, texts: texts.join(first, "id").select("id", "text_key", "body").dropDuplicates(["id", "text_key"]).select("text_key", "body")
+    old_bodies = body(wanted_old, old_texts)
+    new_bodies = body(new_first.join(pairs.select(F.col("a").alias("text_key")).union(sides).dropDuplicates(["text_key"]), "text_key", "left_semi"), new_texts)
+    # a content of both sides is read from history
+    others = old_bodies.unionByName(new_bodies.join(sides, "text_key", "left_semi").join(wanted_old.select("text_key"), "text_key", "left_anti"))
     left = pairs.join(new_bodies.select(F.col("text_key").alias("a"), F.col("body").alias("text_a")), "a")
     near = cut_lineage(_verified(left.join(others.select(F.col("text_key").alias("b"), F.col("body").alias("text_b")), "b")))
     same = mine.select(F.col("text_key").alias("a"), F.col("text_key").alias("b")).dropDuplicates(["a"])
@@ -282,7 +290,7 @@ def duplicates(incoming: DataFrame, articles: DataFrame, aliases: DataFrame | No
     addresses give no key. Extra columns are ignored.
     """
     fields = ("source_id", "canonical_url", "content_hash", "body")
-    new = incoming.where(F.col("incoming_id").isNotNull()).select(F.col("incoming_id").cast("string").alias("id"), *fields).dropDuplicates(["id"])
+    new = incoming.where(F.col("incoming_id").isNotNull()).select(F.col("incoming_id").cast("string").alias("id"), *fields)
     old = articles.where(F.col("article_id").isNotNull()).select(F.col("article_id").cast("string").alias("id"), *fields)
     new_keys = cut_lineage(_plain_keys(new, None))
     own = cut_lineage(paragraph_keys(new))
