@@ -108,13 +108,13 @@ def facet_counts_any(t):
     return t("articles").where("section is not null").groupBy("section").agg(F.count_distinct("title_key").alias("topics"))
 
 
-@query(f"""with picked as (select title_key from {_TAGS} where section in ('weather', 'culture') group by title_key having count(distinct section) = 2)
-    select section, count(distinct title_key) as topics from {_TAGS} where title_key in (select title_key from picked) group by section""")
+@query("""with picked as (select source_id from articles where section in ('weather', 'culture') group by source_id having count(distinct section) = 2)
+    select section, count(distinct source_id) as sources from articles where section is not null and source_id in (select source_id from picked) group by section""")
 def facet_counts_all(t):
     """Facets under the selection that needs all of two categories."""
-    tags = t("articles").where("section is not null").select("title_key", "section")
-    picked = tags.where(F.col("section").isin("weather", "culture")).groupBy("title_key").agg(F.count_distinct("section").alias("n")).where("n = 2")
-    return tags.join(picked, "title_key", "left_semi").groupBy("section").agg(F.count_distinct("title_key").alias("topics"))
+    tags = t("articles").where("section is not null").select("source_id", "section")
+    picked = tags.where(F.col("section").isin("weather", "culture")).groupBy("source_id").agg(F.count_distinct("section").alias("n")).where("n = 2")
+    return tags.join(picked, "source_id", "left_semi").groupBy("section").agg(F.count_distinct("source_id").alias("sources"))
 
 
 @query("""with e as (select max(fetched_at) m from articles)

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
 from ..operators import instants
-from ..session import table
+from . import aggregates, graph, joins, textual  # noqa: F401  (they register their queries)
+from .registry import ORACLES, QUERIES, query
 
 
-def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return instants.found_instants(table(spark, d, "articles"), table(spark, d, "sources"))
+@query()
+def p7_found(t):
+    return instants.found_instants(t("articles"), t("sources"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p7_found": p7_found}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

@@ -21,25 +21,27 @@ def alias_lookup(t):
     return i.join(own, ["source_id", "url"], "left").join(other, ["source_id", "url"], "left").select("incoming_id", F.coalesce("own", "other").alias("article_id"))
 
 
-@query(f"""select article_id, canonical_id from (select article_id, first_value(article_id) over w as canonical_id from {ARTICLES} where trim(title_key) <> '' and trim(body) <> ''
-    window w as (partition by source_id, title_key, md5(substr(body, 1, 200)) order by first_seen_at, article_id)) where article_id <> canonical_id""")
+@query("""select doc_id, canonical_id from (select doc_id, first_value(doc_id) over w as canonical_id from documents where trim(text) <> ''
+    window w as (partition by md5(substr(text, 1, 200)) order by fetched_at, doc_id)) where doc_id <> canonical_id""")
 def logical_duplicates(t):
-    """Same source, title and opening; the oldest stands for the rest, blank keys never match."""
-    a = articles(t).where((F.trim("title_key") != "") & (F.trim("body") != "")).select("article_id", "source_id", "title_key", F.md5(F.substring("body", 1, 200)).alias("opening"), "first_seen_at")
-    oldest = a.groupBy("source_id", "title_key", "opening").agg(F.min(F.struct("first_seen_at", "article_id")).alias("m"))
-    return a.join(oldest, ["source_id", "title_key", "opening"]).select("article_id", F.col("m.article_id").alias("canonical_id")).where("article_id <> canonical_id")
+    """Same opening; the oldest stands for the rest, blank texts never match."""
+    a = t("documents").where(F.trim("text") != "").select("doc_id", F.md5(F.substring("text", 1, 200)).alias("opening"), "fetched_at")
+    oldest = a.groupBy("opening").agg(F.min(F.struct("fetched_at", "doc_id")).alias("m"))
+    return a.join(oldest, "opening").select("doc_id", F.col("m.doc_id").alias("canonical_id")).where("doc_id <> canonical_id")
 
 
-@query(f"select article_id from {ARTICLES} a where fetched_at >= (select max(fetched_at) from articles) - interval 36 hour and not exists (select 1 from article_url_aliases x where x.duplicate_of_article_id = a.article_id)")
+@query(f"select incoming_id from {INCOMING} a where fetched_at >= (select max(fetched_at) from incoming_articles) - interval 36 hour and not exists (select 1 from article_url_aliases x where x.source_id = a.source_id and x.candidate_url = a.canonical_url)")
 def pending_antijoin(t):
-    a = articles(t).select("article_id", "fetched_at")
+    """What isn't older than 36 hours before the newest and isn't known by an alias."""
+    a = t("incoming_articles").dropDuplicates(["incoming_id"]).select("incoming_id", "source_id", "canonical_url", "fetched_at")
     fresh = a.crossJoin(F.broadcast(a.agg(F.max("fetched_at").alias("m")))).where(F.col("fetched_at") >= F.col("m") - F.expr("interval 36 hours"))
-    return fresh.join(t("article_url_aliases").select(F.col("duplicate_of_article_id").alias("article_id")), "article_id", "left_anti").select("article_id")
+    return fresh.join(t("article_url_aliases").select("source_id", F.col("candidate_url").alias("canonical_url")), ["source_id", "canonical_url"], "left_anti").select("incoming_id")
 
 
-@query("select distinct o_custkey from orders where o_custkey not in (select c_custkey from customer where c_custkey is not null)")
-def missing_parents(t):
-    return t("orders").select("o_custkey").where("o_custkey is not null").distinct().join(t("customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_anti")
+@query("select topic_id from topics t where not exists (select 1 from pairs p where trim(p.topic_id_a) = t.topic_id or trim(p.topic_id_b) = t.topic_id)")
+def missing_links(t):
+    ids = t("pairs").select(F.trim("topic_id_a").alias("topic_id")).union(t("pairs").select(F.trim("topic_id_b"))).where("topic_id is not null")
+    return t("topics").select("topic_id").join(ids, "topic_id", "left_anti")
 
 
 @query("""with seen as (select distinct source_id, canonical_url from articles union select distinct source_id, candidate_url from article_url_aliases)
