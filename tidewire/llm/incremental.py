@@ -27,7 +27,7 @@ SHINGLE = 5
 #: A paragraph ends after a word whose hash falls in one of this many classes.
 PARAGRAPH_WORDS = 12
 #: Shorter ones are phrases that any text may hold; they count only in texts that have no longer one.
-LEAST_WORDS = 6
+LEAST_WORDS = 8
 #: Each text is cut into paragraphs in so many independent ways, so that edits that touch every paragraph of one leave some of another.
 CUTS = 3
 #: Share of a record's words that its looked-up paragraphs must hold; above 1 - THRESHOLD, the most a copy can lack.
@@ -135,33 +135,43 @@ def jaccard(a: str | None, b: str | None) -> float:
     return both / (len(x) + len(y) - both) if both else 0.0
 
 
-def paragraph_keys(records: DataFrame, id_col: str = "id", text_col: str = "body") -> DataFrame:
-    """(id, text_key, cut, key, words): content-defined paragraphs of each text, with a hash of its whole normalised content.
+def content_key(text: Column) -> Column:
+    """Hash of the whole normalised content: letter case, punctuation and white space don't matter; null for texts without words."""
+    words = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}_]+", " "))
+    return F.when(words != "", F.xxhash64(words))
 
-    Texts under five words have none.
+
+def paragraph_keys(records: DataFrame, id_col: str | None = "id", text_col: str = "body") -> DataFrame:
+    """(id, text_key, cut, total, key, words): content-defined paragraphs of each text, with its content_key.
+
+    total is the number of words in all paragraphs of the cut. Texts under five words have none. Without id_col there is no id, which
+    halves what history has to move.
     """
+    named = id_col is not None
+    columns = [F.col(text_col), content_key(F.col(text_col)), *([F.col(id_col).cast("string")] if named else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
-                ids, whole, cuts, keys, words = [], [], [], [], []
-                for i, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
-                    if i is None or not text:
+                texts, wholes, *rest = (c.to_pylist() for c in batch.slice(at, 512).columns)
+                ids, counts, whole, found = [], [], [], []
+                for k, (text, key) in enumerate(zip(texts, wholes)):
+                    if key is None or (named and rest[0][k] is None):
                         continue
-                    w = Words(text)
-                    c, h, k = w.paragraphs()
-                    ids += [i] * len(h)
-                    cuts.append(c)
-                    keys.append(h)
-                    words.append(k)
+                    c, h, w = Words(text).paragraphs()
                     if len(h):
-                        whole.append(np.repeat(w.spans(np.array([0]), np.array([w.count - 1])), len(h)))
-                join = lambda x, empty: np.concatenate(x) if x else empty
-                none = np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.string()), "text_key": pa.array(join(whole, none).view(np.int64)), "cut": pa.array(join(cuts, np.zeros(0, np.uint8)).astype(np.int8)), "key": pa.array(join(keys, none).view(np.int64)), "words": pa.array(join(words, np.zeros(0, np.int64)).astype(np.int32))})
+                        found.append((c, h, w, np.bincount(c, weights=w)[c]))
+                        counts.append(len(h))
+                        whole.append(key)
+                        if named:
+                            ids += [rest[0][k]] * len(h)
+                cuts, keys, words, totals = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0),) * 4
+                arrays = {"text_key": pa.array(np.repeat(np.array(whole, np.int64), counts) if found else np.zeros(0, np.int64)), "key": pa.array(keys.astype(np.uint64).view(np.int64))}
+                if named:
+                    arrays = {"id": pa.array(ids, pa.string())} | arrays | {"cut": pa.array(cuts.astype(np.int8)), "total": pa.array(totals.astype(np.int32)), "words": pa.array(words.astype(np.int32))}
+                yield pa.RecordBatch.from_pydict(arrays)
 
-    return records.select(F.col(id_col).cast("string"), F.col(text_col)).mapInArrow(run, "id string, text_key bigint, cut tinyint, key bigint, words int")
+    return records.select(*columns).mapInArrow(run, "id string, text_key bigint, key bigint, cut tinyint, total int, words int" if named else "text_key bigint, key bigint")
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -198,41 +208,45 @@ def _plain_keys(records: DataFrame, aliases: DataFrame | None) -> DataFrame:
     return keys.where("__ok and id is not null").select("key", "id").dropDuplicates(["key", "id"])
 
 
-def _text_matches(own: DataFrame, old: DataFrame, new_texts: DataFrame, old_texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _text_matches(own: DataFrame, old: DataFrame, old_contents: DataFrame, new_texts: DataFrame, old_texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs of contents: (text_key, other) with the smallest old record that repeats a new content, and (a, b) of new ones.
 
-    own and old are rows of paragraph_keys. Equal contents are one: copies, however many, are never paired with each
-    other. A content looks up its rarest paragraphs, as many as hold LOOKED_UP of its words; what they meet is
-    held against the exact shingle sets.
+    own and old are rows of paragraph_keys, old_contents is (id, text_key). Equal contents are one: copies, however many, are never
+    paired with each other. A content looks up its rarest paragraphs, as many as hold LOOKED_UP of its words; what
+    they meet is held against the exact shingle sets.
     """
     wanted = own.select("key").dropDuplicates(["key"])
-    met_old = cut_lineage(old.select("id", "text_key", "key").join(wanted, "key", "left_semi"))
-    mine = own.select("text_key", "cut", "key", "words").dropDuplicates(["text_key", "key"])
-    met = met_old.select("text_key", "key").unionByName(mine.select("text_key", "key")).dropDuplicates(["text_key", "key"])
-    often = met.groupBy("key").agg(F.count("*").alias("often"))
-    ranked = mine.join(often, "key").withColumn("total", F.sum("words").over(Window.partitionBy("text_key", "cut")))
+    met_old = cut_lineage(old.select("text_key", "key").join(wanted, "key", "left_semi").dropDuplicates(["text_key", "key"]))
+    mine = cut_lineage(own.drop("id").dropDuplicates(["text_key", "key"]))
+    often = met_old.select("key").union(mine.select("key")).groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
+    # paragraphs that stand nowhere else can meet nothing: they count by their words, before any ranking
+    ranked = cut_lineage(mine.join(often, "key"))
+    alone = F.col("total") - F.sum("words").over(Window.partitionBy("text_key", "cut"))
     before = F.sum("words").over(Window.partitionBy("text_key", "cut").orderBy("often", "key").rowsBetween(Window.unboundedPreceding, -1))
-    looked = ranked.withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("before") <= F.lit(LOOKED_UP) * F.col("total")) & (F.col("often") > 1)).select(F.col("text_key").alias("a"), "key")
+    looked = ranked.withColumn("before", F.coalesce(before, F.lit(0)) + alone).where(F.col("before") <= F.lit(LOOKED_UP) * F.col("total")).select(F.col("text_key").alias("a"), "key")
+    met = met_old.unionByName(ranked.select("text_key", "key"))
     pairs = cut_lineage(looked.join(met.withColumnRenamed("text_key", "b"), "key").where("a <> b").select("a", "b").dropDuplicates(["a", "b"]))
-    old_first = met_old.groupBy("text_key").agg(F.min("id").alias("id"))
+    same = own.select(F.col("text_key").alias("b")).dropDuplicates(["b"])
+    sides = pairs.select("b").union(same).dropDuplicates(["b"]).withColumnRenamed("b", "text_key")
+    old_first = cut_lineage(old_contents.join(sides, "text_key", "left_semi").groupBy("text_key").agg(F.min("id").alias("id")))
     new_first = own.groupBy("text_key").agg(F.min("id").alias("id"))
-    sides = pairs.select(F.col("b").alias("text_key")).dropDuplicates(["text_key"])
-    wanted_old = cut_lineage(old_first.join(sides, "text_key", "left_semi"))
+    paired = pairs.select(F.col("b").alias("text_key")).dropDuplicates(["text_key"])
+    wanted_old = old_first.join(paired, "text_key", "left_semi")
     # few texts of history are needed: their ids are broadcast if they are few by count, else the join shuffles
-    if wanted_old.count() <= BROADCAST_IDS:
+    if old_first.count() <= BROADCAST_IDS:
         wanted_old = F.broadcast(wanted_old)
     # a repeated row is dropped where the join has put it, by id, so no text moves again
     body = lambda first, texts: texts.join(first, "id").select("id", "text_key", "body").dropDuplicates(["id", "text_key"]).select("text_key", "body")
     old_bodies = body(wanted_old, old_texts)
-    new_bodies = body(new_first.join(pairs.select(F.col("a").alias("text_key")).union(sides).dropDuplicates(["text_key"]), "text_key", "left_semi"), new_texts)
+    new_bodies = body(new_first.join(pairs.select(F.col("a").alias("text_key")).union(paired).dropDuplicates(["text_key"]), "text_key", "left_semi"), new_texts)
     # a content of both sides is read from history
-    others = old_bodies.unionByName(new_bodies.join(sides, "text_key", "left_semi").join(wanted_old.select("text_key"), "text_key", "left_anti"))
+    others = old_bodies.unionByName(new_bodies.join(paired, "text_key", "left_semi").join(old_first.select("text_key"), "text_key", "left_anti"))
     left = pairs.join(new_bodies.select(F.col("text_key").alias("a"), F.col("body").alias("text_a")), "a")
     near = cut_lineage(_verified(left.join(others.select(F.col("text_key").alias("b"), F.col("body").alias("text_b")), "b")))
-    same = mine.select(F.col("text_key").alias("a"), F.col("text_key").alias("b")).dropDuplicates(["a"])
-    to_old = near.unionByName(same).join(old_first.select(F.col("text_key").alias("b"), F.col("id").alias("other")), "b")
+    equal = same.select(F.col("b").alias("a"), "b")
+    to_old = near.unionByName(equal).join(old_first.select(F.col("text_key").alias("b"), F.col("id").alias("other")), "b")
     to_old = to_old.groupBy(F.col("a").alias("text_key")).agg(F.min("other").alias("other"))
-    among = near.join(new_first.select(F.col("text_key").alias("b")), "b", "left_semi").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).dropDuplicates(["a", "b"])
+    among = near.join(same, "b", "left_semi").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).dropDuplicates(["a", "b"])
     return to_old, among
 
 
@@ -268,8 +282,8 @@ def _resolve(first: DataFrame, groups: DataFrame, among: DataFrame, max_rounds:
     return rows
 
 
-def _match(new: DataFrame, new_keys: DataFrame, old_keys: DataFrame, own: DataFrame, old: DataFrame, old_texts: DataFrame) -> DataFrame:
-    to_old, among = _text_matches(own, old, new.select("id", "body"), old_texts)
+def _match(new: DataFrame, new_keys: DataFrame, old_keys: DataFrame, own: DataFrame, old: DataFrame, old_contents: DataFrame, old_texts: DataFrame) -> DataFrame:
+    to_old, among = _text_matches(own, old, old_contents, new.select("id", "body"), old_texts)
     contents = own.select("text_key", "id").dropDuplicates(["text_key", "id"])
     by_text = contents.join(to_old, "text_key").select("id", "other", F.lit(1).alias("rank"))
     first_old = old_keys.join(new_keys.select("key").dropDuplicates(["key"]), "key", "left_semi").groupBy("key").agg(F.min("id").alias("other"))
@@ -294,7 +308,8 @@ def duplicates(incoming: DataFrame, articles: DataFrame, aliases: DataFrame | No
     old = articles.where(F.col("article_id").isNotNull()).select(F.col("article_id").cast("string").alias("id"), *fields)
     new_keys = cut_lineage(_plain_keys(new, None))
     own = cut_lineage(paragraph_keys(new))
-    return _match(new, new_keys, _plain_keys(old, aliases), own, paragraph_keys(old), old.select("id", "body")).select(F.col("id").alias("incoming_id"), "duplicate_of")
+    contents = old.select("id", content_key(F.col("body")).alias("text_key")).where("text_key is not null")
+    return _match(new, new_keys, _plain_keys(old, aliases), own, paragraph_keys(old, id_col=None), contents, old.select("id", "body")).select(F.col("id").alias("incoming_id"), "duplicate_of")
 
 
 class History:
@@ -313,11 +328,12 @@ class History:
     def append(self, records: DataFrame, aliases: DataFrame | None = None) -> None:
         """records: (id, source_id, canonical_url, content_hash, body), each id once."""
         self._write(_plain_keys(records, aliases), "keys", "key")
-        self._write(paragraph_keys(records).select("id", "text_key", "key"), "paragraphs", "key")
-        self._write(records.select("id", "body"), "texts", "id")
+        self._write(paragraph_keys(records, id_col=None), "paragraphs", "key")
+        self._write(records.select("id", "body", content_key(F.col("body")).alias("text_key")), "texts", "id")
 
     def match(self, batch: DataFrame) -> DataFrame:
         """(id, duplicate_of) for the records of the batch (columns as for append) that repeat an accepted record or an earlier accepted one of the batch."""
         own = cut_lineage(paragraph_keys(batch))
         stored = {name: self.spark.table(f"{self.prefix}_{name}") for name in ("keys", "paragraphs", "texts")}
-        return _match(batch, cut_lineage(_plain_keys(batch, None)), stored["keys"], own, stored["paragraphs"], stored["texts"])
+        texts = stored["texts"]
+        return _match(batch, cut_lineage(_plain_keys(batch, None)), stored["keys"], own, stored["paragraphs"], texts.where("text_key is not null").select("id", "text_key"), texts.select("id", "body"))
