@@ -1,0 +1,87 @@
+"""Claims and their support: routing to lanes, merging of publications, ordered batches and tolerant JSON reading."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+
+# Openings that make a sentence a continuation of another, not a claim of its own.
+CONTINUES = r"(?i)^(?:i |oraz |ale |(?:stwierdził|twierdzi|dodał|dodaje|powiedział|podkreśla|podkreślił|uważa|ocenił|zaznaczył|zapewnił)\b|on |ona |oni |to (?:oznacza|potwierdza))"
+NEGATION = r"(?i)(^|[^\p{L}])(?:nie|bez|zaprzeczył|zaprzecza)($|[^\p{L}])"
+
+
+def usable_claim(c: Column) -> Column:
+    """At least two words, no open question in it, no detached continuation; null is none."""
+    return F.coalesce((T.word_count(c) >= 2) & ~c.rlike(r"\?\?|\b\d{2,4}\?|\w+/\w+\?") & ~c.rlike(CONTINUES), F.lit(False))
+
+
+def negated(c: Column) -> Column:
+    return c.rlike(NEGATION)
+
+
+def route_claims(claims: DataFrame, profile: str = "profile", kind: str = "kind") -> DataFrame:
+    """(fact_id, fact_key, text, kind, lane, support): one row per normalised text of (topic, text, kind, article_id, source_id, profile).
+
+    The first wording and kind stay (order of article_id). Lane: EDITORIAL for editorial claims, COMMON with any support that isn't
+    state-controlled, else STATE. Blank texts are left out.
+    """
+    keyed = claims.withColumn("fact_key", T.text_key(F.col("text"))).where("fact_key <> ''")
+    first = F.min_by(F.struct("text", kind), F.struct("article_id", "text", kind))
+    by = keyed.groupBy("topic", "fact_key").agg(first.alias("f"), F.bool_or(F.col(profile) != "STATE").alias("free"), F.count_distinct("article_id").alias("support"))
+    lane = F.when(F.col("f")[kind] == "EDITORIAL", "EDITORIAL").when(F.coalesce("free", F.lit(False)), "COMMON").otherwise("STATE")
+    return by.select("topic", F.concat(F.lit("fact_"), F.substring(F.sha2("fact_key", 256), 1, 24)).alias("fact_id"), "fact_key", F.col("f.text").alias("text"), F.col(f"f.{kind}").alias("kind"), lane.alias("lane"), "support")
+
+
+def merge_publications(facts: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Facts (topic, fact_key, article_id) of merged topics under their canonical one, supports united; merging again changes nothing."""
+    to = mapping.select(F.col("old").alias("topic"), "canonical")
+    moved = facts.join(to, "topic", "left").withColumn("topic", F.coalesce("canonical", "topic"))
+    return moved.groupBy("topic", "fact_key").agg(F.count_distinct("article_id").alias("support"), F.min("article_id").alias("first_article"))
+
+
+def ordered_batches(items: DataFrame, group: str, order: str, size: str, target: int, most: int) -> DataFrame:
+    """(group, item order, batch_no): items in order fill batches up to `target` size and `most` items; an item is never split, one larger than the target stands alone.
+
+    A sequential fold per group; a group must fit a task, so group by a key of bounded size.
+    """
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order, kind="stable")
+        no, filled, count, out = 0, 0, 0, []
+        for n in part[size].fillna(0):
+            if count and (filled + n > target or count >= most):
+                no, filled, count = no + 1, 0, 0
+            filled, count = filled + n, count + 1
+            out.append(no)
+        return pd.DataFrame({group: part[group], order: part[order], "batch_no": out})
+
+    kinds = dict(items.dtypes)
+    return items.select(group, order, size).groupBy(group).applyInPandas(fold, f"{group} {kinds[group]}, {order} {kinds[order]}, batch_no int")
+
+
+def first_json(text: str | None) -> str | None:
+    """The first decodable object of an answer, code fences and talk around it dropped; as compact JSON with sorted keys."""
+    decoder, at = json.JSONDecoder(), (text or "").find("{")
+    while at >= 0:
+        try:
+            return json.dumps(decoder.raw_decode(text, at)[0], sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        except ValueError:
+            at = text.find("{", at + 1)
+    return None
+
+
+def with_first_json(rows: DataFrame, text: str, keep: list[str], out: str = "object") -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [first_json(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string())], names=[*keep, out])
+
+    kinds = dict(rows.dtypes)
+    return rows.select(*keep, F.col(text).alias("__text")).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + f", {out} string")

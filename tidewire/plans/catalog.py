@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators import instants
-from . import aggregates, graph, joins, textual  # noqa: F401  (they register their queries)
+from . import aggregates, claims, graph, joins, textual  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES, query
 
 
