@@ -136,9 +136,15 @@ def jaccard(a: str | None, b: str | None) -> float:
 
 
 def content_key(text: Column) -> Column:
-    """Hash of the whole normalised content: letter case, punctuation and white space don't matter; null for texts without words."""
-    words = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}_]+", " "))
-    return F.when(words != "", F.xxhash64(words))
+    """Hash of the whole normalised content: letter case and the kind of white space don't matter; null for blank texts.
+
+    Plain replacements, as a pattern over every text would cost more than all the rest. Copies that differ in more, such as
+    punctuation, have keys of their own and are found by their paragraphs.
+    """
+    plain = F.lower(text)
+    for char, other in (("\r", ""), ("\n", " "), ("\t", " "), ("\u00a0", " ")):
+        plain = F.replace(plain, F.lit(char), F.lit(other))
+    return F.when(F.trim(plain) != "", F.xxhash64(F.trim(plain)))
 
 
 def paragraph_keys(records: DataFrame, id_col: str | None = "id", text_col: str = "body") -> DataFrame:
