@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import cluster, similarity
 from .registry import ARTICLES, query
 
@@ -106,7 +107,18 @@ def threshold_sweep(t):
     return out
 
 
-@query()
+_FOLD = f"regexp_replace(translate(lower(x), '{T.ACCENTED}', '{T.PLAIN}'), '[^a-z0-9]+', '', 'g')"
+_STEM = "case " + " ".join(f"when b like '%{x}' and length(b) - {len(x)} >= 5 then substr(b, 1, length(b) - {len(x)})" for x in T.SUFFIXES) + " else b end"
+
+
+@query(f"""with r as (select topic_id, regexp_extract_all(headline_pl, '[\\p{{L}}][\\p{{L}}\\p{{N}}_''-]{{2,}}') l from topics where topic_id is not null), w as (select topic_id, unnest(l) x, generate_subscripts(l, 1) i from r),
+    b as (select topic_id, i, {_FOLD} b from w), s as (select topic_id, i, b, {_STEM} s from b where length(b) >= 4), q as (select topic_id, b, s, lead(s) over (partition by topic_id order by i) n from s),
+    n as (select count(distinct topic_id) n from topics), t as (select distinct 's' kind, topic_id, s t from q union all select distinct 'p', topic_id, s || ' ' || n from q where n is not null and n <> s),
+    f as (select kind, t from t, n group by kind, t, n.n having count(*) > 1 and count(*) <= case when kind = 's' then greatest(8, least(30, case when n.n // 5 = 0 then 1 else n.n // 5 end)) else greatest(5, least(20, case when n.n // 10 = 0 then 1 else n.n // 10 end)) end),
+    k as (select t.* from t join f using (kind, t)),
+    e as (select x.topic_id a, y.topic_id b, count(*) filter (where x.kind = 's') as stems, count(*) filter (where x.kind = 'p') as phrases from k x join k y on x.kind = y.kind and x.t = y.t and x.topic_id < y.topic_id group by 1, 2),
+    g as (select topic_id, list(distinct b) l from s group by 1)
+    select e.a, e.b, stems, phrases, len(list_intersect(x.l, y.l)) as exact, stems + 2.0 * phrases + 0.25 * len(list_intersect(x.l, y.l)) as score from e join g x on x.topic_id = e.a join g y on y.topic_id = e.b where stems >= 3 or phrases >= 1""")
 def lexical_pairs(t):
     return similarity.lexical_edges(t("topics"), "topic_id", ["headline_pl"])
 

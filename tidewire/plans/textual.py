@@ -31,7 +31,14 @@ def url_same_site(t):
     return a.groupBy("source_id").agg(F.count("*").alias("addresses"), F.count(F.when(F.contains(U.host(F.col("original_url")), F.lit(".")), 1)).alias("hosted"), F.sum(F.when(U.same_site(F.col("original_url"), F.col("homepage")), 1).otherwise(0)).alias("own"))
 
 
-@query()
+_HINT = "regexp_matches(p, '" + U.ARTICLE_HINTS + "')"
+
+
+@query(f"""with u as (select article_id, title, {_HOST.format(_URL)} h, lower({_PATH.format(_URL)}) p, {_URL} u, {_HOST.format("homepage")} g from {ARTICLES} a join (select source_id, homepage from sources) s on s.source_id = a.source_id),
+    w as (select *, case when trim({_SP.format("coalesce(title, '')")}) = '' then 0 else len(string_split(trim({_SP.format("title")}), ' ')) end n, regexp_replace(h, '^www\\.', '') x, regexp_replace(g, '^www\\.', '') y from u)
+    select article_id from w where x <> '' and y <> '' and (x = y or ends_with(x, '.' || y) or ends_with(y, '.' || x)) and p not in ('', '/') and not regexp_matches(p, '{U.ASSET_SUFFIXES}') and not regexp_matches(p, '{U.IGNORED_PARTS}') and not regexp_matches(p, '{U.ACCOUNT_PARTS}')
+    and (not regexp_matches(h, 'static|image|cdn') or {_HINT}) and ({_HINT} or regexp_matches(p, '/20\\d\\d/') or ends_with(p, '.html') or n >= 6)
+    and regexp_matches(u, '(?i)/(?:news|politics|svit|kraj|monde|mondo|mundo|wetter)/') and not regexp_matches(u, '(?i)amp=1')""")
 def url_candidate_filter(t):
     a = articles(t).join(t("sources").select("source_id", "homepage"), "source_id")
     return a.where(U.is_candidate(F.col("original_url"), F.col("homepage"), T.word_count(F.col("title"))) & U.allowed(F.col("original_url"), [r"/(?:news|politics|svit|kraj|monde|mondo|mundo|wetter)/"], [r"amp=1"])).select("article_id")
@@ -126,7 +133,9 @@ def related_claims(t):
 _STEMS4 = f"list_distinct(list_transform({_TOKENS}, lambda x: substr(x, 1, 4)))"
 
 
-@query()
+@query(f"""with d as (select doc_id, section, list_distinct(list_transform(regexp_extract_all(translate(lower(title), '{T.ACCENTED}ł', '{T.PLAIN}l'), '\\p{{L}}{{4,}}'), lambda x: substr(x, 1, 6))) a from documents where title is not null and section is not null),
+    h as (select section, arg_min(a, doc_id) h from d group by section)
+    select section, arg_max(doc_id, (len(list_intersect(a, h)), -doc_id)) as doc_id from d join h using (section) group by section""")
 def primary_fact(t):
     """Of a source's titles, the one whose stems cover most of its topic's; ties go to the smaller id."""
     d = t("documents").where("title is not null and section is not null").select("doc_id", "section", T.claim_tokens(F.col("title")).alias("a"))
