@@ -209,8 +209,8 @@ def first_n_per_section(t):
 @query(f"""with r as (select title_key, author, section, source_profile, row_number() over (partition by title_key order by fetched_at, article_id) k from {ARTICLES})
     select title_key, min_by(author, k) filter (where trim(author) <> '') as author, min_by(section, k) filter (where trim(section) <> '') as section, min_by(source_profile, k) filter (where trim(source_profile) <> '') as source_profile from r group by title_key""")
 def keep_first_enrichment(t):
-    k = F.row_number().over(Window.partitionBy("title_key").orderBy("fetched_at", "article_id"))
-    r = articles(t).select("title_key", "author", "section", "source_profile", "fetched_at", "article_id").withColumn("k", k)
+    """The order is a struct inside the aggregate, so values are combined before the shuffle and no group is sorted."""
+    r = articles(t).select("title_key", "author", "section", "source_profile", F.struct("fetched_at", "article_id").alias("k"))
     return state.keep_first_values(r, ["title_key"], "k", ["author", "section", "source_profile"])
 
 
