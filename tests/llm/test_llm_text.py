@@ -177,6 +177,7 @@ def test_sentences_other_scripts():
     assert cut("「ずっと待っていた。誰も来なかった。」とカナ氏は語った。指数は55.1だ。") == ["「ずっと待っていた。誰も来なかった。」とカナ氏は語った。", "指数は55.1だ。"]
     assert cut("डॉ. तले ने कहा कि दर 8.5 रह गई। “हम रहे। कोई नहीं आया,” मना ने कहा।") == ["डॉ. तले ने कहा कि दर 8.5 रह गई।", "“हम रहे। कोई नहीं आया,” मना ने कहा।"]
     assert cut("قال كرا: «انتظرنا. لم يأت أحد». أغلق المؤشر عند 91,4 نقطة.") == ["قال كرا: «انتظرنا. لم يأت أحد».", "أغلق المؤشر عند 91,4 نقطة."]
+    assert cut("أشار د. قصارنة إلى انخفاض. بلغت المبيعات 3,4 مليون في عام 1998 م. مقابل 3,1 سابقا.") == ["أشار د. قصارنة إلى انخفاض.", "بلغت المبيعات 3,4 مليون في عام 1998 م. مقابل 3,1 سابقا."]
     assert cut("ศาลเขาลำอนุมัติงบ 24.2 ล้านบาท มูลนิธิบ้านมาลัยระงับ") == ["ศาลเขาลำอนุมัติงบ 24.2 ล้านบาท", "มูลนิธิบ้านมาลัยระงับ"]
 
 

@@ -32,7 +32,7 @@ NEVER = frozenset(
 # A number behind these belongs to them.
 BEFORE_NUMBER = frozenset("h p s c o r ca No Nr Art art Abs al n pag pág pkt ust godz ok env approx Sec st ст п Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec vol fig tel".split())
 # One letter: initials when capital; these small ones stand before a name or a part of the same abbreviation, unless a number precedes.
-SMALL_NEVER = frozenset("z d c м г с т и".split())
+SMALL_NEVER = frozenset("z d c м г с т и د".split())
 MONTHS = frozenset(
     """Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember stycznia lutego marca kwietnia maja czerwca lipca sierpnia września października listopada grudnia""".split()
 )
