@@ -165,7 +165,7 @@ def cut(text):
 @pytest.mark.parametrize("parts", [
     ["“We waited. Nobody came,” said X outside the hall.", "Then it rained."], ["“Is it safe?” asked Ann.", "“It is.”"], ["Mr. J. K. Bell and Mrs. Roe own approx. 4.4 per cent.", "See Sec. 4, No. 64, of the charter."], ["He left at 6 p.m.", "The mayor stayed."],
     ["The U.S. envoy and Lt. Bell met on Jan. 5.", "It was 3.2."], ["Er ging um 18 Uhr.", "2026 will er wiederkommen."], ["Die Anhörung beginnt am 3. Mai um 8.30 Uhr.", "»Wer war das? Ich nicht«, sagte er."], ["La regola vale per autobus, ecc.", "I vecchi contratti restano."],
-    ["—¿Quién firmó esto? Yo no —respondió Pérez.", "Así es."], ["Компания работает с 1998 г.", "В городе тихо."], ["У фирмы из г. Пероград много клиентов.", "«Да»."], ["He paused… and then left.", "What a night!"], ["The sales fell (it had opened at 3.4).", "Next."], ["“Enough!”", "The vote was lost."],
+    ["—¿Quién firmó esto? Yo no —respondió Pérez.", "Así es."], ["Компания работает с 1998 г.", "В городе тихо."], ["У фирмы из г. Пероград много клиентов.", "«Да»."], ["He paused… and then left.", "What a night!"], ["The sales fell (it had opened at 3.4).", "Next."], ["“Enough!”", "The vote was lost."], ["“IS IT SAFE?” ASKED ANN.", "“IT IS.”"], ["“Is it safe?” Ann Bell asked.", "She left."],
     ["« Qui a signé ? Pas moi », a répondu Roche.", "« Oui. »"], ["THE U.S. ENVOY AND LT. BELL MET ON JAN. 5.", "HE LEFT."], ["W 1998 r. nic.", "Dr X oraz prof. Y mówili."],
 ])
 def test_sentences(parts):

@@ -39,6 +39,8 @@ MONTHS = frozenset(
 COMPANY = regex.compile(r"(?:KG|KGaA|OHG|AG|SE|mbH)\b")
 # Verbs of saying that close an attribution in scripts without letter case.
 SAYING = regex.compile(r"(?:说|说道|问|问道|道|回答|答道|表示|称|指出|喊道|補充|补充|कहा|पूछा|बोला|बोली|बोले|बताया|दिया|قال|سأل|أجاب|أضاف|قالت)\s*$")
+#: Attributions that letter case doesn't tell from a new sentence: among capitals, and a name before its verb.
+ATTRIBUTION = regex.compile(r"(?:ASKED|SAID|REPLIED|ANSWERED|ADDED|A DEMANDÉ|A DIT|A RÉPONDU)\b|\p{Lu}[\p{L}'’-]*(?: \p{Lu}[\p{L}'’-]*){0,2} (?:asked|said|replied|answered|added)\b")
 _GOES_ON = frozenset("とっはがをもにでのとか")
 _TERMINATORS = ".!?…。！？｡।॥؟۔"
 _HARD = "。！？｡"
@@ -198,7 +200,7 @@ def _after_nested(text: str, start: int, a: int, b: int) -> bool:
         return at + 1 < n and not text[at + 1].isspace() and not text[at + 1].islower()
     if at == b and c.isalnum() and c.isascii():
         return False
-    if not _begins(text, at):
+    if not _begins(text, at) or ATTRIBUTION.match(text, at):
         return False
     if not (text[at].isupper() or text[at].isdigit()) and text[at].isalpha() and not text[start:a].strip():
         # no letter case: an attribution ends in a verb of saying before the next terminator or quotation
