@@ -67,7 +67,8 @@ def _nested(text: str) -> list[tuple[int, int]]:
     for m in _MARKS.finditer(text):
         c, at = m.group(), m.start()
         closes = None
-        for depth in range(len(stack) - 1, -1, -1):
+        # deeper nesting than this is noise; the bound keeps odd texts linear
+        for depth in range(len(stack) - 1, max(-1, len(stack) - 13), -1):
             if c in _PAIR[stack[depth][0]]:
                 closes = depth
                 break
@@ -89,11 +90,17 @@ def _nested(text: str) -> list[tuple[int, int]]:
 
 def _dash_quotes(text: str) -> list[tuple[int, int]]:
     """Speech opened by a dash without a blank, up to the dash that leads on to who said it."""
-    out = []
+    out: list[tuple[int, int]] = []
+    backs = [(m.start(), m.end()) for m in _BACK.finditer(text)]
+    k = 0
     for m in _DASHED.finditer(text):
-        back = _BACK.search(text, m.end())
-        if back and text[back.end() : back.end() + 1].islower():
-            out.append((m.start(), back.start()))
+        while k < len(backs) and backs[k][0] < m.end():
+            k += 1
+        if k == len(backs):
+            break
+        start, end = backs[k]
+        if text[end : end + 1].islower():
+            out.append((m.start(), start))
     return out
 
 
@@ -212,10 +219,12 @@ def _after_nested(text: str, start: int, a: int, b: int) -> bool:
 
 
 def _thai_cuts(text: str, nested: list[tuple[int, int]]) -> list[int]:
-    cuts = []
+    cuts, k = [], 0
     for m in _GAP.finditer(text):
         a, b = m.span()
-        if a == 0 or b >= len(text) or any(x < a < y for x, y in nested):
+        while k < len(nested) and nested[k][1] <= a:
+            k += 1
+        if a == 0 or b >= len(text) or (k < len(nested) and nested[k][0] < a):
             continue
         left, right = text[a - 1], text[b]
         if left.isdigit() or right.isdigit() or not (_THAI.match(left) or left in "”\"»)!?…") or not (_THAI.match(right) or right in "“\"«"):
@@ -230,7 +239,8 @@ def block_sentences(text: str) -> list[tuple[int, int]]:
     """Sentences of one block (no blank line in it) as offsets within it."""
     nested = _nested(text)
     if "—" in text:
-        nested = sorted([p for p in nested] + [p for p in _dash_quotes(text) if not any(a < p[1] and p[0] < b and not (p[0] <= a and b <= p[1]) for a, b in nested)])
+        # speech that only overlaps a quotation gives way to it, as its mark came later
+        nested = sorted(nested + _dash_quotes(text))
         merged: list[tuple[int, int]] = []
         for p in nested:
             if not merged or p[0] >= merged[-1][1]:
