@@ -32,6 +32,8 @@ LEAST_WORDS = 8
 CUTS = 3
 #: Share of a record's words that its looked-up paragraphs must hold; above 1 - THRESHOLD, the most a copy can lack.
 LOOKED_UP = 0.75
+#: Paragraphs that stand in at most so many contents are looked up in any case, as they lead to few.
+RARE = 8
 BUCKETS = 64
 #: So many ids, about 12 MB, are broadcast at most.
 BROADCAST_IDS = 200_000
@@ -229,7 +231,7 @@ def _text_matches(own: DataFrame, old: DataFrame, old_contents: DataFrame, new_t
     ranked = cut_lineage(mine.join(often, "key"))
     alone = F.col("total") - F.sum("words").over(Window.partitionBy("text_key", "cut"))
     before = F.sum("words").over(Window.partitionBy("text_key", "cut").orderBy("often", "key").rowsBetween(Window.unboundedPreceding, -1))
-    looked = ranked.withColumn("before", F.coalesce(before, F.lit(0)) + alone).where(F.col("before") <= F.lit(LOOKED_UP) * F.col("total")).select(F.col("text_key").alias("a"), "key")
+    looked = ranked.withColumn("before", F.coalesce(before, F.lit(0)) + alone).where((F.col("before") <= F.lit(LOOKED_UP) * F.col("total")) | (F.col("often") <= RARE)).select(F.col("text_key").alias("a"), "key")
     met = met_old.unionByName(ranked.select("text_key", "key"))
     pairs = cut_lineage(looked.join(met.withColumnRenamed("text_key", "b"), "key").where("a <> b").select("a", "b").dropDuplicates(["a", "b"]))
     same = own.select(F.col("text_key").alias("b")).dropDuplicates(["b"])
