@@ -33,7 +33,7 @@ CUTS = 3
 #: Share of a record's words that its looked-up paragraphs must hold; above 1 - THRESHOLD, the most a copy can lack.
 LOOKED_UP = 0.75
 #: Paragraphs that stand in at most so many contents are looked up in any case, as they lead to few.
-RARE = 8
+RARE = 4
 BUCKETS = 64
 #: So many ids, about 12 MB, are broadcast at most.
 BROADCAST_IDS = 200_000
