@@ -118,6 +118,23 @@ def test_similarity_against_brute_force(spark):
     assert set(got) == set(want) and all(got[k] in want[k] for k in got)
 
 
+def test_many_versions_of_a_story(spark):
+    """Edits every few words leave hardly a paragraph whole, and what is left stands in many versions; none may be lost."""
+    rng = random.Random(4)
+    stories, new = {}, {}
+    for k in range(25):
+        base = _text(rng, 160).split()
+        for v in range(8):
+            stories[f"A{k:02}-{v}"] = " ".join(w if rng.random() > 0.01 else f"v{v}{w}" for w in base)
+        new[f"i{k:02}"] = " ".join(w if (n + k) % 22 else "zz" + w for n, w in enumerate(base))
+    want = {i: near for i, x in new.items() if (near := {o for o, y in stories.items() if o[1:3] == i[1:3] and incremental.jaccard(x, y) >= 0.6})}
+    art = spark.createDataFrame([(k, "s", None, None, v, "") for k, v in stories.items()], ARTICLES)
+    inc = spark.createDataFrame([(k, "t", None, None, v, "", 0) for k, v in new.items()], INCOMING)
+    got = {r.incoming_id: r.duplicate_of for r in incremental.duplicates(inc, art, None).collect()}
+    assert len(want) > 5
+    assert got == {i: min(near) for i, near in want.items()}
+
+
 def test_history_in_batches(spark):
     rng = random.Random(5)
     bodies = [_text(rng) for _ in range(4)]

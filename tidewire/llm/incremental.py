@@ -1,17 +1,17 @@
 """Deduplicating new batches against all history (problem 6).
 
 Every record gives three kinds of keys: address keys (source and normalised address), a hash key, and
-paragraph keys: hashes of content-defined paragraphs, which end after a word that its own hash selects, so that
-neither line ends nor an edit elsewhere moves them. Keys of accepted records live in bucketed
-tables; a batch is matched by joins on the key, its rare paragraphs first: a copy that shares three fifths of
-all five-word shingles shares some paragraph among any that hold half of the words, so
-only a record's rarest paragraphs are looked up. Pairs found by paragraphs are then held against the exact
-shingle sets. Only a batch's own keys and what they meet are ever joined; history is read once and not
-compared with itself.
+shingle keys: the first of its five-word shingles in one order of all shingles, frequent ones last. Of n shingles
+n - ceil(0.6 n) + 1 are taken. Two sets with three fifths of their union in common have a shingle among these of both
+(prefix filter): otherwise the set whose prefix ends first in the order would lack all of its own prefix in the other. This holds
+for every order as long as it is the same for all texts, so frequencies may come from a sample: they decide how much is joined,
+never what is found. Pairs that meet are then held against the exact shingle sets. Only a batch's own keys and what they
+meet are ever joined; history is read once and not compared with itself.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -24,16 +24,9 @@ from ..session import cut_lineage
 
 THRESHOLD = 0.6
 SHINGLE = 5
-#: A paragraph ends after a word whose hash falls in one of this many classes.
-PARAGRAPH_WORDS = 12
-#: Shorter ones are phrases that any text may hold; they count only in texts that have no longer one.
-LEAST_WORDS = 8
-#: Each text is cut into paragraphs in so many independent ways, so that edits that touch every paragraph of one leave some of another.
-CUTS = 3
-#: Share of a record's words that its looked-up paragraphs must hold; above 1 - THRESHOLD, the most a copy can lack.
-LOOKED_UP = 0.75
-#: Paragraphs that stand in at most so many contents are looked up in any case, as they lead to few.
-RARE = 4
+#: Contents whose shingles tell which are frequent, and the most shingles kept as such (8 bytes each, twice).
+SAMPLE_CONTENTS = 4000
+FREQUENT_SHINGLES = 500_000
 BUCKETS = 64
 #: So many ids, about 12 MB, are broadcast at most.
 BROADCAST_IDS = 200_000
@@ -109,26 +102,19 @@ class Words:
         at = np.arange(self.count - k + 1)
         return np.unique(self.spans(at, at + k - 1))
 
-    def paragraphs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(cut, hash, words) of the content-defined paragraphs; a text under five words has none. Repeated ones of a cut count once."""
-        if self.count < SHINGLE:
-            return np.zeros(0, np.uint8), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        at = np.arange(self.count)
-        word = self.spans(at, at)
-        cuts, hashes, sizes = [], [], []
-        for cut in range(CUTS):
-            chosen = (word >> np.uint64(16 * cut)) % np.uint64(PARAGRAPH_WORDS) == 0
-            chosen[-1] = True
-            last = np.flatnonzero(chosen)
-            first = np.concatenate([[0], last[:-1] + 1])
-            enough = last - first + 1 >= LEAST_WORDS
-            if enough.any():
-                first, last = first[enough], last[enough]
-            h, k = np.unique(self.spans(first, last) + np.uint64(cut), return_index=True)
-            cuts.append(np.full(len(h), cut, np.uint8))
-            hashes.append(h)
-            sizes.append((last - first + 1)[k])
-        return np.concatenate(cuts), np.concatenate(hashes), np.concatenate(sizes)
+    def prefix(self, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+        """The shingles by which every set that has THRESHOLD of the union in common is met, and the number of all; frequent is ascending, with its counts."""
+        own = self.shingles()
+        size = len(own) - math.ceil(THRESHOLD * len(own) - 1e-9) + 1
+        if not len(own) or not len(frequent):
+            return own[: size if len(own) else 0], len(own)
+        at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
+        known = frequent[at] == own
+        rare = own[~known]
+        if len(rare) >= size:
+            return rare[:size], len(own)
+        often = own[known]
+        return np.concatenate([rare, often[np.lexsort((often, counts[at[known]]))][: size - len(rare)]]), len(own)
 
 
 def jaccard(a: str | None, b: str | None) -> float:
@@ -141,7 +127,7 @@ def content_key(text: Column) -> Column:
     """Hash of the whole normalised content: letter case and the kind of white space don't matter; null for blank texts.
 
     Plain replacements, as a pattern over every text would cost more than all the rest. Copies that differ in more, such as
-    punctuation, have keys of their own and are found by their paragraphs.
+    punctuation, have keys of their own and are found by their shingles.
     """
     plain = F.lower(text)
     for char, other in (("\r", ""), ("\n", " "), ("\t", " "), ("\u00a0", " ")):
@@ -149,37 +135,51 @@ def content_key(text: Column) -> Column:
     return F.when(F.trim(plain) != "", F.xxhash64(F.trim(plain)))
 
 
-def paragraph_keys(records: DataFrame, id_col: str | None = "id", text_col: str = "body") -> DataFrame:
-    """(id, text_key, cut, total, key, words): content-defined paragraphs of each text, with its content_key.
+def shingle_order(records: DataFrame, id_col: str = "id", text_col: str = "body") -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that stand in several of SAMPLE_CONTENTS contents, ascending, and in how many; any sample gives the same duplicates."""
+    keys = records.select(F.col(id_col).alias("__id"), F.xxhash64(id_col).alias("__h")).where("__id is not null").orderBy("__h", "__id").limit(SAMPLE_CONTENTS).select("__id")
+    # at most SAMPLE_CONTENTS ids, so the broadcast is bounded
+    rows = records.join(F.broadcast(keys), F.col(id_col) == F.col("__id"), "left_semi").select(content_key(F.col(text_col)).alias("text_key"), F.substring(text_col, 1, 20_000).alias("text")).where("text_key is not null").dropDuplicates(["text_key"]).limit(SAMPLE_CONTENTS)
+    own = [Words(r["text"]).shingles() for r in rows.collect()]
+    if not own:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    shingles, counts = np.unique(np.concatenate(own), return_counts=True)
+    several = np.flatnonzero(counts > 1)
+    if len(several) > FREQUENT_SHINGLES:
+        several = np.sort(several[np.argsort(-counts[several], kind="stable")[:FREQUENT_SHINGLES]])
+    return shingles[several], counts[several]
 
-    total is the number of words in all paragraphs of the cut. Texts under five words have none. Without id_col there is no id, which
-    halves what history has to move.
+
+def shingle_keys(records: DataFrame, order: tuple[np.ndarray, np.ndarray], id_col: str | None = "id", text_col: str = "body") -> DataFrame:
+    """(id, text_key, size, key): the prefix of each text's shingles in the given order, with its content_key and the number of all its shingles.
+
+    Texts under five words have none. Without id_col there is no id, which halves what history has to move.
     """
     named = id_col is not None
     columns = [F.col(text_col), content_key(F.col(text_col)), *([F.col(id_col).cast("string")] if named else [])]
+    shared = records.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 texts, wholes, *rest = (c.to_pylist() for c in batch.slice(at, 512).columns)
-                ids, counts, whole, found = [], [], [], []
+                ids, counts, whole, sizes, found = [], [], [], [], [np.zeros(0, np.uint64)]
                 for k, (text, key) in enumerate(zip(texts, wholes)):
                     if key is None or (named and rest[0][k] is None):
                         continue
-                    c, h, w = Words(text).paragraphs()
+                    h, size = Words(text).prefix(*shared.value)
                     if len(h):
-                        found.append((c, h, w, np.bincount(c, weights=w)[c]))
+                        found.append(h)
                         counts.append(len(h))
                         whole.append(key)
+                        sizes.append(size)
                         if named:
                             ids += [rest[0][k]] * len(h)
-                cuts, keys, words, totals = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0),) * 4
-                arrays = {"text_key": pa.array(np.repeat(np.array(whole, np.int64), counts) if found else np.zeros(0, np.int64)), "key": pa.array(keys.astype(np.uint64).view(np.int64))}
-                if named:
-                    arrays = {"id": pa.array(ids, pa.string())} | arrays | {"cut": pa.array(cuts.astype(np.int8)), "total": pa.array(totals.astype(np.int32)), "words": pa.array(words.astype(np.int32))}
-                yield pa.RecordBatch.from_pydict(arrays)
+                each = lambda values, kind: pa.array(np.repeat(np.array(values, kind), np.array(counts, np.int64)))
+                arrays = {"text_key": each(whole, np.int64), "size": each(sizes, np.int32), "key": pa.array(np.concatenate(found).view(np.int64))}
+                yield pa.RecordBatch.from_pydict(({"id": pa.array(ids, pa.string())} if named else {}) | arrays)
 
-    return records.select(*columns).mapInArrow(run, "id string, text_key bigint, key bigint, cut tinyint, total int, words int" if named else "text_key bigint, key bigint")
+    return records.select(*columns).mapInArrow(run, "id string, text_key bigint, size int, key bigint" if named else "text_key bigint, size int, key bigint")
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -219,21 +219,21 @@ def _plain_keys(records: DataFrame, aliases: DataFrame | None) -> DataFrame:
 def _text_matches(own: DataFrame, old: DataFrame, old_contents: DataFrame, new_texts: DataFrame, old_texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs of contents: (text_key, other) with the smallest old record that repeats a new content, and (a, b) of new ones.
 
-    own and old are rows of paragraph_keys, old_contents is (id, text_key). Equal contents are one: copies, however many, are never
-    paired with each other. A content looks up its rarest paragraphs, as many as hold LOOKED_UP of its words; what
-    they meet is held against the exact shingle sets.
+    own and old are rows of shingle_keys in one order, old_contents is (id, text_key). Equal contents are one: copies, however many,
+    are never paired with each other. Contents that meet in keys are held against the exact shingle sets
+    unless sizes and the number of shared keys exclude them.
     """
     wanted = own.select("key").dropDuplicates(["key"])
-    met_old = cut_lineage(old.select("text_key", "key").join(wanted, "key", "left_semi").dropDuplicates(["text_key", "key"]))
-    mine = cut_lineage(own.drop("id").dropDuplicates(["text_key", "key"]))
-    often = met_old.select("key").union(mine.select("key")).groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
-    # paragraphs that stand nowhere else can meet nothing: they count by their words, before any ranking
-    ranked = cut_lineage(mine.join(often, "key"))
-    alone = F.col("total") - F.sum("words").over(Window.partitionBy("text_key", "cut"))
-    before = F.sum("words").over(Window.partitionBy("text_key", "cut").orderBy("often", "key").rowsBetween(Window.unboundedPreceding, -1))
-    looked = ranked.withColumn("before", F.coalesce(before, F.lit(0)) + alone).where((F.col("before") <= F.lit(LOOKED_UP) * F.col("total")) | (F.col("often") <= RARE)).select(F.col("text_key").alias("a"), "key")
-    met = met_old.unionByName(ranked.select("text_key", "key"))
-    pairs = cut_lineage(looked.join(met.withColumnRenamed("text_key", "b"), "key").where("a <> b").select("a", "b").dropDuplicates(["a", "b"]))
+    met_old = old.select("text_key", "size", "key").join(wanted, "key", "left_semi")
+    mine = cut_lineage(own.select("text_key", "size", "key").dropDuplicates(["text_key", "key"]))
+    met = met_old.unionByName(mine).dropDuplicates(["text_key", "key"]).select("key", F.col("text_key").alias("b"), F.col("size").alias("n_b"))
+    met = mine.select("key", F.col("text_key").alias("a"), F.col("size").alias("n_a")).join(met, "key").where("a <> b")
+    # what two prefixes share is all that lies before the first end of them, so the rest adds at most what is left of that set
+    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    least = F.lit(THRESHOLD / (1 + THRESHOLD)) * (small + large) - F.lit(1e-6)
+    left_over = F.ceil(F.lit(THRESHOLD) * large - F.lit(1e-9)) - 1
+    shared = met.where(small >= F.lit(THRESHOLD) * large - F.lit(1e-6)).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
+    pairs = cut_lineage(shared.where(F.col("shared") + F.least(left_over, small) >= least).select("a", "b"))
     same = own.select(F.col("text_key").alias("b")).dropDuplicates(["b"])
     sides = pairs.select("b").union(same).dropDuplicates(["b"]).withColumnRenamed("b", "text_key")
     old_first = cut_lineage(old_contents.join(sides, "text_key", "left_semi").groupBy("text_key").agg(F.min("id").alias("id")))
@@ -315,16 +315,18 @@ def duplicates(incoming: DataFrame, articles: DataFrame, aliases: DataFrame | No
     new = incoming.where(F.col("incoming_id").isNotNull()).select(F.col("incoming_id").cast("string").alias("id"), *fields)
     old = articles.where(F.col("article_id").isNotNull()).select(F.col("article_id").cast("string").alias("id"), *fields)
     new_keys = cut_lineage(_plain_keys(new, None))
-    own = cut_lineage(paragraph_keys(new))
+    order = shingle_order(old.select("id", "body").unionByName(new.select("id", "body")))
+    own = cut_lineage(shingle_keys(new, order))
     contents = old.select("id", content_key(F.col("body")).alias("text_key")).where("text_key is not null")
-    return _match(new, new_keys, _plain_keys(old, aliases), own, paragraph_keys(old, id_col=None), contents, old.select("id", "body")).select(F.col("id").alias("incoming_id"), "duplicate_of")
+    return _match(new, new_keys, _plain_keys(old, aliases), own, shingle_keys(old, order, id_col=None), contents, old.select("id", "body")).select(F.col("id").alias("incoming_id"), "duplicate_of")
 
 
 class History:
     """Keys of all accepted records in bucketed tables, so that a batch never meets the full history again.
 
     `match` finds a batch's duplicates by joins on the bucketed keys; `append` adds the keys of what was accepted.
-    Table names get the given prefix; the texts of accepted records are kept beside the paragraph keys for the exact check.
+    Table names get the given prefix; the texts of accepted records are kept beside the shingle keys (table `paragraphs`) for the
+    exact check. The order of shingles is that of the first records appended and stays, as all keys have to be in one order.
     """
 
     def __init__(self, spark: SparkSession, prefix: str, buckets: int = BUCKETS):
@@ -333,15 +335,27 @@ class History:
     def _write(self, df: DataFrame, name: str, by: str) -> None:
         df.repartition(self.buckets, by).write.mode("append").format("parquet").bucketBy(self.buckets, by).sortBy(by).saveAsTable(f"{self.prefix}_{name}")
 
+    def _order(self, records: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        name = f"{self.prefix}_shingle_order"
+        if not self.spark.catalog.tableExists(name):
+            shingles, counts = shingle_order(records)
+            rows = pa.table({"shingle": pa.array(shingles.view(np.int64)), "often": pa.array(counts.astype(np.int64))})
+            self.spark.createDataFrame(rows).write.format("parquet").saveAsTable(name)
+        # at most FREQUENT_SHINGLES rows
+        rows = self.spark.table(name).toArrow()
+        shingles, counts = rows["shingle"].to_numpy().view(np.uint64), rows["often"].to_numpy()
+        ascending = np.argsort(shingles)
+        return shingles[ascending], counts[ascending]
+
     def append(self, records: DataFrame, aliases: DataFrame | None = None) -> None:
         """records: (id, source_id, canonical_url, content_hash, body), each id once."""
         self._write(_plain_keys(records, aliases), "keys", "key")
-        self._write(paragraph_keys(records, id_col=None), "paragraphs", "key")
+        self._write(shingle_keys(records, self._order(records), id_col=None), "paragraphs", "key")
         self._write(records.select("id", "body", content_key(F.col("body")).alias("text_key")), "texts", "id")
 
     def match(self, batch: DataFrame) -> DataFrame:
         """(id, duplicate_of) for the records of the batch (columns as for append) that repeat an accepted record or an earlier accepted one of the batch."""
-        own = cut_lineage(paragraph_keys(batch))
+        own = cut_lineage(shingle_keys(batch, self._order(batch)))
         stored = {name: self.spark.table(f"{self.prefix}_{name}") for name in ("keys", "paragraphs", "texts")}
         texts = stored["texts"]
         return _match(batch, cut_lineage(_plain_keys(batch, None)), stored["keys"], own, stored["paragraphs"], texts.where("text_key is not null").select("id", "text_key"), texts.select("id", "body"))
