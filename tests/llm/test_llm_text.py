@@ -41,6 +41,18 @@ def test_languages_found(spark):
     assert langid.missing_languages(a.limit(0), model).count() == 0
 
 
+def test_language_of_each_paragraph_and_of_short_lines(spark):
+    a = _articles(spark)
+    short = spark.createDataFrame([("lines", "en", "Der Stadtrat billigte einen Haushalt.\n\nTrotz der Proteste vieler Anwohner."), ("gap", "en", EN.format(1) + "\n\n\n" + DE.format(2)), ("digits", "en", "12 | 34")], a.schema)
+    both, model = a.unionByName(short), langid.fit_model(a)
+    rows = langid.segment_languages(both, model).where("article_id in ('mixed', 'gap', 'none', 'lines', 'digits')").collect()
+    assert sorted((r.article_id, r.line_no, r.language) for r in rows) == [("gap", 1, "en"), ("gap", 4, "de"), ("mixed", 1, "en"), ("mixed", 2, "de"), ("none", 1, "pl")]
+    assert all(0.5 < r.confidence <= 1 for r in rows)
+    documents = {r.article_id: r for r in langid.paragraph_languages(both, model).collect()}
+    assert documents["lines"].language == "de" and 0 < documents["lines"].confidence <= 1
+    assert "digits" not in documents and "empty" not in documents and "null" not in documents
+
+
 def test_language_accuracy_held_out(spark):
     model = langid.fit_model(_articles(spark))
     rng = random.Random(3)

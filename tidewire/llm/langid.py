@@ -47,10 +47,14 @@ def label_languages(label: str | None) -> set[str]:
     return named
 
 
-def segments(body: str) -> list[str]:
-    """The paragraphs of a body: lines of at least MIN_WORDS words."""
+def numbered_segments(body: str) -> list[tuple[int, str]]:
+    """The paragraphs of a body, lines of at least MIN_WORDS words, each with its line number."""
     # a line of eight words holds at least fifteen characters
-    return [line for line in body.split("\n") if len(line) > 14 and len(line.split()) >= MIN_WORDS]
+    return [(no, line) for no, line in enumerate(body.split("\n"), 1) if len(line) > 14 and len(line.split()) >= MIN_WORDS]
+
+
+def segments(body: str) -> list[str]:
+    return [line for _, line in numbered_segments(body)]
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +155,8 @@ def fit_model(articles: DataFrame, id_col: str = "article_id", label_col: str =
     return model
 
 
-def _scan(articles: DataFrame, model: NaiveBayes, schema: str, emit, id_col: str, label_col: str, text_col: str) -> DataFrame:
+def _scan(articles: DataFrame, model: NaiveBayes, schema: str, emit, id_col: str, label_col: str, text_col: str, whole: bool = False) -> DataFrame:
+    """whole: a body with letters but without paragraphs is one segment, numbered 0, and residue is kept."""
     shared = articles.sparkSession.sparkContext.broadcast((model.table, model.languages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,14 +164,17 @@ def _scan(articles: DataFrame, model: NaiveBayes, schema: str, emit, id_col: str
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 ids, labels, bodies = (c.to_pylist() for c in batch.slice(at, 512).columns)
-                lines, owner = [], []
+                lines, owner, numbers = [], [], []
                 for k, body in enumerate(bodies):
-                    if ids[k] is not None and body and not is_residue(body):
-                        own_lines = segments(body)
-                        lines += own_lines
-                        owner += [k] * len(own_lines)
+                    if ids[k] is not None and body and (whole or not is_residue(body)):
+                        found = numbered_segments(body)
+                        if whole and not found and any(map(str.isalpha, body)):
+                            found = [(0, " ".join(body.split()))]
+                        numbers += [no for no, _ in found]
+                        lines += [line for _, line in found]
+                        owner += [k] * len(found)
                 languages, confidence = own.classify(lines)
-                yield emit(ids, labels, lines, owner, languages, confidence)
+                yield emit(ids, labels, lines, owner, numbers, languages, confidence)
 
     return articles.select(F.col(id_col).cast("string"), F.col(label_col), F.col(text_col)).mapInArrow(run, schema)
 
@@ -177,7 +185,7 @@ def missing_languages(articles: DataFrame, model: NaiveBayes, id_col: str = "art
     Residue (problem 5) and rows with a null id or a null or blank body give no row; repeated rows count once.
     """
 
-    def emit(ids, labels, lines, owner, languages, confidence):
+    def emit(ids, labels, lines, owner, numbers, languages, confidence):
         pairs = sorted({(k, x) for k, x in zip(owner, languages)})
         named = {k: label_languages(labels[k]) for k in {k for k, _ in pairs}}
         out = [(ids[k], x) for k, x in pairs if x not in named[k]]
@@ -186,10 +194,25 @@ def missing_languages(articles: DataFrame, model: NaiveBayes, id_col: str = "art
     return _scan(articles, model, f"{id_col} string, language string", emit, id_col, label_col, text_col).dropDuplicates([id_col, "language"])
 
 
+def segment_languages(articles: DataFrame, model: NaiveBayes, id_col: str = "article_id", label_col: str = "original_language", text_col: str = "body") -> DataFrame:
+    """(article_id, line_no, language, confidence) of each paragraph, lines numbered from 1 with blank ones included.
+
+    Residue (problem 5) and rows with a null id or a null or blank body give no row; repeated rows count once.
+    """
+
+    def emit(ids, labels, lines, owner, numbers, languages, confidence):
+        return pa.RecordBatch.from_pydict({id_col: pa.array([ids[k] for k in owner], pa.string()), "line_no": pa.array(numbers, pa.int32()), "language": pa.array(languages, pa.string()), "confidence": pa.array(np.round(np.asarray(confidence, np.float64), 6))})
+
+    return _scan(articles, model, f"{id_col} string, line_no int, language string, confidence double", emit, id_col, label_col, text_col).dropDuplicates([id_col, "line_no"])
+
+
 def paragraph_languages(articles: DataFrame, model: NaiveBayes, id_col: str = "article_id", label_col: str = "original_language", text_col: str = "body") -> DataFrame:
-    """One row for each article with paragraphs: its main language (most characters) and confidence, and a map of each language's share of characters."""
+    """One row for each article: its main language (most characters) and confidence, and a map of each language's share of characters.
+
+    A body without paragraphs is scored as a whole, residue (problem 5) as any other; bodies without letters and null ids give no row.
+    """
 
-    def emit(ids, labels, lines, owner, languages, confidence):
+    def emit(ids, labels, lines, owner, numbers, languages, confidence):
         share: dict = {}
         for k, line, x, c in zip(owner, lines, languages, confidence):
             a = share.setdefault(k, {}).setdefault(x, [0, 0.0])
@@ -202,4 +225,4 @@ def paragraph_languages(articles: DataFrame, model: NaiveBayes, id_col: str = "a
             rows.append((ids[k], best, round(by[best][1] / by[best][0], 6), sorted((x, round(n / total, 6)) for x, (n, _) in by.items())))
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.map_(pa.string(), pa.float64()))], names=[id_col, "language", "confidence", "shares"])
 
-    return _scan(articles, model, f"{id_col} string, language string, confidence double, shares map<string,double>", emit, id_col, label_col, text_col).dropDuplicates([id_col])
+    return _scan(articles, model, f"{id_col} string, language string, confidence double, shares map<string,double>", emit, id_col, label_col, text_col, whole=True).dropDuplicates([id_col])

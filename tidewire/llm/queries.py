@@ -17,6 +17,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_paragraph_languages(spark: SparkSession, d: str) -> DataFrame:
+    articles = table(spark, d, "articles")
+    return langid.segment_languages(articles, langid.fit_model(articles))
+
+
+def p1_document_languages(spark: SparkSession, d: str) -> DataFrame:
     articles = table(spark, d, "articles")
     return langid.paragraph_languages(articles, langid.fit_model(articles)).withColumn("shares", F.to_json("shares"))
 
