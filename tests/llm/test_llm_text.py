@@ -141,6 +141,20 @@ def test_main_content(spark):
     assert "What comes next" in bodies["a"] and "Podcasts" not in bodies["a"] and bodies["b"] is None and bodies["e"] == ""
 
 
+def test_frequent_lines_are_counted_over_all_pages(spark, monkeypatch):
+    """A line of few pages outside the training sample is frequent, whether the keys are broadcast or joined."""
+    rows = [(f"a{k:03}", f"s{k % 10}", f"{REPORT}\nHarbour gazette {'abcdefghij'[k % 10]} desk", "t", "The Post") for k in range(50)]
+    df = spark.createDataFrame(rows, "article_id string, source_id string, body string, title string, source_name string")
+    model = boilerplate.fit_model(df, sample=5)
+    assert all(boilerplate.line_key(f"s{k}", f"harbour gazette {'abcdefghij'[k]} desk") in model.frequent for k in range(10))
+    assert {"harbour", "gazette"}.isdisjoint(model.menu)
+    want = {tuple(r) for r in boilerplate.furniture_lines(df, model).collect()}
+    assert {(r[0], 4) for r in rows} <= want
+    monkeypatch.setattr(boilerplate, "BROADCAST_LINES", 3)
+    joined = boilerplate.fit_model(df, sample=5)
+    assert joined.frequent is None and {tuple(r) for r in boilerplate.furniture_lines(df, joined).collect()} == want
+
+
 def test_main_content_without_training(spark):
     df = spark.createDataFrame([], "article_id string, body string, title string, source_name string, source_id string")
     model = boilerplate.fit_model(df)

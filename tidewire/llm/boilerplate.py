@@ -19,9 +19,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .repeats import normal_line
 from .residue import fold, is_residue
 
@@ -29,6 +31,8 @@ from .residue import fold, is_residue
 SAMPLE_PAGES = 3000
 #: A short line counts as known furniture when it stands in so many sample pages of one source.
 FREQUENT = 4
+#: So many keys of frequent lines, about 40 MB in a worker, are broadcast at most; beyond, each page gets its own by a join.
+BROADCAST_LINES = 500_000
 PARAGRAPH_WORDS = 14
 MAX_PHRASE_LINE = 45
 
@@ -103,6 +107,17 @@ def _kinds(low: str, words: int, source: str) -> set[str]:
     return found
 
 
+def line_key(source: str | None, line: str) -> int:
+    """Hash of a source and a normalised line."""
+    return xxhash.xxh64_intdigest(line, xxhash.xxh64_intdigest(source or "")) - (1 << 63)
+
+
+def short_lines(body: str, source: str | None) -> dict[int, str]:
+    """The distinct normalised lines of a page that are shorter than a paragraph, by their keys."""
+    lines = {normal_line(x) for x in body.split("\n") if x.strip()}
+    return {line_key(source, x): x for x in lines if x and len(x.split()) < PARAGRAPH_WORDS}
+
+
 class Page:
     """Lines of a page with their features, and the region each belongs to."""
 
@@ -138,7 +153,7 @@ class Page:
                 set_(k, "capitals")
             if text[0] in "•*–—-·":
                 set_(k, "bullet")
-            if words < PARAGRAPH_WORDS and (source_key, normal_line(text)) in frequent:
+            if words < PARAGRAPH_WORDS and line_key(source_key, normal_line(text)) in frequent:
                 set_(k, "frequent")
             pieces = [p for p in re.split(r"\s{2,}|[|·•/,]", lines[k][1].strip().lower()) if p.strip()]
             known = sum(w in menu for w in low.replace(",", " ").split())
@@ -195,11 +210,12 @@ class Page:
 class TreeModel:
     """Line weights and the potentials page-region and region-line; states are 0 furniture, 1 content."""
 
-    def __init__(self, weights: np.ndarray, root: np.ndarray, page_region: np.ndarray, region_line: np.ndarray, frequent: frozenset, menu: frozenset):
+    def __init__(self, weights: np.ndarray, root: np.ndarray, page_region: np.ndarray, region_line: np.ndarray, frequent: frozenset | None, menu: frozenset):
+        # keys of lines; None where they are too many to hold, and each page comes with its own
         self.weights, self.root, self.page_region, self.region_line, self.frequent, self.menu = weights, root, page_region, region_line, frequent, menu
 
-    def page(self, body: str, title: str | None, source: str | None, source_key: str | None) -> Page:
-        return Page(body, title or "", source or "", self.frequent, self.menu, source_key or "")
+    def page(self, body: str, title: str | None, source: str | None, source_key: str | None, own: frozenset | None = None) -> Page:
+        return Page(body, title or "", source or "", (self.frequent if own is None else own) or frozenset(), self.menu, source_key or "")
 
     def marginals(self, page: Page, clamp: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
         """P(content) of each line by sum-product; also the expected counts of state pairs. clamp: known line states, -1 where open."""
@@ -251,15 +267,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, weights: np.ndarray |
     return beta
 
 
-def fit(pages: list[tuple[str, str, str, str]], rounds: int = 2) -> TreeModel:
-    """pages: (body, title, source name, source id). Without pages, the starting model."""
-    seen: Counter = Counter()
-    for body, _, _, key in pages:
-        for line in {normal_line(x) for x in body.split("\n") if x.strip() and x.count(" ") < 40}:
-            if line and len(line.split()) < PARAGRAPH_WORDS:
-                seen[(key or "", line)] += 1
-    frequent = frozenset(k for k, n in seen.items() if n >= FREQUENT)
-    menu = frozenset(w for (_, line) in frequent if len(line.split()) <= 3 for w in (line, *line.split()) if len(w) > 1)
+def _menu(lines: list[str]) -> frozenset:
+    """Words and wholes of frequent lines of up to three words."""
+    return frozenset(w for line in lines if len(line.split()) <= 3 for w in (line, *line.split()) if len(w) > 1)
+
+
+def fit(pages: list[tuple[str, str, str, str]], rounds: int = 2, frequent: frozenset | None = None, menu: frozenset | None = None) -> TreeModel:
+    """pages: (body, title, source name, source id). Without pages, the starting model. Frequent lines and menu words are those of the pages unless given."""
+    if frequent is None or menu is None:
+        seen: Counter = Counter()
+        texts: dict[int, str] = {}
+        for body, _, _, key in pages:
+            own = short_lines(body, key)
+            texts |= own
+            seen.update(own.keys())
+        frequent = frozenset(k for k, n in seen.items() if n >= FREQUENT)
+        menu = _menu([texts[k] for k in frequent])
     model = TreeModel(np.zeros(len(FEATURES)), np.array([0.5, 0.5]), np.array([[0.55, 0.45], [0.45, 0.55]]), np.array([[0.8, 0.2], [0.15, 0.85]]), frequent, menu)
     built = [model.page(b, t, s, k) for b, t, s, k in pages]
     built = [p for p in built if len(p.numbers)]
@@ -287,13 +310,59 @@ def fit(pages: list[tuple[str, str, str, str]], rounds: int = 2) -> TreeModel:
     return model
 
 
+def _line_rows(articles: DataFrame) -> DataFrame:
+    """(id, key, text): the short lines of each page that isn't residue; text only for lines of up to three words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                ids, keys, texts = [], [], []
+                for i, source, body in zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns)):
+                    if i is None or not body or is_residue(body):
+                        continue
+                    for key, line in short_lines(body, source).items():
+                        ids.append(i)
+                        keys.append(key)
+                        texts.append(line if len(line.split()) <= 3 else None)
+                yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.string()), "key": pa.array(keys, pa.int64()), "text": pa.array(texts, pa.string())})
+
+    return articles.select(F.col("article_id").cast("string"), F.col("source_id").cast("string"), "body").mapInArrow(run, "id string, key bigint, text string")
+
+
+def frequent_lines(articles: DataFrame) -> DataFrame:
+    """(key, text): short lines that stand in at least FREQUENT pages of one source, counted over all pages; repeated rows count once."""
+    rows = _line_rows(articles).select(F.xxhash64("id").alias("doc"), "key", "text").dropDuplicates(["doc", "key", "text"])
+    return rows.groupBy("key", "text").agg(F.count("*").alias("pages")).where(F.col("pages") >= FREQUENT).select("key", "text")
+
+
 def fit_model(articles: DataFrame, sample: int = SAMPLE_PAGES) -> TreeModel:
-    """Fits on a bounded sample of pages (the `sample` smallest by a hash of the id), residue left out."""
+    """Weights are fitted on a bounded sample of pages (the `sample` smallest by a hash of the id), residue left out; frequent lines and menu words are counted over all pages."""
     keys = articles.where(F.col("article_id").isNotNull()).select(F.col("article_id").alias("__id")).dropDuplicates(["__id"]).orderBy(F.xxhash64("__id"), "__id").limit(sample)
     # at most `sample` ids, so the broadcast is bounded
     rows = articles.join(F.broadcast(keys), F.col("article_id") == F.col("__id")).select("__id", "body", "title", "source_name", "source_id").dropDuplicates(["__id"]).collect()
     rows = sorted((r for r in rows if r["body"] and not is_residue(r["body"])), key=lambda r: r["__id"])
-    return fit([(r["body"], r["title"], r["source_name"], r["source_id"]) for r in rows])
+    lines = cut_lineage(frequent_lines(articles))
+    # the words of menus, of the size of a vocabulary
+    menu = _menu([r["text"] for r in lines.where("text is not null").select("text").distinct().collect()])
+    few = lines.count() <= BROADCAST_LINES
+    if few:
+        known = lines
+    else:
+        own = sorted({k for r in rows for k in short_lines(r["body"], r["source_id"])})
+        known = lines.join(F.broadcast(articles.sparkSession.createDataFrame(pa.table({"key": pa.array(own, pa.int64())}))), "key", "left_semi")
+    frequent = frozenset(known.select("key").toArrow()["key"].to_pylist())
+    model = fit([(r["body"], r["title"], r["source_name"], r["source_id"]) for r in rows], frequent=frequent, menu=menu)
+    model.frequent = frequent if few else None
+    return model
+
+
+def _pages(articles: DataFrame, model: TreeModel) -> DataFrame:
+    """The columns a page needs, with the keys of its own frequent lines where the model doesn't hold them all."""
+    rows = articles.select(F.col("article_id").cast("string").alias("article_id"), "body", "title", "source_name", "source_id")
+    if model.frequent is not None:
+        return rows.withColumn("own", F.lit(None).cast("array<bigint>"))
+    own = _line_rows(articles).select("id", "key").join(frequent_lines(articles).select("key"), "key", "left_semi").groupBy("id").agg(F.collect_set("key").alias("own"))
+    return rows.join(own, rows["article_id"] == own["id"], "left").drop("id")
 
 
 def furniture_lines(articles: DataFrame, model: TreeModel) -> DataFrame:
@@ -307,16 +376,15 @@ def furniture_lines(articles: DataFrame, model: TreeModel) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 ids, nos = [], []
-                for i, body, title, name, key in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                for i, body, title, name, key, own in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
                     if i is None or not body or is_residue(body):
                         continue
-                    found = shared.value.furniture(shared.value.page(body, title, name, key))
+                    found = shared.value.furniture(shared.value.page(body, title, name, key, own and frozenset(own)))
                     ids += [i] * len(found)
                     nos += found.tolist()
                 yield pa.RecordBatch.from_pydict({"article_id": pa.array(ids, pa.string()), "line_no": pa.array(nos, pa.int32())})
 
-    rows = articles.select(F.col("article_id").cast("string"), "body", "title", "source_name", "source_id")
-    return rows.mapInArrow(run, "article_id string, line_no int").dropDuplicates(["article_id", "line_no"])
+    return _pages(articles, model).mapInArrow(run, "article_id string, line_no int").dropDuplicates(["article_id", "line_no"])
 
 
 def main_bodies(articles: DataFrame, model: TreeModel) -> DataFrame:
@@ -327,16 +395,15 @@ def main_bodies(articles: DataFrame, model: TreeModel) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 ids, out = [], []
-                for i, body, title, name, key in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                for i, body, title, name, key, own in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
                     if i is None:
                         continue
                     ids.append(i)
                     if body is None or is_residue(body):
                         out.append(None if body is None else "")
                         continue
-                    drop = set(shared.value.furniture(shared.value.page(body, title, name, key)).tolist())
+                    drop = set(shared.value.furniture(shared.value.page(body, title, name, key, own and frozenset(own))).tolist())
                     out.append(re.sub(r"\n{3,}", "\n\n", "\n".join(x for no, x in enumerate(body.split("\n"), 1) if no not in drop)).strip("\n"))
                 yield pa.RecordBatch.from_pydict({"article_id": pa.array(ids, pa.string()), "report": pa.array(out, pa.string())})
 
-    rows = articles.select(F.col("article_id").cast("string"), "body", "title", "source_name", "source_id")
-    return rows.mapInArrow(run, "article_id string, report string").dropDuplicates(["article_id"])
+    return _pages(articles, model).mapInArrow(run, "article_id string, report string").dropDuplicates(["article_id"])
