@@ -118,3 +118,19 @@ def test_streams(spark, tmp_path):
     for _ in range(2):
         events.append_new(stream.withColumn("k", F.col("event_id") % 10), str(tmp_path / "out"), ["k"], str(tmp_path / "cp")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+
+
+def _tables(**frames):
+    return lambda name: frames[name]
+
+
+def test_title_tokens_without_a_cap(spark):
+    """A token of more than thirty titles still counts."""
+    from tidewire.plans import graph
+
+    rows = [(f"a{k:02}", "Warsaw Parliament votes") for k in range(40)] + [("b1", "Warsaw Parliament and Senate"), ("b2", "Warsaw alone"), ("b3", None)]
+    t = _tables(articles=spark.createDataFrame(rows, "article_id string, title string"))
+    s = graph._title_sets(t).groupBy("tokens").count().count()
+    keys = {r.article_id: r.representative for r in graph.title_token_groups(t).collect()}
+    assert s == 2 and set(keys.values()) == {"a00", "b1"} and len(keys) == 41
+    assert [tuple(r) for r in graph.title_token_pairs(t).collect()] == [("a00", "b1", 2)]

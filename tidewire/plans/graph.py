@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -131,3 +132,31 @@ def token_pairs(t):
     d = w.groupBy("tok").agg(F.count("*").alias("n")).where("n between 2 and 30")
     r = w.join(d.select("tok"), "tok")
     return r.alias("l").join(r.alias("m"), "tok").where("l.article_id < m.article_id").groupBy(F.col("l.article_id").alias("a"), F.col("m.article_id").alias("b")).agg(F.count("*").alias("shared")).where("shared >= 2")
+
+
+def _title_sets(t) -> DataFrame:
+    """(id, tokens): each article's distinct capitalised title words of five letters or more, in order, if there are two."""
+    w = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("title", F.lit(r"(\p{Lu}\p{L}{4,})"), F.lit(1)), F.lower)))
+    return t("articles").where("article_id is not null").select(F.col("article_id").alias("id"), w.alias("tokens")).where("size(tokens) >= 2").dropDuplicates(["id"])
+
+
+@query()
+def title_token_groups(t):
+    """The smallest id of each title's token set stands for all titles with the same set."""
+    s = _title_sets(t)
+    first = s.groupBy("tokens").agg(F.min("id").alias("representative"))
+    return s.join(first, "tokens").select(F.col("id").alias("article_id"), "representative")
+
+
+@query()
+def title_token_pairs(t):
+    """Pairs of representatives of title_token_groups whose token sets share two tokens or more, with no cut by frequency.
+
+    Sets meet by pairs of tokens, which far fewer sets hold than a single one; titles of one set share all of it and aren't paired.
+    """
+    s = _title_sets(t).groupBy("tokens").agg(F.min("id").alias("id"))
+    two = F.flatten(F.transform("tokens", lambda x: F.transform(F.filter("tokens", lambda y: y > x), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    keys = s.select("id", "tokens", F.explode(two).alias("two")).select("id", "tokens", F.col("two.x").alias("x"), F.col("two.y").alias("y"))
+    met = keys.alias("l").join(keys.alias("r"), ["x", "y"]).where("l.id < r.id")
+    both = met.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.size(F.array_intersect("l.tokens", "r.tokens")).cast("bigint").alias("shared"))
+    return both.dropDuplicates(["a", "b", "shared"])
