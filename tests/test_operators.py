@@ -134,3 +134,12 @@ def test_title_tokens_without_a_cap(spark):
     keys = {r.article_id: r.representative for r in graph.title_token_groups(t).collect()}
     assert s == 2 and set(keys.values()) == {"a00", "b1"} and len(keys) == 41
     assert [tuple(r) for r in graph.title_token_pairs(t).collect()] == [("a00", "b1", 2)]
+
+
+def test_candidate_order_of_all_forms(spark):
+    from tidewire.plans import textual
+
+    rows = [("rfc", "Tue, 10 Feb 2026 00:00:00 GMT", None, None), ("iso", "2026-02-10T03:00:00+02:00", None, None), ("late", None, "2026-02-11", None), ("url", "soon", None, "https://x.example/2026/02/09/a"), ("none", None, None, "https://x.example/a")]
+    frame = spark.createDataFrame([(i, "s", p, u, c) for i, p, u, c in rows], "article_id string, source_id string, published_at string, updated_at string, canonical_url string")
+    got = textual.candidate_order(_tables(articles=frame)).orderBy("place").collect()
+    assert [r.article_id for r in got] == ["late", "iso", "rfc", "url", "none"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..operators import instants
 from ..sources import pages
 from .registry import ARTICLES, articles, query
 
@@ -180,3 +181,18 @@ def candidate_timestamp_order(t):
 @query("select topic_id, cast(timezone('Europe/Warsaw', first_seen_at) as date) as local_day from topics")
 def warsaw_day(t):
     return t("topics").select("topic_id", F.to_date(F.from_utc_timestamp("first_seen_at", "Europe/Warsaw")).alias("local_day"))
+
+
+@query()
+def candidate_order(t):
+    """Each source's articles, newest first, undated ones last: by published_at in any form p7_found reads, else updated_at, else a date in the address.
+
+    Times without a zone are UTC. The place is that within the first 500, the most that the harvester takes of a source.
+    """
+    url = F.regexp_extract(F.coalesce("canonical_url", F.lit("")), r"(20\d{2}[/-]\d{2}[/-]\d{2})(?:[/_-]|$)", 1)
+    a = articles(t).where("article_id is not null").select("article_id", "source_id", "published_at", "updated_at", url.alias("dated"), F.lit(None).cast("string").alias("zone"))
+    for text, out in (("published_at", "first"), ("updated_at", "second"), ("dated", "third")):
+        a = instants.with_epoch(a, text, "zone", "zone", out)
+    k = F.coalesce("first", "second", "third", F.lit(0))
+    w = Window.partitionBy("source_id").orderBy(F.desc("epoch_s"), "article_id")
+    return a.select("article_id", "source_id", k.alias("epoch_s")).withColumn("place", F.row_number().over(w)).where("place <= 500")
