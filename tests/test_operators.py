@@ -143,3 +143,12 @@ def test_candidate_order_of_all_forms(spark):
     frame = spark.createDataFrame([(i, "s", p, u, c) for i, p, u, c in rows], "article_id string, source_id string, published_at string, updated_at string, canonical_url string")
     got = textual.candidate_order(_tables(articles=frame)).orderBy("place").collect()
     assert [r.article_id for r in got] == ["late", "iso", "rfc", "url", "none"]
+
+
+def test_logical_articles(spark):
+    from tidewire.plans import joins
+
+    head = "The council of the city met on Monday to vote. " * 8
+    rows = [("a", "s", "k", "First sentence here. Second one follows. " + head, "COMPLETE", 2), ("b", "s", "k", "FIRST  sentence here.\nSecond one follows. Other text.", "EXCERPT", 1), ("c", "t", "k", "First sentence here. Second one follows. " + head, "COMPLETE", 0), ("d", "s", "other", "First sentence here. Second one follows. " + head, "COMPLETE", 0), ("e", "s", "k", "First sentence here. Second one follows.", "FAILED", 0)]
+    frame = spark.createDataFrame(rows, "article_id string, source_id string, title_key string, body string, content_status string, first_seen_at int")
+    assert [tuple(r) for r in joins.logical_articles(_tables(articles=frame)).collect()] == [("a", "b")]

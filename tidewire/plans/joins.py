@@ -209,3 +209,12 @@ def sessions(t):
     g = t("events").select("user_id", "ts", "event_id", F.when(gap, 0).otherwise(1).alias("fresh"))
     s = g.withColumn("session_no", F.sum("fresh").over(w))
     return s.groupBy("user_id", "session_no").agg(F.count("*").alias("events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@query()
+def logical_articles(t):
+    """Articles of one source, title key and opening (two sentences, case and spacing aside), complete or excerpts; the first seen stands for the rest."""
+    a = articles(t).where("article_id is not null and source_id is not null and title_key <> '' and content_status in ('COMPLETE', 'EXCERPT')")
+    a = a.select("article_id", "source_id", "title_key", T.opening_fingerprint(F.col("body")).alias("opening"), "first_seen_at").where("opening is not null")
+    first = a.groupBy("source_id", "title_key", "opening").agg(F.min(F.struct(F.col("first_seen_at").isNull(), "first_seen_at", "article_id")).alias("m"))
+    return a.join(first, ["source_id", "title_key", "opening"]).select("article_id", F.col("m.article_id").alias("canonical_id")).where("article_id <> canonical_id")
