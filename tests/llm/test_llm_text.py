@@ -90,6 +90,17 @@ def test_no_residue(body):
     assert not residue.is_residue(body)
 
 
+@pytest.mark.parametrize("note", ["(TBC)", "(tbd)", "(photo tk)", "(add quote)", "<photo tk>"])
+def test_short_notes_in_brackets(note):
+    assert residue.is_residue(REPORT + "\n" + note)
+
+
+def test_residue_of_any_length():
+    scraps = "Home\nNews\nMenu 3\nPage 2 of 9\n"
+    assert residue.is_residue(scraps * 3) and residue.is_residue(scraps * 100)
+    assert not residue.is_residue(REPORT.replace("\n", " ") * 8 + " A banner said: we use cookies to improve your experience.")
+
+
 def test_residue_rows(spark):
     df = spark.createDataFrame([("a", "{{ x }}", 1), ("a", "{{ x }}", 1), ("b", REPORT, 1), (None, "{{ x }}", 1), ("c", None, 1)], "article_id string, body string, __body int")
     assert [r.article_id for r in residue.residue_articles(df).collect()] == ["a"]

@@ -65,12 +65,22 @@ _QUOTED = re.compile(r"“[^“”\n]{1,300}”|„[^„“”\n]{1,300}[“”]
 _COMBINING = re.compile("[\u0300-\u036f]")
 _SPACES = re.compile(r"[^\S\n]+")
 MIN_PROSE_WORDS = 8
+#: In a longer body without error or filler text, paragraphs that name notices are prose: a report on cookie banners names them in each.
+NOTICE_SIZE = 1500
 #: Up to so many words of prose of unknown kind may stand beside error or filler text.
 SPARE_WORDS = 30
 
 
+def _plain(stem: str) -> str:
+    return re.sub(r"\\b|\$", "", re.sub(r"\(\?:[^)]*\)", "", stem)).replace("\\?", "?").strip().lower()
+
+
+# Bracketed notes by stems too short to be looked for in plain text.
+_SHORT_NOTE = re.compile(r"(?i)[(<][^\[\]()<>\n]{0,60}?(?:" + "|".join(x for x in re.findall(r"(?:\(\?:[^)]*\)|[^|])+", NOTE_STEMS) if len(_plain(x)) <= 4).replace(r"\bhere$", "here") + ")")
+
+
 def note_hints() -> list[str]:
-    """Plain strings one of which stands in every note that brackets or NOTE_SENTENCES can match."""
+    """Plain strings one of which stands in every note that brackets or NOTE_SENTENCES can match, short stems (_SHORT_NOTE) aside."""
     plain = [re.sub(r"\\b|\$", "", x).replace("\\?", "?") for x in re.sub(r"\(\?:[^)]*\)", "", NOTE_STEMS).split("|")]
     sentences = "do uzupełnienia|to be |text is|текст доповнить|текст буде доповнить|доповнить редакція|дополнить редакции|wird nachgereicht|à compléter par|da completare|pendiente de"
     return [x.strip().lower() for x in [*plain, *sentences.split("|")] if len(x.strip()) > 4]
@@ -119,10 +129,10 @@ def is_residue(body: str | None) -> bool:
         low = _SPACES.sub(" ", low)
     hits = [(end - n + 1, end + 1, kind) for end, (kind, n) in automaton().iter(low)]
     kinds = {kind for _, _, kind in hits}
-    if (4 in kinds or any(h in body for h in _HINTS)) and has_placeholder(body):
+    if (4 in kinds or any(h in body for h in _HINTS) or (("(" in body or "<" in body) and _SHORT_NOTE.search(body))) and has_placeholder(body):
         return True
     marked = 1 in kinds or 2 in kinds
-    if not marked and (len(body) > 1500 or (3 not in kinds and any(len(line) > 100 for line in low.split("\n")))):
+    if not marked and 3 not in kinds and any(len(line) > 100 for line in low.split("\n")):
         return False
     prose = covered = 0
     start, k, hits = 0, 0, sorted(hits)
@@ -141,7 +151,7 @@ def is_residue(body: str | None) -> bool:
         words = len(line.split())
         if bad and bad >= 0.25 * len(line.strip()):
             covered += words
-        elif words >= MIN_PROSE_WORDS and not known:
+        elif words >= MIN_PROSE_WORDS and (not known or (not marked and len(body) > NOTICE_SIZE)):
             prose += words
         start = end + 1
     return prose == 0 or (covered > 0 and prose <= max(covered, SPARE_WORDS))
