@@ -6,7 +6,8 @@ n - ceil(0.6 n) + 1 are taken. Two sets with three fifths of their union in comm
 (prefix filter): otherwise the set whose prefix ends first in the order would lack all of its own prefix in the other. This holds
 for every order as long as it is the same for all texts, so frequencies may come from a sample: they decide how much is joined,
 never what is found. Pairs that meet are then held against the exact shingle sets. Only a batch's own keys and what they
-meet are ever joined; history is read once and not compared with itself.
+meet are ever joined; history is read once and not compared with itself. `History` keeps the keys in bucketed
+tables between batches; `duplicates` computes them from the given tables on each run.
 """
 
 from __future__ import annotations
