@@ -147,8 +147,70 @@ def test_history_in_batches(spark):
     history.append(one.join(found.select("id"), "id", "left_anti"))
     two = spark.createDataFrame([("c1", "t", None, "SHA256:H1", None), ("c2", "t", None, None, bodies[1]), ("c3", "t", None, None, bodies[2])], schema)
     assert {(r.id, r.duplicate_of) for r in history.match(two).collect()} == {("c1", "A1"), ("c2", "b2")}
-    for name in ("keys", "paragraphs", "texts"):
-        spark.sql(f"drop table hist_test_{name}")
+    wanted = incremental.piece_rows(two, None).select("key").dropDuplicates(["key"])
+    plan = history.table("pieces").where("size > 0").join(wanted.hint("shuffle_hash"), "key", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    # the batch's keys are shuffled (once, for the distinct too); the stored ones stay in their buckets
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    history.drop()
+    assert not spark.catalog.tableExists("hist_test_pieces")
+
+
+@pytest.mark.parametrize("words", [20, 30, 45, 60, 150])
+def test_recall_by_length(spark, words):
+    """Random texts with evenly spread single-word edits against brute force: none is lost, none too many, at any length."""
+    rng = random.Random(words)
+    old, new = {}, {}
+    for k in range(60):
+        base = _text(rng, words).split()
+        old[f"A{k:02}"] = " ".join(base)
+        for edits in range(0, 1 + words // 12):
+            changed, offset = list(base), rng.randrange(words)
+            for e in range(edits):
+                changed[(offset + e * words // max(1, edits)) % words] = f"new{e}"
+            new[f"i{k:02}-{edits}"] = ", ".join(changed)
+    want, accepted = {}, dict(old)
+    for i in sorted(new):
+        near = [o for o in accepted if o[1:3] == i[1:3] and incremental.jaccard(new[i], accepted[o]) >= 0.6]
+        if near:
+            want[i] = near
+        else:
+            accepted[i] = new[i]
+    art = spark.createDataFrame([(k, "s", None, None, v, "") for k, v in old.items()], ARTICLES)
+    inc = spark.createDataFrame([(k, "t", None, None, v, "", 0) for k, v in new.items()], INCOMING)
+    got = {r.incoming_id: r.duplicate_of for r in incremental.duplicates(inc, art, None).collect()}
+    assert len(want) >= 60 and set(got) == set(want) and all(got[i] in want[i] for i in got)
+
+
+def test_pieces_against_plain_python():
+    rng = random.Random(11)
+    texts = ["", "few words here only", "a b c d e", "A, b; C d-e\nF!", "x " * 300, "ж" * 9 + " б в г д е"] + [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 40))) for _ in range(200)]
+    keys, owner, h = incremental.text_pieces(texts)
+    by = {}
+    for k, t in enumerate(texts):
+        words = "".join(c.lower() if c.isalnum() or c == "_" else " " for c in t).split()
+        own = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+        assert (owner == k).sum() == len(own) and bool(keys[k]) == bool(own)
+        for x in range(max(0, k - 3), k):
+            ws = "".join(c.lower() if c.isalnum() or c == "_" else " " for c in texts[x]).split()
+            other = {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+            assert len(set(h[owner == k].tolist()) & set(h[owner == x].tolist())) == len(own & other)
+        by[k] = own
+
+
+def test_order_changes_no_result():
+    """With any table of how often pieces are used, sets that have three fifths of their union in common share a stored piece."""
+    import numpy as np
+
+    rng = random.Random(12)
+    for _ in range(30):
+        base = _text(rng, rng.choice([12, 20, 45, 90])).split()
+        other = [w if rng.random() > 0.04 else "z" + w for w in base]
+        pair = [" ".join(base), " ".join(other)]
+        often = np.random.default_rng(rng.randrange(99)).integers(0, 256, 1 << incremental.COUNTER_BITS).astype(np.uint8)
+        _, owner, h = incremental.text_pieces(pair)
+        own, left, _ = incremental.kept(owner, h, often)
+        if incremental.jaccard(*pair) >= 0.6:
+            assert set(left[own == 0].tolist()) & set(left[own == 1].tolist())
 
 
 def test_packing(spark):
