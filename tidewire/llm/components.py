@@ -1,7 +1,7 @@
 """Consolidating pairwise matches into groups (problem 4): alternating large-star and small-star.
 
-Each round rewrites the edges with one shuffle: large-star links a node's larger neighbours to the
-smallest node around it, small-star its smaller ones. The minimum comes from a plain aggregation that
+Nodes are numbered once, so the rounds move pairs of integers. Each round rewrites the edges with one shuffle: large-star links a node's
+larger neighbours to the smallest node around it, small-star its smaller ones. The minimum comes from a plain aggregation that
 is joined back, so no neighbourhood is ever collected, however large; AQE splits the hot keys of that
 join. Rounds end when the edge set no longer changes, which a count and a sum of hashes show.
 """
@@ -50,21 +50,25 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def connected_groups(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_groups(edges: DataFrame) -> DataFrame:
     """(node, group_id) for each node of the edges (u, v); group_id is the smallest node of the component. No edges, no rows."""
-    edges = cut_lineage(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").dropDuplicates(["u", "v"]))
-    state = _state(edges)
-    for _ in range(max_rounds):
-        after = cut_lineage(_star(_star(edges, large=True), large=False))
-        now = _state(after)
-        edges = after
-        if now == state:
+    given = cut_lineage(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").dropDuplicates(["u", "v"]))
+    # kept, as a number must stay the same for all who read it
+    numbered = cut_lineage(given.select(F.col("u").alias("node")).union(given.select("v")).dropDuplicates(["node"]).withColumn("n", F.monotonically_increasing_id()))
+    name = lambda side, out: numbered.select(F.col("node").alias(side), F.col("n").alias(out))
+    ends = given.join(name("u", "x"), "u").join(name("v", "y"), "v")
+    now = cut_lineage(ends.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")))
+    state = _state(now)
+    # the sum of all ends falls with every round that changes anything, so this ends
+    while True:
+        now = cut_lineage(_star(_star(now, large=True), large=False))
+        before, state = state, _state(now)
+        if before == state:
             break
-        state = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    # settled: every edge leads from a component's minimum to one other member
-    return edges.select(F.col("v").alias("node"), F.col("u").alias("group_id")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("group_id")).dropDuplicates(["node"]))
+    # settled: every edge leads from a component's centre to one other member
+    members = now.select(F.col("v").alias("n"), F.col("u").alias("centre")).unionByName(now.select(F.col("u").alias("n"), F.col("u").alias("centre")).dropDuplicates(["n"]))
+    named = members.join(numbered, "n").select("node", "centre")
+    return named.join(named.groupBy("centre").agg(F.min("node").alias("group_id")), "centre").select("node", "group_id")
 
 
 def topic_groups(pairs: DataFrame, default: float = DEFAULT_THRESHOLD) -> DataFrame:
