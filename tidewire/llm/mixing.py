@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 BUCKETS = 1024
+#: Membership patterns go to the driver, where the flow is routed; more than this, which takes 17 sources mixed in every way, is refused.
+MOST_PATTERNS = 100_000
 
 
 class Network:
@@ -102,12 +104,16 @@ def mixture(sized: DataFrame, targets: dict[str, tuple[float, int]], total: int
     if not targets:
         raise ValueError("no target is given")
     known = sized.where(F.col("doc_id").isNotNull() & F.col("source").isin(*targets) & (F.col("tokens") > 0))
-    members = known.groupBy("text_hash", "source").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"))
+    # kept, as both the patterns and the selection are made from it, and its tokens are costly
+    members = cut_lineage(known.groupBy("text_hash", "source").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens")))
     # a text has at most as many members as there are target sources
     texts = members.groupBy("text_hash").agg(F.array_join(F.array_sort(F.collect_set("source")), "\x1f").alias("pattern"), F.max("tokens").alias("tokens"))
     key = F.xxhash64(F.lit(seed), "text_hash")
     texts = cut_lineage(texts.withColumn("__order", key).withColumn("__bucket", F.shiftrightunsigned("__order", 64 - (BUCKETS.bit_length() - 1)).cast("int")))
-    sums = {tuple(r["pattern"].split("\x1f")): r["n"] for r in texts.groupBy("pattern").agg(F.sum("tokens").alias("n")).collect()}
+    found = texts.groupBy("pattern").agg(F.sum("tokens").alias("n")).limit(MOST_PATTERNS + 1).collect()
+    if len(found) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} sets of sources share texts; mix fewer sources at once")
+    sums = {tuple(r["pattern"].split("\x1f")): r["n"] for r in found}
     _, flows = route(sums, targets, total)
     before = Window.partitionBy("pattern").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = texts.groupBy("pattern", "__bucket").agg(F.sum("tokens").alias("__t")).withColumn("__base", F.coalesce(F.sum("__t").over(before), F.lit(0))).drop("__t")
