@@ -44,6 +44,11 @@ def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return repeats.without_repeated_lines(table(spark, d, "articles").select("article_id", "source_id", "body"))
 
 
+def p3_cleaned_by_share(spark: SparkSession, d: str) -> DataFrame:
+    """A line goes only if it stands in a hundredth of its source's documents too."""
+    return repeats.without_repeated_lines(table(spark, d, "articles").select("article_id", "source_id", "body"), share=0.01)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return components.topic_groups(table(spark, d, "pairs"))
 
