@@ -1,10 +1,10 @@
 """Filling fixed-capacity containers with items (problem 8): variable-capacity best fit.
 
 Only the histogram of item sizes, as long as the largest capacity at most, goes to the driver. There best-fit decreasing runs on
-counts: all items of one size move at once into the open containers with the least sufficient space. Several
-permitted capacities are optimised jointly: each opening policy (the smallest capacity that fits, or one that is at
-least a given capacity) is tried, every container is downsized to the smallest capacity that holds its contents, and the
-policy of least total capacity wins. The items then find their containers by their rank among items of the
+counts: all items of one size move at once into the open containers with the least sufficient space. Where none has room, the
+permitted capacity of least cost is opened: the one that the items still to be placed would leave the smallest share of unused. Every
+container is finally downsized to the smallest capacity that holds its contents; plans that always open one size are tried too, and
+the plan of least total capacity wins. The items then find their containers by their rank among items of the
 same size, which is computed in shards, so a size that a third of all items share is no hot group.
 """
 
@@ -35,9 +35,34 @@ class Plan:
     used: int = 0
 
 
-def plan_counts(counts: dict[int, int], capacities: list[int], least: int) -> Plan:
-    """Best fit decreasing on counts by size; new containers open with the smallest capacity that fits and is at least `least`."""
+def least_cost(sizes: list[int], counts: dict[int, int], size: int, rest: int, capacities: list[int]) -> int:
+    """The capacity of which the smallest share stays unused if it takes an item of `size` and then, largest first, items still to be placed; of equal ones the largest.
+
+    sizes: all sizes ascending; of `size` itself `rest` are left, larger ones are placed already.
+    """
+    best = None
+    for capacity in capacities:
+        if capacity < size:
+            continue
+        space, top = capacity - size, bisect.bisect_right(sizes, size)
+        while space:
+            top = bisect.bisect_right(sizes, space, 0, top)
+            if not top:
+                break
+            top -= 1
+            other = sizes[top]
+            left = rest - 1 if other == size else counts[other]
+            space -= other * min(left, space // other)
+        cost = (space / capacity, -capacity)
+        if best is None or cost < best:
+            best = cost
+    return -best[1]
+
+
+def plan_counts(counts: dict[int, int], capacities: list[int], least: int | None = None) -> Plan:
+    """Best fit decreasing on counts by size; new containers open with the capacity of least cost, or with the smallest that fits and is at least `least`."""
     plan, spaces = Plan(), []
+    sizes = sorted(counts)
     groups: dict[int, list[tuple[int, int, int]]] = {}  # space left -> (first container, how many, capacity)
     following = 0
 
@@ -52,7 +77,10 @@ def plan_counts(counts: dict[int, int], capacities: list[int], least: int) -> Pl
         while rest:
             at = bisect.bisect_left(spaces, size)
             if at == len(spaces):
-                capacity = next((c for c in capacities if c >= max(size, least)), capacities[-1])
+                if least is None:
+                    capacity = least_cost(sizes, counts, size, rest, capacities)
+                else:
+                    capacity = next((c for c in capacities if c >= max(size, least)), capacities[-1])
                 # so many new containers as take all the rest when each takes as many as fit
                 n = -(-rest // max(1, capacity // size))
                 put(capacity, (following, n, capacity))
@@ -83,7 +111,7 @@ def plan_counts(counts: dict[int, int], capacities: list[int], least: int) -> Pl
 
 
 def best_plan(counts: dict[int, int], capacities: list[int]) -> Plan:
-    plans = [plan_counts(counts, capacities, least) for least in (0, *capacities)]
+    plans = [plan_counts(counts, capacities, least) for least in (None, 0, *capacities)]
     return min(plans, key=lambda p: p.total)
 
 
