@@ -53,20 +53,23 @@ NOTE_STEMS = r"to come|to follow|tk\b|tbd|tbc|to be (?:added|filled|supplied|con
 # Notes that are whole sentences, in any place.
 NOTE_SENTENCES = r"tekst do uzupełnienia|do uzupełnienia przez redakcję|text (?:is )?to be (?:added|supplied) by|текст (?:буде )?доповнить редакція|дополнить редакции|text wird nachgereicht|texte à compléter par|testo da completare|texto pendiente de"
 PLACEHOLDER = re.compile(
-    r"\{\{\{?[^{}\n]{1,60}\}\}\}?|\{%[^%{}\n]{1,60}%\}|\$\{[\w.\- ]{1,40}\}|#\{[\w.\- ]{1,40}\}|<%[=\-]?[^%<>\n]{1,60}%>|\[\[[^\[\]\n]{1,40}\]\]|%%\w{1,40}%%|@@\w{1,40}@@|__[A-Za-z]\w{0,38}__|<<\w{1,40}>>"
+    r"\{\{\{?[^{}\n]+\}\}\}?|\{%[^%{}\n]+%\}|\$\{[\w.\- ]+\}|#\{[\w.\- ]+\}|<%[=\-]?[^%<>\n]+%>|\[\[[^\[\]\n]+\]\]|%%\w+%%|@@\w+@@|__[A-Za-z]\w*__|<<\w+>>"
     r"|\bTK(?: TK)+\b|\bTKTK\b|(?<!\w)(?:XXXX+|xxxx+)(?!\w)|(?<!\w)(?:TBD|TODO|FIXME)(?!\w)"
-    r"|\[(?:INSERT|ADD|INS) [\w ]{1,40}\]|\[[\w ]{1,40} HERE\]"
-    rf"|(?i:[\[(<](?=[^\[\]()<>\n]{{0,60}}(?:{NOTE_STEMS})[^\[\]()<>\n]{{0,40}}[\])>])[^\[\]()<>\n]{{1,100}}[\])>])"
+    r"|\[(?:INSERT|ADD|INS) [\w ]+\]|\[[\w ]+ HERE\]"
     rf"|(?i:{NOTE_SENTENCES})"
 )
+_BRACKETS = re.compile(r"[\[(<]([^\[\]()<>\n]+)[\])>]")
+_NOTE = re.compile(rf"(?i){NOTE_STEMS}")
+#: A bracket is an editor's note if stems of notes are at least this share of its words: a longer aside only happens to use one.
+NOTE_SHARE = 1 / 16
 # Any placeholder holds one of these; notes are announced by the automaton.
 _HINTS = ("{{", "{%", "${", "#{", "<%", "[", "%%", "@@", "__", "<<", "TK", "XXX", "xxx", "TBD", "TODO", "FIXME")
-_QUOTED = re.compile(r"“[^“”\n]{1,300}”|„[^„“”\n]{1,300}[“”]|«[^«»\n]{1,300}»|»[^«»\n]{1,300}«|\"[^\"\n]{1,300}\"|‘[^‘’\n]{1,300}’|‹[^‹›\n]{1,300}›")
+_QUOTED = re.compile(r"“[^“”\n]+”|„[^„“”\n]+[“”]|«[^«»\n]+»|»[^«»\n]+«|\"[^\"\n]+\"|‘[^‘’\n]+’|‹[^‹›\n]+›")
 _COMBINING = re.compile("[\u0300-\u036f]")
 _SPACES = re.compile(r"[^\S\n]+")
 MIN_PROSE_WORDS = 8
-#: In a longer body without error or filler text, paragraphs that name notices are prose: a report on cookie banners names them in each.
-NOTICE_SIZE = 1500
+#: A line is a notice if furniture phrases cover this share of it; a report on cookie banners names them in each paragraph, but covers little with it.
+NOTICE_SHARE = 0.08
 #: Up to so many words of prose of unknown kind may stand beside error or filler text.
 SPARE_WORDS = 30
 
@@ -76,7 +79,7 @@ def _plain(stem: str) -> str:
 
 
 # Bracketed notes by stems too short to be looked for in plain text.
-_SHORT_NOTE = re.compile(r"(?i)[(<][^\[\]()<>\n]{0,60}?(?:" + "|".join(x for x in re.findall(r"(?:\(\?:[^)]*\)|[^|])+", NOTE_STEMS) if len(_plain(x)) <= 4).replace(r"\bhere$", "here") + ")")
+_SHORT_NOTE = re.compile(r"(?i)[(<][^\[\]()<>\n]*?(?:" + "|".join(x for x in re.findall(r"(?:\(\?:[^)]*\)|[^|])+", NOTE_STEMS) if len(_plain(x)) <= 4).replace(r"\bhere$", "here") + ")")
 
 
 def note_hints() -> list[str]:
@@ -110,13 +113,14 @@ def automaton():
 
 def has_placeholder(body: str) -> bool:
     """An unfilled placeholder or editor's note that isn't inside a quotation on its line."""
-    for m in PLACEHOLDER.finditer(body):
-        start = body.rfind("\n", 0, m.start()) + 1
-        end = body.find("\n", m.end())
-        line = body[start : end if end >= 0 else len(body)]
-        at = m.start() - start
-        if not any(q.start() < at and at + len(m.group()) <= q.end() for q in _QUOTED.finditer(line)):
-            return True
+    notes = (m for m in _BRACKETS.finditer(body) if len(_NOTE.findall(m.group(1))) >= NOTE_SHARE * len(m.group(1).split()) and _NOTE.search(m.group(1)))
+    for found in (PLACEHOLDER.finditer(body), notes):
+        for m in found:
+            start = body.rfind("\n", 0, m.start()) + 1
+            end = body.find("\n", m.end())
+            at = m.start() - start
+            if not any(q.start() < at and at + len(m.group()) <= q.end() for q in _QUOTED.finditer(body[start : end if end >= 0 else len(body)])):
+                return True
     return False
 
 
@@ -139,11 +143,13 @@ def is_residue(body: str | None) -> bool:
     for line in low.split("\n"):
         end = start + len(line)
         bad = known = 0
-        reach = start
+        reach = seen = start
         while k < len(hits) and hits[k][0] < end:
             a, b, kind = hits[k]
             if kind == 3:
-                known = 1
+                if b > seen:
+                    known += b - max(a, seen)
+                    seen = b
             elif kind < 3 and b > reach:
                 bad += b - max(a, reach)
                 reach = b
@@ -151,7 +157,7 @@ def is_residue(body: str | None) -> bool:
         words = len(line.split())
         if bad and bad >= 0.25 * len(line.strip()):
             covered += words
-        elif words >= MIN_PROSE_WORDS and (not known or (not marked and len(body) > NOTICE_SIZE)):
+        elif words >= MIN_PROSE_WORDS and (not known or (not marked and known < NOTICE_SHARE * len(line))):
             prose += words
         start = end + 1
     return prose == 0 or (covered > 0 and prose <= max(covered, SPARE_WORDS))
