@@ -1,11 +1,11 @@
 """Sentence boundaries across languages and scripts (problem 10).
 
 A pushdown automaton runs over the marks of each block (text between blank lines): opening and
-closing quotation marks and brackets move its stack, and a terminator ends a sentence only at the
-ground level, after the list or dateline entry it may open with, and if neither the abbreviation
-before it nor the text behind it speaks against that. When a quotation or bracket closes to the ground
+closing quotation marks and brackets and the levels of lists move its stacks, and a terminator ends a sentence only at the
+ground level, after the list or dateline entry it may open with, and if neither the abbreviation before it, which a trie walked
+backwards from the terminator finds, nor the text behind it speaks against that. When a quotation or bracket closes to the ground
 level with a terminator inside, what follows decides: an attribution goes on, anything else begins
-anew. Offsets count Unicode characters.
+anew. Offsets count Unicode characters; the work is linear in the text, however deep it nests.
 """
 
 from __future__ import annotations
@@ -46,39 +46,103 @@ _TERMINATORS = ".!?…。！？｡।॥؟۔"
 _HARD = "。！？｡"
 #: Among capitals the case of the next word says nothing: these then go on, the ones of time, firms and amounts before a small word.
 CAPS_NEVER = frozenset("tj tzn tys o.o ok im ust art godz ul inż gen lt p.m.a u.s i.e e.g a.m s.p.a ca mio млрд тис тыс proc bm c.-à-d uu mln approx aprox cía cie env".split())
-_LINK = regex.compile(r"(?:AND|ON|OF|MET|W|I|DE|DI|DU|EN|ET|E|Y|U|UND|FÜR|DESDE|GANÓ|KG|IN|SIEDZIBIE|GRN|ГРН|РУБ)\b")
+# Small words and currencies that go on after an amount, a time or a firm.
+_LINK = regex.compile(r"(?:AND|OR|ON|OF|IN|AT|BY|TO|FOR|FROM|MET|UND|IM|AM|FÜR|VON|ET|EN|DE|DU|LE|LA|E|Y|O|DI|IL|DESDE|HASTA|W|I|Z|NA|OD|DO|В|И|У|Й|НА|З|С|KG|USD|EUR|PLN|ZŁ|ГРН|РУБ)\b")
 _BLOCK = regex.compile(r"\n[^\S\n]*\n\s*")
 _MARKS = regex.compile(r"[“”„«»‹›\"「」『』()（）\[\]【】]")
 _ENDS = regex.compile(rf"[{_TERMINATORS}]+")
-_TOKEN = regex.compile(r"[^\s“”„«»\"(（\[—–]+$")
+_BEFORE_WORD = frozenset(" \t\n\r\u00a0\u202f\u2009\u3000“”„«»\"(（[—–'’")
 _ENTRY = regex.compile(r"\s*[(\[]?\d{1,3}$")
+_LETTERED = regex.compile(r"\s*[(\[]?[a-zа-я]$")
 _DASHED = regex.compile(r"(?<!\S)—(?=\S)")
 _BACK = regex.compile(r"\s—(?=\p{Ll})|\s—(?=[¿¡\p{Lu}])")
 _THAI = regex.compile(r"[฀-๿]")
 _GAP = regex.compile(r"\s+")
 _PAIR = {"“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", '"': '"', "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】"}
+_OPENERS = {c: "".join(o for o, own in _PAIR.items() if c in own) for c in set("".join(_PAIR.values()))}
+
+
+class AbbreviationTrie:
+    """Abbreviations by their letters from the last to the first, lower case; a leaf has the kinds of each written form."""
+
+    def __init__(self, kinds: dict[str, frozenset]):
+        self.root: dict = {}
+        for kind, words in kinds.items():
+            for word in words:
+                node = self.root
+                for c in reversed(word.lower()):
+                    node = node.setdefault(c, {})
+                node.setdefault(None, {}).setdefault(kind, set()).add(word)
+
+    def before(self, text: str, end: int, start: int) -> tuple[str, dict]:
+        """The word that ends at `end`, and the kinds of the abbreviation it is; the walk stops where the word or the trie does."""
+        node, at = self.root, end
+        while at > start and node is not None and text[at - 1] not in _BEFORE_WORD and not text[at - 1].isspace():
+            at -= 1
+            c = text[at]
+            node = node.get(c) or node.get(c.lower())
+        if node is None:
+            # no abbreviation: the word is as long as it is
+            while at > start and text[at - 1] not in _BEFORE_WORD and not text[at - 1].isspace():
+                at -= 1
+        return text[at:end], (node or {}).get(None, {})
+
+
+TRIE = AbbreviationTrie({"never": NEVER, "number": BEFORE_NUMBER, "capitals": CAPS_NEVER})
+
+
+def _ordinal(letter: str) -> int:
+    return ord(letter) - ord("а" if "а" <= letter <= "я" else "a") + 1
+
+
+class Levels:
+    """The open levels of a list, outermost first: kind of enumerator and its last ordinal."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = []
+
+    def follows(self, text: str, at: int) -> bool:
+        """Whether a small letter with a dot stands here that comes next on an open level, or opens one within an entry."""
+        c = text[at]
+        return bool(self.stack) and (c in "aа" or ("letter", _ordinal(c) - 1) in self.stack) and c.islower() and text[at + 1 : at + 2] == "." and text[at + 2 : at + 3].isspace()
+
+    def entry(self, mark: str) -> bool:
+        """Whether a mark at a sentence's begin enumerates an entry: any number does, a small letter if it opens a level or comes next on an open one."""
+        kind, ordinal = ("number", int(mark)) if mark.isdecimal() else ("letter", _ordinal(mark))
+        for depth in range(len(self.stack) - 1, -1, -1):
+            if self.stack[depth] == (kind, ordinal - 1):
+                del self.stack[depth:]
+                self.stack.append((kind, ordinal))
+                return True
+        if kind == "number" or ordinal == 1:
+            if not self.stack or self.stack[-1][0] != kind:
+                self.stack.append((kind, ordinal))
+            else:
+                self.stack[-1] = (kind, ordinal)
+            return True
+        return False
 
 
 def _nested(text: str) -> list[tuple[int, int]]:
     """The outermost matched quotations and brackets of a block as (first mark, behind last mark)."""
     stack: list[tuple[str, int]] = []
     pairs: list[tuple[int, int]] = []
+    # depths at which each opening mark stands on the stack, so that a closing one finds its own at once
+    depths: dict[str, list[int]] = {c: [] for c in _PAIR}
     n = len(text)
     for m in _MARKS.finditer(text):
         c, at = m.group(), m.start()
-        closes = None
-        # deeper nesting than this is noise; the bound keeps odd texts linear
-        for depth in range(len(stack) - 1, max(-1, len(stack) - 13), -1):
-            if c in _PAIR[stack[depth][0]]:
-                closes = depth
-                break
+        closes = max((depths[o][-1] for o in _OPENERS.get(c, "") if depths[o]), default=None)
         before, behind = text[at - 1] if at else " ", text[at + 1] if at + 1 < n else " "
         if c == '"' and closes is not None and before.isspace() and not behind.isspace():
             closes = None
         if closes is not None and not (c == "“" and stack[closes][0] != "„"):
             pairs.append((stack[closes][1], at + 1))
+            for o, _ in stack[closes:]:
+                depths[o].pop()
             del stack[closes:]
         elif c in _PAIR and not (c in '"»' and (behind.isspace() or not (before.isspace() or before in "([—–"))):
+            depths[c].append(len(stack))
             stack.append((c, at))
     pairs.sort()
     outer: list[tuple[int, int]] = []
@@ -131,7 +195,7 @@ def _capitals(text: str, start: int, a: int, at: int) -> bool:
     return around.upper() == around and sum(map(str.isalpha, around)) > 6 and around.lower() != around
 
 
-def _ends_sentence(text: str, start: int, a: int, b: int) -> bool:
+def _ends_sentence(text: str, start: int, a: int, b: int, levels: Levels) -> bool:
     """Whether the terminators text[a:b], at ground level in the sentence that began at start, end it."""
     run, n = text[a:b], len(text)
     if b >= n:
@@ -145,22 +209,24 @@ def _ends_sentence(text: str, start: int, a: int, b: int) -> bool:
         return True
     if run[0] != "." or len(run) > 1:
         return _begins(text, at) and not (run[0] in "….," and _capitals(text, start, a, at))
-    if not _begins(text, at):
+    if not _begins(text, at) and not levels.follows(text, at):
         return False
     caps = _capitals(text, start, a, at)
-    tail = _TOKEN.search(text, max(start, a - 24), a)
-    token = tail.group() if tail else ""
-    word = token.rsplit("'", 1)[-1].rsplit("’", 1)[-1]
+    word, kinds = TRIE.before(text, a, start)
     digit = text[at].isdigit()
     if word.isdigit():
         if _ENTRY.fullmatch(text, start, a):
+            levels.entry(word)
             return False
         follows = regex.match(r"\p{L}+", text[at : at + 14])
         return not (len(word) <= 2 and follows and follows.group() in MONTHS)
-    if digit and (word in BEFORE_NUMBER or word.lower() in BEFORE_NUMBER):
+    if len(word) == 1 and _LETTERED.fullmatch(text, start, a) and levels.entry(word):
+        return False
+    number = kinds.get("number", ())
+    if digit and (word in number or word.lower() in number):
         ahead = regex.match(r"\d+", text[at : at + 6]).group()
         return word in ("h", "p", "r", "c", "o", "s") and len(ahead) > 2
-    number_before = bool(regex.search(r"\d\s*$", text[max(start, a - len(token) - 3) : a - len(token)]))
+    number_before = bool(regex.search(r"\d\s*$", text[max(start, a - len(word) - 3) : a - len(word)]))
     if len(word) == 1 and word.isalpha():
         if word == "م":
             return False
@@ -174,9 +240,10 @@ def _ends_sentence(text: str, start: int, a: int, b: int) -> bool:
         if word == "д":
             return True
         return word not in SMALL_NEVER
-    if word in NEVER or (word[:1].isupper() and word.lower() in NEVER):
+    never = kinds.get("never", ())
+    if word in never or (word[:1].isupper() and word.lower() in never):
         return False
-    if caps and (word.title() in NEVER or word.lower() in CAPS_NEVER or (word.lower() in ("a.m", "p.m", "co", "cía", "cie", "mln", "млрд", "proc", "bm", "aprox") and _LINK.match(text, at))):
+    if caps and (word.title() in never or word.lower() in kinds.get("capitals", ()) or (word.lower() in ("a.m", "p.m", "co", "cía", "cie", "mln", "млрд", "proc", "bm", "aprox") and _LINK.match(text, at))):
         return False
     if word == "Co" and COMPANY.match(text, at):
         return False
@@ -258,13 +325,13 @@ def block_sentences(text: str) -> list[tuple[int, int]]:
     thai = len(_THAI.findall(text)) * 3 > len(text)
     if thai:
         events = sorted(events + [(a, a, 2) for a in _thai_cuts(text, nested)])
-    out, start = [], 0
+    out, levels = [], Levels()
     start = _next(text, 0)
     for x, y, kind in events:
         if x < start:
             continue
         if kind == 0:
-            end = y if _ends_sentence(text, start, x, y) else 0
+            end = y if _ends_sentence(text, start, x, y, levels) else 0
         elif kind == 1:
             end = x if _after_nested(text, start, y, x) else 0
         else:
