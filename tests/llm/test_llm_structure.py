@@ -238,6 +238,18 @@ def test_packing(spark):
     assert {r.capacity_tokens for r in each.select("capacity_tokens").distinct().collect()} == {256, 512}
 
 
+def test_least_cost_opening():
+    # 60 and 40 fill 100, so 128 for 60 alone would cost more; 256 takes 200 and 56
+    assert packing.least_cost([40, 60], {40: 5, 60: 1}, 60, 1, [100, 128]) == 100
+    assert packing.least_cost([56, 200], {56: 3, 200: 2}, 200, 2, [210, 256]) == 256
+    assert packing.least_cost([7], {7: 1}, 7, 1, [10, 20]) == 10
+    rng = random.Random(8)
+    for _ in range(20):
+        counts = {rng.randint(1, 300): rng.randint(1, 50) for _ in range(rng.randint(1, 60))}
+        best = packing.best_plan(counts, [256, 300, 512])
+        assert best.used == sum(s * n for s, n in counts.items()) and best.total <= min(packing.plan_counts(counts, [256, 300, 512], x).total for x in (None, 0, 256, 300, 512))
+
+
 def test_mixture(spark):
     rng = random.Random(3)
     sizes = {f"h{k}": rng.randint(5, 60) for k in range(700)}

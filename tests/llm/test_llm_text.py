@@ -46,13 +46,23 @@ def test_language_of_each_paragraph_and_of_short_lines(spark):
     short = spark.createDataFrame([("lines", "en", "Der Stadtrat billigte einen Haushalt.\n\nTrotz der Proteste vieler Anwohner."), ("gap", "en", EN.format(1) + "\n\n\n" + DE.format(2)), ("digits", "en", "12 | 34")], a.schema)
     both, model = a.unionByName(short), langid.fit_model(a)
     rows = langid.segment_languages(both, model).where("article_id in ('mixed', 'gap', 'none', 'lines', 'digits')").collect()
-    assert sorted((r.article_id, r.line_no, r.language) for r in rows) == [("gap", 1, "en"), ("gap", 4, "de"), ("mixed", 1, "en"), ("mixed", 2, "de"), ("none", 1, "pl")]
+    assert sorted((r.article_id, r.line_no, r.language) for r in rows) == [("gap", 1, "en"), ("gap", 4, "de"), ("lines", 1, "de"), ("mixed", 1, "en"), ("mixed", 2, "de"), ("none", 1, "pl")]
+    body = {r.article_id: r.body for r in both.collect()}
+    assert {(r.article_id, body[r.article_id][r.start_pos : r.end_pos]) for r in rows if r.article_id == "gap"} == {("gap", EN.format(1)), ("gap", DE.format(2))}
     assert all(0.5 < r.confidence <= 1 for r in rows)
     documents = {r.article_id: r for r in langid.paragraph_languages(both, model).collect()}
     assert documents["lines"].language == "de" and 0 < documents["lines"].confidence <= 1
     assert "digits" not in documents and "empty" not in documents and "null" not in documents
 
 
+def test_segments_and_unknown_scripts():
+    body = "One\n two \n\n" + EN.format(3) + "\n12 | 34\n\nThree\n"
+    assert [(no, body[a:b], t) for no, a, b, t in langid.all_segments(body)] == [(1, "One\n two", "One\n two"), (4, EN.format(3), EN.format(3)), (5, "12 | 34\n\nThree", "12 | 34\n\nThree")]
+    model = langid.NaiveBayes.fit([EN.format(1), DE.format(1)], ["en", "de"], ("de", "en"))
+    said, sure = model.classify([EN.format(2), "Το συμβούλιο ενέκρινε τον προϋπολογισμό για τους δρόμους της πόλης", "市议会批准了道路维修预算", "The word λόγος stands in this English line of text"])
+    assert said == ["en", langid.UNKNOWN, langid.UNKNOWN, "en"] and sure[1] > 0.9
+
+
 def test_language_accuracy_held_out(spark):
     model = langid.fit_model(_articles(spark))
     rng = random.Random(3)
@@ -101,13 +111,25 @@ def test_residue_of_any_length():
     assert not residue.is_residue(REPORT.replace("\n", " ") * 8 + " A banner said: we use cookies to improve your experience.")
 
 
+def test_residue_without_widths():
+    """Neither the width of a placeholder or note nor that of a quotation decides, and a menu is one at any length."""
+    assert residue.is_residue(REPORT + "\nDear {{ " + "customer_salutation." * 6 + "name }}, welcome.")
+    for n in (2, 20):
+        quoted = "“The letters said " + "that all is well, and " * n + "Dear {{first_name}} stood in the greeting.” The council apologised the next day."
+        assert not residue.is_residue(REPORT + "\n" + quoted)
+    menu = "Home\nNews\nWeather\nSport\nLog in\n"
+    assert residue.is_residue(menu * 10) and residue.is_residue(menu * 1000)
+    assert residue.is_residue(REPORT + "\n(zdjęcie do uzupełnienia)") and residue.is_residue(REPORT + "\n[photo caption to come from the desk in Brussels later today]")
+    assert not residue.is_residue(REPORT + "\nThe talks (which both sides had for many weeks called the last chance, although a further round in the spring was always to come in any case) ended.")
+
+
 def test_residue_rows(spark):
     df = spark.createDataFrame([("a", "{{ x }}", 1), ("a", "{{ x }}", 1), ("b", REPORT, 1), (None, "{{ x }}", 1), ("c", None, 1)], "article_id string, body string, __body int")
     assert [r.article_id for r in residue.residue_articles(df).collect()] == ["a"]
     assert residue.residue_articles(df.limit(0)).count() == 0
 
 
-def test_repeats_against_brute_force(spark):
+def test_repeats_against_brute_force(spark, monkeypatch):
     rng = random.Random(1)
     pool = ["Share this story (12)", "SHARE this  story (7)!", "By the desk", "Unique"]
     rows = []
@@ -127,12 +149,27 @@ def test_repeats_against_brute_force(spark):
                 want.add((i, n))
     got = [(r.article_id, r.line_no) for r in repeats.repeated_lines(df, skip_residue=False).collect()]
     assert set(got) == want and len(got) == len(want) > 0
-    clean = {r.article_id: r.body for r in repeats.without_repeated_lines(df).collect()}
+    clean = {r.article_id: r.body for r in repeats.without_repeated_lines(df, skip_residue=False).collect()}
+    monkeypatch.setattr(repeats, "BROADCAST_KEYS", 0)
+    assert {r.article_id: r.body for r in repeats.without_repeated_lines(df, skip_residue=False).collect()} == clean
     assert clean["d1"].split("\n")[0] == EN.format("xx") and not any((("d1", n) in want) and line in clean["d1"].split("\n") for n, line in enumerate(rows[1][2].split("\n"), 1))
     assert clean["y"] is None and clean["z"] == ""
     assert repeats.repeated_lines(df.limit(0)).count() == 0
 
 
+def test_repeats_by_share(spark):
+    """A line in five of twenty documents goes, one in five of a thousand stays; both stand in enough documents for the count alone."""
+    few = [(f"a{k:02}", "small", f"{REPORT} {k}\n{'Shared by five' if k < 5 else 'Own words ' + 'abcdefghijklmnopqrst'[k]}") for k in range(20)]
+    many = [(f"b{k:04}", "large", f"{REPORT} {k}\n{'Shared by five' if k < 5 else 'Own'}") for k in range(1000)]
+    df = spark.createDataFrame(few + many, "article_id string, source_id string, body string")
+    by_share = repeats.repeated_lines(df, share=0.01).where("line_no = 4")
+    assert {r.article_id for r in by_share.collect()} == {f"a{k:02}" for k in range(5)} | {f"b{k:04}" for k in range(5, 1000)}
+    by_count = repeats.repeated_lines(df).where("line_no = 4")
+    assert {r.article_id for r in by_count.collect()} == {f"a{k:02}" for k in range(5)} | {f"b{k:04}" for k in range(1000)}
+    clean = {r.article_id: r.body for r in repeats.without_repeated_lines(df, share=0.01).where("article_id like 'b000%'").collect()}
+    assert clean["b0001"].split("\n")[-1] == "Shared by five" and "Own" not in clean["b0007"].split("\n")
+
+
 @pytest.mark.parametrize("a,b", [("Share: 12", "share: 7"), ("A B.", "a  b"), ("Autor X", "Autor X:"), ("Read…", "read!")])
 def test_same_line(a, b):
     assert repeats.normal_line(a) == repeats.normal_line(b)
@@ -290,6 +327,28 @@ def test_sentences_blocks_and_entries():
     assert len(cut(long)) == 20000
 
 
+def test_sentences_in_deep_brackets_and_lists():
+    for depth in (5, 12, 20, 200):
+        assert cut("(" * depth + "“One is two. Three is four,” said X.") == ["(" * depth + "“One is two. Three is four,” said X."]
+    assert cut("a. First item here. b. Second item. c. Third one. Then g. alone.") == ["a. First item here.", "b. Second item.", "c. Third one.", "Then g. alone."]
+    assert cut("1. Outer. a. Inner one. b. Inner two. 2. Outer again.") == ["1. Outer.", "a. Inner one.", "b. Inner two.", "2. Outer again."]
+    word = "Donaudampfschifffahrtsgesellschaftskapitän" * 3
+    assert cut(f"Er war {word}. Danach ging er.") == [f"Er war {word}.", "Danach ging er."]
+    import time
+
+    begun = time.time()
+    cut("(“ " * 50_000 + "End. " + "x" * 200_000 + ". Next.")
+    assert time.time() - begun < 5
+
+
+def test_abbreviation_trie():
+    trie = sentences.AbbreviationTrie({"never": frozenset(["Dr", "z.B"]), "number": frozenset(["No"])})
+    assert trie.before("see Dr", 6, 0) == ("Dr", {"never": {"Dr"}})
+    assert trie.before("das ist z.B", 11, 0) == ("z.B", {"never": {"z.B"}})
+    assert trie.before("adr", 3, 0) == ("adr", {}) and trie.before("l’Dr", 4, 0)[0] == "Dr"
+    assert trie.before("x no", 4, 0) == ("no", {"number": {"No"}}) and trie.before("", 0, 0) == ("", {})
+
+
 def test_sentences_cover_every_character(spark):
     rng = random.Random(4)
     for _ in range(300):

@@ -32,6 +32,10 @@ ORDERS = (2, 3, 4)
 #: Bound of the training sample: so many labelled rows for each language at most, the smallest by a hash of the id.
 SAMPLE_PER_LANGUAGE = 250
 MIN_WORDS = 8
+#: ISO 639-2's code for an undetermined language.
+UNKNOWN = "und"
+# Letters that are neither Latin nor Cyrillic.
+_OTHER_SCRIPT = re.compile("[\u0370-\u03ff\u0530-\u1cff\u2c00-\u2ddf\u2e80-\ua63f\uaa00-\ufaff\ufb1d-\uffdc\U00010000-\U0003ffff]")
 _MULTIPLIERS = np.array([2654435761, 2246822519, 3266489917, 668265263], dtype=np.uint32)
 _CHUNK = 400_000
 
@@ -49,8 +53,36 @@ def label_languages(label: str | None) -> set[str]:
 
 def numbered_segments(body: str) -> list[tuple[int, str]]:
     """The paragraphs of a body, lines of at least MIN_WORDS words, each with its line number."""
-    # a line of eight words holds at least fifteen characters
-    return [(no, line) for no, line in enumerate(body.split("\n"), 1) if len(line) > 14 and len(line.split()) >= MIN_WORDS]
+    return [(no, line) for no, line in enumerate(body.split("\n"), 1) if len(line.split()) >= MIN_WORDS]
+
+
+def all_segments(body: str) -> list[tuple[int, int, int, str]]:
+    """(line number, start, end, text) of the paragraphs and, between them, of each run of shorter lines; texts without a letter are none. Offsets count characters of the body."""
+    out: list[tuple[int, int, int, str]] = []
+    run: list[tuple[int, int, int]] = []
+
+    def flush() -> None:
+        if run:
+            no, begin, end = run[0][0], run[0][1], run[-1][2]
+            text = body[begin:end]
+            if any(map(str.isalpha, text)):
+                out.append((no, begin, end, text))
+            run.clear()
+
+    at = 0
+    for no, line in enumerate(body.split("\n"), 1):
+        bare = line.strip()
+        if bare:
+            begin = at + len(line) - len(line.lstrip())
+            if len(bare.split()) >= MIN_WORDS:
+                flush()
+                if any(map(str.isalpha, bare)):
+                    out.append((no, begin, begin + len(bare), bare))
+            else:
+                run.append((no, begin, begin + len(bare)))
+        at += len(line) + 1
+    flush()
+    return out
 
 
 def segments(body: str) -> list[str]:
@@ -117,13 +149,22 @@ class NaiveBayes:
         return np.concatenate(out) if out else np.zeros((0, len(self.languages)), np.float32)
 
     def classify(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Best language and its confidence: the posterior, tempered to as many independent n-grams as a text has words."""
+        """Best language and its confidence: the posterior, tempered to as many independent n-grams as a text has words.
+
+        A text most of whose letters are of a script that no language of the model is written in is UNKNOWN, with that share as confidence.
+        """
         if not texts:
             return [], np.zeros(0)
         s = self.score(texts)
         words = np.fromiter((1 + t.count(" ") for t in texts), dtype=np.float32, count=len(texts))
         p = np.exp((s - s.max(axis=1, keepdims=True)) * words[:, None])
-        return [self.languages[i] for i in s.argmax(axis=1)], p.max(axis=1) / p.sum(axis=1)
+        said, sure = [self.languages[i] for i in s.argmax(axis=1)], p.max(axis=1) / p.sum(axis=1)
+        for k, text in enumerate(texts):
+            if not text.isascii():
+                foreign = len(_OTHER_SCRIPT.findall(text))
+                if foreign and (letters := sum(map(str.isalpha, text))) and foreign > 0.5 * letters:
+                    said[k], sure[k] = UNKNOWN, foreign / letters
+        return said, sure
 
 
 def fit_model(articles: DataFrame, id_col: str = "article_id", label_col: str = "original_language", text_col: str = "body", per_language: int = SAMPLE_PER_LANGUAGE) -> NaiveBayes:
@@ -188,22 +229,32 @@ def missing_languages(articles: DataFrame, model: NaiveBayes, id_col: str = "art
     def emit(ids, labels, lines, owner, numbers, languages, confidence):
         pairs = sorted({(k, x) for k, x in zip(owner, languages)})
         named = {k: label_languages(labels[k]) for k in {k for k, _ in pairs}}
-        out = [(ids[k], x) for k, x in pairs if x not in named[k]]
+        out = [(ids[k], x) for k, x in pairs if x not in named[k] and x != UNKNOWN]
         return pa.RecordBatch.from_pydict({id_col: pa.array([a for a, _ in out], pa.string()), "language": pa.array([b for _, b in out], pa.string())})
 
     return _scan(articles, model, f"{id_col} string, language string", emit, id_col, label_col, text_col).dropDuplicates([id_col, "language"])
 
 
 def segment_languages(articles: DataFrame, model: NaiveBayes, id_col: str = "article_id", label_col: str = "original_language", text_col: str = "body") -> DataFrame:
-    """(article_id, line_no, language, confidence) of each paragraph, lines numbered from 1 with blank ones included.
+    """(article_id, line_no, start_pos, end_pos, language, confidence) of each segment: a paragraph, or a run of shorter lines between paragraphs.
 
-    Residue (problem 5) and rows with a null id or a null or blank body give no row; repeated rows count once.
+    Lines are numbered from 1 with blank ones included, positions from 0; a run has the number of its first line. Rows
+    with a null id or a null or blank body give no row, nor does text without a letter; residue (problem 5) is read as any other text; repeated rows count once.
     """
+    shared = articles.sparkSession.sparkContext.broadcast((model.table, model.languages))
 
-    def emit(ids, labels, lines, owner, numbers, languages, confidence):
-        return pa.RecordBatch.from_pydict({id_col: pa.array([ids[k] for k in owner], pa.string()), "line_no": pa.array(numbers, pa.int32()), "language": pa.array(languages, pa.string()), "confidence": pa.array(np.round(np.asarray(confidence, np.float64), 6))})
-
-    return _scan(articles, model, f"{id_col} string, line_no int, language string, confidence double", emit, id_col, label_col, text_col).dropDuplicates([id_col, "line_no"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = NaiveBayes(*shared.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                ids, bodies = (c.to_pylist() for c in batch.slice(at, 512).columns)
+                found = [(i, *x) for i, body in zip(ids, bodies) if i is not None and body for x in all_segments(body)]
+                languages, confidence = own.classify([x[4] for x in found])
+                columns = [pa.array([x[0] for x in found], pa.string()), *(pa.array([x[k] for x in found], pa.int32()) for k in (1, 2, 3)), pa.array(languages, pa.string()), pa.array(np.round(np.asarray(confidence, np.float64), 6))]
+                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "line_no", "start_pos", "end_pos", "language", "confidence"])
+
+    rows = articles.select(F.col(id_col).cast("string"), F.col(text_col)).mapInArrow(run, f"{id_col} string, line_no int, start_pos int, end_pos int, language string, confidence double")
+    return rows.dropDuplicates([id_col, "line_no"])
 
 
 def paragraph_languages(articles: DataFrame, model: NaiveBayes, id_col: str = "article_id", label_col: str = "original_language", text_col: str = "body") -> DataFrame:
