@@ -80,7 +80,7 @@ def repeated_lines(articles: DataFrame, id_col: str = "article_id", source_col:
 
 
 def without_repeated_lines(articles: DataFrame, id_col: str = "article_id", source_col: str = "source_id", text_col: str = "body", least: int = MIN_DOCUMENTS, share: float = 0.0, skip_residue: bool = True) -> DataFrame:
-    """All columns of the articles, `text_col` without the lines `repeated_lines` finds with the same settings; one row per id, nulls stay null, residue as it is."""
+    """All columns of the articles, `text_col` without the lines `repeated_lines` finds with the same settings; one row per id, nulls stay null, residue and rows without an id as they are."""
     lines = cut_lineage(parsed_lines(articles, id_col, source_col, text_col, skip_residue))
     frequent = cut_lineage(frequent_keys(lines, least, share).select("key"))
     if frequent.count() > BROADCAST_KEYS:
@@ -95,14 +95,14 @@ def without_repeated_lines(articles: DataFrame, id_col: str = "article_id", sour
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sources, bodies = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            named, sources, bodies = (c.to_pylist() for c in batch.columns[-3:])
             out = []
-            for source, body in zip(sources, bodies):
-                if body and not (skip_residue and is_residue(body)):
+            for own, source, body in zip(named, sources, bodies):
+                if own and body and not (skip_residue and is_residue(body)):
                     drop = {no for no, key in line_keys(source, body) if key in shared.value}
                     body = "\n".join(x for no, x in enumerate(body.split("\n"), 1) if no not in drop) if drop else body
                 out.append(body)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.string())], names=[*others, text_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(out, pa.string())], names=[*others, text_col])
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*others, text_col])
-    return articles.select(*others, F.col(source_col).cast("string").alias("__source"), F.col(text_col)).mapInArrow(clean, schema).select(*articles.columns).dropDuplicates([id_col])
+    return articles.select(*others, F.col(id_col).isNotNull().alias("__named"), F.col(source_col).cast("string").alias("__source"), F.col(text_col)).mapInArrow(clean, schema).select(*articles.columns).dropDuplicates([id_col])
