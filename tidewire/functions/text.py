@@ -1,13 +1,39 @@
-"""Text functions as column expressions; all stay in generated JVM code."""
+"""Text functions as column expressions; all but Unicode normalisation stay in generated JVM code."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-# Letters folded to ASCII. ł and ß are left out on purpose: they vanish from merge tokens.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿąćęńóśźż"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyacenoszz"
+from pyspark.sql.types import StringType
+
+
+def _folded_letters() -> tuple[str, str]:
+    """Latin letters whose decomposition is one ASCII letter with marks, and that letter. A letter without decomposition, as the Polish l with stroke, has none."""
+    pairs = []
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        bare = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c)).casefold()
+        if len(bare) == 1 and bare.isascii() and bare.isalpha():
+            pairs.append((chr(code), bare))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTED, PLAIN = _folded_letters()
+# Words without distinction as folded letters (so the l with stroke is missing), function words first, then words of the newsroom,
+# common English ones, and places and institutions. Words of under four letters never count and aren't listed.
+NON_DISTINCTIVE = tuple(
+    """albo gdzie jego jest jako jeden jedna jedno inne inny innych ktora ktore ktory miedzy nowe nowy nowa oraz przed przez swoje swoim takze temat tylko
+    tytu tytul wedlug wedug wobec
+    aktualizacja aktualizacje artykul artyku decyzja decyzje dzis dzisiaj dzisiejszy dzisiejsza dzisiejsze doniesienia informacja informacje komentarz kontekst
+    kraj kraju minister najnowze najnowsze nowosci polityka prezydent prezydenci wspolna wspolne wspolny powiedzial powiedzia reakcja reakcje relacja relacje
+    raport sprawa sprawie sytuacja slowa sowa wazne wiadomosci wydarzenie wydarzenia wystapienie zapowiedzial zapowiedzia zobacz zobaczcie
+    about after also been before from have into latest more news over said says that their these this today what when where which while with will would
+    government president
+    afryka ameryka azja brytania chiny chin china europa europejski europejska iran izrael izraelski niemcy niemiecki nato polska polski polskie rosja
+    rosyjski ukraina ukrainski unii unia unijne swiat swiata wielka wegry wegierski""".split()
+)
 # Inflection endings, tried in this order; a stem keeps at least five letters.
 SUFFIXES = ("owego", "owej", "owych", "owym", "owie", "ami", "ach", "ania", "enie", "enia", "eniu", "owy", "owa", "owe", "owi", "em", "om", "ie", "ia", "iu", "a", "e", "i", "y", "u", "o")
 WORD = r"(\p{L}[\p{L}\p{N}_'-]{2,})"
@@ -22,11 +48,28 @@ def clean_text(c: Column) -> Column:
     """The common entities decoded, white space collapsed."""
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         c = F.replace(c, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(c, r"[\s ]+", " "))
+    return F.trim(F.regexp_replace(c, r"[\s\u00a0]+", " "))
+
+
+def _fold_array(a: pa.Array) -> pa.Array:
+    return pa.array([x if x is None else x.lower() if x.isascii() else unicodedata.normalize("NFKC", x).casefold() for x in a.to_pylist()], pa.string())
+
+
+_compatible = F.arrow_udf(_fold_array, StringType())
+
+
+def folded(c: Column) -> Column:
+    """Unicode compatibility form without letter case (NFKC, casefold), which no built-in function gives."""
+    return _compatible(c)
 
 
 def title_key(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(c), r"[\s ]+", " "))
+    return F.trim(F.regexp_replace(folded(c), r"[\s\u00a0]+", " "))
+
+
+def lower_key(c: Column) -> Column:
+    """Spaces collapsed, lower case: the key of short generated texts, which hold no compatibility characters."""
+    return F.trim(F.regexp_replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), r"[\s\u00a0]+", " "))
 
 
 def headline_key(c: Column) -> Column:
@@ -46,7 +89,7 @@ def first_words(c: Column, n: int) -> Column:
 
 def opening(c: Column, sentences: int = 2, chars: int = 1600) -> Column:
     """The first sentences, cut after . ! ? or an ellipsis and white space."""
-    text = F.trim(F.regexp_replace(c, r"\s+", " "))
+    text = clean_text(c)
     parts = F.split(F.regexp_replace(text, r"([.!?…]) ", "$1\n"), "\n")
     return F.substring(F.array_join(F.slice(parts, 1, sentences), " "), 1, chars)
 
@@ -62,7 +105,13 @@ def opening_fingerprint(c: Column) -> Column:
 
 
 def token_base(c: Column) -> Column:
-    return F.regexp_replace(F.translate(F.lower(c), ACCENTED, PLAIN), "[^a-z0-9]+", "")
+    """ASCII letters and digits of a word without marks; what has no ASCII base, as the l with stroke, is dropped, ß is ss."""
+    return F.regexp_replace(F.translate(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), ACCENTED, PLAIN), "[^a-z0-9]+", "")
+
+
+def distinctive(base: Column) -> Column:
+    """Four letters or more, and neither the base nor its stem is a word without distinction."""
+    return (F.length(base) >= 4) & ~base.isin(*NON_DISTINCTIVE) & ~stem(base).isin(*NON_DISTINCTIVE)
 
 
 def stem(base: Column) -> Column:
@@ -79,9 +128,12 @@ def words(c: Column) -> Column:
 
 
 def stems(c: Column) -> Column:
-    """Stems of the words with at least four base letters, in order."""
-    bases = F.filter(F.transform(words(F.coalesce(c, F.lit(""))), token_base), lambda x: F.length(x) >= 4)
-    return F.transform(bases, stem)
+    """Stems of the distinctive words, in order."""
+    return F.transform(bases(c), stem)
+
+
+def bases(c: Column) -> Column:
+    return F.filter(F.transform(words(F.coalesce(c, F.lit(""))), token_base), distinctive)
 
 
 def phrases(stem_array: Column) -> Column:
@@ -91,17 +143,23 @@ def phrases(stem_array: Column) -> Column:
 
 
 def numbers(c: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(\d+)"), F.lit(1)))
+    """Quantities, times and dates as written: 1,5 and 12:30 are one each."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(\d+(?:[.,:]\d+)*)"), F.lit(1)))
+
+
+# Stop words of claims, folded.
+CLAIM_STOP = "przez ktory ktora ktore tego jest oraz jako bylo jego przed takze wedlug zostal zostala powiedzial".split()
 
 
 def claim_tokens(c: Column) -> Column:
-    """Six-letter stems of words of four or more letters; here the Polish l with stroke counts as l."""
-    text = F.translate(F.lower(F.coalesce(c, F.lit(""))), ACCENTED + "ł", PLAIN + "l")
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(\p{L}{4,})"), F.lit(1)), lambda w: F.substring(w, 1, 6)))
+    """Six-letter stems of words of four or more letters without stop words; here the Polish l with stroke counts as l."""
+    text = F.translate(F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("ß"), F.lit("ss")), ACCENTED + "ł", PLAIN + "l")
+    kept = F.filter(F.regexp_extract_all(text, F.lit(r"(\p{L}{4,})"), F.lit(1)), lambda w: ~w.isin(*CLAIM_STOP))
+    return F.array_distinct(F.transform(kept, lambda w: F.substring(w, 1, 6)))
 
 
 def text_key(c: Column) -> Column:
-    return F.regexp_replace(title_key(c), r"[. ]+$", "")
+    return F.regexp_replace(lower_key(c), r"[. ]+$", "")
 
 
 def is_cyrillic(c: Column) -> Column:

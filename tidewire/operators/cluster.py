@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node linked with each node of the edges. Labels spread and jump until none changes."""
     links = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null and x <> y")
     both = cut_lineage(links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).dropDuplicates(["x", "y"]))
     labels = cut_lineage(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("component")))
-    for _ in range(rounds):
+    # every round but the last lowers some label, so this ends
+    while True:
         near = both.join(labels, both.y == labels.node).groupBy("x").agg(F.min("component").alias("m"))
         spread = labels.join(near, labels.node == near.x).select("node", "component", F.least("component", "m").alias("now"))
         # jump: the label of the label
@@ -29,7 +30,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100)
         labels = after.select("node", F.col("now").alias("component"))
         if not changed:
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def _by_component(edges: DataFrame, function, schema: str) -> DataFrame:

@@ -12,31 +12,68 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-# Openings that make a sentence a continuation of another, not a claim of its own.
-CONTINUES = r"(?i)^(?:i |oraz |ale |(?:stwierdził|twierdzi|dodał|dodaje|powiedział|podkreśla|podkreślił|uważa|ocenił|zaznaczył|zapewnił)\b|on |ona |oni |to (?:oznacza|potwierdza))"
-NEGATION = r"(?i)(^|[^\p{L}])(?:nie|bez|zaprzeczył|zaprzecza)($|[^\p{L}])"
+# Openings that make a sentence a continuation of another, forms that tell an open question or no news, words of negation.
+CONTINUES = r"(?i)^(?:i |oraz |ale |(?:stwierdził|twierdzi|dodał|dodaje|powiedział|podkreśla|podkreślił|uważa|ocenił|zaznaczył|zapewnił)(?![\p{L}\p{N}_])|on |ona |oni |to (?:oznacza|potwierdza))"
+OPEN_CLAIM = r"(?i)\?\?|(?<![\p{L}\p{N}_])\d{2,4}\?|(?<![\p{L}\p{N}_])\d+:\?|[\p{L}\p{N}_]/[\p{L}\p{N}_]+\?|(?<![\p{L}\p{N}_])(?:brak|bez) (?:dodatkowych |nowych |istotnych )?(?:faktów|ustaleń|informacji)(?![\p{L}\p{N}_])"
+NEGATION = r"(?i)(^|[^\p{L}\p{N}_])(?:nie|bez|zaprzeczył|zaprzecza)($|[^\p{L}\p{N}_])"
+# Profiles of state media and those of the two sides.
+STATE, LEFT, RIGHT, CENTER = ("STATE_ALIGNED", "STATE_MEDIA", "STATE"), ("LEFT", "CENTER_LEFT"), ("RIGHT", "CENTER_RIGHT"), ("CENTER",)
 
 
 def usable_claim(c: Column) -> Column:
-    """At least two words, no open question in it, no detached continuation; null is none."""
-    return F.coalesce((T.word_count(c) >= 2) & ~c.rlike(r"\?\?|\b\d{2,4}\?|\w+/\w+\?") & ~c.rlike(CONTINUES), F.lit(False))
+    """At least two words, no open question or lack of news in it, no detached continuation; null is none."""
+    return F.coalesce((T.word_count(c) >= 2) & ~F.trim(c).rlike(OPEN_CLAIM) & ~F.trim(c).rlike(CONTINUES), F.lit(False))
 
 
 def negated(c: Column) -> Column:
     return c.rlike(NEGATION)
 
 
-def route_claims(claims: DataFrame, profile: str = "profile", kind: str = "kind") -> DataFrame:
-    """(fact_id, fact_key, text, kind, lane, support): one row per normalised text of (topic, text, kind, article_id, source_id, profile).
+def related(a: Column, b: Column) -> Column:
+    """Claim stems (T.claim_tokens) of which at least two, or all of the shorter, and 35 in 100 of the shorter are shared."""
+    shared, least = F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b))
+    return (least > 0) & (shared >= F.least(F.lit(2), least)) & (shared / F.greatest(least, F.lit(1)) >= 0.35)
 
-    The first wording and kind stay (order of article_id). Lane: EDITORIAL for editorial claims, COMMON with any support that isn't
-    state-controlled, else STATE. Blank texts are left out.
+
+def compatible(a: Column, b: Column) -> Column:
+    """Two claims that may be one: the same text, or related ones with the same numbers and the same polarity."""
+    x, y = T.numbers(a), T.numbers(b)
+    same_numbers = (F.size(x) == F.size(y)) & (F.size(F.array_except(x, y)) == 0)
+    return (T.text_key(a) == T.text_key(b)) | (same_numbers & (negated(a) == negated(b)) & related(T.claim_tokens(a), T.claim_tokens(b)))
+
+
+def side(profile: Column, kind: Column) -> Column:
+    """STATE, LEFT, RIGHT or CENTER of an article's source; null for a profile that is none of them."""
+    p = F.upper(F.trim(F.coalesce(profile, F.lit(""))))
+    return F.when(p.isin(*STATE) | (F.upper(F.trim(F.coalesce(kind, F.lit("")))) == "STATE_MEDIA"), "STATE").when(p.isin(*LEFT), "LEFT").when(p.isin(*RIGHT), "RIGHT").when(p.isin(*CENTER), "CENTER")
+
+
+def coverage_mode(sides: Column) -> Column:
+    """Of the set of sides that report: STATE_ONLY, SINGLE_ and the only one beside the state's, or MIXED."""
+    free = F.array_remove(sides, "STATE")
+    return F.when(F.size(free) == 0, "STATE_ONLY").when(F.size(free) == 1, F.concat(F.lit("SINGLE_"), free[0])).otherwise("MIXED")
+
+
+def lane(sides: Column, mode: Column) -> Column:
+    """A claim's lane by the sides that support it and its topic's mode: STATE; COMMON with the center, with both sides, or where only one side reports; else the side."""
+    free = F.array_remove(sides, "STATE")
+    both = F.array_contains(free, "CENTER") | (F.array_contains(free, "LEFT") & F.array_contains(free, "RIGHT"))
+    return F.when(F.size(free) == 0, "STATE").when(both | mode.startswith("SINGLE_"), "COMMON").when(F.array_contains(free, "LEFT"), "LEFT").otherwise("RIGHT")
+
+
+def route_claims(claims: DataFrame) -> DataFrame:
+    """(topic, fact_id, fact_key, text, kind, lane, support): one row per normalised text of (topic, text, kind, article_id, profile, source_type).
+
+    The first wording and kind stay (order of article_id). Lane: EDITORIAL for editorial claims, else as `lane` says. Blank texts and articles of
+    sources without a side are left out.
     """
-    keyed = claims.withColumn("fact_key", T.text_key(F.col("text"))).where("fact_key <> ''")
-    first = F.min_by(F.struct("text", kind), F.struct("article_id", "text", kind))
-    by = keyed.groupBy("topic", "fact_key").agg(first.alias("f"), F.bool_or(F.col(profile) != "STATE").alias("free"), F.count_distinct("article_id").alias("support"))
-    lane = F.when(F.col("f")[kind] == "EDITORIAL", "EDITORIAL").when(F.coalesce("free", F.lit(False)), "COMMON").otherwise("STATE")
-    return by.select("topic", F.concat(F.lit("fact_"), F.substring(F.sha2("fact_key", 256), 1, 24)).alias("fact_id"), "fact_key", F.col("f.text").alias("text"), F.col(f"f.{kind}").alias("kind"), lane.alias("lane"), "support")
+    keyed = claims.withColumn("fact_key", T.text_key(F.col("text"))).withColumn("side", side(F.col("profile"), F.col("source_type"))).where("fact_key <> '' and side is not null")
+    first = F.min_by(F.struct("text", "kind"), F.struct("article_id", "text", "kind"))
+    by = keyed.groupBy("topic", "fact_key").agg(first.alias("f"), F.collect_set("side").alias("sides"), F.count_distinct("article_id").alias("support"))
+    # at most four sides a topic
+    modes = keyed.groupBy("topic").agg(coverage_mode(F.collect_set("side")).alias("mode"))
+    own = F.when(F.col("f.kind") == "EDITORIAL", "EDITORIAL").otherwise(lane(F.col("sides"), F.col("mode")))
+    return by.join(modes, "topic").select("topic", F.concat(F.lit("fact_"), F.substring(F.sha2("fact_key", 256), 1, 24)).alias("fact_id"), "fact_key", F.col("f.text").alias("text"), F.col("f.kind").alias("kind"), own.alias("lane"), "support")
 
 
 def merge_publications(facts: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import state
-from .registry import ARTICLES, articles, query
+from ..operators import ledger, state
+from ..session import cut_lineage
+from .registry import ARTICLES, articles, query, sql_values
 
 
 @query(f"""select title_key, count(distinct article_id) as article_count, count(distinct source_id) as source_count,
@@ -80,12 +81,21 @@ def status_histogram(t):
     return articles(t).groupBy("content_status").agg(F.count("*").alias("articles"))
 
 
-@query(f"""select source_id, failed, row_number() over (order by failed desc nulls last, source_id) as place from
-    (select source_id, sum(case when http_status >= 400 then 1 end) as failed from {ARTICLES} group by source_id)""")
+@query("""with r as (select user_id, count(*) as runs, round(avg(value) / 1000, 4) as mean_s, max(value) as longest_ms, avg(value) as m from events
+    where ts >= (select max(ts) from events) - interval 14 day and value is not null group by user_id)
+    select user_id, runs, mean_s, longest_ms, row_number() over (order by m desc, user_id) as place from r""")
 def slow_source_rank(t):
-    by = articles(t).groupBy("source_id").agg(F.sum(F.when(F.col("http_status") >= 400, 1)).alias("failed"))
-    # one row per source: a single ordered partition is bounded by the dimension
-    return by.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("failed"), "source_id")).cast("bigint"))
+    """The slowest sources of the last 14 days by their mean time (here the events' values as milliseconds)."""
+    e = t("events").where("value is not null")
+    recent = e.crossJoin(F.broadcast(t("events").agg(F.max("ts").alias("edge")))).where(F.col("ts") >= F.col("edge") - F.expr("interval 14 days"))
+    by = recent.groupBy("user_id").agg(F.count("*").alias("runs"), F.avg("value").alias("m"), F.max("value").alias("longest_ms"))
+    # a rank over all sources from ranks in ranges, so that no task holds them all
+    place = by.orderBy(F.desc("m"), "user_id").withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id())
+    place = cut_lineage(place)
+    parts = place.groupBy("__part").agg(F.count("*").alias("n"))
+    before = parts.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy("__row"))
+    return place.join(before, "__part").select("user_id", "runs", F.round(F.col("m") / 1000, 4).alias("mean_s"), "longest_ms", (F.col("before") + inside).alias("place"))
 
 
 @query(f"""with c as (select source_profile, count(*) n from {ARTICLES} group by 1), s as (select source_profile, n * 100 as x, sum(n) over () as total from c),
@@ -192,12 +202,12 @@ def count_over_partition(t):
     # totals are joined, not windowed: an unpartitioned window would put all rows into one task
     totals = e.groupBy("event_type").agg(F.count("*").alias("of_type"), F.count("value").alias("v"))
     every = totals.agg(F.sum("v").alias("valued"))
-    return e.select("event_type", "event_id").join(F.broadcast(totals.drop("v").crossJoin(every)), "event_type")
+    return e.select("event_type", "event_id").join(totals.drop("v").crossJoin(every), "event_type")
 
 
 @query("select user_id, event_id, row_number() over w as version, event_type is distinct from lag(event_type) over w or row_number() over w = 1 as changed from events window w as (partition by user_id order by ts, event_id)")
 def version_numbering(t):
-    return state.versions(t("events"), ["user_id"], ["ts", "event_id"], "event_type").select("user_id", "event_id", F.col("version").cast("bigint").alias("version"), "changed")
+    return state.versions(t("events"), ["user_id"], "ts", "event_id", "event_type").select("user_id", "event_id", F.col("version").cast("bigint").alias("version"), "changed")
 
 
 @query(f"select section, article_id from (select section, article_id, row_number() over (partition by section order by fetched_at desc, article_id) k from {ARTICLES}) where k <= 4")
@@ -237,10 +247,23 @@ def max_by_totals(t):
     return t("orders").groupBy("o_orderpriority").agg(F.count_distinct("o_custkey").alias("customers"), F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("dearest"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query(f"""with g as (select title_key, case when bool_or(source_profile = 'STATE') and not bool_or(source_profile <> 'STATE') then 'STATE_ONLY' when count(distinct source_profile) = 1 then 'SINGLE_' || min(source_profile) else 'MIXED' end m from {ARTICLES} group by 1) select title_key, m as coverage_mode from g""")
+#: Topics that the tables don't hold: state media with one side, with both, alone, and a publisher without a profile.
+PLANTED_SIDES = [("planted one", "STATE", "PORTAL"), ("planted one", "LEFT", "PORTAL"), ("planted two", "STATE_MEDIA", None), ("planted two", "CENTER_LEFT", "PORTAL"), ("planted two", "RIGHT", "PORTAL"), ("planted three", "CENTER", "STATE_MEDIA"),
+    ("planted four", "CENTER_RIGHT", "PORTAL"), ("planted four", "UNCLASSIFIED", "PORTAL"), ("planted five", " center ", "AGENCY")]
+_SIDES = f"""(select title_key, case when upper(trim(coalesce(source_profile, ''))) in ('STATE_ALIGNED', 'STATE_MEDIA', 'STATE') or upper(trim(coalesce(source_type, ''))) = 'STATE_MEDIA' then 'STATE'
+    when upper(trim(source_profile)) in ('LEFT', 'CENTER_LEFT') then 'LEFT' when upper(trim(source_profile)) in ('RIGHT', 'CENTER_RIGHT') then 'RIGHT' when upper(trim(source_profile)) = 'CENTER' then 'CENTER' end as side
+    from (select title_key, source_profile, source_type from articles union all select * from {sql_values(PLANTED_SIDES)} v(title_key, source_profile, source_type)))"""
+
+
+@query(f"""with g as (select title_key, list(distinct side) filter (where side <> 'STATE') as free from {_SIDES} where side is not null group by 1)
+    select title_key, case when coalesce(len(free), 0) = 0 then 'STATE_ONLY' when len(free) = 1 then 'SINGLE_' || free[1] else 'MIXED' end as coverage_mode from g""")
 def coverage_mode(t):
-    s = F.col("source_profile")
-    return t("articles").groupBy("title_key").agg(F.when(F.bool_or(s == "STATE") & ~F.bool_or(s != "STATE"), "STATE_ONLY").when(F.count_distinct(s) == 1, F.concat(F.lit("SINGLE_"), F.min(s))).otherwise("MIXED").alias("coverage_mode"))
+    """Which sides report on a title; the state's doesn't count beside another. Publishers without an approved profile have no side."""
+    a = t("articles").select("title_key", "source_profile", "source_type")
+    a = a.union(a.sparkSession.createDataFrame(PLANTED_SIDES, "title_key string, source_profile string, source_type string"))
+    rows = a.select("title_key", ledger.side(F.col("source_profile"), F.col("source_type")).alias("side")).where("side is not null")
+    # at most four sides a title
+    return rows.groupBy("title_key").agg(ledger.coverage_mode(F.collect_set("side")).alias("coverage_mode"))
 
 
 @query(f"select title_key from {ARTICLES} where source_profile <> 'STATE' group by 1 having count(distinct source_id) >= 2")

@@ -2,14 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators import instants
-from . import aggregates, claims, graph, joins, textual  # noqa: F401  (they register their queries)
-from .registry import ORACLES, QUERIES, query
-
-
-@query()
-def p7_found(t):
-    return instants.found_instants(t("articles"), t("sources"))
-
+from . import aggregates, claims, graph, joins, textual, times  # noqa: F401  (they register their queries)
+from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import state
-from .registry import ARTICLES, INCOMING, articles, query
+from .registry import ARTICLES, INCOMING, articles, query, sql_folded
 
 
 @query(f"""select i.incoming_id, coalesce(min(a.article_id), min(al.duplicate_of_article_id)) as article_id from {INCOMING} i
@@ -21,21 +21,31 @@ def alias_lookup(t):
     return i.join(own, ["source_id", "url"], "left").join(other, ["source_id", "url"], "left").select("incoming_id", F.coalesce("own", "other").alias("article_id"))
 
 
-@query("""select doc_id, canonical_id from (select doc_id, first_value(doc_id) over w as canonical_id from documents where trim(text) <> ''
-    window w as (partition by md5(substr(text, 1, 200)) order by fetched_at, doc_id)) where doc_id <> canonical_id""")
+_BODY = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(body, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&'), '[\\s\\x{00A0}]+', ' ', 'g'))"
+_OPENING = f"substr(array_to_string((string_split(regexp_replace({_BODY}, '([.!?…]) ', '\\1\n', 'g'), '\n'))[1:2], ' '), 1, 1600)"
+
+
+@query(f"""with a as (select article_id, source_id, title_key, sha256({sql_folded(_OPENING)}) as opening, first_seen_at from {ARTICLES}
+        where content_status in ('COMPLETE', 'EXCERPT') and title_key <> '' and trim({_BODY}) <> '' and source_id is not null)
+    select article_id, canonical_id from (select article_id, first_value(article_id) over (partition by source_id, title_key, opening order by first_seen_at nulls last, article_id) as canonical_id from a) where article_id <> canonical_id""")
 def logical_duplicates(t):
-    """Same opening; the oldest stands for the rest, blank texts never match."""
-    a = t("documents").where(F.trim("text") != "").select("doc_id", F.md5(F.substring("text", 1, 200)).alias("opening"), "fetched_at")
-    oldest = a.groupBy("opening").agg(F.min(F.struct("fetched_at", "doc_id")).alias("m"))
-    return a.join(oldest, "opening").select("doc_id", F.col("m.doc_id").alias("canonical_id")).where("doc_id <> canonical_id")
+    """Articles of one source, title key and opening (two sentences, case and spacing aside), complete or excerpts; the first seen stands for the rest."""
+    a = articles(t).where("article_id is not null and source_id is not null and title_key <> '' and content_status in ('COMPLETE', 'EXCERPT')")
+    a = a.select("article_id", "source_id", "title_key", T.opening_fingerprint(F.col("body")).alias("opening"), "first_seen_at").where("opening is not null")
+    first = a.groupBy("source_id", "title_key", "opening").agg(F.min(F.struct(F.col("first_seen_at").isNull(), "first_seen_at", "article_id")).alias("m"))
+    return a.join(first, ["source_id", "title_key", "opening"]).select("article_id", F.col("m.article_id").alias("canonical_id")).where("article_id <> canonical_id")
 
 
-@query(f"select incoming_id from {INCOMING} a where fetched_at >= (select max(fetched_at) from incoming_articles) - interval 36 hour and not exists (select 1 from article_url_aliases x where x.source_id = a.source_id and x.candidate_url = a.canonical_url)")
+@query(f"""select incoming_id from (select incoming_id, row_number() over (order by fetched_at, incoming_id) as k from {INCOMING} a
+    where fetched_at >= (select max(fetched_at) from incoming_articles) - interval 24 hour and not exists (select 1 from article_url_aliases x where x.source_id = a.source_id and x.candidate_url = a.canonical_url)
+    and not starts_with(coalesce(title, ''), 'AI_EXCLUDED:') and not starts_with(coalesce(title, ''), 'AI_REVIEW:OPENAI_CONTENT_POLICY:')) where k <= 200""")
 def pending_antijoin(t):
-    """What isn't older than 36 hours before the newest and isn't known by an alias."""
-    a = t("incoming_articles").dropDuplicates(["incoming_id"]).select("incoming_id", "source_id", "canonical_url", "fetched_at")
-    fresh = a.crossJoin(F.broadcast(a.agg(F.max("fetched_at").alias("m")))).where(F.col("fetched_at") >= F.col("m") - F.expr("interval 36 hours"))
-    return fresh.join(t("article_url_aliases").select("source_id", F.col("candidate_url").alias("canonical_url")), ["source_id", "canonical_url"], "left_anti").select("incoming_id")
+    """The queue: not older than 24 hours before the newest, not known by an alias, not marked as excluded; the first 200 in order of fetching."""
+    a = t("incoming_articles").dropDuplicates(["incoming_id"]).select("incoming_id", "source_id", "canonical_url", "fetched_at", F.coalesce("title", F.lit("")).alias("hint"))
+    fresh = a.crossJoin(F.broadcast(a.agg(F.max("fetched_at").alias("m")))).where(F.col("fetched_at") >= F.col("m") - F.expr("interval 24 hours"))
+    fresh = fresh.where(~F.col("hint").startswith("AI_EXCLUDED:") & ~F.col("hint").startswith("AI_REVIEW:OPENAI_CONTENT_POLICY:"))
+    pending = fresh.join(t("article_url_aliases").select("source_id", F.col("candidate_url").alias("canonical_url")), ["source_id", "canonical_url"], "left_anti")
+    return pending.orderBy("fetched_at", "incoming_id").limit(200).select("incoming_id")
 
 
 @query("select topic_id from topics t where not exists (select 1 from pairs p where trim(p.topic_id_a) = t.topic_id or trim(p.topic_id_b) = t.topic_id)")
@@ -175,17 +185,25 @@ def set_intersection(t):
 
 @query("select source_id from article_url_aliases except select source from mix_targets")
 def set_difference(t):
-    return t("article_url_aliases").select("source_id").exceptAll(t("article_url_aliases").select("source_id").limit(0)).distinct().join(t("mix_targets").select(F.col("source").alias("source_id")), "source_id", "left_anti")
+    return t("article_url_aliases").select("source_id").subtract(t("mix_targets").select(F.col("source").alias("source_id")))
+
 
+_STREAMS = """(select source_id, 1 as priority, canonical_url as url from articles union all select source_id, 2, candidate_url from article_url_aliases union all select source_id, 3, canonical_url from incoming_articles)"""
 
-@query("""select source_id, 1 as priority, canonical_url as url from articles union all select source_id, 2, candidate_url from article_url_aliases""")
+
+@query(f"select source_id, url, min(priority) as priority, count(*) as sightings from {_STREAMS} where url is not null group by 1, 2")
 def union_with_priority(t):
-    return t("articles").select("source_id", F.lit(1).alias("priority"), F.col("canonical_url").alias("url")).unionByName(t("article_url_aliases").select("source_id", F.lit(2).alias("priority"), F.col("candidate_url").alias("url")))
+    """Streams of candidates in order of priority; an address counts for the first stream that has it."""
+    streams = [t("articles").select("source_id", F.lit(1).alias("priority"), F.col("canonical_url").alias("url")), t("article_url_aliases").select("source_id", F.lit(2).alias("priority"), F.col("candidate_url").alias("url"))]
+    rows = streams[0].unionByName(streams[1]).unionByName(t("incoming_articles").select("source_id", F.lit(3).alias("priority"), F.col("canonical_url").alias("url")))
+    return rows.where("url is not null").groupBy("source_id", "url").agg(F.min("priority").alias("priority"), F.count("*").alias("sightings"))
 
 
-@query(f"""with e as (select *, md5(coalesce(body, '')) as h from {ARTICLES}) select h as cache_key, count(*) as uses, min(article_id) as first_id from e group by h having count(*) > 1""")
+@query(f"""with e as (select article_id, sha256('3|extract|' || source_type || '|' || coalesce(body, '')) as h from {ARTICLES} where source_type is not null) select h as cache_key, count(*) as uses, min(article_id) as first_id from e group by h having count(*) > 1""")
 def extraction_cache(t):
-    return articles(t).groupBy(F.md5(F.coalesce("body", F.lit(""))).alias("cache_key")).agg(F.count("*").alias("uses"), F.min("article_id").alias("first_id")).where("uses > 1")
+    """Cached results by a key of version, model, topic (here the kind of source) and body."""
+    key = F.sha2(F.concat_ws("|", F.lit("3"), F.lit("extract"), "source_type", F.coalesce("body", F.lit(""))), 256)
+    return articles(t).where("source_type is not null").groupBy(key.alias("cache_key")).agg(F.count("*").alias("uses"), F.min("article_id").alias("first_id")).where("uses > 1")
 
 
 @query("select s.source_id, coalesce(nullif(trim(s.region), ''), 'unknown') as region, coalesce(m.target_share, 0) as target_share from sources s left join mix_targets m on m.source = s.source_id")
@@ -204,17 +222,4 @@ def hourly_windows(t):
     s as (select user_id, ts, sum(fresh) over (partition by user_id order by ts, event_id) as session_no from g)
     select user_id, cast(session_no as bigint) as session_no, count(*) as events, min(ts) as first_ts, max(ts) as last_ts from s group by 1, 2""")
 def sessions(t):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.col("ts") - F.lag("ts").over(w) <= F.expr("interval 30 minutes")
-    g = t("events").select("user_id", "ts", "event_id", F.when(gap, 0).otherwise(1).alias("fresh"))
-    s = g.withColumn("session_no", F.sum("fresh").over(w))
-    return s.groupBy("user_id", "session_no").agg(F.count("*").alias("events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-
-
-@query()
-def logical_articles(t):
-    """Articles of one source, title key and opening (two sentences, case and spacing aside), complete or excerpts; the first seen stands for the rest."""
-    a = articles(t).where("article_id is not null and source_id is not null and title_key <> '' and content_status in ('COMPLETE', 'EXCERPT')")
-    a = a.select("article_id", "source_id", "title_key", T.opening_fingerprint(F.col("body")).alias("opening"), "first_seen_at").where("opening is not null")
-    first = a.groupBy("source_id", "title_key", "opening").agg(F.min(F.struct(F.col("first_seen_at").isNull(), "first_seen_at", "article_id")).alias("m"))
-    return a.join(first, ["source_id", "title_key", "opening"]).select("article_id", F.col("m.article_id").alias("canonical_id")).where("article_id <> canonical_id")
+    return state.sessions(t("events"), "user_id", "ts", "event_id", "30 minutes")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import instants
+from ..operators import ledger
 from ..sources import pages
-from .registry import ARTICLES, articles, query
+from .registry import ARTICLES, articles, query, sql_folded, sql_values
 
 _SP = r"regexp_replace({}, '\s+', ' ', 'g')"
 _HOST = "lower(regexp_extract({0}, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1))"
@@ -17,32 +16,62 @@ _PATH = "regexp_extract({0}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 _URL = "original_url"
 
 
-@query(f"""with p as (select article_id, lower(regexp_extract({_URL}, '^([a-zA-Z]+)://', 1)) s, {_HOST.format(_URL)} h, {_PATH.format(_URL)} p,
-    list_filter(string_split(regexp_extract({_URL}, '\\?([^#]*)', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '^(utm_[^=]*|gclid|fbclid)(=|$)')) q from {ARTICLES})
-    select article_id, case when s in ('http', 'https') then s || '://' || h || case when p = '' then '/' else p end || case when len(q) > 0 then '?' || array_to_string(q, '&') else '' end end as url from p""")
+#: Addresses that the tables don't hold: (id, address, page it stands on, title).
+PLANTED_URLS = [("u01", "/news/a b?x=1&utm_source=q", "https://site.example/dir/page.html", "t"), ("u02", "other.html#top", "https://site.example/dir/page.html", "t"), ("u03", "../up/./x?UTM_Medium=1&q=a%20b+c&utm_extra=2", "https://Site.example/a/b/c", "t"),
+    ("u04", "//cdn.site.example/news/1", "https://site.example/", "t"), ("u05", "HTTPS://SITE.example", "https://site.example", "t"), ("u06", "mailto:a@b.example", "https://site.example", "t"), ("u07", "?p=2&blank=&novalue", "https://site.example/list/", "t"), ("u08", "", "https://site.example/list/", "t"),
+    ("u09", "https://sub.site.example/na-zywo/mecz-1", "https://www.site.example/", "one two three four five six"), ("u10", "https://sub.site.example/kraj/one.html", "https://site.example/", "t"), ("u11", "https://site.example/search?q=1", "https://site.example/", "one two three four five six"),
+    ("u12", "https://images.site.example/kraj/plain", "https://site.example/", "one two three four five six"), ("u13", "https://images.site.example/swiat/plain", "https://site.example/", "t"), ("u14", "https://other.example/2026/x", "https://site.example/", "t"),
+    ("u15", "https://site.example/wideo/one.html", "https://site.example/", "t"), ("u16", "https://site.example/data/feed.txt", "https://site.example/", "one two three four five six"), ("u17", "https://example/2025/x", "https://site.example/", "t"), ("u18", "https://site.example/kraj/amp=1/x.html", "https://site.example/", "t"),
+    ("u19", "https://site.example/kraj/quiz.html", "https://site.example/", "Quiz: what do you know"), ("u20", "https://site.example/a%zz?b=%zz", "https://site.example/", "t")]
+_URLS = f"(select article_id as id, original_url as url, homepage as base, title from {ARTICLES} a join (select source_id, homepage from sources) s on s.source_id = a.source_id union all select * from {sql_values(PLANTED_URLS)} v(id, url, base, title))"
+
+
+def _urls(t):
+    a = articles(t).join(t("sources").select("source_id", "homepage"), "source_id").select(F.col("article_id").alias("id"), F.col("original_url").alias("url"), F.col("homepage").alias("base"), "title")
+    return a.union(a.sparkSession.createDataFrame(PLANTED_URLS, "id string, url string, base string, title string"))
+
+
+def _sql_path(p: str) -> str:
+    """A path with . and .. resolved, in SQL: segments are folded one by one."""
+    fold = f"list_reduce(list_prepend([''], list_transform(string_split({p}, '/')[2:], lambda x: [x])), lambda a, x: case when x[1] = '..' then case when len(a) > 1 then a[1:len(a) - 1] else a end when x[1] = '.' then a else list_concat(a, x) end)"
+    return f"(array_to_string({fold}, '/') || case when regexp_matches({p}, '(?:^|/)\\.{{1,2}}$') then '/' else '' end)"
+
+
+_RESOLVED = f"""(select *, case when regexp_matches(u, '^[a-zA-Z][a-zA-Z0-9+.-]*:') or origin = '' then u when starts_with(u, '//') then regexp_extract(base, '^([a-zA-Z][a-zA-Z0-9+.-]*:)', 1) || u
+    when starts_with(own, '/') then origin || {_sql_path("own")} || rest when own <> '' then origin || {_sql_path("(folder || own)")} || rest when starts_with(u, '?') then origin || bp || rest else base end as whole
+    from (select *, case when f = '' then '/' else f end as folder from (select *, trim(url) as u, regexp_extract(base, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) as origin, regexp_extract(trim(url), '^([^?#]*)', 1) as own, regexp_extract(trim(url), '^[^?#]*(.*)$', 1) as rest,
+    {_PATH.format("base")} as bp, regexp_extract({_PATH.format("base")}, '^(.*/)[^/]*$', 1) as f from {_URLS})))"""
+_ENCODE = "replace(url_encode(case when regexp_matches(replace({0}, '+', ' '), '%(?:[^0-9A-Fa-f]|.[^0-9A-Fa-f]|.?$)') then {0} else url_decode(replace({0}, '+', ' ')) end), '%20', '+')"
+
+
+@query(f"""with r as (select id, whole, lower(regexp_extract(whole, '^([a-zA-Z]+)://', 1)) s, {_HOST.format("whole")} h, {_PATH.format("whole")} p, list_filter(string_split(regexp_extract(whole, '\\?([^#]*)', 1), '&'), lambda x: x <> '') q from {_RESOLVED}),
+    k as (select *, list_filter(list_transform(q, lambda x: list_value({_ENCODE.format("regexp_extract(x, '^([^=]*)', 1)")}, {_ENCODE.format("regexp_extract(x, '^[^=]*=?(.*)$', 1)")})), lambda y: lower(y[1]) not in ({", ".join(f"'{k}'" for k in U.TRACKING_KEYS)})) z from r)
+    select id, case when s in ('http', 'https') and h <> '' then s || '://' || h || case when p = '' then '/' else p end || case when len(z) > 0 then '?' || array_to_string(list_transform(z, lambda y: y[1] || '=' || y[2]), '&') else '' end end as url from k""")
 def url_canonicalize(t):
-    return articles(t).select("article_id", U.canonicalize(F.col("original_url")).alias("url"))
+    """Addresses completed by the page they stand on, in canonical form: five utm keys, gclid and fbclid go, the rest is re-encoded."""
+    return _urls(t).select("id", U.canonicalize(F.col("url"), F.col("base")).alias("url"))
 
 
-@query(f"""select count(*) as addresses, count(*) filter (where contains(h, '.')) as hosted, a.source_id, sum(case when regexp_replace(h, '^www\\.', '') = regexp_replace(g, '^www\\.', '') then 1 else 0 end) as own
-    from (select source_id, {_HOST.format(_URL)} h from {ARTICLES}) a join (select source_id, {_HOST.format("homepage")} g from sources) s on s.source_id = a.source_id group by a.source_id""")
+@query(f"""with s as (select id, regexp_replace({_HOST.format("url")}, '^www\\.', '') x, regexp_replace({_HOST.format("base")}, '^www\\.', '') y from {_URLS})
+    select id, x = y or ends_with(x, '.' || y) or ends_with(y, '.' || x) as own from s""")
 def url_same_site(t):
-    """The oracle counts equal hosts; here sub- and superdomains count too, which the tables don't hold."""
-    a = articles(t).join(t("sources").select("source_id", "homepage"), "source_id")
-    return a.groupBy("source_id").agg(F.count("*").alias("addresses"), F.count(F.when(F.contains(U.host(F.col("original_url")), F.lit(".")), 1)).alias("hosted"), F.sum(F.when(U.same_site(F.col("original_url"), F.col("homepage")), 1).otherwise(0)).alias("own"))
+    """The same host but for www., or a sub- or superdomain of it."""
+    return _urls(t).select("id", U.same_site(F.col("url"), F.col("base")).alias("own"))
 
 
-_HINT = "regexp_matches(p, '" + U.ARTICLE_HINTS + "')"
+_LISTS = {"include_hosts": [], "include_paths": [r"/(?:news|politics|svit|kraj|monde|mondo|mundo|wetter|swiat)/"], "exclude_paths": [r"amp=1"], "exclude_titles": [r"^quiz"]}
+_HINT = f"regexp_matches(p, '(?i){U.ARTICLE_HINTS}')"
+_any = lambda f, column, values: "(" + " or ".join(f"{f}({column}, '{v}')" for v in values) + ")"
 
 
-@query(f"""with u as (select article_id, title, {_HOST.format(_URL)} h, lower({_PATH.format(_URL)}) p, {_URL} u, {_HOST.format("homepage")} g from {ARTICLES} a join (select source_id, homepage from sources) s on s.source_id = a.source_id),
-    w as (select *, case when trim({_SP.format("coalesce(title, '')")}) = '' then 0 else len(string_split(trim({_SP.format("title")}), ' ')) end n, regexp_replace(h, '^www\\.', '') x, regexp_replace(g, '^www\\.', '') y from u)
-    select article_id from w where x <> '' and y <> '' and (x = y or ends_with(x, '.' || y) or ends_with(y, '.' || x)) and p not in ('', '/') and not regexp_matches(p, '{U.ASSET_SUFFIXES}') and not regexp_matches(p, '{U.IGNORED_PARTS}') and not regexp_matches(p, '{U.ACCOUNT_PARTS}')
-    and (not regexp_matches(h, 'static|image|cdn') or {_HINT}) and ({_HINT} or regexp_matches(p, '/20\\d\\d/') or ends_with(p, '.html') or n >= 6)
-    and regexp_matches(u, '(?i)/(?:news|politics|svit|kraj|monde|mondo|mundo|wetter)/') and not regexp_matches(u, '(?i)amp=1')""")
+@query(f"""with w as (select id, title, {_HOST.format("url")} h, lower({_PATH.format("url")}) p, regexp_replace({_HOST.format("url")}, '^www\\.', '') x, regexp_replace({_HOST.format("base")}, '^www\\.', '') y, len(list_filter(string_split(regexp_replace(coalesce(title, ''), '\\s+', ' ', 'g'), ' '), lambda z: z <> '')) n from {_URLS})
+    select id from w where (x = y or ends_with(x, '.' || y) or ends_with(y, '.' || x)) and p not in ('', '/') and not {_any("ends_with", "p", U.ASSET_SUFFIXES)} and not {_any("contains", "p", U.IGNORED_PARTS)} and not {_any("starts_with", "p", U.ACCOUNT_PARTS)}
+    and (not {_any("contains", "h", U.ASSET_HOSTS)} or {_HINT}) and ({_HINT} or regexp_matches(p, '/20[0-9]{{2}}/') or ends_with(p, '.html') or n >= 6)
+    and regexp_matches(p, '(?i){_LISTS["include_paths"][0]}') and not regexp_matches(p, '(?i)amp=1') and not regexp_matches(coalesce(title, ''), '(?i)^quiz')""")
 def url_candidate_filter(t):
-    a = articles(t).join(t("sources").select("source_id", "homepage"), "source_id")
-    return a.where(U.is_candidate(F.col("original_url"), F.col("homepage"), T.word_count(F.col("title"))) & U.allowed(F.col("original_url"), [r"/(?:news|politics|svit|kraj|monde|mondo|mundo|wetter)/"], [r"amp=1"])).select("article_id")
+    """Addresses that may be articles and pass their source's lists: hosts and paths to include, paths and titles to exclude."""
+    lists = {k: F.array(*map(F.lit, v)).cast("array<string>") for k, v in _LISTS.items()}
+    return _urls(t).where(U.is_candidate(F.col("url"), F.col("base"), T.word_count(F.col("title"))) & U.allowed(F.col("url"), F.col("title"), **lists)).select("id")
 
 
 @query(f"select article_id, substr(sha256(source_id || chr(31) || canonical_url), 1, 24) as own_id from {ARTICLES}")
@@ -50,9 +79,11 @@ def stable_ids(t):
     return articles(t).select("article_id", T.stable_id(F.col("source_id"), F.col("canonical_url")).alias("own_id"))
 
 
-@query(f"""with o as (select article_id, trim({_SP.format("body")}) b from {ARTICLES}), p as (select article_id, string_split(regexp_replace(b, '([.!?…]) ', '\\1\n', 'g'), '\n') s from o),
-    k as (select article_id, lower(substr(array_to_string(s[1:2], ' '), 1, 1600)) x from p)
-    select article_id, case when trim(x) <> '' then substr(sha256(trim(regexp_replace(x, '[\\s\\x{{00A0}}]+', ' ', 'g'))), 1, 32) end as fingerprint from k""")
+_CLEAN_BODY = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(body, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&'), '[\\s\\x{00A0}]+', ' ', 'g'))"
+
+
+@query(f"""with k as (select article_id, substr(array_to_string((string_split(regexp_replace({_CLEAN_BODY}, '([.!?…]) ', '\\1\n', 'g'), '\n'))[1:2], ' '), 1, 1600) x from {ARTICLES})
+    select article_id, case when trim(x) <> '' then substr(sha256({sql_folded("x")}), 1, 32) end as fingerprint from k""")
 def opening_fingerprint(t):
     return articles(t).select("article_id", T.opening_fingerprint(F.col("body")).alias("fingerprint"))
 
@@ -70,21 +101,33 @@ def first_words(t):
     return t("documents").where("text is not null").select("doc_id", T.first_words(F.col("text"), 12).alias("opening"))
 
 
-_BASE = f"regexp_replace(translate(lower(w), '{T.ACCENTED}', '{T.PLAIN}'), '[^a-z0-9]+', '', 'g')"
+_BASE = f"regexp_replace(translate(replace(lower(w), 'ß', 'ss'), '{T.ACCENTED}', '{T.PLAIN}'), '[^a-z0-9]+', '', 'g')"
+_STEM_OF = "case " + " ".join(f"when b like '%{x}' and length(b) - {len(x)} >= 5 then substr(b, 1, length(b) - {len(x)})" for x in T.SUFFIXES) + " else b end"
+_COMMON = "(" + ", ".join(f"'{w}'" for w in T.NON_DISTINCTIVE) + ")"
+#: Headlines with words without distinction, in several forms, and with letters that have no ASCII base.
+PLANTED_HEADLINES = [("h1", "Prezydent i minister: nowe informacje z Polski"), ("h2", "Straße nach Łódź, według świata"), ("h3", "Europejskiego Trumpa raporty Ångström"), ("h4", "Ukrainski wydarzenia energetyczny energia")]
+_HEADLINES = f"(select topic_id, headline_pl from topics union all select * from {sql_values(PLANTED_HEADLINES)} v(topic_id, headline_pl))"
+
 
+def _headlines(t):
+    h = t("topics").select("topic_id", "headline_pl")
+    return h.union(h.sparkSession.createDataFrame(PLANTED_HEADLINES, "topic_id string, headline_pl string"))
 
-@query(f"""with w as (select topic_id, unnest(regexp_extract_all(headline_pl, '[\\p{{L}}][\\p{{L}}\\p{{N}}_''-]{{2,}}')) w from topics), b as (select topic_id, {_BASE} b from w)
-    select b as base, count(distinct topic_id) as topics from b where length(b) >= 4 group by b""")
+
+
+
+@query(f"""with w as (select topic_id, unnest(regexp_extract_all(headline_pl, '[\\p{{L}}][\\p{{L}}\\p{{N}}_''-]{{2,}}')) w from {_HEADLINES}), b as (select topic_id, {_BASE} b from w)
+    select b as base, count(distinct topic_id) as topics from b where length(b) >= 4 and b not in {_COMMON} and {_STEM_OF} not in {_COMMON} group by b""")
 def token_document_frequency(t):
-    words = t("topics").select("topic_id", F.explode(T.words(F.col("headline_pl"))).alias("w"))
-    return words.select("topic_id", T.token_base(F.col("w")).alias("base")).where(F.length("base") >= 4).groupBy("base").agg(F.count_distinct("topic_id").alias("topics"))
+    rows = _headlines(t).select("topic_id", F.explode(T.bases(F.col("headline_pl"))).alias("base"))
+    return rows.groupBy("base").agg(F.count_distinct("topic_id").alias("topics"))
 
 
-@query(f"""with w as (select distinct w from (select unnest(regexp_extract_all(headline_pl, '[\\p{{L}}][\\p{{L}}\\p{{N}}_''-]{{2,}}')) w from topics)), b as (select distinct {_BASE} b from w)
-    select b as base, case {' '.join(f"when b like '%{x}' and length(b) - {len(x)} >= 5 then substr(b, 1, length(b) - {len(x)})" for x in T.SUFFIXES)} else b end as stem from b where length(b) >= 4""")
+@query(f"""with w as (select distinct w from (select unnest(regexp_extract_all(headline_pl, '[\\p{{L}}][\\p{{L}}\\p{{N}}_''-]{{2,}}')) w from {_HEADLINES})), b as (select distinct {_BASE} b from w)
+    select b as base, {_STEM_OF} as stem from b where length(b) >= 4 and b not in {_COMMON} and {_STEM_OF} not in {_COMMON}""")
 def token_stems(t):
-    words = t("topics").select(F.explode(T.words(F.col("headline_pl"))).alias("w"))
-    return words.select(T.token_base(F.col("w")).alias("base")).where(F.length("base") >= 4).distinct().select("base", T.stem(F.col("base")).alias("stem"))
+    bases = _headlines(t).select(F.explode(T.bases(F.col("headline_pl"))).alias("base")).distinct()
+    return bases.select("base", T.stem(F.col("base")).alias("stem"))
 
 
 @query("select topic_id, trim(regexp_replace(regexp_replace(lower(headline_pl), '^\\s*\\[[^\\]]+\\]\\s*', ''), '[^\\p{L}\\p{N}]+', ' ', 'g')) as headline_key, regexp_extract(headline_pl, '^\\[([^\\]]+)\\]', 1) as place, contains(headline_pl, ',') and headline_pl like '[%' as composite from topics where headline_pl is not null")
@@ -103,7 +146,7 @@ def cyrillic_titles(t):
     return articles(t).where(T.is_cyrillic(F.col("title"))).select("article_id")
 
 
-_CLAIM = f"""(select doc_id, source, regexp_replace(trim(regexp_replace(lower(title), '[\\s\\x{{00A0}}]+', ' ', 'g')), '[. ]+$', '') as k from documents where title is not null)"""
+_CLAIM = f"""(select doc_id, source, regexp_replace(trim(regexp_replace(replace(lower(title), 'ß', 'ss'), '[\\s\\x{{00A0}}]+', ' ', 'g')), '[. ]+$', '') as k from documents where title is not null)"""
 
 
 @query(f"select k as fact_key, 'fact_' || substr(sha256(k), 1, 24) as fact_id, count(distinct doc_id) as support, count(distinct source) as sources from {_CLAIM} where k <> '' group by k")
@@ -114,27 +157,27 @@ def fact_dedupe(t):
     return by.withColumn("fact_id", F.concat(F.lit("fact_"), F.substring(F.sha2("fact_key", 256), 1, 24)))
 
 
-_TOKENS = f"list_distinct(list_transform(regexp_extract_all(translate(lower(headline_pl), '{T.ACCENTED}ł', '{T.PLAIN}l'), '\\p{{L}}{{4,}}'), lambda x: substr(x, 1, 6)))"
+_STOP = "(" + ", ".join(f"'{w}'" for w in T.CLAIM_STOP) + ")"
+_TOKENS = f"list_distinct(list_transform(list_filter(regexp_extract_all(translate(replace(lower(headline_pl), 'ß', 'ss'), '{T.ACCENTED}ł', '{T.PLAIN}l'), '\\p{{L}}{{4,}}'), lambda x: x not in {_STOP}), lambda x: substr(x, 1, 6)))"
 
 
-@query(f"""with c as (select topic_id, {_TOKENS} a, list_distinct(regexp_extract_all(headline_pl, '\\d+')) n from topics where headline_pl is not null),
+@query(f"""with c as (select topic_id, {_TOKENS} a, list_distinct(regexp_extract_all(headline_pl, '\\d+(?:[.,:]\\d+)*')) n, regexp_matches(headline_pl, '{ledger.NEGATION}') neg, regexp_replace(trim(regexp_replace(replace(lower(headline_pl), 'ß', 'ss'), '[\\s\\x{{00A0}}]+', ' ', 'g')), '[. ]+$', '') k from topics where headline_pl is not null),
     p as (select distinct least(trim(topic_id_a), trim(topic_id_b)) x, greatest(trim(topic_id_a), trim(topic_id_b)) y from pairs where trim(topic_id_a) <> trim(topic_id_b))
     select x, y, cast(len(list_intersect(l.a, r.a)) as int) as shared, len(list_intersect(l.a, r.a)) >= least(2, len(l.a), len(r.a)) and len(l.a) > 0 and len(r.a) > 0 and len(list_intersect(l.a, r.a)) * 1.0 / least(len(l.a), len(r.a)) >= 0.35 as related,
-    len(l.n) = len(r.n) and len(list_intersect(l.n, r.n)) = len(l.n) as same_numbers from p join c l on l.topic_id = x join c r on r.topic_id = y""")
+    l.k = r.k or (len(l.n) = len(r.n) and len(list_intersect(l.n, r.n)) = len(l.n) and l.neg = r.neg and len(list_intersect(l.a, r.a)) >= least(2, len(l.a), len(r.a)) and len(l.a) > 0 and len(r.a) > 0 and len(list_intersect(l.a, r.a)) * 1.0 / least(len(l.a), len(r.a)) >= 0.35) as compatible from p join c l on l.topic_id = x join c r on r.topic_id = y""")
 def related_claims(t):
-    h = F.col("headline_pl")
-    c = t("topics").where(h.isNotNull()).select("topic_id", T.claim_tokens(h).alias("a"), T.numbers(h).alias("n"))
+    """Pairs of claims: shared stems, whether they are related, and whether they may be one (numbers and polarity the same too)."""
+    c = t("topics").where("headline_pl is not null").select("topic_id", F.col("headline_pl").alias("h"))
     p = t("pairs").select(F.trim("topic_id_a").alias("x"), F.trim("topic_id_b").alias("y")).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    j = p.join(c.select(F.col("topic_id").alias("x"), F.col("a").alias("la"), F.col("n").alias("ln")), "x").join(c.select(F.col("topic_id").alias("y"), F.col("a").alias("ra"), F.col("n").alias("rn")), "y")
-    shared, least = F.size(F.array_intersect("la", "ra")), F.least(F.size("la"), F.size("ra"))
-    related = (shared >= F.least(F.lit(2), least)) & (least > 0) & (shared / least >= 0.35)
-    return j.select("x", "y", shared.alias("shared"), F.coalesce(related, F.lit(False)).alias("related"), ((F.size("ln") == F.size("rn")) & (F.size(F.array_intersect("ln", "rn")) == F.size("ln"))).alias("same_numbers"))
+    j = p.join(c.select(F.col("topic_id").alias("x"), F.col("h").alias("lh")), "x").join(c.select(F.col("topic_id").alias("y"), F.col("h").alias("rh")), "y")
+    a, b = T.claim_tokens(F.col("lh")), T.claim_tokens(F.col("rh"))
+    return j.select("x", "y", F.size(F.array_intersect(a, b)).alias("shared"), ledger.related(a, b).alias("related"), ledger.compatible(F.col("lh"), F.col("rh")).alias("compatible"))
 
 
 _STEMS4 = f"list_distinct(list_transform({_TOKENS}, lambda x: substr(x, 1, 4)))"
 
 
-@query(f"""with d as (select doc_id, section, list_distinct(list_transform(regexp_extract_all(translate(lower(title), '{T.ACCENTED}ł', '{T.PLAIN}l'), '\\p{{L}}{{4,}}'), lambda x: substr(x, 1, 6))) a from documents where title is not null and section is not null),
+@query(f"""with d as (select doc_id, section, list_distinct(list_transform(list_filter(regexp_extract_all(translate(replace(lower(title), 'ß', 'ss'), '{T.ACCENTED}ł', '{T.PLAIN}l'), '\\p{{L}}{{4,}}'), lambda x: x not in {_STOP}), lambda x: substr(x, 1, 6))) a from documents where title is not null and section is not null),
     h as (select section, arg_min(a, doc_id) h from d group by section)
     select section, arg_max(doc_id, (len(list_intersect(a, h)), -doc_id)) as doc_id from d join h using (section) group by section""")
 def primary_fact(t):
@@ -166,33 +209,6 @@ def sitemap_entries(t):
     return pages.read_sitemaps(pages.as_sitemaps(articles(t)))
 
 
-_ISO = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$"
-
-
-@query(f"""select * from (select article_id, source_id, row_number() over (partition by source_id order by k desc, article_id) as place from
-    (select article_id, source_id, case when regexp_matches(published_at, '{_ISO}') then try_cast(published_at as timestamptz) end as k from {ARTICLES}) where k is not null) where place <= 500""")
-def candidate_timestamp_order(t):
-    """The newest 500 of each source by the plain ISO form (p7_found reads all the others); the cap also keeps a large source's rows out of one task."""
-    k = F.when(F.col("published_at").rlike(_ISO), F.try_to_timestamp("published_at"))
-    w = Window.partitionBy("source_id").orderBy(F.desc("k"), "article_id")
-    return articles(t).select("article_id", "source_id", k.alias("k")).where("k is not null").select("article_id", "source_id", F.row_number().over(w).alias("place")).where("place <= 500").withColumn("place", F.col("place").cast("bigint"))
-
-
 @query("select topic_id, cast(timezone('Europe/Warsaw', first_seen_at) as date) as local_day from topics")
 def warsaw_day(t):
     return t("topics").select("topic_id", F.to_date(F.from_utc_timestamp("first_seen_at", "Europe/Warsaw")).alias("local_day"))
-
-
-@query()
-def candidate_order(t):
-    """Each source's articles, newest first, undated ones last: by published_at in any form p7_found reads, else updated_at, else a date in the address.
-
-    Times without a zone are UTC. The place is that within the first 500, the most that the harvester takes of a source.
-    """
-    url = F.regexp_extract(F.coalesce("canonical_url", F.lit("")), r"(20\d{2}[/-]\d{2}[/-]\d{2})(?:[/_-]|$)", 1)
-    a = articles(t).where("article_id is not null").select("article_id", "source_id", "published_at", "updated_at", url.alias("dated"), F.lit(None).cast("string").alias("zone"))
-    for text, out in (("published_at", "first"), ("updated_at", "second"), ("dated", "third")):
-        a = instants.with_epoch(a, text, "zone", "zone", out)
-    k = F.coalesce("first", "second", "third", F.lit(0))
-    w = Window.partitionBy("source_id").orderBy(F.desc("epoch_s"), "article_id")
-    return a.select("article_id", "source_id", k.alias("epoch_s")).withColumn("place", F.row_number().over(w)).where("place <= 500")

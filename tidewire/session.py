@@ -30,15 +30,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a local one only where the setting is absent (tests)."""
+    """The shared folder the cluster names in spark.checkpoint.dir; where the setting is absent, a local one on a single machine (tests), and an error on a cluster."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         configured = os.path.join(tempfile.gettempdir(), "tidewire-checkpoints")
     spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    return spark.sparkContext.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
