@@ -188,23 +188,32 @@ def primary_fact(t):
     return j.groupBy("section").agg(F.max_by("doc_id", F.struct("n", -F.col("doc_id"))).alias("doc_id"))
 
 
-@query()
+_SQUEEZED = "trim(regexp_replace(regexp_replace(coalesce({0}, ''), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g'), '[\\s\\x{{0085}}\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g'))"
+_STRIPPED = "regexp_replace(coalesce({0}, ''), '^[\\s\\x{{00A0}}]+|[\\s\\x{{00A0}}]+$', '', 'g')"
+_PAGES = f"(select * from {ARTICLES} where canonical_url is not null)"
+_FILE = "'https://' || source_id || '.example/' || coalesce(cast(cast(fetched_at as date) as varchar), 'undated') || '.xml'"
+
+
+@query(f"""with p as (select canonical_url as url, {_SQUEEZED.format('title')} as title, {_STRIPPED.format('description')} as description, {_STRIPPED.format('author')} as author, canonical_url as canonical,
+        array_to_string(list_filter(list_transform(string_split(coalesce(body, ''), chr(10)), lambda x: {_SQUEEZED.format('x')}), lambda x: x <> ''), chr(10)) as body from {_PAGES})
+    select *, cast(len(list_filter(string_split(regexp_replace(body, '\\s+', ' ', 'g'), ' '), lambda x: x <> '')) as int) as words from p""")
 def page_extract(t):
     """Pages rebuilt from articles, read back: title, description, author, canonical address and text of the main root."""
     return pages.extract_pages(pages.as_pages(articles(t)))
 
 
-@query()
+@query(f"""with p as (select canonical_url as url, regexp_extract(canonical_url, '^([a-zA-Z]+://[^/?#]*)', 1) as site from {_PAGES})
+    select url, url as href, '' as label, 'canonical' as rel, 0 as place from p union all select url, site || '/', 'Home', 'a', 1 from p union all select url, site || '/news', 'News', 'a', 2 from p""")
 def link_extract(t):
     return pages.page_links(pages.as_pages(articles(t)))
 
 
-@query()
+@query(f"select {_FILE} as url, canonical_url as link, {_STRIPPED.format('title')} as title, {_STRIPPED.format('published_at')} as published from {_PAGES} where source_id is not null")
 def feed_items(t):
     return pages.read_feeds(pages.as_feeds(articles(t)))
 
 
-@query()
+@query(f"select url, loc, 'url' as kind, min(lastmod) as lastmod from (select {_FILE} as url, canonical_url as loc, {_STRIPPED.format('updated_at')} as lastmod from {_PAGES} where source_id is not null) group by 1, 2")
 def sitemap_entries(t):
     return pages.read_sitemaps(pages.as_sitemaps(articles(t)))
 
