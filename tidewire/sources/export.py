@@ -35,3 +35,26 @@ def write_snapshot(documents: DataFrame, folder: str) -> str:
     path = f"{folder}/{generation(documents)}"
     documents.write.mode("ignore").json(path)
     return path
+
+
+def publish(spark, folder: str, documents: DataFrame, index: dict) -> str:
+    """Writes a snapshot and then lets the index name it: readers see the old or the new one, never a part. Without documents nothing changes.
+
+    The index is renamed into its place by the file system that holds the folder; returns the snapshot's path.
+    """
+    import json
+
+    if documents.isEmpty():
+        raise ValueError("nothing to publish; what is there stays")
+    path = write_snapshot(documents, folder)
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    new, final = fs_path(f"{folder}/index.json.tmp"), fs_path(f"{folder}/index.json")
+    out = fs.create(new, True)
+    out.write(bytearray(json.dumps({**index, "snapshot": path.rsplit("/", 1)[-1]}, ensure_ascii=False).encode()))
+    out.close()
+    options = spark._jvm.java.lang.reflect.Array.newInstance(spark._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
+    options[0] = spark._jvm.java.lang.Enum.valueOf(spark._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), "OVERWRITE")
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri() if new.toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(new), fs.makeQualified(final), options)
+    return path
