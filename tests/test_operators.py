@@ -40,6 +40,17 @@ def test_anchored_groups(spark):
     assert cluster.anchored_groups(_edges(spark, [("a", "b", 0.78), ("c", "d", 0.779999)]), 0.78).count() == 2
 
 
+def test_anchored_groups_in_rounds(spark):
+    """Components too large for a task are grouped in rounds, with the same groups."""
+    random.seed(8)
+    rows = [(f"{a:03}", f"{b:03}", round(random.random(), 2)) for a, b in itertools.combinations(range(70), 2) if random.random() < 0.12] + [("p", "q", 0.9), ("q", "r", 0.9), ("p", "r", 0.9)]
+    df = _edges(spark, rows)
+    key = lambda d: sorted((r.group_id, r.member, r.is_anchor, r.anchor_score, r.least_score) for r in d.collect())
+    want = key(cluster.anchored_groups(df, 0.3))
+    assert key(cluster.anchored_groups(df, 0.3, task_edges=0)) == want and key(cluster.anchored_groups(df, 0.3, task_edges=10)) == want and len(want) > 40
+    assert cluster.anchored_groups(df.limit(0), 0.3, task_edges=0).count() == 0
+
+
 def test_components_chain(spark):
     rows = [(f"n{k:03}", f"n{k + 1:03}", 1.0) for k in range(70)] + [("x", "y", 1.0), (None, "z", 1.0)]
     got = {r.node: r.component for r in cluster.components(_edges(spark, rows)).collect()}

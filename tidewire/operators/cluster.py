@@ -1,6 +1,7 @@
 """Groups from scored pairs: connected components, anchored groups, covers and bounded chunks.
 
-The sequential rules never cross components, so each component is one group of `applyInPandas`.
+The sequential rules never cross components, so a component of bounded size is one group of `applyInPandas`. Anchored groups of larger
+components grow in rounds of joins, with the same result.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
+#: Components of more edges than this, a few MB in a task, are grouped in rounds.
+TASK_EDGES = 100_000
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node linked with each node of the edges. Labels spread and jump until none changes."""
     links = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null and x <> y")
@@ -32,14 +37,50 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
+def _once(edges: DataFrame) -> DataFrame:
+    """Each pair once, with its highest score."""
+    once = edges.where("a is not null and b is not null and a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("score").alias("score"))
+    return cut_lineage(once)
+
+
 def _by_component(edges: DataFrame, function, schema: str) -> DataFrame:
     """edges (a, b, score) once per pair; function maps the edges of one component to rows."""
-    once = edges.where("a is not null and b is not null and a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("score").alias("score"))
-    once = cut_lineage(once)
+    once = _once(edges)
     return once.join(components(once), F.col("a") == F.col("node")).select("component", "a", "b", "score").groupBy("component").applyInPandas(function, schema)
 
 
-def anchored_groups(edges: DataFrame, threshold: float) -> DataFrame:
+def _anchored_rounds(edges: DataFrame) -> DataFrame:
+    """Anchored groups by rounds: every edge that comes before all others within two steps of its ends seeds its group at once.
+
+    Only a seed whose ends are within two steps can take one of its ends or members, so these seeds don't depend on each other nor on
+    any later one. The strongest edge of all is always among them, so every round takes some nodes away.
+    """
+    order = F.struct((-F.col("score")).alias("s"), "a", "b").alias("o")
+    left, out = cut_lineage(edges.select("a", "b", "score", order)), []
+    while not left.isEmpty():
+        both = left.select(F.col("a").alias("x"), F.col("b").alias("y"), "o", "score").unionByName(left.select(F.col("b").alias("x"), F.col("a").alias("y"), "o", "score"))
+        first = both.groupBy("x").agg(F.min("o").alias("first"))
+        for _ in range(2):
+            near = both.join(first.select(F.col("x").alias("y"), F.col("first").alias("f")), "y").groupBy("x").agg(F.min("f").alias("near"))
+            first = first.join(near, "x").select("x", F.least("first", "near").alias("first"))
+        first = cut_lineage(first)
+        ends = left.join(first.select(F.col("x").alias("a"), F.col("first").alias("fa")), "a").join(first.select(F.col("x").alias("b"), F.col("first").alias("fb")), "b")
+        seeds = cut_lineage(ends.where("o = fa and o = fb").select("a", "b", F.col("score").alias("anchor_score")))
+        to = lambda end, name: both.select(F.col("x").alias(end), F.col("y").alias("member"), F.col("score").alias(name))
+        members = seeds.join(to("a", "sa"), "a").join(to("b", "sb"), ["b", "member"]).select("a", "b", "anchor_score", "member", F.lit(False).alias("is_anchor"), F.least("sa", "sb").alias("near"))
+        anchors = seeds.select("a", "b", "anchor_score", F.explode(F.array("a", "b")).alias("member"), F.lit(True).alias("is_anchor"), F.col("anchor_score").alias("near"))
+        taken = cut_lineage(anchors.unionByName(members))
+        out.append(taken)
+        gone = taken.select("member").dropDuplicates(["member"])
+        left = cut_lineage(left.join(gone.withColumnRenamed("member", "a"), "a", "left_anti").join(gone.withColumnRenamed("member", "b"), "b", "left_anti").select("a", "b", "score", "o"))
+    rows = out[0]
+    for part in out[1:]:
+        rows = rows.unionByName(part)
+    sums = rows.groupBy("a", "b").agg(F.min("member").alias("group_id"), F.least(F.min("anchor_score"), F.min("near")).alias("least_score"))
+    return rows.join(sums, ["a", "b"]).select("group_id", "member", "is_anchor", "anchor_score", "least_score")
+
+
+def anchored_groups(edges: DataFrame, threshold: float, task_edges: int = TASK_EDGES) -> DataFrame:
     """(group_id, member, is_anchor, anchor_score, least_score): the strongest free pair seeds a group and stays its anchors.
 
     A member needs an edge to both anchors; ties go to the smaller ids; a group's id is its smallest member. Single nodes form no group.
@@ -61,7 +102,14 @@ def anchored_groups(edges: DataFrame, threshold: float) -> DataFrame:
             rows += [(min(members), m, m in (x, y), s, least) for m in sorted(members)]
         return pd.DataFrame(rows, columns=["group_id", "member", "is_anchor", "anchor_score", "least_score"])
 
-    return _by_component(edges.where(F.col("score") >= threshold), grow, f"group_id {kind}, member {kind}, is_anchor boolean, anchor_score double, least_score double")
+    schema = f"group_id {kind}, member {kind}, is_anchor boolean, anchor_score double, least_score double"
+    once = _once(edges.where(F.col("score") >= threshold))
+    owned = cut_lineage(once.join(components(once), F.col("a") == F.col("node")).select("component", "a", "b", "score"))
+    large = cut_lineage(owned.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > task_edges).select("component"))
+    small = owned.join(large, "component", "left_anti").groupBy("component").applyInPandas(grow, schema)
+    if large.isEmpty():
+        return small
+    return small.unionByName(_anchored_rounds(owned.join(large, "component", "left_semi").select("a", "b", "score")))
 
 
 def edge_cover(edges: DataFrame, size: int) -> DataFrame:
