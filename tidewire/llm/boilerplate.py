@@ -66,6 +66,7 @@ _SPACES = re.compile(r"\s+")
 _ENDS = tuple(".!?…。！？")
 _CLOSERS = "”»\"')’“"
 _PIECES = re.compile(r"\s{2,}|[|·•/,]")
+_BLANKS = re.compile(r"\n{3,}")
 _CRUMB = re.compile(r"^\S(?:.{0,28}\S)? [/>›»|→] \S")
 FEATURES = (
     [f"words{k}" for k in range(7)] + ["ends", "capitals", "bullet", "frequent", "menu", "names", "crumb", "title", "source", "separators", "colon", "pos_before", "pos_after", "pos_between"] + [f"is_{k}" for k in KINDS] + ["bylined", "any", "listed_short", "titled_crumb", "between_paragraphs", "followed", "bias"]
@@ -433,13 +434,22 @@ class TreeModel:
     def furniture(self, page: Page) -> np.ndarray:
         return self.furniture_of([page])[0]
 
+    def reports(self, bodies: list[str], pages: list[Page]) -> list[str]:
+        """The texts of each report, each on a line of its own; of plain text the lines as they are."""
+        plain = [not (p.parents.max(initial=-1) >= 0 or p.classes.any()) for p in pages]
+        drops = iter(self.furniture_of([p for p, x in zip(pages, plain) if x]))
+        out = []
+        for body, page, x in zip(bodies, pages, plain):
+            if x:
+                drop = set(next(drops).tolist())
+                out.append(_BLANKS.sub("\n\n", "\n".join(x for no, x in enumerate(body.split("\n"), 1) if no not in drop)).strip("\n"))
+            else:
+                content = self.marginals(page)[0] >= 0.5 if len(page.numbers) else []
+                out.append("\n".join(t for t, c in zip(_Dom(body).texts, content) if c))
+        return out
+
     def report(self, body: str, page: Page) -> str:
-        """The texts of the report, each on a line of its own; of plain text the lines as they are."""
-        if page.regions and page.parents.min() < 0 and "</" in body and _MARKUP.search(body) and len(page.numbers):
-            content = self.marginals(page)[0] >= 0.5
-            return "\n".join(t for t, c in zip(_Dom(body).texts, content) if c)
-        drop = set(self.furniture(page).tolist())
-        return re.sub(r"\n{3,}", "\n\n", "\n".join(x for no, x in enumerate(body.split("\n"), 1) if no not in drop)).strip("\n")
+        return self.reports([body], [page])[0]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, weights: np.ndarray | None = None, rounds: int = 25, ridge: float = 0.5) -> np.ndarray:
@@ -621,7 +631,9 @@ def main_bodies(articles: DataFrame, model: TreeModel) -> DataFrame:
     """article_id and `report`, the body's own lines (of markup its own texts); one row per article. Null bodies stay null; residue has an empty report."""
 
     def emit(model, ids, bodies, pages):
-        rows = [(i, None if b is None else "" if p is None else model.report(b, p)) for i, b, p in zip(ids, bodies, pages) if i is not None]
+        kept = [(b, p) for b, p in zip(bodies, pages) if p is not None]
+        reports = iter(model.reports([b for b, _ in kept], [p for _, p in kept]))
+        rows = [(i, next(reports) if p is not None else None if b is None else "") for i, b, p in zip(ids, bodies, pages) if i is not None]
         return pa.RecordBatch.from_pydict({"article_id": pa.array([i for i, _ in rows], pa.string()), "report": pa.array([r for _, r in rows], pa.string())})
 
     return _read_pages(articles, model, "article_id string, report string", emit).dropDuplicates(["article_id"])
