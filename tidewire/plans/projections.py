@@ -238,3 +238,83 @@ def item_kinds(t):
         .when(~blank & (F.col("content_status") == "COMPLETE"), "ARTICLE/COMPLETE").when(title & (words >= 100), "ARTICLE_EXCERPT/EXCERPT").when(blocked, "CHALLENGE/BLOCKED").when(title, "UNKNOWN/METADATA_ONLY").otherwise("UNKNOWN/FAILED")
     )
     return articles(t).select("article_id", kind.alias("kind"))
+
+
+#: Lists of ids as typed: separators, repetitions, too few, too many, signs that no id has.
+PLANTED_LISTS = [("l1", "a, b  a\nc"), ("l2", "one"), ("l3", " x , y "), ("l4", "a,b!"), ("l5", ""), ("l6", ",".join(f"t{k}" for k in range(21))), ("l7", "t-1,t_2"), ("l8", None)]
+
+
+@query(f"""with s as (select id, list_filter(string_split(regexp_replace(trim(regexp_replace(coalesce(x, ''), '\\s+', ' ', 'g')), '[ ,]+', ',', 'g'), ','), lambda y: y <> '') as parts from {sql_values(PLANTED_LISTS)} v(id, x)), u as (select id, unnest(parts) as p, generate_subscripts(parts, 1) as k from s), d as (select id, p, min(k) as k from u group by 1, 2)
+    select s.id, coalesce(string_agg(d.p, ',' order by d.k), '') as ids, count(d.p) between 2 and 20 and bool_and(regexp_matches(d.p, '^[A-Za-z0-9_-]{{1,128}}$')) as valid from s left join d on d.id = s.id group by 1""")
+def parsed_ids(t):
+    """Lists of ids as typed: each once, in order; valid are two to twenty of letters, digits, _ and -."""
+    rows = t("topics").sparkSession.createDataFrame(PLANTED_LISTS, "id string, x string")
+    ids = F.array_distinct(F.filter(F.split(F.coalesce("x", F.lit("")), r"[\s,]+"), lambda y: y != ""))
+    good = F.size(ids).between(2, 20) & F.forall(ids, lambda y: y.rlike(r"^[A-Za-z0-9_-]{1,128}$"))
+    return rows.select("id", F.array_join(ids, ",").alias("ids"), good.alias("valid"))
+
+
+@query(f"""select 'articles' as name, count(*) as rows, count(*) - count(distinct article_id) as repeated, count(*) filter (where trim(coalesce(body, '')) = '') as blank from articles union all
+    select 'incoming_articles', count(*), count(*) - count(distinct incoming_id), count(*) filter (where trim(coalesce(body, '')) = '') from incoming_articles union all
+    select 'documents', count(*), count(*) - count(distinct doc_id), count(*) filter (where trim(coalesce(text, '')) = '') from documents""")
+def snapshot_checks(t):
+    """What a snapshot is checked for: rows, repeated or missing ids, blank texts."""
+    out = None
+    for name, key, text in (("articles", "article_id", "body"), ("incoming_articles", "incoming_id", "body"), ("documents", "doc_id", "text")):
+        row = t(name).agg(F.lit(name).alias("name"), F.count("*").alias("rows"), (F.count("*") - F.count_distinct(key)).alias("repeated"), F.count(F.when(F.trim(F.coalesce(text, F.lit(""))) == "", 1)).alias("blank"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("""with i as (select distinct on (incoming_id) incoming_id, batch_no, source_id, canonical_url, body from incoming_articles), k as (select distinct source_id, canonical_url, true as known from articles)
+    select batch_no, count(*) as fetched, count(*) filter (where known) as known, count(*) filter (where known is null and trim(coalesce(body, '')) <> '') as fresh, 'fetched: ' || count(*) || ', known: ' || count(*) filter (where known) as line from i left join k on k.source_id = i.source_id and k.canonical_url = i.canonical_url group by 1""")
+def run_counters(t):
+    """Counters of each run and the line that reports them."""
+    k = t("articles").select("source_id", "canonical_url", F.lit(True).alias("known")).distinct()
+    i = t("incoming_articles").dropDuplicates(["incoming_id"]).select("incoming_id", "batch_no", "source_id", "canonical_url", (F.trim(F.coalesce("body", F.lit(""))) != "").alias("filled"))
+    by = i.join(k, ["source_id", "canonical_url"], "left").groupBy("batch_no").agg(F.count("*").alias("fetched"), F.count("known").alias("known"), F.count(F.when(F.col("known").isNull() & F.col("filled"), 1)).alias("fresh"))
+    return by.withColumn("line", F.concat(F.lit("fetched: "), "fetched", F.lit(", known: "), "known"))
+
+
+@query(f"""with x as (select doc_id, coalesce(text, '') as raw from documents) select doc_id, case when length(raw) > 400 then cast(json_object('parsed', false, 'raw_response', substr(raw, 1, 200)) as varchar) else cast(json_object('parsed', true, 'raw_response', '') as varchar) end as stored from x where regexp_matches(raw, '^[ -~]*$') and not contains(raw, '/')""")
+def stored_responses(t):
+    """Answers as they are stored: the parsed form, or of one that couldn't be read the first signs (here of texts in plain letters)."""
+    raw = F.coalesce("text", F.lit(""))
+    rows = t("documents").select("doc_id", raw.alias("raw")).where(F.col("raw").rlike("^[ -~]*$") & ~F.contains(F.col("raw"), F.lit("/")))
+    return rows.select("doc_id", F.to_json(F.when(F.length("raw") > 400, F.struct(F.lit(False).alias("parsed"), F.substring("raw", 1, 200).alias("raw_response"))).otherwise(F.struct(F.lit(True).alias("parsed"), F.lit("").alias("raw_response")))).alias("stored"))
+
+
+@query("""with b as (select source_id, batch_no, string_agg(distinct incoming_id, ',' order by incoming_id) as ids from incoming_articles where batch_no is not null group by 1, 2), l as (select source_id, list(ids order by batch_no) as l, list(batch_no order by batch_no) as n from b group by 1)
+    select source_id, cast(len(l) as int) as batches, list_reduce(list_prepend('', l), lambda a, x: sha256(a || '|' || x)) as context from l""")
+def carried_context(t):
+    """Batches folded in order, each with the context that the ones before left (a source has a batch a run, so the fold is short)."""
+    b = t("incoming_articles").where("batch_no is not null").groupBy("source_id", "batch_no").agg(F.array_join(F.array_sort(F.collect_set("incoming_id")), ",").alias("ids"))
+    l = b.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("batch_no", "ids"))).alias("l"))
+    return l.select("source_id", F.size("l").alias("batches"), F.aggregate("l", F.lit(""), lambda a, x: F.sha2(F.concat(a, F.lit("|"), x["ids"]), 256)).alias("context"))
+
+
+@query(f"""with x as (select topic_id, version, unnest(u) as u, generate_subscripts(u, 1) as k from {_ALL_UPDATES}), y as (select *, case when u->>'update_id' is not null then 'update:' || (u->>'update_id') when u->>'run_id' is not null then 'run:' || (u->>'run_id') else 'legacy:' end as identity, coalesce(u->>'new_information_pl', '') as text from x)
+    select topic_id, version, string_agg(case when identity in ('update:u1', 'run:r9') then 'rewritten ' || identity else text end, ';' order by k) as texts from y group by 1, 2""")
+def rewritten_updates(t):
+    """Stored updates with the text of some identities replaced, everything else as it was and in its order."""
+    spark = t("topics").sparkSession
+    new = spark.createDataFrame([("update:u1", "rewritten update:u1"), ("run:r9", "rewritten run:r9")], "identity string, fresh string")  # a few rows
+    u = _stored(t).select("topic_id", "version", F.posexplode("updates").alias("k", "u"))
+    identity = F.when(F.col("u.update_id").isNotNull(), F.concat(F.lit("update:"), "u.update_id")).when(F.col("u.run_id").isNotNull(), F.concat(F.lit("run:"), "u.run_id")).otherwise("legacy:")
+    rows = u.withColumn("identity", identity).join(F.broadcast(new), "identity", "left").select("topic_id", "version", F.struct("k", F.coalesce("fresh", "u.new_information_pl", F.lit("")).alias("x")).alias("e"))
+    return rows.groupBy("topic_id", "version").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["x"]), ";").alias("texts"))
+
+
+_CLAIM_TOKENS = f"list_distinct(list_transform(list_filter(regexp_extract_all(translate(replace(lower(headline_pl), 'ß', 'ss'), '{T.ACCENTED}ł', '{T.PLAIN}l'), '\\p{{L}}{{4,}}'), lambda x: x not in ({', '.join(repr(x) for x in T.CLAIM_STOP)})), lambda x: substr(x, 1, 6)))"
+
+
+@query(f"""with c as (select topic_id, {_CLAIM_TOKENS} a from topics where headline_pl is not null), p as (select distinct trim(topic_id_a) x, trim(topic_id_b) y from pairs where trim(topic_id_a) <> trim(topic_id_b)),
+    s as (select p.x, p.y, len(list_intersect(l.a, r.a)) as shared from p join c l on l.topic_id = p.x join c r on r.topic_id = p.y)
+    select x as topic_id, y as known_id, shared, k as place from (select *, row_number() over (partition by x order by shared desc, y) k from s) where k <= 8""")
+def nearest_facts(t):
+    """The eight known claims nearest to each candidate, by shared stems, among those it was scored with."""
+    c = t("topics").where("headline_pl is not null").select("topic_id", T.claim_tokens(F.col("headline_pl")).alias("a"))
+    p = t("pairs").select(F.trim("topic_id_a").alias("x"), F.trim("topic_id_b").alias("y")).where("x <> y").distinct()
+    j = p.join(c.select(F.col("topic_id").alias("x"), F.col("a").alias("la")), "x").join(c.select(F.col("topic_id").alias("y"), F.col("a").alias("ra")), "y")
+    k = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("shared"), "y"))
+    return j.select("x", "y", F.size(F.array_intersect("la", "ra")).cast("bigint").alias("shared")).withColumn("place", k.cast("bigint")).where("place <= 8").select(F.col("x").alias("topic_id"), F.col("y").alias("known_id"), "shared", "place")
