@@ -11,7 +11,18 @@ PAIRS = "topic_id_a string, topic_id_b string, current double, threshold double,
 
 def test_linking_pairs(spark):
     nan = float("nan")
-    rows = [(" a", "b ", 0.8, None, ""), ("b", "a", 0.1, None, ""), ("b", "c", 0.78, 0.78, ""), ("c", "d", 0.779, 0.78, ""), ("d", "d", 0.9, None, ""), (None, "e", 0.9, None, ""), ("e", " ", 0.9, None, ""), ("f", "g", nan, None, ""), ("f", "h", None, None, ""), ("f", "i", 0.7, 0.6, "")]
+    rows = [
+        (" a", "b ", 0.8, None, ""),
+        ("b", "a", 0.1, None, ""),
+        ("b", "c", 0.78, 0.78, ""),
+        ("c", "d", 0.779, 0.78, ""),
+        ("d", "d", 0.9, None, ""),
+        (None, "e", 0.9, None, ""),
+        ("e", " ", 0.9, None, ""),
+        ("f", "g", nan, None, ""),
+        ("f", "h", None, None, ""),
+        ("f", "i", 0.7, 0.6, "")
+    ]
     df = spark.createDataFrame(rows, PAIRS)
     assert {(r.u, r.v) for r in components.linking_pairs(df).collect()} == {("a", "b"), ("b", "c"), ("f", "i")}
     assert {(r.topic_id, r.group_id) for r in components.topic_groups(df).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("f", "f"), ("i", "f")}
@@ -43,7 +54,10 @@ def test_components_against_union_find(spark, edges):
 
 
 @pytest.mark.parametrize("a,b", [
-    ("https://www.A.example:443/x/?b=2&a=1#f", "http://a.example/x?a=1&b=2&b=2&utm_source=q"), ("http://a.example:80/", "a.example"), ("https://a.example/x?fbclid=1", "https://a.example/x"),
+    (
+        "https://www.A.example:443/x/?b=2&a=1#f",
+        "http://a.example/x?a=1&b=2&b=2&utm_source=q"
+    ), ("http://a.example:80/", "a.example"), ("https://a.example/x?fbclid=1", "https://a.example/x"),
 ])
 def test_addresses(spark, a, b):
     from pyspark.sql import functions as F
@@ -75,11 +89,40 @@ def test_incremental_cases(spark):
     edited = base.split()
     for k in (10, 50, 90):
         edited[k] = "changed"
-    a = [("A", "s", "https://a.example/1", "11", base, "x"), ("A", "s", "https://a.example/1", "11", base, "x"), ("B", "s", "https://a.example/2", None, None, "x"), (None, "s", "https://a.example/9", "99", base, "x")]
+    a = [
+        ("A", "s", "https://a.example/1", "11", base, "x"),
+        ("A", "s", "https://a.example/1", "11", base, "x"),
+        ("B", "s", "https://a.example/2", None, None, "x"),
+        (None, "s", "https://a.example/9", "99", base, "x")
+    ]
     i = [
-        ("i1", "s", "http://www.a.example/1/?utm_x=1", None, None, "q", 1), ("i2", "t", "https://a.example/1", None, "", "q", 1), ("i3", "t", "https://b.example/3", None, " ".join(edited).upper().replace(" ", "\n"), "q", 1),
-        ("i4", "t", "https://b.example/4", "sha256:22", fresh, "q", 1), ("i5", "u", "https://c.example/5", "22", None, "q", 1), ("i6", "u", "https://c.example/6", None, fresh, "q", 1), ("i6", "u", "https://c.example/6", None, fresh, "q", 1),
-        ("i7", "s", "https://a.example/old", None, None, "q", 1), (None, "s", "https://a.example/1", None, None, "q", 1), ("i8", None, None, incremental.EMPTY_HASHES[0], None, "q", 1), ("i9", None, None, incremental.EMPTY_HASHES[0], "few words", "q", 1),
+        ("i1", "s", "http://www.a.example/1/?utm_x=1", None, None, "q", 1), ("i2", "t", "https://a.example/1", None, "", "q", 1), (
+            "i3",
+            "t",
+            "https://b.example/3",
+            None,
+            " ".join(edited).upper().replace(" ", "\n"),
+            "q",
+            1
+        ),
+        (
+            "i4",
+            "t",
+            "https://b.example/4",
+            "sha256:22",
+            fresh,
+            "q",
+            1
+        ), ("i5", "u", "https://c.example/5", "22", None, "q", 1), ("i6", "u", "https://c.example/6", None, fresh, "q", 1), ("i6", "u", "https://c.example/6", None, fresh, "q", 1),
+        ("i7", "s", "https://a.example/old", None, None, "q", 1), (None, "s", "https://a.example/1", None, None, "q", 1), ("i8", None, None, incremental.EMPTY_HASHES[0], None, "q", 1), (
+            "i9",
+            None,
+            None,
+            incremental.EMPTY_HASHES[0],
+            "few words",
+            "q",
+            1
+        ),
     ]
     alias = spark.createDataFrame([("s", "https://a.example/old", "B")], "source_id string, candidate_url string, duplicate_of_article_id string")
     df, art = spark.createDataFrame(i, INCOMING), spark.createDataFrame(a, ARTICLES)
@@ -91,7 +134,11 @@ def test_incremental_cases(spark):
 
 def test_only_accepted_records_count(spark):
     """i2 repeats i1, which is a case itself, so i2 is accepted and i3 repeats i2; copies stay linear."""
-    rows = [("i1", "s", "u://x/1", "h1", None, "", 0), ("i2", "t", "u://x/2", "h1", None, "", 0), ("i3", "t", "u://x/2", None, None, "", 0)] + [(f"j{k:02}", "v", f"u://x/j{k}", "same", None, "", 0) for k in range(30)]
+    rows = [
+        ("i1", "s", "u://x/1", "h1", None, "", 0),
+        ("i2", "t", "u://x/2", "h1", None, "", 0),
+        ("i3", "t", "u://x/2", None, None, "", 0)
+    ] + [(f"j{k:02}", "v", f"u://x/j{k}", "same", None, "", 0) for k in range(30)]
     art = spark.createDataFrame([("A", "s", "u://x/1", None, None, "")], ARTICLES)
     got = {r.incoming_id: r.duplicate_of for r in incremental.duplicates(spark.createDataFrame(rows, INCOMING), art, None).collect()}
     assert got == {"i1": "A", "i3": "i2"} | {f"j{k:02}": "j00" for k in range(1, 30)}
@@ -183,7 +230,14 @@ def test_recall_by_length(spark, words):
 
 def test_pieces_against_plain_python():
     rng = random.Random(11)
-    texts = ["", "few words here only", "a b c d e", "A, b; C d-e\nF!", "x " * 300, "ж" * 9 + " б в г д е"] + [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 40))) for _ in range(200)]
+    texts = [
+        "",
+        "few words here only",
+        "a b c d e",
+        "A, b; C d-e\nF!",
+        "x " * 300,
+        "ж" * 9 + " б в г д е"
+    ] + [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 40))) for _ in range(200)]
     keys, owner, h = incremental.text_pieces(texts)
     by = {}
     for k, t in enumerate(texts):
@@ -273,7 +327,12 @@ def test_mixture(spark):
     assert all(abs(by[s] / total - share) < 0.02 for s, (share, _) in targets.items())
     assert len({(r.doc_id, r.source) for r in got}) == len(got)
     assert sorted(map(tuple, mixing.mixture(df.repartition(5), targets).collect())) == sorted(map(tuple, got))
-    report = {r.source: r for r in mixing.reached_shares(spark.createDataFrame(got), spark.createDataFrame([(s, x, m) for s, (x, m) in targets.items()], "source string, target_share double, max_repeats int")).collect()}
+    report = {
+        r.source: r for r in mixing.reached_shares(
+            spark.createDataFrame(got),
+            spark.createDataFrame([(s, x, m) for s, (x, m) in targets.items()], "source string, target_share double, max_repeats int")
+        ).collect()
+    }
     assert abs(report["a"].share - by["a"] / total) < 1e-5
     assert mixing.mixture(df.limit(0), targets).count() == 0
 

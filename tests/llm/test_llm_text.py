@@ -14,7 +14,23 @@ UK = "Міська рада ухвалила бюджет у {} мільйоні
 
 @pytest.mark.parametrize(
     "label,want",
-    [("pl", {"pl"}), ("ru/en", {"ru", "en"}), ("en/original", {"en"}), ("pl-PL", {"pl"}), ("en_GB", {"en"}), ("Deutsch", {"de"}), ("english ", {"en"}), ("Ukrainian", {"uk"}), ("xx", set()), ("", set()), (None, set()), ("und", set()), ("n/a", set()), ("??", set()), ("polski", {"pl"})],
+    [
+        ("pl", {"pl"}),
+        ("ru/en", {"ru", "en"}),
+        ("en/original", {"en"}),
+        ("pl-PL", {"pl"}),
+        ("en_GB", {"en"}),
+        ("Deutsch", {"de"}),
+        ("english ", {"en"}),
+        ("Ukrainian", {"uk"}),
+        ("xx", set()),
+        ("", set()),
+        (None, set()),
+        ("und", set()),
+        ("n/a", set()),
+        ("??", set()),
+        ("polski", {"pl"})
+    ],
 )
 def test_labels(label, want):
     assert langid.label_languages(label) == want
@@ -26,7 +42,15 @@ def _articles(spark, n=60):
         for code, text in (("en", EN), ("de", DE), ("pl", PL), ("uk", UK)):
             label = code if k % 10 else "fr"  # some labels are wrong
             rows.append((f"{code}{k:03}", label, "\n".join([text.format(k), text.format(k + 1)])))
-    rows += [("mixed", "en", EN.format(1) + "\n" + DE.format(2)), ("none", None, PL.format(3)), ("short", "en", "Nur vier Worte hier."), ("null", "en", None), ("empty", "", ""), (None, "en", DE.format(1)), ("none", None, PL.format(3))]
+    rows += [
+        ("mixed", "en", EN.format(1) + "\n" + DE.format(2)),
+        ("none", None, PL.format(3)),
+        ("short", "en", "Nur vier Worte hier."),
+        ("null", "en", None),
+        ("empty", "", ""),
+        (None, "en", DE.format(1)),
+        ("none", None, PL.format(3))
+    ]
     return spark.createDataFrame(rows, "article_id string, original_language string, body string")
 
 
@@ -43,10 +67,24 @@ def test_languages_found(spark):
 
 def test_language_of_each_paragraph_and_of_short_lines(spark):
     a = _articles(spark)
-    short = spark.createDataFrame([("lines", "en", "Der Stadtrat billigte einen Haushalt.\n\nTrotz der Proteste vieler Anwohner."), ("gap", "en", EN.format(1) + "\n\n\n" + DE.format(2)), ("digits", "en", "12 | 34")], a.schema)
+    short = spark.createDataFrame(
+        [
+            ("lines", "en", "Der Stadtrat billigte einen Haushalt.\n\nTrotz der Proteste vieler Anwohner."),
+            ("gap", "en", EN.format(1) + "\n\n\n" + DE.format(2)),
+            ("digits", "en", "12 | 34")
+        ],
+        a.schema
+    )
     both, model = a.unionByName(short), langid.fit_model(a)
     rows = langid.segment_languages(both, model).where("article_id in ('mixed', 'gap', 'none', 'lines', 'digits')").collect()
-    assert sorted((r.article_id, r.line_no, r.language) for r in rows) == [("gap", 1, "en"), ("gap", 4, "de"), ("lines", 1, "de"), ("mixed", 1, "en"), ("mixed", 2, "de"), ("none", 1, "pl")]
+    assert sorted((r.article_id, r.line_no, r.language) for r in rows) == [
+        ("gap", 1, "en"),
+        ("gap", 4, "de"),
+        ("lines", 1, "de"),
+        ("mixed", 1, "en"),
+        ("mixed", 2, "de"),
+        ("none", 1, "pl")
+    ]
     body = {r.article_id: r.body for r in both.collect()}
     assert {(r.article_id, body[r.article_id][r.start_pos : r.end_pos]) for r in rows if r.article_id == "gap"} == {("gap", EN.format(1)), ("gap", DE.format(2))}
     assert all(0.5 < r.confidence <= 1 for r in rows)
@@ -57,9 +95,20 @@ def test_language_of_each_paragraph_and_of_short_lines(spark):
 
 def test_segments_and_unknown_scripts():
     body = "One\n two \n\n" + EN.format(3) + "\n12 | 34\n\nThree\n"
-    assert [(no, body[a:b], t) for no, a, b, t in langid.all_segments(body)] == [(1, "One\n two", "One\n two"), (4, EN.format(3), EN.format(3)), (5, "12 | 34\n\nThree", "12 | 34\n\nThree")]
+    assert [(no, body[a:b], t) for no, a, b, t in langid.all_segments(body)] == [
+        (1, "One\n two", "One\n two"),
+        (4, EN.format(3), EN.format(3)),
+        (5, "12 | 34\n\nThree", "12 | 34\n\nThree")
+    ]
     model = langid.NaiveBayes.fit([EN.format(1), DE.format(1)], ["en", "de"], ("de", "en"))
-    said, sure = model.classify([EN.format(2), "Το συμβούλιο ενέκρινε τον προϋπολογισμό για τους δρόμους της πόλης", "市议会批准了道路维修预算", "The word λόγος stands in this English line of text"])
+    said, sure = model.classify(
+        [
+            EN.format(2),
+            "Το συμβούλιο ενέκρινε τον προϋπολογισμό για τους δρόμους της πόλης",
+            "市议会批准了道路维修预算",
+            "The word λόγος stands in this English line of text"
+        ]
+    )
     assert said == ["en", langid.UNKNOWN, langid.UNKNOWN, "en"] and sure[1] > 0.9
 
 
@@ -85,7 +134,10 @@ REPORT = "\n".join([EN.format(1), EN.format(2), EN.format(3)])
 
 
 @pytest.mark.parametrize("body", [
-    "404 Not Found\nThe page you requested could not be located on this server.", "{{ title }}", "<%= TEXT %>\n(zdjęcie do uzupełnienia)", REPORT + "\n[QUOTE TO COME]", REPORT.replace("budget of", "budget ${amount} of"), "Lorem ipsum, dolor sit amet, sed do eiusmod.",
+    "404 Not Found\nThe page you requested could not be located on this server.", "{{ title }}", "<%= TEXT %>\n(zdjęcie do uzupełnienia)", REPORT + "\n[QUOTE TO COME]", REPORT.replace(
+        "budget of",
+        "budget ${amount} of"
+    ), "Lorem ipsum, dolor sit amet, sed do eiusmod.",
     "Traceback (most recent call last):\n  File \"render.py\", line 38, in view\nKeyError: 'body'", "Blad 404. Nie znaleziono strony, ktorej szukasz.", "Jobs\nSearch\nYou need to turn off your ad blocker to view this page.\n© 2026 X. All rights reserved.", "Test test test.", REPORT + "\nTekst do uzupełnienia przez redakcję.",
 ])
 def test_residue(body):
@@ -120,7 +172,9 @@ def test_residue_without_widths():
     menu = "Home\nNews\nWeather\nSport\nLog in\n"
     assert residue.is_residue(menu * 10) and residue.is_residue(menu * 1000)
     assert residue.is_residue(REPORT + "\n(zdjęcie do uzupełnienia)") and residue.is_residue(REPORT + "\n[photo caption to come from the desk in Brussels later today]")
-    assert not residue.is_residue(REPORT + "\nThe talks (which both sides had for many weeks called the last chance, although a further round in the spring was always to come in any case) ended.")
+    assert not residue.is_residue(
+        REPORT + "\nThe talks (which both sides had for many weeks called the last chance, although a further round in the spring was always to come in any case) ended."
+    )
 
 
 def test_residue_rows(spark):
@@ -175,7 +229,24 @@ def test_same_line(a, b):
     assert repeats.normal_line(a) == repeats.normal_line(b)
 
 
-PAGE = "\n".join(["Home", "Podcasts", "Sports / Council approves roads", "By Ann Bell, The Post correspondent", EN.format(1), "What comes next", EN.format(2), "Advertisement", "• North – South: the ministry closed the crossing near the river for repairs after a week of debate.", EN.format(3), "You may also like", "1. Strike spreads to harbour", "Share this story (12)", "© 2026 The Post. All rights reserved."])
+PAGE = "\n".join(
+    [
+        "Home",
+        "Podcasts",
+        "Sports / Council approves roads",
+        "By Ann Bell, The Post correspondent",
+        EN.format(1),
+        "What comes next",
+        EN.format(2),
+        "Advertisement",
+        "• North – South: the ministry closed the crossing near the river for repairs after a week of debate.",
+        EN.format(3),
+        "You may also like",
+        "1. Strike spreads to harbour",
+        "Share this story (12)",
+        "© 2026 The Post. All rights reserved."
+    ]
+)
 
 
 def test_main_content(spark):
@@ -183,7 +254,17 @@ def test_main_content(spark):
     model = boilerplate.fit(pages)
     drop = set(model.furniture(model.page(PAGE, "Council approves roads", "The Post", "post")).tolist())
     assert drop == {1, 2, 3, 4, 8, 11, 12, 13, 14}
-    df = spark.createDataFrame([("a", PAGE, "Council approves roads", "The Post", "post"), ("a", PAGE, "Council approves roads", "The Post", "post"), ("b", None, None, None, None), ("c", "", "t", "n", "s"), (None, PAGE, "t", "n", "s"), ("e", "{{x}}", None, None, None)], "article_id string, body string, title string, source_name string, source_id string")
+    df = spark.createDataFrame(
+        [
+            ("a", PAGE, "Council approves roads", "The Post", "post"),
+            ("a", PAGE, "Council approves roads", "The Post", "post"),
+            ("b", None, None, None, None),
+            ("c", "", "t", "n", "s"),
+            (None, PAGE, "t", "n", "s"),
+            ("e", "{{x}}", None, None, None)
+        ],
+        "article_id string, body string, title string, source_name string, source_id string"
+    )
     assert {(r.article_id, r.line_no) for r in boilerplate.furniture_lines(df, model).collect()} == {("a", n) for n in drop}
     bodies = {r.article_id: r.report for r in boilerplate.main_bodies(df, model).collect()}
     assert "What comes next" in bodies["a"] and "Podcasts" not in bodies["a"] and bodies["b"] is None and bodies["e"] == ""
@@ -248,7 +329,10 @@ def test_markup_is_read_as_a_tree(spark):
     report = model.report(html, page)
     assert EN.format(1) in report and EN.format(2) in report and "The vote was close." in report
     assert "Read more" not in report and "All rights" not in report and "var x" not in report
-    df = spark.createDataFrame([("a", html, "t", "The Post", "post", "HTTP_HTML"), ("b", "<p>unclosed</b>", None, None, None, None)], "article_id string, body string, title string, source_name string, source_id string, fetch_method string")
+    df = spark.createDataFrame(
+        [("a", html, "t", "The Post", "post", "HTTP_HTML"), ("b", "<p>unclosed</b>", None, None, None, None)],
+        "article_id string, body string, title string, source_name string, source_id string, fetch_method string"
+    )
     assert {r.article_id for r in boilerplate.main_bodies(df, model).collect()} == {"a", "b"}
 
 
@@ -257,7 +341,10 @@ def test_marginals_of_deep_trees_are_exact():
     rng = np.random.default_rng(3)
     model = boilerplate.fit([])
     model.weights = rng.normal(size=len(model.weights)) * 0.5
-    pages = [model.page("<div><nav><p>Home</p></nav><div class='content'><p>One line of text.</p><p>Two</p></div></div>", None, None, None), model.page("Home\n\nA line of text that is long enough to be a paragraph of its own, surely.", None, None, None)]
+    pages = [
+        model.page("<div><nav><p>Home</p></nav><div class='content'><p>One line of text.</p><p>Two</p></div></div>", None, None, None),
+        model.page("Home\n\nA line of text that is long enough to be a paragraph of its own, surely.", None, None, None)
+    ]
     got = np.split(model.marginals_of(pages)[0], [len(pages[0].numbers)])
     for page, mine in zip(pages, got):
         p = 1 / (1 + np.exp(-(page.features @ model.weights)))
@@ -302,9 +389,18 @@ def cut(text):
 
 
 @pytest.mark.parametrize("parts", [
-    ["“We waited. Nobody came,” said X outside the hall.", "Then it rained."], ["“Is it safe?” asked Ann.", "“It is.”"], ["Mr. J. K. Bell and Mrs. Roe own approx. 4.4 per cent.", "See Sec. 4, No. 64, of the charter."], ["He left at 6 p.m.", "The mayor stayed."],
-    ["The U.S. envoy and Lt. Bell met on Jan. 5.", "It was 3.2."], ["Er ging um 18 Uhr.", "2026 will er wiederkommen."], ["Die Anhörung beginnt am 3. Mai um 8.30 Uhr.", "»Wer war das? Ich nicht«, sagte er."], ["La regola vale per autobus, ecc.", "I vecchi contratti restano."],
-    ["—¿Quién firmó esto? Yo no —respondió Pérez.", "Así es."], ["Компания работает с 1998 г.", "В городе тихо."], ["У фирмы из г. Пероград много клиентов.", "«Да»."], ["He paused… and then left.", "What a night!"], ["The sales fell (it had opened at 3.4).", "Next."], ["“Enough!”", "The vote was lost."], ["“IS IT SAFE?” ASKED ANN.", "“IT IS.”"], ["“Is it safe?” Ann Bell asked.", "She left."],
+    ["“We waited. Nobody came,” said X outside the hall.", "Then it rained."], ["“Is it safe?” asked Ann.", "“It is.”"], [
+        "Mr. J. K. Bell and Mrs. Roe own approx. 4.4 per cent.",
+        "See Sec. 4, No. 64, of the charter."
+    ], ["He left at 6 p.m.", "The mayor stayed."],
+    ["The U.S. envoy and Lt. Bell met on Jan. 5.", "It was 3.2."], ["Er ging um 18 Uhr.", "2026 will er wiederkommen."], [
+        "Die Anhörung beginnt am 3. Mai um 8.30 Uhr.",
+        "»Wer war das? Ich nicht«, sagte er."
+    ], ["La regola vale per autobus, ecc.", "I vecchi contratti restano."],
+    [
+        "—¿Quién firmó esto? Yo no —respondió Pérez.",
+        "Así es."
+    ], ["Компания работает с 1998 г.", "В городе тихо."], ["У фирмы из г. Пероград много клиентов.", "«Да»."], ["He paused… and then left.", "What a night!"], ["The sales fell (it had opened at 3.4).", "Next."], ["“Enough!”", "The vote was lost."], ["“IS IT SAFE?” ASKED ANN.", "“IT IS.”"], ["“Is it safe?” Ann Bell asked.", "She left."],
     ["« Qui a signé ? Pas moi », a répondu Roche.", "« Oui. »"], ["THE U.S. ENVOY AND LT. BELL MET ON JAN. 5.", "HE LEFT."], ["W 1998 r. nic.", "Dr X oraz prof. Y mówili."],
 ])
 def test_sentences(parts):
@@ -316,12 +412,22 @@ def test_sentences_other_scripts():
     assert cut("「ずっと待っていた。誰も来なかった。」とカナ氏は語った。指数は55.1だ。") == ["「ずっと待っていた。誰も来なかった。」とカナ氏は語った。", "指数は55.1だ。"]
     assert cut("डॉ. तले ने कहा कि दर 8.5 रह गई। “हम रहे। कोई नहीं आया,” मना ने कहा।") == ["डॉ. तले ने कहा कि दर 8.5 रह गई।", "“हम रहे। कोई नहीं आया,” मना ने कहा।"]
     assert cut("قال كرا: «انتظرنا. لم يأت أحد». أغلق المؤشر عند 91,4 نقطة.") == ["قال كرا: «انتظرنا. لم يأت أحد».", "أغلق المؤشر عند 91,4 نقطة."]
-    assert cut("أشار د. قصارنة إلى انخفاض. بلغت المبيعات 3,4 مليون في عام 1998 م. مقابل 3,1 سابقا.") == ["أشار د. قصارنة إلى انخفاض.", "بلغت المبيعات 3,4 مليون في عام 1998 م. مقابل 3,1 سابقا."]
+    assert cut("أشار د. قصارنة إلى انخفاض. بلغت المبيعات 3,4 مليون في عام 1998 م. مقابل 3,1 سابقا.") == [
+        "أشار د. قصارنة إلى انخفاض.",
+        "بلغت المبيعات 3,4 مليون في عام 1998 م. مقابل 3,1 سابقا."
+    ]
     assert cut("ศาลเขาลำอนุมัติงบ 24.2 ล้านบาท มูลนิธิบ้านมาลัยระงับ") == ["ศาลเขาลำอนุมัติงบ 24.2 ล้านบาท", "มูลนิธิบ้านมาลัยระงับ"]
 
 
 def test_sentences_blocks_and_entries():
-    assert cut("A headline\n\nOne line\nends here. Two.\n \n12.53 – Entry. 1. Item one. 2. Item two.") == ["A headline", "One line\nends here.", "Two.", "12.53 – Entry.", "1. Item one.", "2. Item two."]
+    assert cut("A headline\n\nOne line\nends here. Two.\n \n12.53 – Entry. 1. Item one. 2. Item two.") == [
+        "A headline",
+        "One line\nends here.",
+        "Two.",
+        "12.53 – Entry.",
+        "1. Item one.",
+        "2. Item two."
+    ]
     assert cut("") == [] and cut(" \n\n ") == [] and cut("“unclosed. Next one.") == ["“unclosed.", "Next one."]
     long = "A sentence here. " * 20000
     assert len(cut(long)) == 20000

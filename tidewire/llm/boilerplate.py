@@ -69,7 +69,22 @@ _PIECES = re.compile(r"\s{2,}|[|·•/,]")
 _BLANKS = re.compile(r"\n{3,}")
 _CRUMB = re.compile(r"^\S(?:.{0,28}\S)? [/>›»|→] \S")
 FEATURES = (
-    [f"words{k}" for k in range(7)] + ["ends", "capitals", "bullet", "frequent", "menu", "names", "crumb", "title", "source", "separators", "colon", "pos_before", "pos_after", "pos_between"] + [f"is_{k}" for k in KINDS] + ["bylined", "any", "listed_short", "titled_crumb", "between_paragraphs", "followed", "bias"]
+    [f"words{k}" for k in range(7)] + [
+        "ends",
+        "capitals",
+        "bullet",
+        "frequent",
+        "menu",
+        "names",
+        "crumb",
+        "title",
+        "source",
+        "separators",
+        "colon",
+        "pos_before",
+        "pos_after",
+        "pos_between"
+    ] + [f"is_{k}" for k in KINDS] + ["bylined", "any", "listed_short", "titled_crumb", "between_paragraphs", "followed", "bias"]
 )
 _AT = {name: k for k, name in enumerate(FEATURES)}
 _MARKS = [_AT[f] for f in ("any", "frequent", "menu", "names", "listed_short", "bylined", "followed", "crumb")]
@@ -200,7 +215,18 @@ class Page:
 
     __slots__ = ("numbers", "features", "region", "regions", "parents", "classes", "seed", "kind")
 
-    def __init__(self, texts: list[str], numbers: list[int], owners: list[int] | None, parents: list[int] | None, classes: list[int] | None, title: str, facts: LineFacts, kind: str, seed: list[int] | None = None):
+    def __init__(
+        self,
+        texts: list[str],
+        numbers: list[int],
+        owners: list[int] | None,
+        parents: list[int] | None,
+        classes: list[int] | None,
+        title: str,
+        facts: LineFacts,
+        kind: str,
+        seed: list[int] | None = None
+    ):
         n = len(texts)
         rows: list[int] = []
         cols: list[int] = []
@@ -567,7 +593,14 @@ def fit_model(articles: DataFrame, sample: int = SAMPLE_PAGES) -> TreeModel:
     """Weights are fitted on the labelled pages and a bounded sample of the corpus (the `sample` smallest by a hash of the id), residue left out; frequent lines and menu words are counted over all pages."""
     keys = articles.where(F.col("article_id").isNotNull()).select(F.col("article_id").alias("__id")).dropDuplicates(["__id"]).orderBy(F.xxhash64("__id"), "__id").limit(sample)
     # at most `sample` ids, so the broadcast is bounded
-    rows = articles.join(F.broadcast(keys), F.col("article_id") == F.col("__id")).select("__id", "body", "title", "source_name", "source_id", *_method(articles)).dropDuplicates(["__id"]).collect()
+    rows = articles.join(F.broadcast(keys), F.col("article_id") == F.col("__id")).select(
+        "__id",
+        "body",
+        "title",
+        "source_name",
+        "source_id",
+        *_method(articles)
+    ).dropDuplicates(["__id"]).collect()
     rows = sorted((r for r in rows if r["body"] and not is_residue(r["body"])), key=lambda r: r["__id"])
     lines = cut_lineage(frequent_lines(articles))
     # the words of menus, of the size of a vocabulary

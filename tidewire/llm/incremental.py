@@ -165,7 +165,13 @@ def piece_order(texts: DataFrame, text_col: str = "body") -> np.ndarray:
         parts = [(k, total[k * width : (k + 1) * width]) for k in range(_CHUNKS)]
         parts = [(k, zlib.compress(p.tobytes(), 1)) for k, p in parts if p.any()]
         task = TaskContext.get().partitionId() // 256
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array([k for k, _ in parts], pa.int32()), "task": pa.array([task] * len(parts), pa.int32()), "counts": pa.array([p for _, p in parts], pa.binary())})
+        yield pa.RecordBatch.from_pydict(
+            {
+                "chunk": pa.array([k for k, _ in parts], pa.int32()),
+                "task": pa.array([task] * len(parts), pa.int32()),
+                "counts": pa.array([p for _, p in parts], pa.binary())
+            }
+        )
 
     def add(part: pa.Table) -> pa.Table:
         total = np.zeros(width, np.uint64)
@@ -205,7 +211,10 @@ def piece_rows(records: DataFrame, often: np.ndarray | None, id_col: str = "id",
                     owner, h, size = owner[mine], h[mine], size[mine]
                 empty = np.zeros(len(named), np.int32)
                 arrays = [np.concatenate([h.view(np.int64), own]), np.concatenate([whole[owner], own]), np.concatenate([size, empty])]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.concat_arrays([pa.nulls(len(h), pa.string()), pa.array([ids[k] for k in named], pa.string())])], names=["key", "text_key", "size", "id"])
+                yield pa.RecordBatch.from_arrays(
+                    [*map(pa.array, arrays), pa.concat_arrays([pa.nulls(len(h), pa.string()), pa.array([ids[k] for k in named], pa.string())])],
+                    names=["key", "text_key", "size", "id"]
+                )
 
     return records.select(F.col(id_col).cast("string"), F.col(text_col)).mapInArrow(run, PIECE_ROWS)
 
@@ -233,12 +242,22 @@ def _verified(pairs: DataFrame) -> DataFrame:
 def _plain_keys(records: DataFrame, aliases: DataFrame | None) -> DataFrame:
     """(key, id): address and hash keys of records (id, source_id, canonical_url, content_hash)."""
     source = F.coalesce(F.col("source_id"), F.lit(""))
-    address = records.select(F.xxhash64(F.lit("a"), source, normal_address(F.col("canonical_url"))).alias("key"), "id", normal_address(F.col("canonical_url")).isNotNull().alias("__ok"))
+    address = records.select(
+        F.xxhash64(F.lit("a"), source, normal_address(F.col("canonical_url"))).alias("key"),
+        "id",
+        normal_address(F.col("canonical_url")).isNotNull().alias("__ok")
+    )
     digest = records.select(F.xxhash64(F.lit("h"), normal_hash(F.col("content_hash"))).alias("key"), "id", normal_hash(F.col("content_hash")).isNotNull().alias("__ok"))
     keys = address.unionByName(digest)
     if aliases is not None:
         other = normal_address(F.col("candidate_url"))
-        keys = keys.unionByName(aliases.select(F.xxhash64(F.lit("a"), F.coalesce(F.col("source_id"), F.lit("")), other).alias("key"), F.col("duplicate_of_article_id").alias("id"), other.isNotNull().alias("__ok")))
+        keys = keys.unionByName(
+            aliases.select(
+                F.xxhash64(F.lit("a"), F.coalesce(F.col("source_id"), F.lit("")), other).alias("key"),
+                F.col("duplicate_of_article_id").alias("id"),
+                other.isNotNull().alias("__ok")
+            )
+        )
     return keys.where("__ok and id is not null").select("key", "id").dropDuplicates(["key", "id"])
 
 

@@ -177,7 +177,10 @@ def fit_model(articles: DataFrame, id_col: str = "article_id", label_col: str =
     names = [(n, c) for n, c in _BY_NAME.items()]
     mapping = F.create_map(*[x for n, c in names for x in (F.lit(n), F.lit(c))])
     first = F.regexp_extract(F.lower(F.trim(F.col(label_col))), r"^(\p{L}+)", 1)
-    keys = articles.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.element_at(mapping, first).alias("__lang")).where("__lang is not null").dropDuplicates(["__id"])
+    keys = articles.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("__id"),
+        F.element_at(mapping, first).alias("__lang")
+    ).where("__lang is not null").dropDuplicates(["__id"])
     ranked = keys.withColumn("__k", F.row_number().over(Window.partitionBy("__lang").orderBy(F.xxhash64("__id"), "__id"))).where(F.col("__k") <= per_language)
     # at most len(LANGUAGES) * per_language rows, so the ids are known to be few
     sample = F.broadcast(ranked.select("__id", "__lang"))
@@ -250,10 +253,18 @@ def segment_languages(articles: DataFrame, model: NaiveBayes, id_col: str = "art
                 ids, bodies = (c.to_pylist() for c in batch.slice(at, 512).columns)
                 found = [(i, *x) for i, body in zip(ids, bodies) if i is not None and body for x in all_segments(body)]
                 languages, confidence = own.classify([x[4] for x in found])
-                columns = [pa.array([x[0] for x in found], pa.string()), *(pa.array([x[k] for x in found], pa.int32()) for k in (1, 2, 3)), pa.array(languages, pa.string()), pa.array(np.round(np.asarray(confidence, np.float64), 6))]
+                columns = [
+                    pa.array([x[0] for x in found], pa.string()),
+                    *(pa.array([x[k] for x in found], pa.int32()) for k in (1, 2, 3)),
+                    pa.array(languages, pa.string()),
+                    pa.array(np.round(np.asarray(confidence, np.float64), 6))
+                ]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "line_no", "start_pos", "end_pos", "language", "confidence"])
 
-    rows = articles.select(F.col(id_col).cast("string"), F.col(text_col)).mapInArrow(run, f"{id_col} string, line_no int, start_pos int, end_pos int, language string, confidence double")
+    rows = articles.select(F.col(id_col).cast("string"), F.col(text_col)).mapInArrow(
+        run,
+        f"{id_col} string, line_no int, start_pos int, end_pos int, language string, confidence double"
+    )
     return rows.dropDuplicates([id_col, "line_no"])
 
 
@@ -274,6 +285,23 @@ def paragraph_languages(articles: DataFrame, model: NaiveBayes, id_col: str = "a
             best = max(sorted(by), key=lambda x: by[x][0])
             total = sum(n for n, _ in by.values())
             rows.append((ids[k], best, round(by[best][1] / by[best][0], 6), sorted((x, round(n / total, 6)) for x, (n, _) in by.items())))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.map_(pa.string(), pa.float64()))], names=[id_col, "language", "confidence", "shares"])
-
-    return _scan(articles, model, f"{id_col} string, language string, confidence double, shares map<string,double>", emit, id_col, label_col, text_col, whole=True).dropDuplicates([id_col])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([r[0] for r in rows], pa.string()),
+                pa.array([r[1] for r in rows], pa.string()),
+                pa.array([r[2] for r in rows], pa.float64()),
+                pa.array([r[3] for r in rows], pa.map_(pa.string(), pa.float64()))
+            ],
+            names=[id_col, "language", "confidence", "shares"]
+        )
+
+    return _scan(
+        articles,
+        model,
+        f"{id_col} string, language string, confidence double, shares map<string,double>",
+        emit,
+        id_col,
+        label_col,
+        text_col,
+        whole=True
+    ).dropDuplicates([id_col])

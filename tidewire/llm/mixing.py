@@ -140,4 +140,12 @@ def reached_shares(selection: DataFrame, targets: DataFrame) -> DataFrame:
     by = selection.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("tokens"), F.count("*").alias("documents"), F.max("uses").alias("most_uses"))
     rows = targets.select("source", "target_share", "max_repeats").join(by, "source", "left").na.fill(0, ["tokens", "documents", "most_uses"])
     total = selection.agg(F.sum(F.col("tokens") * F.col("uses")).alias("__all"))
-    return rows.crossJoin(F.broadcast(total)).select("source", "target_share", "max_repeats", "tokens", "documents", "most_uses", F.round(F.col("tokens") / F.col("__all"), 6).alias("share"))
+    return rows.crossJoin(F.broadcast(total)).select(
+        "source",
+        "target_share",
+        "max_repeats",
+        "tokens",
+        "documents",
+        "most_uses",
+        F.round(F.col("tokens") / F.col("__all"), 6).alias("share")
+    )

@@ -137,8 +137,17 @@ def pack(items: DataFrame, capacities: list[int], id_col: str = "doc_id", size_c
         raise ValueError("no capacity is given")
     top = capacities[-1]
     rows = items.where(F.col(id_col).isNotNull()).select(F.col(id_col), F.coalesce(F.col(size_col), F.lit(0)).cast("bigint").alias("__size"))
-    none = rows.where(F.col("__size") <= 0).select(F.col(id_col), F.lit(0).alias("piece_no"), F.lit(0).cast("bigint").alias("tokens"), F.lit(None).cast("bigint").alias("container_id"), F.lit(None).cast("int").alias("capacity_tokens"))
-    pieces = rows.where(F.col("__size") > 0).select(F.col(id_col), F.posexplode(F.expr(f"transform(sequence(0, cast((__size - 1) div {top} as int)), k -> least({top}, __size - k * {top}))")).alias("piece_no", "tokens"))
+    none = rows.where(F.col("__size") <= 0).select(
+        F.col(id_col),
+        F.lit(0).alias("piece_no"),
+        F.lit(0).cast("bigint").alias("tokens"),
+        F.lit(None).cast("bigint").alias("container_id"),
+        F.lit(None).cast("int").alias("capacity_tokens")
+    )
+    pieces = rows.where(F.col("__size") > 0).select(
+        F.col(id_col),
+        F.posexplode(F.expr(f"transform(sequence(0, cast((__size - 1) div {top} as int)), k -> least({top}, __size - k * {top}))")).alias("piece_no", "tokens")
+    )
     # at most one row per size up to the largest capacity
     counts = {r["tokens"]: r["n"] for r in pieces.groupBy("tokens").agg(F.count("*").alias("n")).collect()}
     plan = best_plan(counts, capacities)

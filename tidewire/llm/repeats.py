@@ -53,7 +53,14 @@ def parsed_lines(articles: DataFrame, id_col: str = "article_id", source_col: st
                         sources.append(source or "")
                         numbers.append([no for no, _ in own])
                         keys.append([key for _, key in own])
-                yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.string()), "source": pa.array(sources, pa.string()), "line_no": pa.array(numbers, pa.list_(pa.int32())), "key": pa.array(keys, pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "id": pa.array(ids, pa.string()),
+                        "source": pa.array(sources, pa.string()),
+                        "line_no": pa.array(numbers, pa.list_(pa.int32())),
+                        "key": pa.array(keys, pa.list_(pa.int64()))
+                    }
+                )
 
     rows = articles.select(F.col(id_col).cast("string"), F.col(source_col).cast("string"), F.col(text_col))
     return rows.mapInArrow(run, "id string, source string, line_no array<int>, key array<bigint>").dropDuplicates(["id"])
@@ -64,7 +71,10 @@ def frequent_keys(lines: DataFrame, least: int = MIN_DOCUMENTS, share: float = 0
 
     lines: rows of `parsed_lines`.
     """
-    counted = lines.select("source", F.explode(F.array_distinct("key")).alias("key")).groupBy("source", "key").agg(F.count("*").alias("documents")).where(F.col("documents") >= least)
+    counted = lines.select(
+        "source",
+        F.explode(F.array_distinct("key")).alias("key")
+    ).groupBy("source", "key").agg(F.count("*").alias("documents")).where(F.col("documents") >= least)
     if share > 0:
         # a row a source
         totals = lines.groupBy("source").agg(F.count("*").alias("all"))
@@ -72,14 +82,30 @@ def frequent_keys(lines: DataFrame, least: int = MIN_DOCUMENTS, share: float = 0
     return counted.select("key", "documents")
 
 
-def repeated_lines(articles: DataFrame, id_col: str = "article_id", source_col: str = "source_id", text_col: str = "body", least: int = MIN_DOCUMENTS, share: float = 0.0, skip_residue: bool = True) -> DataFrame:
+def repeated_lines(
+    articles: DataFrame,
+    id_col: str = "article_id",
+    source_col: str = "source_id",
+    text_col: str = "body",
+    least: int = MIN_DOCUMENTS,
+    share: float = 0.0,
+    skip_residue: bool = True
+) -> DataFrame:
     """(id, line_no) of each occurrence of a frequent line. Null sources form one source; null ids and blank bodies give no row; repeated rows count once."""
     lines = cut_lineage(parsed_lines(articles, id_col, source_col, text_col, skip_residue))
     each = lines.select("id", F.explode(F.arrays_zip("line_no", "key")).alias("x")).select("id", F.col("x.line_no").alias("line_no"), F.col("x.key").alias("key"))
     return each.join(frequent_keys(lines, least, share).select("key"), "key", "left_semi").select(F.col("id").alias(id_col), "line_no")
 
 
-def without_repeated_lines(articles: DataFrame, id_col: str = "article_id", source_col: str = "source_id", text_col: str = "body", least: int = MIN_DOCUMENTS, share: float = 0.0, skip_residue: bool = True) -> DataFrame:
+def without_repeated_lines(
+    articles: DataFrame,
+    id_col: str = "article_id",
+    source_col: str = "source_id",
+    text_col: str = "body",
+    least: int = MIN_DOCUMENTS,
+    share: float = 0.0,
+    skip_residue: bool = True
+) -> DataFrame:
     """All columns of the articles, `text_col` without the lines `repeated_lines` finds with the same settings; one row per id, nulls stay null, residue and rows without an id as they are."""
     lines = cut_lineage(parsed_lines(articles, id_col, source_col, text_col, skip_residue))
     frequent = cut_lineage(frequent_keys(lines, least, share).select("key"))
@@ -105,4 +131,9 @@ def without_repeated_lines(articles: DataFrame, id_col: str = "article_id", sour
             yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(out, pa.string())], names=[*others, text_col])
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*others, text_col])
-    return articles.select(*others, F.col(id_col).isNotNull().alias("__named"), F.col(source_col).cast("string").alias("__source"), F.col(text_col)).mapInArrow(clean, schema).select(*articles.columns).dropDuplicates([id_col])
+    return articles.select(
+        *others,
+        F.col(id_col).isNotNull().alias("__named"),
+        F.col(source_col).cast("string").alias("__source"),
+        F.col(text_col)
+    ).mapInArrow(clean, schema).select(*articles.columns).dropDuplicates([id_col])

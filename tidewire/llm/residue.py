@@ -79,7 +79,11 @@ def _plain(stem: str) -> str:
 
 
 # Bracketed notes by stems too short to be looked for in plain text.
-_SHORT_NOTE = re.compile(r"(?i)[(<][^\[\]()<>\n]*?(?:" + "|".join(x for x in re.findall(r"(?:\(\?:[^)]*\)|[^|])+", NOTE_STEMS) if len(_plain(x)) <= 4).replace(r"\bhere$", "here") + ")")
+_SHORT_NOTE = re.compile(
+    r"(?i)[(<][^\[\]()<>\n]*?(?:" + "|".join(
+        x for x in re.findall(r"(?:\(\?:[^)]*\)|[^|])+", NOTE_STEMS) if len(_plain(x)) <= 4
+    ).replace(r"\bhere$", "here") + ")"
+)
 
 
 def note_hints() -> list[str]:

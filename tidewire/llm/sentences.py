@@ -30,7 +30,9 @@ NEVER = frozenset(
 )
 # Abbreviations that end a sentence only before a capital (or a letter without case): what else has a dot is a plain word.
 # A number behind these belongs to them.
-BEFORE_NUMBER = frozenset("h p s c o r ca No Nr Art art Abs al n pag pág pkt ust godz ok env approx Sec st ст п Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec vol fig tel".split())
+BEFORE_NUMBER = frozenset(
+    "h p s c o r ca No Nr Art art Abs al n pag pág pkt ust godz ok env approx Sec st ст п Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec vol fig tel".split()
+)
 # One letter: initials when capital; these small ones stand before a name or a part of the same abbreviation, unless a number precedes.
 SMALL_NEVER = frozenset("z d c м г с т и د".split())
 MONTHS = frozenset(
@@ -40,14 +42,18 @@ COMPANY = regex.compile(r"(?:KG|KGaA|OHG|AG|SE|mbH)\b")
 # Verbs of saying that close an attribution in scripts without letter case.
 SAYING = regex.compile(r"(?:说|说道|问|问道|道|回答|答道|表示|称|指出|喊道|補充|补充|कहा|पूछा|बोला|बोली|बोले|बताया|दिया|قال|سأل|أجاب|أضاف|قالت)\s*$")
 #: Attributions that letter case doesn't tell from a new sentence: among capitals, and a name before its verb.
-ATTRIBUTION = regex.compile(r"(?:ASKED|SAID|REPLIED|ANSWERED|ADDED|A DEMANDÉ|A DIT|A RÉPONDU)\b|\p{Lu}[\p{L}'’-]*(?: \p{Lu}[\p{L}'’-]*){0,2} (?:asked|said|replied|answered|added)\b")
+ATTRIBUTION = regex.compile(
+    r"(?:ASKED|SAID|REPLIED|ANSWERED|ADDED|A DEMANDÉ|A DIT|A RÉPONDU)\b|\p{Lu}[\p{L}'’-]*(?: \p{Lu}[\p{L}'’-]*){0,2} (?:asked|said|replied|answered|added)\b"
+)
 _GOES_ON = frozenset("とっはがをもにでのとか")
 _TERMINATORS = ".!?…。！？｡।॥؟۔"
 _HARD = "。！？｡"
 #: Among capitals the case of the next word says nothing: these then go on, the ones of time, firms and amounts before a small word.
 CAPS_NEVER = frozenset("tj tzn tys o.o ok im ust art godz ul inż gen lt p.m.a u.s i.e e.g a.m s.p.a ca mio млрд тис тыс proc bm c.-à-d uu mln approx aprox cía cie env".split())
 # Small words and currencies that go on after an amount, a time or a firm.
-_LINK = regex.compile(r"(?:AND|OR|ON|OF|IN|AT|BY|TO|FOR|FROM|MET|UND|IM|AM|FÜR|VON|ET|EN|DE|DU|LE|LA|E|Y|O|DI|IL|DESDE|HASTA|W|I|Z|NA|OD|DO|В|И|У|Й|НА|З|С|KG|USD|EUR|PLN|ZŁ|ГРН|РУБ)\b")
+_LINK = regex.compile(
+    r"(?:AND|OR|ON|OF|IN|AT|BY|TO|FOR|FROM|MET|UND|IM|AM|FÜR|VON|ET|EN|DE|DU|LE|LA|E|Y|O|DI|IL|DESDE|HASTA|W|I|Z|NA|OD|DO|В|И|У|Й|НА|З|С|KG|USD|EUR|PLN|ZŁ|ГРН|РУБ)\b"
+)
 _BLOCK = regex.compile(r"\n[^\S\n]*\n\s*")
 _MARKS = regex.compile(r"[“”„«»‹›\"「」『』()（）\[\]【】]")
 _ENDS = regex.compile(rf"[{_TERMINATORS}]+")
@@ -243,7 +249,11 @@ def _ends_sentence(text: str, start: int, a: int, b: int, levels: Levels) -> boo
     never = kinds.get("never", ())
     if word in never or (word[:1].isupper() and word.lower() in never):
         return False
-    if caps and (word.title() in never or word.lower() in kinds.get("capitals", ()) or (word.lower() in ("a.m", "p.m", "co", "cía", "cie", "mln", "млрд", "proc", "bm", "aprox") and _LINK.match(text, at))):
+    if caps and (
+        word.title() in never or word.lower() in kinds.get("capitals", ()) or (
+            word.lower() in ("a.m", "p.m", "co", "cía", "cie", "mln", "млрд", "proc", "bm", "aprox") and _LINK.match(text, at)
+        )
+    ):
         return False
     if word == "Co" and COMPANY.match(text, at):
         return False
@@ -373,7 +383,9 @@ def sentence_rows(documents: DataFrame, id_col: str = "doc_id", text_col: str =
                         ids.append(i)
                         starts.append(a)
                         ends.append(b)
-                yield pa.RecordBatch.from_pydict({id_col: pa.array(ids, batch.schema.field(0).type), "start_pos": pa.array(starts, pa.int32()), "end_pos": pa.array(ends, pa.int32())})
+                yield pa.RecordBatch.from_pydict(
+                    {id_col: pa.array(ids, batch.schema.field(0).type), "start_pos": pa.array(starts, pa.int32()), "end_pos": pa.array(ends, pa.int32())}
+                )
 
     kind = documents.schema[id_col].dataType.simpleString()
     return documents.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"{id_col} {kind}, start_pos int, end_pos int")
