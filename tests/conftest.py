@@ -12,7 +12,13 @@ def spark(tmp_path_factory):
 
     root = tmp_path_factory.mktemp("spark")
     session = build_session(
-        "tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": str(root / "checkpoints"), "spark.sql.warehouse.dir": str(root / "warehouse"), "spark.driver.memory": "3g", "spark.ui.showConsoleProgress": "false"}
+        "tests", "local[4]", **{
+            "spark.sql.shuffle.partitions": "4",
+            "spark.checkpoint.dir": str(root / "checkpoints"),
+            "spark.sql.warehouse.dir": str(root / "warehouse"),
+            "spark.driver.memory": "3g",
+            "spark.ui.showConsoleProgress": "false"
+        }
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -33,7 +33,11 @@ CASES = [
     ("nul", "2026-02-10 10:00", epoch(2026, 2, 10, 10)),
     ("missing", "2026-02-10 10:00", epoch(2026, 2, 10, 10)),
     ("waw", "2024-02-29", epoch(2024, 2, 28, 23)),
-    ("waw", "2026-02-29", None), ("waw", "32.13.2026, 10:00", None), ("waw", "0000-00-00 00:00:00", None), ("waw", "brak daty", None), ("waw", "-", None), ("waw", "", None), ("waw", None, None), ("waw", "x" * 5000, None), ("nyc", "02/10/2026 13:00 PM", None),
+    ("waw", "2026-02-29", None), ("waw", "32.13.2026, 10:00", None), (
+        "waw",
+        "0000-00-00 00:00:00",
+        None
+    ), ("waw", "brak daty", None), ("waw", "-", None), ("waw", "", None), ("waw", None, None), ("waw", "x" * 5000, None), ("nyc", "02/10/2026 13:00 PM", None),
 ]
 
 

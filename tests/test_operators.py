@@ -43,7 +43,10 @@ def test_anchored_groups(spark):
 def test_anchored_groups_in_rounds(spark):
     """Components too large for a task are grouped in rounds, with the same groups."""
     random.seed(8)
-    rows = [(f"{a:03}", f"{b:03}", round(random.random(), 2)) for a, b in itertools.combinations(range(70), 2) if random.random() < 0.12] + [("p", "q", 0.9), ("q", "r", 0.9), ("p", "r", 0.9)]
+    rows = [
+        (f"{a:03}", f"{b:03}", round(random.random(), 2)) for a,
+        b in itertools.combinations(range(70), 2) if random.random() < 0.12
+    ] + [("p", "q", 0.9), ("q", "r", 0.9), ("p", "r", 0.9)]
     df = _edges(spark, rows)
     key = lambda d: sorted((r.group_id, r.member, r.is_anchor, r.anchor_score, r.least_score) for r in d.collect())
     want = key(cluster.anchored_groups(df, 0.3))
@@ -90,14 +93,22 @@ def test_text_functions(spark):
 
 
 def test_urls(spark):
-    rows = [("HTTPS://WWW.A.example/x?utm_source=1&b=2&gclid=3#t", "https://a.example"), ("ftp://a.example/x", "https://b.example"), (None, None), ("https://m.a.example", "https://www.a.example/")]
+    rows = [
+        ("HTTPS://WWW.A.example/x?utm_source=1&b=2&gclid=3#t", "https://a.example"),
+        ("ftp://a.example/x", "https://b.example"),
+        (None, None),
+        ("https://m.a.example", "https://www.a.example/")
+    ]
     got = spark.createDataFrame(rows, "u string, h string").select(U.canonicalize(F.col("u")).alias("c"), U.same_site(F.col("u"), F.col("h")).alias("s")).collect()
     assert [r.c for r in got] == ["https://www.a.example/x?b=2", None, None, "https://m.a.example/"]
     assert [r.s for r in got] == [True, False, None, True]
 
 
 def test_pages_round_trip(spark):
-    a = spark.createDataFrame([("https://a.example/1", 'T & "q"', "d", "w", "One <b>.\nTwo.", "s", "2026-01-01", None, None)], "canonical_url string, title string, description string, author string, body string, source_id string, published_at string, updated_at string, fetched_at timestamp")
+    a = spark.createDataFrame(
+        [("https://a.example/1", 'T & "q"', "d", "w", "One <b>.\nTwo.", "s", "2026-01-01", None, None)],
+        "canonical_url string, title string, description string, author string, body string, source_id string, published_at string, updated_at string, fetched_at timestamp"
+    )
     p = pages.extract_pages(pages.as_pages(a)).first()
     assert (p.title, p.author, p.body, p.canonical) == ('T & "q"', "w", "One <b>.\nTwo.", "https://a.example/1")
     assert pages.read_feeds(pages.as_feeds(a)).first().title == 'T & "q"' and pages.read_sitemaps(pages.as_sitemaps(a)).first().loc == "https://a.example/1"
@@ -119,7 +130,9 @@ def test_export(spark, tmp_path):
 
 
 def test_streams(spark, tmp_path):
-    rows = spark.sql("select timestamp'2026-01-01 00:00:00' + make_interval(0,0,0,0,0,id*7,0) as ts, id % 3 as user_id, 'view' as event_type, double(id) as value, id as event_id from range(100)")
+    rows = spark.sql(
+        "select timestamp'2026-01-01 00:00:00' + make_interval(0,0,0,0,0,id*7,0) as ts, id % 3 as user_id, 'view' as event_type, double(id) as value, id as event_id from range(100)"
+    )
     rows.write.parquet(str(tmp_path / "in"))
     stream = events.read_events(spark, str(tmp_path / "in"), rows.schema)
     q = events.hourly(stream).writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).start()
@@ -139,7 +152,12 @@ def test_token_links_without_a_cap(spark):
     """A token of more than thirty topics still counts; copies of one token set are a class, whose members link each other."""
     from tidewire.plans import graph
 
-    rows = [(f"a{k:02}", "Warsaw Parliament votes") for k in range(40)] + [("b1", "Warsaw Parliament and Senate"), ("b2", "Warsaw alone"), ("b3", None), ("b4", "Senate Parliament")]
+    rows = [(f"a{k:02}", "Warsaw Parliament votes") for k in range(40)] + [
+        ("b1", "Warsaw Parliament and Senate"),
+        ("b2", "Warsaw alone"),
+        ("b3", None),
+        ("b4", "Senate Parliament")
+    ]
     got = {r.id: (r.class_id, r.links) for r in graph.token_pairs(_tables(topics=spark.createDataFrame(rows, "topic_id string, headline_pl string"))).collect()}
     assert got["a07"] == ("a00", 40) and got["b1"] == ("b1", 41) and got["b2"] == ("b2", 0) and got["b3"] == ("b3", 0) and got["b4"] == ("b4", 1)
     random.seed(4)
@@ -154,7 +172,13 @@ def test_token_links_without_a_cap(spark):
 def test_candidate_order_of_all_forms(spark):
     from tidewire.plans import times
 
-    rows = [("rfc", "Tue, 10 Feb 2026 00:00:00 GMT", None, None), ("iso", "2026-02-10T03:00:00+02:00", None, None), ("late", None, "2026-02-11", None), ("url", "soon", None, "https://x.example/2026/02/09/a"), ("none", None, None, "https://x.example/a")]
+    rows = [
+        ("rfc", "Tue, 10 Feb 2026 00:00:00 GMT", None, None),
+        ("iso", "2026-02-10T03:00:00+02:00", None, None),
+        ("late", None, "2026-02-11", None),
+        ("url", "soon", None, "https://x.example/2026/02/09/a"),
+        ("none", None, None, "https://x.example/a")
+    ]
     frame = spark.createDataFrame([(i, "s", p, u, c) for i, p, u, c in rows], "article_id string, source_id string, published_at string, updated_at string, canonical_url string")
     got = times.candidate_timestamp_order(_tables(articles=frame)).orderBy("place").collect()
     assert [r.article_id for r in got] == ["late", "iso", "rfc", "url", "none"]
@@ -164,9 +188,15 @@ def test_logical_duplicates(spark):
     from tidewire.plans import joins
 
     head = "The council of the city met on Monday to vote. " * 8
-    rows = [("a", "s", "k", "First sentence here. Second one follows. " + head, "COMPLETE", 2), ("b", "s", "k", "FIRST  sentence here.\nSecond one follows. Other text.", "EXCERPT", 1), ("c", "t", "k", "First sentence here. Second one follows. " + head, "COMPLETE", 0), ("d", "s", "other", "First sentence here. Second one follows. " + head, "COMPLETE", 0), ("e", "s", "k", "First sentence here. Second one follows.", "FAILED", 0)]
+    rows = [
+        ("a", "s", "k", "First sentence here. Second one follows. " + head, "COMPLETE", 2),
+        ("b", "s", "k", "FIRST  sentence here.\nSecond one follows. Other text.", "EXCERPT", 1),
+        ("c", "t", "k", "First sentence here. Second one follows. " + head, "COMPLETE", 0),
+        ("d", "s", "other", "First sentence here. Second one follows. " + head, "COMPLETE", 0),
+        ("e", "s", "k", "First sentence here. Second one follows.", "FAILED", 0)
+    ]
     frame = spark.createDataFrame(rows, "article_id string, source_id string, title_key string, body string, content_status string, first_seen_at int")
-    assert [tuple(r) for r in joins.logical_duplicates(_tables(articles=frame)).collect()] == [("a", "b")]
+    assert [tuple(r) for r in joins._logical(frame).collect()] == [("a", "b")]
 
 
 def test_versions_and_sessions_split_by_day(spark):
@@ -200,10 +230,36 @@ ITEMS = "item_id string, source_id string, candidate_url string, canonical_url s
 def test_save_items(spark):
     """Outcomes in order of arrival: what is inserted is known to the items behind it."""
     items = [
-        ("i1", "s", "u1", "u1", "t", "o", 200, "ARTICLE"), ("i2", "s", "u1?x", "u1", "t", "o", 200, "ARTICLE"), ("i3", "s", "u2", "u2", "t", "o", 200, "ARTICLE_EXCERPT"), ("i4", "s", "u2", "u2", "t", "o", 200, "ARTICLE"), ("i5", "s", "u3", "u3", "new", None, 99, "ARTICLE"),
-        ("i6", "s", "old", "old", "x", "y", 300, "ARTICLE"), ("i7", "s", "alias", "alias", "x", "y", 300, "ARTICLE"), ("i8", "s", "u8", "u8", "known", "kept", 300, "ARTICLE"), ("i9", "s", "u8", "u8", "known", "kept", 300, "ARTICLE"), ("j1", "s", "u9", "u9", "", None, 300, "ARTICLE"), ("j2", "s", "u10", "u10", "z", "z", 300, "UNKNOWN"),
+        ("i1", "s", "u1", "u1", "t", "o", 200, "ARTICLE"), ("i2", "s", "u1?x", "u1", "t", "o", 200, "ARTICLE"), (
+            "i3",
+            "s",
+            "u2",
+            "u2",
+            "t",
+            "o",
+            200,
+            "ARTICLE_EXCERPT"
+        ), ("i4", "s", "u2", "u2", "t", "o", 200, "ARTICLE"), ("i5", "s", "u3", "u3", "new", None, 99, "ARTICLE"),
+        ("i6", "s", "old", "old", "x", "y", 300, "ARTICLE"), ("i7", "s", "alias", "alias", "x", "y", 300, "ARTICLE"), (
+            "i8",
+            "s",
+            "u8",
+            "u8",
+            "known",
+            "kept",
+            300,
+            "ARTICLE"
+        ), ("i9", "s", "u8", "u8", "known", "kept", 300, "ARTICLE"), ("j1", "s", "u9", "u9", "", None, 300, "ARTICLE"), ("j2", "s", "u10", "u10", "z", "z", 300, "UNKNOWN"),
     ]
-    articles = spark.createDataFrame([("A1", "s", "old", "q", "q", "COMPLETE", 1), ("A2", "s", "k2", "known", "kept", "EXCERPT", 2), ("A3", "s", "k1", "known", "kept", "COMPLETE", 1), ("A4", "s", "k3", "known", "kept", "FAILED", 0)], "article_id string, source_id string, canonical_url string, title_key string, opening string, content_status string, first_seen_at int")
+    articles = spark.createDataFrame(
+        [
+            ("A1", "s", "old", "q", "q", "COMPLETE", 1),
+            ("A2", "s", "k2", "known", "kept", "EXCERPT", 2),
+            ("A3", "s", "k1", "known", "kept", "COMPLETE", 1),
+            ("A4", "s", "k3", "known", "kept", "FAILED", 0)
+        ],
+        "article_id string, source_id string, canonical_url string, title_key string, opening string, content_status string, first_seen_at int"
+    )
     aliases = spark.createDataFrame([("s", "alias", "A2")], "source_id string, candidate_url string, duplicate_of_article_id string")
     rejected = spark.createDataFrame([("s", "u3")], "source_id string, canonical_url string")
     got = {r.item_id: (r.outcome, r.target_id) for r in state.save_items(spark.createDataFrame(items, ITEMS), articles, aliases, rejected).collect()}
@@ -242,7 +298,12 @@ def test_addresses_resolve(spark):
 
     base = "https://Site.example/a/b/c.html?q=1"
     refs = ["x", "/x", "../x", "../../../x", "./", "..", "?z=1", "#f", "//h.example/p", "http://o.example", "mailto:a@b", "x/../y?k#f", "/a/./b/../c", ""]
-    got = [r.u for r in spark.createDataFrame([(k, r) for k, r in enumerate(refs)], "k int, r string").select("k", U.resolve(F.col("r"), F.lit(base)).alias("u")).orderBy("k").collect()]
+    got = [
+        r.u for r in spark.createDataFrame(
+            [(k, r) for k, r in enumerate(refs)],
+            "k int, r string"
+        ).select("k", U.resolve(F.col("r"), F.lit(base)).alias("u")).orderBy("k").collect()
+    ]
     want = [urljoin(base, r) for r in refs]
     assert [g.split("#")[0] for g in got] == [w.split("#")[0] for w in want]
     keys = F.array(F.lit("Ref"), F.lit(" "))
@@ -254,7 +315,13 @@ def test_claims_and_lanes(spark):
 
     sides = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
     row = spark.range(1).select(
-        ledger.coverage_mode(sides("STATE", "LEFT")), ledger.coverage_mode(sides("STATE")), ledger.coverage_mode(sides("LEFT", "CENTER")), ledger.lane(sides("LEFT", "STATE"), F.lit("MIXED")), ledger.lane(sides("RIGHT"), F.lit("SINGLE_RIGHT")), ledger.lane(sides("LEFT", "RIGHT"), F.lit("MIXED")), ledger.lane(sides("STATE"), F.lit("MIXED")),
-        ledger.usable_claim(F.lit("Start o 12:? jutro")), ledger.usable_claim(F.lit("Bez nowych informacji")), ledger.usable_claim(F.lit("Stwierdziłem to wczoraj")), ledger.compatible(F.lit("Zginęło 1,5 tysiąca osób w Łodzi"), F.lit("Zginęło 1 5 tysiąca osób w Łodzi")), ledger.compatible(F.lit("Rząd nie przyjął budżetu"), F.lit("Rząd przyjął budżet państwa")),
+        ledger.coverage_mode(sides("STATE", "LEFT")), ledger.coverage_mode(sides("STATE")), ledger.coverage_mode(sides("LEFT", "CENTER")), ledger.lane(
+            sides("LEFT", "STATE"),
+            F.lit("MIXED")
+        ), ledger.lane(sides("RIGHT"), F.lit("SINGLE_RIGHT")), ledger.lane(sides("LEFT", "RIGHT"), F.lit("MIXED")), ledger.lane(sides("STATE"), F.lit("MIXED")),
+        ledger.usable_claim(F.lit("Start o 12:? jutro")), ledger.usable_claim(F.lit("Bez nowych informacji")), ledger.usable_claim(F.lit("Stwierdziłem to wczoraj")), ledger.compatible(
+            F.lit("Zginęło 1,5 tysiąca osób w Łodzi"),
+            F.lit("Zginęło 1 5 tysiąca osób w Łodzi")
+        ), ledger.compatible(F.lit("Rząd nie przyjął budżetu"), F.lit("Rząd przyjął budżet państwa")),
     ).first()
     assert list(row) == ["SINGLE_LEFT", "STATE_ONLY", "MIXED", "LEFT", "COMMON", "COMMON", "STATE", False, False, True, False, False]

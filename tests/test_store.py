@@ -26,8 +26,14 @@ def test_pull_and_push(spark):
     got = store.pull_state(local, remote, {"t": ["id"], "u": ["id"]})
     assert sorted(tuple(r) for r in got["t"].collect()) == [("a", 1, "x"), ("b", 2, None), ("c", 3, None)] and got["u"].count() == 1
     tables = {
-        "runs": spark.createDataFrame([("r1", 5), ("r0", 1)], "run_id string, started_at int"), "articles": spark.createDataFrame([("a", 1), ("b", 6), ("c", 2)], "article_id string, first_seen_at int"),
-        "run_articles": spark.createDataFrame([("r1", "a", 0), ("r1", "b", 0), ("r1", "c", 1), ("r0", "a", 1)], "run_id string, article_id string, fetched_now int"), "results": spark.createDataFrame([("r1", "s")], "run_id string, source_id string"),
+        "runs": spark.createDataFrame([("r1", 5), ("r0", 1)], "run_id string, started_at int"), "articles": spark.createDataFrame(
+            [("a", 1), ("b", 6), ("c", 2)],
+            "article_id string, first_seen_at int"
+        ),
+        "run_articles": spark.createDataFrame(
+            [("r1", "a", 0), ("r1", "b", 0), ("r1", "c", 1), ("r0", "a", 1)],
+            "run_id string, article_id string, fetched_now int"
+        ), "results": spark.createDataFrame([("r1", "s")], "run_id string, source_id string"),
     }
     empty = {k: v.limit(0) for k, v in tables.items()}
     pushed, order = store.push_run("r1", tables, empty)
@@ -68,7 +74,10 @@ def test_reports(spark, tmp_path):
     assert spark.read.option("header", True).csv(paths["csv"]).orderBy("name").collect()[1].v == "1.234568"
     page = "".join(r[0] for r in spark.read.text(paths["html"]).collect())
     assert "&lt;a&gt;" in page and "Pairs &amp; more" in page and "<td><a>" not in page
-    probes = spark.createDataFrame([("s", "FULL", {"RSS": ("OK", 3, ""), "API": ("NONE", 0, "no endpoint")}, "all well")], "source_id string, status string, methods map<string,struct<status:string,items:int,notes:string>>, notes string")
+    probes = spark.createDataFrame(
+        [("s", "FULL", {"RSS": ("OK", 3, ""), "API": ("NONE", 0, "no endpoint")}, "all well")],
+        "source_id string, status string, methods map<string,struct<status:string,items:int,notes:string>>, notes string"
+    )
     assert sorted((r.method, r["items"], r.notes) for r in reports.flat_methods(probes).collect()) == [("API", 0, "no endpoint"), ("RSS", 3, "all well")]
     path = str(tmp_path / "jobs" / "state.json")
     assert reports.load_checkpoint(path) == {}

@@ -35,7 +35,34 @@ NON_DISTINCTIVE = tuple(
     rosyjski ukraina ukrainski unii unia unijne swiat swiata wielka wegry wegierski""".split()
 )
 # Inflection endings, tried in this order; a stem keeps at least five letters.
-SUFFIXES = ("owego", "owej", "owych", "owym", "owie", "ami", "ach", "ania", "enie", "enia", "eniu", "owy", "owa", "owe", "owi", "em", "om", "ie", "ia", "iu", "a", "e", "i", "y", "u", "o")
+SUFFIXES = (
+    "owego",
+    "owej",
+    "owych",
+    "owym",
+    "owie",
+    "ami",
+    "ach",
+    "ania",
+    "enie",
+    "enia",
+    "eniu",
+    "owy",
+    "owa",
+    "owe",
+    "owi",
+    "em",
+    "om",
+    "ie",
+    "ia",
+    "iu",
+    "a",
+    "e",
+    "i",
+    "y",
+    "u",
+    "o"
+)
 WORD = r"(\p{L}[\p{L}\p{N}_'-]{2,})"
 
 
@@ -138,7 +165,11 @@ def bases(c: Column) -> Column:
 
 def phrases(stem_array: Column) -> Column:
     """Pairs of successive different stems."""
-    pairs = F.zip_with(F.slice(stem_array, F.lit(1), F.greatest(F.size(stem_array) - 1, F.lit(0))), F.slice(stem_array, F.lit(2), F.greatest(F.size(stem_array) - 1, F.lit(0))), lambda a, b: F.when(a != b, F.concat(a, F.lit(" "), b)))
+    pairs = F.zip_with(
+        F.slice(stem_array, F.lit(1), F.greatest(F.size(stem_array) - 1, F.lit(0))),
+        F.slice(stem_array, F.lit(2), F.greatest(F.size(stem_array) - 1, F.lit(0))),
+        lambda a, b: F.when(a != b, F.concat(a, F.lit(" "), b))
+    )
     return F.array_distinct(F.filter(pairs, lambda x: x.isNotNull()))
 
 

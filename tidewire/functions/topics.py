@@ -11,7 +11,15 @@ from . import text as T
 TITLE = r"^\[([^\]\r\n]{2,80})\]\s+(\S.*)$"
 COMPOSITE = r"(?i),|/|&|\s+(?:i|oraz)\s+"
 SINGLE_COUNTRIES = ("antigua i barbuda", "bośnia i hercegowina", "trynidad i tobago", "wyspy świętego tomasza i książęca")
-PLACEHOLDERS = ("neutralna nazwa wydarzenia", "neutralny wspólny tytuł", "temat bez tytułu", "połączony temat", "konkretny tytuł", "konkretny tytuł wydarzenia", "wymaga doprecyzowania tematu")
+PLACEHOLDERS = (
+    "neutralna nazwa wydarzenia",
+    "neutralny wspólny tytuł",
+    "temat bez tytułu",
+    "połączony temat",
+    "konkretny tytuł",
+    "konkretny tytuł wydarzenia",
+    "wymaga doprecyzowania tematu"
+)
 PLACEHOLDER_OPENINGS = ("neutralna nazwa", "neutralny wspólny", "temat bez tytułu", "połączony temat")
 # Category names and what else they are called.
 CATEGORIES = {
@@ -110,14 +118,19 @@ def escaped_like(c: Column) -> Column:
 
 
 def technical_status(items: Column, bodies: Column, paywall: Column, captcha: Column) -> Column:
-    return F.when(bodies >= 5, "FULL").when((items > 0) & (bodies > 0), "PARTIAL").when(captcha, "CAPTCHA").when(paywall & (bodies == 0), "PAYWALL").when(items > 0, "METADATA_ONLY").otherwise("FAILED")
+    return F.when(bodies >= 5, "FULL").when(
+        (items > 0) & (bodies > 0),
+        "PARTIAL"
+    ).when(captcha, "CAPTCHA").when(paywall & (bodies == 0), "PAYWALL").when(items > 0, "METADATA_ONLY").otherwise("FAILED")
 
 
 def merge_text(title: Column, description: Column, titles: Column) -> Column:
     """What two topics are compared by: the title, and the description or else the first title of an article."""
     first = F.element_at(F.filter(F.transform(F.coalesce(titles, F.array().cast("array<string>")), F.trim), lambda x: x != ""), F.lit(1))
     said = F.trim(F.coalesce(description, F.lit("")))
-    said = F.when(said != "", said).otherwise(F.coalesce(F.when(F.size(F.filter(F.coalesce(titles, F.array().cast("array<string>")), lambda x: F.trim(x) != "")) > 0, first), F.lit("")))
+    said = F.when(said != "", said).otherwise(
+        F.coalesce(F.when(F.size(F.filter(F.coalesce(titles, F.array().cast("array<string>")), lambda x: F.trim(x) != "")) > 0, first), F.lit(""))
+    )
     return F.concat(F.lit("Tytuł wątku: "), F.substring(F.trim(F.coalesce(title, F.lit(""))), 1, 300), F.lit("\nOpis: "), F.substring(said, 1, 650))
 
 

@@ -31,7 +31,10 @@ def _without_dots(p: Column) -> Column:
     kept = F.aggregate(
         F.split(p, "/"),
         F.array().cast("array<string>"),
-        lambda out, x: F.when(x == "..", F.when(F.size(out) > 1, F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(out)).when(x == ".", out).otherwise(F.concat(out, F.array(x))),
+        lambda out, x: F.when(
+            x == "..",
+            F.when(F.size(out) > 1, F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(out)
+        ).when(x == ".", out).otherwise(F.concat(out, F.array(x))),
     )
     return F.concat(F.array_join(kept, "/"), F.when(p.rlike(r"(?:^|/)\.{1,2}$"), "/").otherwise(""))
 
@@ -61,7 +64,10 @@ def _form_encoded(text: Column) -> Column:
 def _query_without(url: Column, dropped) -> Column:
     """?query with every pair re-encoded, blank values kept, without the pairs whose key `dropped` says so of; nothing if none is left."""
     pairs = F.filter(F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&"), lambda p: p != "")
-    split = F.transform(pairs, lambda p: F.struct(_form_encoded(F.regexp_extract(p, r"^([^=]*)", 1)).alias("k"), _form_encoded(F.regexp_extract(p, r"^[^=]*=?(.*)$", 1)).alias("v")))
+    split = F.transform(
+        pairs,
+        lambda p: F.struct(_form_encoded(F.regexp_extract(p, r"^([^=]*)", 1)).alias("k"), _form_encoded(F.regexp_extract(p, r"^[^=]*=?(.*)$", 1)).alias("v"))
+    )
     kept = F.filter(split, lambda p: ~dropped(F.lower(p["k"])))
     return F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(F.transform(kept, lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&"))).otherwise("")
 
@@ -106,7 +112,10 @@ def hinted(p: Column) -> Column:
 
 def is_candidate(url: Column, homepage: Column, title_words: Column) -> Column:
     p = F.lower(path(url))
-    good = same_site(url, homepage) & ~p.isin("", "/") & ~_any(ASSET_SUFFIXES, lambda x: F.endswith(p, x)) & ~_any(IGNORED_PARTS, lambda x: F.contains(p, x)) & ~_any(ACCOUNT_PARTS, lambda x: F.startswith(p, x))
+    good = same_site(url, homepage) & ~p.isin("", "/") & ~_any(ASSET_SUFFIXES, lambda x: F.endswith(p, x)) & ~_any(IGNORED_PARTS, lambda x: F.contains(p, x)) & ~_any(
+        ACCOUNT_PARTS,
+        lambda x: F.startswith(p, x)
+    )
     return good & (~_any(ASSET_HOSTS, lambda x: F.contains(host(url), x)) | hinted(p)) & (hinted(p) | p.rlike(r"/20[0-9]{2}/") | F.endswith(p, F.lit(".html")) | (title_words >= 6))
 
 

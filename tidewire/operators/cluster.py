@@ -67,12 +67,25 @@ def _anchored_rounds(edges: DataFrame) -> DataFrame:
         ends = left.join(first.select(F.col("x").alias("a"), F.col("first").alias("fa")), "a").join(first.select(F.col("x").alias("b"), F.col("first").alias("fb")), "b")
         seeds = cut_lineage(ends.where("o = fa and o = fb").select("a", "b", F.col("score").alias("anchor_score")))
         to = lambda end, name: both.select(F.col("x").alias(end), F.col("y").alias("member"), F.col("score").alias(name))
-        members = seeds.join(to("a", "sa"), "a").join(to("b", "sb"), ["b", "member"]).select("a", "b", "anchor_score", "member", F.lit(False).alias("is_anchor"), F.least("sa", "sb").alias("near"))
+        members = seeds.join(to("a", "sa"), "a").join(to("b", "sb"), ["b", "member"]).select(
+            "a",
+            "b",
+            "anchor_score",
+            "member",
+            F.lit(False).alias("is_anchor"),
+            F.least("sa", "sb").alias("near")
+        )
         anchors = seeds.select("a", "b", "anchor_score", F.explode(F.array("a", "b")).alias("member"), F.lit(True).alias("is_anchor"), F.col("anchor_score").alias("near"))
         taken = cut_lineage(anchors.unionByName(members))
         out.append(taken)
         gone = taken.select("member").dropDuplicates(["member"])
-        left = cut_lineage(left.join(gone.withColumnRenamed("member", "a"), "a", "left_anti").join(gone.withColumnRenamed("member", "b"), "b", "left_anti").select("a", "b", "score", "o"))
+        left = cut_lineage(
+            left.join(
+                gone.withColumnRenamed("member", "a"),
+                "a",
+                "left_anti"
+            ).join(gone.withColumnRenamed("member", "b"), "b", "left_anti").select("a", "b", "score", "o")
+        )
     rows = out[0]
     for part in out[1:]:
         rows = rows.unionByName(part)

@@ -139,7 +139,11 @@ def found_instants(articles: DataFrame, sources: DataFrame) -> DataFrame:
     measured size allows, else it is a normal equi join.
     """
     src = sources.select(F.col("source_id").alias("__sid"), F.col("time_zone").alias("__tz"), F.col("date_order").alias("__order")).dropDuplicates(["__sid"])
-    rows = articles.select("article_id", "source_id", F.explode(F.create_map(F.lit("published_at"), F.col("published_at"), F.lit("updated_at"), F.col("updated_at"))).alias("field", "__text"))
+    rows = articles.select(
+        "article_id",
+        "source_id",
+        F.explode(F.create_map(F.lit("published_at"), F.col("published_at"), F.lit("updated_at"), F.col("updated_at"))).alias("field", "__text")
+    )
     rows = rows.where(F.col("__text").isNotNull() & (F.trim("__text") != ""))
     rows = rows.join(src, F.col("source_id") == F.col("__sid"), "left")
     rows = with_epoch(rows, "__text", "__tz", "__order", "epoch_s")

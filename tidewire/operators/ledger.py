@@ -45,7 +45,10 @@ def compatible(a: Column, b: Column) -> Column:
 def side(profile: Column, kind: Column) -> Column:
     """STATE, LEFT, RIGHT or CENTER of an article's source; null for a profile that is none of them."""
     p = F.upper(F.trim(F.coalesce(profile, F.lit(""))))
-    return F.when(p.isin(*STATE) | (F.upper(F.trim(F.coalesce(kind, F.lit("")))) == "STATE_MEDIA"), "STATE").when(p.isin(*LEFT), "LEFT").when(p.isin(*RIGHT), "RIGHT").when(p.isin(*CENTER), "CENTER")
+    return F.when(
+        p.isin(*STATE) | (F.upper(F.trim(F.coalesce(kind, F.lit("")))) == "STATE_MEDIA"),
+        "STATE"
+    ).when(p.isin(*LEFT), "LEFT").when(p.isin(*RIGHT), "RIGHT").when(p.isin(*CENTER), "CENTER")
 
 
 def coverage_mode(sides: Column) -> Column:
@@ -73,7 +76,15 @@ def route_claims(claims: DataFrame) -> DataFrame:
     # at most four sides a topic
     modes = keyed.groupBy("topic").agg(coverage_mode(F.collect_set("side")).alias("mode"))
     own = F.when(F.col("f.kind") == "EDITORIAL", "EDITORIAL").otherwise(lane(F.col("sides"), F.col("mode")))
-    return by.join(modes, "topic").select("topic", F.concat(F.lit("fact_"), F.substring(F.sha2("fact_key", 256), 1, 24)).alias("fact_id"), "fact_key", F.col("f.text").alias("text"), F.col("f.kind").alias("kind"), own.alias("lane"), "support")
+    return by.join(modes, "topic").select(
+        "topic",
+        F.concat(F.lit("fact_"), F.substring(F.sha2("fact_key", 256), 1, 24)).alias("fact_id"),
+        "fact_key",
+        F.col("f.text").alias("text"),
+        F.col("f.kind").alias("kind"),
+        own.alias("lane"),
+        "support"
+    )
 
 
 def merge_publications(facts: DataFrame, mapping: DataFrame) -> DataFrame:

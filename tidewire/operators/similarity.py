@@ -37,7 +37,14 @@ def _packed(rows: DataFrame, blocks: int, kind: str) -> DataFrame:
             out["width"].append(int(w))
             out["ids"].append(own.column("id").to_pylist())
             out["m"].append(np.ascontiguousarray(flat, np.float64).tobytes())
-        return pa.table({"k": pa.array(out["k"], pa.int32()), "width": pa.array(out["width"], pa.int32()), "ids": pa.array(out["ids"], pa.list_(part.schema.field("id").type)), "m": pa.array(out["m"], pa.binary())})
+        return pa.table(
+            {
+                "k": pa.array(out["k"], pa.int32()),
+                "width": pa.array(out["width"], pa.int32()),
+                "ids": pa.array(out["ids"], pa.list_(part.schema.field("id").type)),
+                "m": pa.array(out["m"], pa.binary())
+            }
+        )
 
     dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("k"), F.size("v").alias("width"), "id", "v")
     return dealt.groupBy("k").applyInArrow(pack, f"k int, width int, ids array<{kind}>, m binary")
@@ -59,7 +66,12 @@ def cosine_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", v
         pairs = left.join(right, "width").where("x <= y")
     else:
         marked = rows.join(focus.select(F.col(id_col).alias("id")).dropDuplicates(["id"]), "id", "left_semi")
-        left = _packed(marked, blocks or max(1, -(-marked.count() // BLOCK)), kind).select(F.col("k").alias("x"), "width", F.col("ids").alias("left_ids"), F.col("m").alias("left_m"))
+        left = _packed(marked, blocks or max(1, -(-marked.count() // BLOCK)), kind).select(
+            F.col("k").alias("x"),
+            "width",
+            F.col("ids").alias("left_ids"),
+            F.col("m").alias("left_m")
+        )
         pairs = left.join(right, "width")
     whole = focus is None
 
@@ -78,7 +90,13 @@ def cosine_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", v
                 elif not whole:
                     # two of the focus meet from either side
                     keep &= ~(np.isin(b, ids) & (a > b))
-                yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)[keep].tolist(), batch.schema.field("left_ids").type.value_type), "b": pa.array(np.maximum(a, b)[keep].tolist(), batch.schema.field("left_ids").type.value_type), "similarity": pa.array(np.round(s[i, j][keep], 12))})
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "a": pa.array(np.minimum(a, b)[keep].tolist(), batch.schema.field("left_ids").type.value_type),
+                        "b": pa.array(np.maximum(a, b)[keep].tolist(), batch.schema.field("left_ids").type.value_type),
+                        "similarity": pa.array(np.round(s[i, j][keep], 12))
+                    }
+                )
 
     out = pairs.select("x", "y", "width", "left_ids", "left_m", "right_ids", "right_m").mapInArrow(multiply, f"a {kind}, b {kind}, similarity double")
     # pairs within the focus may meet in two pairs of blocks
@@ -94,13 +112,29 @@ def lexical_edges(items: DataFrame, id_col: str, text_cols: list[str]) -> DataFr
     rows = items.where(F.col(id_col).isNotNull())
     total = rows.agg(F.count_distinct(id_col)).first()[0]
     stem_cut, phrase_cut = max(8, min(30, total // 5 or 1)), max(5, min(20, total // 10 or 1))
-    per = rows.select(F.col(id_col).alias("id"), *[T.stems(F.col(c)).alias(f"s{k}") for k, c in enumerate(text_cols)], *[T.bases(F.col(c)).alias(f"e{k}") for k, c in enumerate(text_cols)])
+    per = rows.select(
+        F.col(id_col).alias("id"),
+        *[T.stems(F.col(c)).alias(f"s{k}") for k, c in enumerate(text_cols)],
+        *[T.bases(F.col(c)).alias(f"e{k}") for k, c in enumerate(text_cols)]
+    )
     n = len(text_cols)
-    gathered = per.select("id", F.concat(*[F.col(f"s{k}") for k in range(n)]).alias("s"), F.concat(*[T.phrases(F.col(f"s{k}")) for k in range(n)]).alias("p"), F.concat(*[F.col(f"e{k}") for k in range(n)]).alias("e"))
-    tokens = gathered.select("id", F.explode("s").alias("t"), F.lit("s").alias("kind")).unionByName(gathered.select("id", F.explode("p").alias("t"), F.lit("p").alias("kind"))).unionByName(gathered.select("id", F.explode("e").alias("t"), F.lit("e").alias("kind"))).dropDuplicates(["kind", "t", "id"])
-    often = tokens.where("kind <> 'e'").groupBy("kind", "t").agg(F.count("*").alias("df")).where((F.col("df") > 1) & (F.col("df") <= F.when(F.col("kind") == "s", stem_cut).otherwise(phrase_cut)))
+    gathered = per.select(
+        "id",
+        F.concat(*[F.col(f"s{k}") for k in range(n)]).alias("s"),
+        F.concat(*[T.phrases(F.col(f"s{k}")) for k in range(n)]).alias("p"),
+        F.concat(*[F.col(f"e{k}") for k in range(n)]).alias("e")
+    )
+    tokens = gathered.select("id", F.explode("s").alias("t"), F.lit("s").alias("kind")).unionByName(
+        gathered.select("id", F.explode("p").alias("t"), F.lit("p").alias("kind"))
+    ).unionByName(gathered.select("id", F.explode("e").alias("t"), F.lit("e").alias("kind"))).dropDuplicates(["kind", "t", "id"])
+    often = tokens.where("kind <> 'e'").groupBy("kind", "t").agg(F.count("*").alias("df")).where(
+        (F.col("df") > 1) & (F.col("df") <= F.when(F.col("kind") == "s", stem_cut).otherwise(phrase_cut))
+    )
     rare = tokens.join(often.select("kind", "t"), ["kind", "t"])
-    met = rare.alias("x").join(rare.alias("y"), ["kind", "t"]).where("x.id < y.id").groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count(F.when(F.col("kind") == "s", 1)).alias("stems"), F.count(F.when(F.col("kind") == "p", 1)).alias("phrases"))
+    met = rare.alias("x").join(rare.alias("y"), ["kind", "t"]).where("x.id < y.id").groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(
+        F.count(F.when(F.col("kind") == "s", 1)).alias("stems"),
+        F.count(F.when(F.col("kind") == "p", 1)).alias("phrases")
+    )
     edges = met.where("stems >= 3 or phrases >= 1")
     # exact tokens count without a cut, but only for pairs that are edges already
     e = tokens.where("kind = 'e'").groupBy("id").agg(F.collect_set("t").alias("e"))
@@ -116,7 +150,10 @@ def token_set_links(items: DataFrame, id_col: str, tokens_col: str, least: int =
     pairs of rows: a block gives one count a class. Items with fewer tokens have no links; null ids are left out.
     """
     kind = dict(items.dtypes)[id_col]
-    rows = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(F.coalesce(tokens_col, F.array().cast("array<string>")))).alias("t")).dropDuplicates(["id"])
+    rows = items.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("id"),
+        F.array_sort(F.array_distinct(F.coalesce(tokens_col, F.array().cast("array<string>")))).alias("t")
+    ).dropDuplicates(["id"])
     classes = cut_lineage(rows.groupBy("t").agg(F.min("id").alias("class_id"), F.count("*").alias("n")))
     full = classes.where(F.size("t") >= least)
     blocks = max(1, -(-full.count() // block))
@@ -147,5 +184,9 @@ def token_set_links(items: DataFrame, id_col: str, tokens_col: str, least: int =
 
     counted = pairs.select("x", "y", "l", "r").mapInArrow(count, f"class_id {kind}, links bigint").groupBy("class_id").agg(F.sum("links").alias("links"))
     # copies within a class share all their tokens
-    own = classes.join(counted, "class_id", "left").select("t", "class_id", (F.coalesce("links", F.lit(0)) + F.when(F.size("t") >= least, F.col("n") - 1).otherwise(0)).alias("links"))
+    own = classes.join(counted, "class_id", "left").select(
+        "t",
+        "class_id",
+        (F.coalesce("links", F.lit(0)) + F.when(F.size("t") >= least, F.col("n") - 1).otherwise(0)).alias("links")
+    )
     return rows.join(own, "t").select("id", "class_id", "links")

@@ -47,13 +47,21 @@ def versions(rows: DataFrame, keys: list[str], time: str, order: str, payload: s
     at = F.struct(time, order)
     days = _days(rows, keys, time, {"__n": F.count("*"), "__last": F.max_by(F.struct(payload), at)})
     w = Window.partitionBy(*keys).orderBy("__day")
-    carried = days.select(*keys, "__day", F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.lag("__last").over(w).alias("__carried"))
+    carried = days.select(
+        *keys,
+        "__day",
+        F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
+        F.lag("__last").over(w).alias("__carried")
+    )
     inside = Window.partitionBy(*keys, "__day").orderBy(time, order)
     joined = rows.withColumn("__day", F.to_date(time)).join(carried, [*keys, "__day"])
     number = F.row_number().over(inside)
     previous = F.coalesce(F.lag(F.struct(payload)).over(inside), F.col("__carried"))
     numbered = joined.withColumn("version", F.col("__before") + number).withColumn("__previous", previous)
-    return numbered.withColumn("changed", F.col("__previous").isNull() | ~F.col(payload).eqNullSafe(F.col(f"__previous.{payload}"))).drop("__day", "__before", "__carried", "__previous")
+    return numbered.withColumn(
+        "changed",
+        F.col("__previous").isNull() | ~F.col(payload).eqNullSafe(F.col(f"__previous.{payload}"))
+    ).drop("__day", "__before", "__carried", "__previous")
 
 
 def sessions(rows: DataFrame, key: str, time: str, order: str, gap: str) -> DataFrame:
@@ -68,7 +76,11 @@ def sessions(rows: DataFrame, key: str, time: str, order: str, gap: str) -> Data
     marked = marked.withColumn("__inside", F.sum("__fresh").over(inside))
     by = marked.groupBy(key, "__day", "__inside").agg(F.count("*").alias("events"), F.min(time).alias("first_ts"), F.max(time).alias("last_ts"))
     # a day's first rows may go on with the last session of the days before: its number there is 0
-    starts = by.groupBy(key, "__day").agg(F.max("__inside").alias("__n")).select(key, "__day", F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    starts = by.groupBy(key, "__day").agg(F.max("__inside").alias("__n")).select(
+        key,
+        "__day",
+        F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before")
+    )
     numbered = by.join(starts, [key, "__day"]).withColumn("session_no", F.col("__before") + F.col("__inside"))
     return numbered.groupBy(key, "session_no").agg(F.sum("events").alias("events"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
 
@@ -114,11 +126,21 @@ def save_items(items: DataFrame, articles: DataFrame, aliases: DataFrame, reject
         .otherwise("inserted")
     )
     target = F.when(F.col("outcome") == "rejected", None).otherwise(F.coalesce("direct", "by_alias", "owner"))
-    reason = F.when((F.col("outcome") == "existing") & (F.col("candidate_url") != F.col("canonical_url")), "REDIRECTS_TO_EXISTING_CANONICAL").when(F.col("outcome") == "duplicate", "SAME_TITLE_AND_FIRST_TWO_SENTENCES")
+    reason = F.when(
+        (F.col("outcome") == "existing") & (F.col("candidate_url") != F.col("canonical_url")),
+        "REDIRECTS_TO_EXISTING_CANONICAL"
+    ).when(F.col("outcome") == "duplicate", "SAME_TITLE_AND_FIRST_TWO_SENTENCES")
     return z.withColumn("outcome", outcome).select("item_id", "outcome", target.alias("target_id"), reason.alias("alias_reason"))
 
 
-def replace_if_unchanged(current: DataFrame, history: DataFrame, expected: DataFrame, replacement: DataFrame, expected_history: DataFrame, new_history: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def replace_if_unchanged(
+    current: DataFrame,
+    history: DataFrame,
+    expected: DataFrame,
+    replacement: DataFrame,
+    expected_history: DataFrame,
+    new_history: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Compare and swap of versioned documents: (current, history, outcome by topic).
 
     current, expected and replacement: (topic_id, version, payload); the histories: (topic_id, version, run_id, article_ids, payload). A topic's outcome is

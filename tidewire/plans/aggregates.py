@@ -50,7 +50,11 @@ def categories_ordered_array(t):
     from events group by user_id""")
 def assignment_evidence(t):
     kinds = F.array_join(F.array_sort(F.collect_set(F.when(F.col("value") > 50, F.col("event_type")))), ",")
-    return t("events").groupBy("user_id").agg(F.when(kinds != "", kinds).alias("strong_types"), F.max("value").alias("top_value"), F.bool_or(F.col("event_type") == "error").alias("had_error"))
+    return t("events").groupBy("user_id").agg(
+        F.when(kinds != "", kinds).alias("strong_types"),
+        F.max("value").alias("top_value"),
+        F.bool_or(F.col("event_type") == "error").alias("had_error")
+    )
 
 
 @query("select title_key, string_agg(distinct source_name, '; ' order by source_name) as source_names from articles group by title_key")
@@ -134,7 +138,11 @@ def header_stats(t):
     a = t("articles").select("article_id", "source_id", "fetched_at")
     x = a.crossJoin(F.broadcast(a.agg(F.max("fetched_at").alias("m"))))
     recent = F.col("fetched_at") >= F.col("m") - F.expr("interval 24 hours")
-    return x.agg(F.count_distinct(F.when(recent, F.col("article_id"))).alias("current_articles"), F.count_distinct(F.when(~recent, F.col("article_id"))).alias("past_articles"), F.count_distinct("source_id").alias("sources"))
+    return x.agg(
+        F.count_distinct(F.when(recent, F.col("article_id"))).alias("current_articles"),
+        F.count_distinct(F.when(~recent, F.col("article_id"))).alias("past_articles"),
+        F.count_distinct("source_id").alias("sources")
+    )
 
 
 @query(f"""select source_id, cast(fetched_at as date) as day, article_id from (select *, row_number() over (partition by source_id, cast(fetched_at as date) order by fetched_at, article_id) k from {ARTICLES}) where k <= 3""")
@@ -142,12 +150,19 @@ def daily_cap(t):
     """The first three of a source and day: the running count stays under the cap."""
     day = F.to_date("fetched_at")
     w = Window.partitionBy("source_id", "day").orderBy("fetched_at", "article_id")
-    return articles(t).select("source_id", day.alias("day"), "fetched_at", "article_id").withColumn("k", F.row_number().over(w)).where("k <= 3").select("source_id", "day", "article_id")
+    return articles(t).select(
+        "source_id",
+        day.alias("day"),
+        "fetched_at",
+        "article_id"
+    ).withColumn("k", F.row_number().over(w)).where("k <= 3").select("source_id", "day", "article_id")
 
 
 @query("select user_id, cast(ts as date) as day, coalesce(sum(value) filter (where event_type = 'purchase'), 0) as purchases from events group by 1, 2")
 def daily_sums(t):
-    return t("events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.coalesce(F.sum(F.when(F.col("event_type") == "purchase", F.col("value"))), F.lit(0.0)).alias("purchases"))
+    return t("events").groupBy("user_id", F.to_date("ts").alias("day")).agg(
+        F.coalesce(F.sum(F.when(F.col("event_type") == "purchase", F.col("value"))), F.lit(0.0)).alias("purchases")
+    )
 
 
 @query("select event_id, user_id, event_type from events order by ts desc, event_id desc limit 1")
@@ -172,7 +187,8 @@ def _pairs(t):
 _BUCKET = "case when c >= th + 0.03 then 'SELECTED_HIGH_SCORE' when c >= th then 'SELECTED_NEAR_THRESHOLD' when c >= th - 0.03 then 'BELOW_THRESHOLD' else 'FAR' end"
 
 
-@query(f"select bucket, a, b, round(c, 9) as score, k as place from (select *, row_number() over (partition by bucket order by abs(c - th), a, b, c) k from (select *, {_BUCKET} as bucket from {_PAIRS})) where k <= 5")
+@query(f"""select bucket, a, b, round(c, 9) as score, k as place from (select *, row_number() over (partition by bucket
+    order by abs(c - th), a, b, c) k from (select *, {_BUCKET} as bucket from {_PAIRS})) where k <= 5""")
 def topk_per_bucket(t):
     p = _pairs(t).withColumn("bucket", F.expr(_BUCKET))
     k = F.row_number().over(Window.partitionBy("bucket").orderBy(F.abs(F.col("c") - F.col("th")), "a", "b", "c"))
@@ -184,7 +200,8 @@ def score_histogram(t):
     return _pairs(t).groupBy(F.floor(F.col("c") * 50).alias("band")).agg(F.count("*").alias("pairs"), F.round(F.min("c"), 9).alias("lowest"))
 
 
-@query(f"""with bands as (select n as band from generate_series(30, 49) g(n)), s as (select cast(floor(c * 50) as bigint) band, a, b, c, row_number() over (partition by floor(c * 50) order by c, a, b) k from {_PAIRS})
+@query(f"""with bands as (select n as band from generate_series(30, 49) g(n)), s as (select cast(floor(c * 50) as bigint) band,
+    a, b, c, row_number() over (partition by floor(c * 50) order by c, a, b) k from {_PAIRS})
     select bands.band, s.a, s.b, round(s.c, 9) as score from bands left join s on s.band = bands.band and s.k <= 5""")
 def score_band_samples(t):
     """The five lowest scores of each band; bands without pairs keep an empty row (a left lateral top-k)."""
@@ -205,7 +222,8 @@ def count_over_partition(t):
     return e.select("event_type", "event_id").join(totals.drop("v").crossJoin(every), "event_type")
 
 
-@query("select user_id, event_id, row_number() over w as version, event_type is distinct from lag(event_type) over w or row_number() over w = 1 as changed from events window w as (partition by user_id order by ts, event_id)")
+@query("""select user_id, event_id, row_number() over w as version, event_type is distinct from lag(event_type) over w
+    or row_number() over w = 1 as changed from events window w as (partition by user_id order by ts, event_id)""")
 def version_numbering(t):
     return state.versions(t("events"), ["user_id"], "ts", "event_id", "event_type").select("user_id", "event_id", F.col("version").cast("bigint").alias("version"), "changed")
 
@@ -217,7 +235,8 @@ def first_n_per_section(t):
 
 
 @query(f"""with r as (select title_key, author, section, source_profile, row_number() over (partition by title_key order by fetched_at, article_id) k from {ARTICLES})
-    select title_key, min_by(author, k) filter (where trim(author) <> '') as author, min_by(section, k) filter (where trim(section) <> '') as section, min_by(source_profile, k) filter (where trim(source_profile) <> '') as source_profile from r group by title_key""")
+    select title_key, min_by(author, k) filter (where trim(author) <> '') as author, min_by(section, k) filter (where trim(section) <> '') as section,
+        min_by(source_profile, k) filter (where trim(source_profile) <> '') as source_profile from r group by title_key""")
 def keep_first_enrichment(t):
     """The order is a struct inside the aggregate, so values are combined before the shuffle and no group is sorted."""
     r = articles(t).select("title_key", "author", "section", "source_profile", F.struct("fetched_at", "article_id").alias("k"))
@@ -239,19 +258,29 @@ def source_share_of_max(t):
     bool_and(coalesce(n_chars, 0) > 0) as all_filled from documents group by 1""")
 def run_totals(t):
     key = F.coalesce(F.when(F.trim("source") != "", F.trim("source")), F.lit("none"))
-    return t("documents").groupBy(key.alias("source")).agg(F.count("*").alias("documents"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("chars"), F.count(F.when(F.col("lang").isNull(), 1)).alias("unlabelled"), F.bool_and(F.coalesce("n_chars", F.lit(0)) > 0).alias("all_filled"))
+    return t("documents").groupBy(key.alias("source")).agg(
+        F.count("*").alias("documents"),
+        F.coalesce(F.sum("n_chars"), F.lit(0)).alias("chars"),
+        F.count(F.when(F.col("lang").isNull(), 1)).alias("unlabelled"),
+        F.bool_and(F.coalesce("n_chars", F.lit(0)) > 0).alias("all_filled")
+    )
 
 
 @query("""select o_orderpriority, count(distinct o_custkey) as customers, max_by(o_orderkey, (o_totalprice, o_orderkey)) as dearest, round(sum(o_totalprice), 2) as total from orders group by 1""")
 def max_by_totals(t):
-    return t("orders").groupBy("o_orderpriority").agg(F.count_distinct("o_custkey").alias("customers"), F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("dearest"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return t("orders").groupBy("o_orderpriority").agg(
+        F.count_distinct("o_custkey").alias("customers"),
+        F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("dearest"),
+        F.round(F.sum("o_totalprice"), 2).alias("total")
+    )
 
 
 #: Topics that the tables don't hold: state media with one side, with both, alone, and a publisher without a profile.
 PLANTED_SIDES = [("planted one", "STATE", "PORTAL"), ("planted one", "LEFT", "PORTAL"), ("planted two", "STATE_MEDIA", None), ("planted two", "CENTER_LEFT", "PORTAL"), ("planted two", "RIGHT", "PORTAL"), ("planted three", "CENTER", "STATE_MEDIA"),
     ("planted four", "CENTER_RIGHT", "PORTAL"), ("planted four", "UNCLASSIFIED", "PORTAL"), ("planted five", " center ", "AGENCY")]
 _SIDES = f"""(select title_key, case when upper(trim(coalesce(source_profile, ''))) in ('STATE_ALIGNED', 'STATE_MEDIA', 'STATE') or upper(trim(coalesce(source_type, ''))) = 'STATE_MEDIA' then 'STATE'
-    when upper(trim(source_profile)) in ('LEFT', 'CENTER_LEFT') then 'LEFT' when upper(trim(source_profile)) in ('RIGHT', 'CENTER_RIGHT') then 'RIGHT' when upper(trim(source_profile)) = 'CENTER' then 'CENTER' end as side
+    when upper(trim(source_profile)) in ('LEFT', 'CENTER_LEFT') then 'LEFT' when upper(trim(source_profile)) in ('RIGHT',
+        'CENTER_RIGHT') then 'RIGHT' when upper(trim(source_profile)) = 'CENTER' then 'CENTER' end as side
     from (select title_key, source_profile, source_type from articles union all select * from {sql_values(PLANTED_SIDES)} v(title_key, source_profile, source_type)))"""
 
 

@@ -38,7 +38,9 @@ def neighbour_rank(t):
 
     asked = F.col("id") % 20 == 0
     p = _round(similarity.cosine_pairs(t("embeddings"), PAIRS_AT, focus=t("embeddings").where("vec_id % 20 = 0")))
-    both = p.select(F.col("a").alias("id"), F.col("b").alias("other"), "similarity").unionByName(p.select(F.col("b").alias("id"), F.col("a").alias("other"), "similarity")).where(asked)
+    both = p.select(F.col("a").alias("id"), F.col("b").alias("other"), "similarity").unionByName(
+        p.select(F.col("b").alias("id"), F.col("a").alias("other"), "similarity")
+    ).where(asked)
     return both.select("id", "other", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), F.desc("other"))).cast("bigint").alias("place"))
 
 
@@ -67,15 +69,23 @@ def connected_components(t):
     return cluster.components(_edges(t))
 
 
-@query(f"{_REACH} select c.c as component, count(*) as members, min(n) as canonical, string_agg(distinct cast(label as varchar), ',' order by cast(label as varchar)) as labels from c join embeddings on vec_id = n group by c.c")
+@query(f"""{_REACH} select c.c as component, count(*) as members, min(n) as canonical, string_agg(distinct cast(label as varchar),
+    ',' order by cast(label as varchar)) as labels from c join embeddings on vec_id = n group by c.c""")
 def merge_remap_recount(t):
     """Counters after the groups are merged into their canonical member."""
     c = cluster.components(_edges(t)).join(t("embeddings").select(F.col("vec_id").alias("node"), "label"), "node")
-    return c.groupBy("component").agg(F.count("*").alias("members"), F.min("node").alias("canonical"), F.array_join(F.array_sort(F.collect_set(F.col("label").cast("string"))), ",").alias("labels"))
+    return c.groupBy("component").agg(
+        F.count("*").alias("members"),
+        F.min("node").alias("canonical"),
+        F.array_join(F.array_sort(F.collect_set(F.col("label").cast("string"))), ",").alias("labels")
+    )
 
 
-_LINKED = """with recursive e as (select distinct least(trim(topic_id_a), trim(topic_id_b)) a, greatest(trim(topic_id_a), trim(topic_id_b)) b from pairs where trim(topic_id_a) <> trim(topic_id_b) and trim(topic_id_a) <> '' and trim(topic_id_b) <> '' and "current" >= 0.9 and not isnan("current")),
-    g as (select a, b from e union all select b, a from e), r(n, m) as (select a, a from g union select g.b, r.m from r join g on g.a = r.n where r.m < g.b), c as (select n, min(m) c from r group by n)"""
+_LINKED = """with recursive e as (select distinct least(trim(topic_id_a), trim(topic_id_b)) a, greatest(trim(topic_id_a),
+    trim(topic_id_b)) b from pairs where trim(topic_id_a) <> trim(topic_id_b) and trim(topic_id_a) <> '' and trim(topic_id_b) <> ''
+    and "current" >= 0.9 and not isnan("current")),
+    g as (select a, b from e union all select b, a from e), r(n, m) as (select a, a from g union select g.b, r.m
+        from r join g on g.a = r.n where r.m < g.b), c as (select n, min(m) c from r group by n)"""
 
 
 def _linked(t):
@@ -87,18 +97,39 @@ def _linked(t):
 def canonical_choice(t):
     """The topic that a merged group keeps: one with a reviewed synthesis before others, then the first seen, the one of most articles, the smallest id."""
     x = _linked(t).join(t("topics").withColumnRenamed("topic_id", "node"), "node", "left")
-    key = F.struct(F.coalesce("needs_review", F.lit(True)), F.col("first_seen_at").isNull(), F.coalesce("first_seen_at", F.to_timestamp(F.lit("9999-12-31 23:59:59+00:00"))), -F.coalesce("article_count", F.lit(0)), F.col("node"))
+    key = F.struct(
+        F.coalesce("needs_review", F.lit(True)),
+        F.col("first_seen_at").isNull(),
+        F.coalesce("first_seen_at", F.to_timestamp(F.lit("9999-12-31 23:59:59+00:00"))),
+        -F.coalesce("article_count", F.lit(0)),
+        F.col("node")
+    )
     return x.groupBy("component").agg(F.min_by("node", key).alias("canonical"))
 
 
-@query(f"""{_LINKED}, k as (select c, arg_min(n, (coalesce(needs_review, true), first_seen_at is null, coalesce(first_seen_at, timestamptz '9999-12-31 23:59:59+00'), -coalesce(article_count, 0), n)) as canonical from c left join topics on topic_id = n group by c)
-    select canonical as topic_id, min(first_seen_at) as first_seen_at, max(last_seen_at) as last_seen_at, bool_or(coalesce(needs_review, false)) as needs_review, sum(coalesce(article_count, 0)) as article_count, count(*) as merged from c join k using (c) left join topics on topic_id = n group by 1 having count(*) >= 2""")
+@query(f"""{_LINKED}, k as (select c, arg_min(n, (coalesce(needs_review, true), first_seen_at is null, coalesce(first_seen_at,
+    timestamptz '9999-12-31 23:59:59+00'), -coalesce(article_count, 0), n)) as canonical from c left join topics on topic_id = n
+    group by c)
+    select canonical as topic_id, min(first_seen_at) as first_seen_at, max(last_seen_at) as last_seen_at, bool_or(coalesce(needs_review,
+        false)) as needs_review, sum(coalesce(article_count, 0)) as article_count, count(*) as merged from c join k using (c)
+        left join topics on topic_id = n group by 1 having count(*) >= 2""")
 def merged_topics(t):
     """Groups merged into their canonical topic: earliest and latest sight, any review, articles together."""
     x = _linked(t).join(t("topics").withColumnRenamed("topic_id", "node"), "node", "left")
     return x.groupBy("component").agg(
-        F.min_by("node", F.struct(F.coalesce("needs_review", F.lit(True)), F.col("first_seen_at").isNull(), F.coalesce("first_seen_at", F.to_timestamp(F.lit("9999-12-31 23:59:59+00:00"))), -F.coalesce("article_count", F.lit(0)), F.col("node"))).alias("topic_id"),
-        F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"), F.bool_or(F.coalesce("needs_review", F.lit(False))).alias("needs_review"), F.sum(F.coalesce("article_count", F.lit(0))).alias("article_count"), F.count("*").alias("merged"),
+        F.min_by(
+            "node",
+            F.struct(
+                F.coalesce("needs_review", F.lit(True)),
+                F.col("first_seen_at").isNull(),
+                F.coalesce("first_seen_at", F.to_timestamp(F.lit("9999-12-31 23:59:59+00:00"))),
+                -F.coalesce("article_count", F.lit(0)),
+                F.col("node")
+            )
+        ).alias("topic_id"),
+        F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"), F.bool_or(
+            F.coalesce("needs_review", F.lit(False))
+        ).alias("needs_review"), F.sum(F.coalesce("article_count", F.lit(0))).alias("article_count"), F.count("*").alias("merged"),
     ).where("merged >= 2").drop("component")
 
 
@@ -111,16 +142,23 @@ def focus_after_merge(t):
 
 _ADJACENT = "j as (select th, n, list(m) l from (select th, a n, b m from e union all select th, b, a from e) group by 1, 2)"
 # one edge after another, strongest first, with the list of nodes taken so far
-_ANCHORED = f"""with recursive w as (select th, a, b, round(s, 12) s from {_COS}, (values (0.36), (0.40), (0.44), (0.48)) v(th) where s >= th - 1e-12 and s >= 0.35), e as (select *, row_number() over (partition by th order by s desc, a, b) k from w), {_ADJACENT},
+_ANCHORED = f"""with recursive w as (select th, a, b, round(s, 12) s from {_COS}, (values (0.36), (0.40), (0.44),
+    (0.48)) v(th) where s >= th - 1e-12 and s >= 0.35), e as (select *, row_number() over (partition by th order by s desc,
+    a, b) k from w), {_ADJACENT},
     r as (select th, cast(0 as bigint) k, cast([] as bigint[]) used, cast([] as bigint[]) mem, cast(null as bigint) a, cast(null as bigint) b, cast(null as double) s from (select distinct th from e)
-        union all select e.th, e.k, case when not list_contains(used, e.a) and not list_contains(used, e.b) then list_concat(used, [e.a, e.b], list_filter(list_intersect(x.l, y.l), lambda m: not list_contains(used, m))) else used end,
-        case when not list_contains(used, e.a) and not list_contains(used, e.b) then list_concat([e.a, e.b], list_filter(list_intersect(x.l, y.l), lambda m: not list_contains(used, m))) else [] end, e.a, e.b, e.s
+        union all select e.th, e.k, case when not list_contains(used, e.a) and not list_contains(used, e.b) then list_concat(used,
+            [e.a, e.b], list_filter(list_intersect(x.l, y.l), lambda m: not list_contains(used, m))) else used end,
+        case when not list_contains(used, e.a) and not list_contains(used, e.b) then list_concat([e.a, e.b], list_filter(list_intersect(x.l,
+            y.l), lambda m: not list_contains(used, m))) else [] end, e.a, e.b, e.s
         from r join e on e.th = r.th and e.k = r.k + 1 join j x on x.th = e.th and x.n = e.a join j y on y.th = e.th and y.n = e.b),
     g as (select th, k, a, b, s, list_min(mem) as group_id, unnest(mem) as member from r where len(mem) > 0)"""
 
 
-@query(f"""{_ANCHORED}, l as (select g.*, least(p.s, q.s) as near from g left join e p on p.th = g.th and p.a = least(g.a, g.member) and p.b = greatest(g.a, g.member) left join e q on q.th = g.th and q.a = least(g.b, g.member) and q.b = greatest(g.b, g.member) where g.th = {GROUPS_AT})
-    select group_id, member, member in (a, b) as is_anchor, round(s, 6) as anchor_score, round(least(s, min(case when member not in (a, b) then near end) over (partition by k)), 6) as least_score from l""")
+@query(f"""{_ANCHORED}, l as (select g.*, least(p.s, q.s) as near from g left join e p on p.th = g.th and p.a = least(g.a,
+    g.member) and p.b = greatest(g.a, g.member) left join e q on q.th = g.th and q.a = least(g.b, g.member) and q.b = greatest(g.b,
+    g.member) where g.th = {GROUPS_AT})
+    select group_id, member, member in (a, b) as is_anchor, round(s, 6) as anchor_score, round(least(s, min(case
+        when member not in (a, b) then near end) over (partition by k)), 6) as least_score from l""")
 def anchored_groups(t):
     return cluster.anchored_groups(_edges(t), GROUPS_AT).withColumn("anchor_score", F.round("anchor_score", 6)).withColumn("least_score", F.round("least_score", 6))
 
@@ -157,14 +195,23 @@ _FOLD = f"regexp_replace(translate(replace(lower(x), 'ß', 'ss'), '{T.ACCENTED}'
 _STEM = "case " + " ".join(f"when b like '%{x}' and length(b) - {len(x)} >= 5 then substr(b, 1, length(b) - {len(x)})" for x in T.SUFFIXES) + " else b end"
 
 
-@query(f"""with r as (select topic_id, regexp_extract_all(headline_pl, '[\\p{{L}}][\\p{{L}}\\p{{N}}_''-]{{2,}}') l from {_HEADLINES} where topic_id is not null), w as (select topic_id, unnest(l) x, generate_subscripts(l, 1) i from r),
-    b as (select topic_id, i, {_FOLD} b from w), s as (select topic_id, i, b, {_STEM} s from b where length(b) >= 4 and b not in {_COMMON} and {_STEM} not in {_COMMON}), q as (select topic_id, b, s, lead(s) over (partition by topic_id order by i) n from s),
-    n as (select count(distinct topic_id) n from {_HEADLINES}), t as (select distinct 's' kind, topic_id, s t from q union all select distinct 'p', topic_id, s || ' ' || n from q where n is not null and n <> s),
-    f as (select kind, t from t, n group by kind, t, n.n having count(*) > 1 and count(*) <= case when kind = 's' then greatest(8, least(30, case when n.n // 5 = 0 then 1 else n.n // 5 end)) else greatest(5, least(20, case when n.n // 10 = 0 then 1 else n.n // 10 end)) end),
+@query(f"""with r as (select topic_id, regexp_extract_all(headline_pl, '[\\p{{L}}][\\p{{L}}\\p{{N}}_''-]{{2,}}') l
+    from {_HEADLINES} where topic_id is not null), w as (select topic_id, unnest(l) x, generate_subscripts(l, 1) i
+    from r),
+    b as (select topic_id, i, {_FOLD} b from w), s as (select topic_id, i, b, {_STEM} s from b where length(b) >= 4
+        and b not in {_COMMON} and {_STEM} not in {_COMMON}), q as (select topic_id, b, s, lead(s) over (partition by topic_id
+        order by i) n from s),
+    n as (select count(distinct topic_id) n from {_HEADLINES}), t as (select distinct 's' kind, topic_id, s t from q
+        union all select distinct 'p', topic_id, s || ' ' || n from q where n is not null and n <> s),
+    f as (select kind, t from t, n group by kind, t, n.n having count(*) > 1 and count(*) <= case when kind = 's'
+        then greatest(8, least(30, case when n.n // 5 = 0 then 1 else n.n // 5 end)) else greatest(5, least(20,
+        case when n.n // 10 = 0 then 1 else n.n // 10 end)) end),
     k as (select t.* from t join f using (kind, t)),
-    e as (select x.topic_id a, y.topic_id b, count(*) filter (where x.kind = 's') as stems, count(*) filter (where x.kind = 'p') as phrases from k x join k y on x.kind = y.kind and x.t = y.t and x.topic_id < y.topic_id group by 1, 2),
+    e as (select x.topic_id a, y.topic_id b, count(*) filter (where x.kind = 's') as stems, count(*) filter (where x.kind = 'p') as phrases
+        from k x join k y on x.kind = y.kind and x.t = y.t and x.topic_id < y.topic_id group by 1, 2),
     g as (select topic_id, list(distinct b) l from s group by 1)
-    select e.a, e.b, stems, phrases, len(list_intersect(x.l, y.l)) as exact, stems + 2.0 * phrases + 0.25 * len(list_intersect(x.l, y.l)) as score from e join g x on x.topic_id = e.a join g y on y.topic_id = e.b where stems >= 3 or phrases >= 1""")
+    select e.a, e.b, stems, phrases, len(list_intersect(x.l, y.l)) as exact, stems + 2.0 * phrases + 0.25 * len(list_intersect(x.l,
+        y.l)) as score from e join g x on x.topic_id = e.a join g y on y.topic_id = e.b where stems >= 3 or phrases >= 1""")
 def lexical_pairs(t):
     return similarity.lexical_edges(_headlines(t), "topic_id", ["headline_pl"])
 
@@ -175,7 +222,9 @@ STOP = """artykuł artykuły artykułów temat tematy sprawa sprawy wydarzenie w
 _STOPPED = "(" + ", ".join(f"'{w}'" for w in STOP) + ")"
 
 
-@query(f"""with k as (select topic_id, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(coalesce(headline_pl, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda w: length(w) >= 4 and w not in {_STOPPED}))) t from topics where topic_id is not null),
+@query(f"""with k as (select topic_id, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(coalesce(headline_pl,
+    '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda w: length(w) >= 4 and w not in {_STOPPED}))) t from topics
+    where topic_id is not null),
     w as (select topic_id, unnest(t) w from k), m as (select l.topic_id, r.topic_id as other from w l join w r on l.w = r.w and l.topic_id <> r.topic_id group by 1, 2 having count(*) >= 2),
     c as (select t, min(topic_id) as class_id from k group by t)
     select k.topic_id as id, c.class_id, (select count(*) from m where m.topic_id = k.topic_id) as links from k join c on c.t = k.t""")
@@ -185,11 +234,17 @@ def token_pairs(t):
     return similarity.token_set_links(t("topics").select("topic_id", words.alias("t")), "topic_id", "t")
 
 
-@query(f"""with h as (select topic_id, trim(regexp_replace(regexp_replace(lower(headline_pl), '^\\s*\\[[^\\]]+\\]\\s*', ''), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) hk, regexp_extract_all(regexp_replace(headline_pl, '^\\[[^\\]]+\\]\\s*', ''), '[\\p{{L}}][\\p{{L}}\\p{{N}}_''-]{{2,}}') l from topics where headline_pl is not null),
-    w as (select topic_id, unnest(l) x, generate_subscripts(l, 1) i from h), b as (select topic_id, i, {_FOLD} b from w), s as (select topic_id, i, {_STEM} s from b where length(b) >= 4 and b not in {_COMMON} and {_STEM} not in {_COMMON}),
-    q as (select topic_id, s, lead(s) over (partition by topic_id order by i) n from s), g as (select topic_id, list_distinct(list(s)) st, list_distinct(list(s || ' ' || n) filter (where n <> s)) ph from q group by 1),
+@query(f"""with h as (select topic_id, trim(regexp_replace(regexp_replace(lower(headline_pl), '^\\s*\\[[^\\]]+\\]\\s*',
+    ''), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) hk, regexp_extract_all(regexp_replace(headline_pl, '^\\[[^\\]]+\\]\\s*',
+    ''), '[\\p{{L}}][\\p{{L}}\\p{{N}}_''-]{{2,}}') l from topics where headline_pl is not null),
+    w as (select topic_id, unnest(l) x, generate_subscripts(l, 1) i from h), b as (select topic_id, i, {_FOLD} b
+        from w), s as (select topic_id, i, {_STEM} s from b where length(b) >= 4 and b not in {_COMMON} and {_STEM} not in {_COMMON}),
+    q as (select topic_id, s, lead(s) over (partition by topic_id order by i) n from s), g as (select topic_id,
+        list_distinct(list(s)) st, list_distinct(list(s || ' ' || n) filter (where n <> s)) ph from q group by 1),
     p as (select distinct least(trim(topic_id_a), trim(topic_id_b)) a, greatest(trim(topic_id_a), trim(topic_id_b)) b from pairs where trim(topic_id_a) <> trim(topic_id_b))
-    select p.a, p.b, case when x.hk = y.hk then x.hk <> '' else coalesce(len(list_intersect(gx.st, gy.st)), 0) >= 2 and len(list_filter(list_intersect(gx.st, gy.st), lambda z: z not in ('trump', 'putin', 'ukrain', 'rosji', 'rosja', 'wojna', 'wojny', 'macron', 'francji', 'francja'))) > 0
+    select p.a, p.b, case when x.hk = y.hk then x.hk <> '' else coalesce(len(list_intersect(gx.st, gy.st)), 0) >= 2
+        and len(list_filter(list_intersect(gx.st, gy.st), lambda z: z not in ('trump', 'putin', 'ukrain', 'rosji',
+        'rosja', 'wojna', 'wojny', 'macron', 'francji', 'francja'))) > 0
         and (coalesce(len(list_intersect(gx.ph, gy.ph)), 0) > 0 or len(list_intersect(gx.st, gy.st)) * 1.0 / greatest(1, least(len(gx.st), len(gy.st))) >= 0.45) end as same_event
     from p join h x on x.topic_id = p.a join h y on y.topic_id = p.b left join g gx on gx.topic_id = p.a left join g gy on gy.topic_id = p.b""")
 def same_event_anchor(t):
@@ -198,7 +253,10 @@ def same_event_anchor(t):
     s = T.stems(F.regexp_replace(h, r"^\[[^\]]+\]\s*", ""))
     c = t("topics").where("headline_pl is not null").select("topic_id", T.headline_key(h).alias("hk"), F.array_distinct(s).alias("st"), T.phrases(s).alias("ph"))
     side = lambda x: c.select(F.col("topic_id").alias(x), *[F.col(n).alias(f"{n}_{x}") for n in ("hk", "st", "ph")])
-    p = t("pairs").select(F.trim("topic_id_a").alias("x"), F.trim("topic_id_b").alias("y")).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    p = t("pairs").select(
+        F.trim("topic_id_a").alias("x"),
+        F.trim("topic_id_b").alias("y")
+    ).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     shared = F.array_intersect("st_a", "st_b")
     meaningful = F.filter(shared, lambda z: ~z.isin("trump", "putin", "ukrain", "rosji", "rosja", "wojna", "wojny", "macron", "francji", "francja"))
     close = (F.size(F.array_intersect("ph_a", "ph_b")) > 0) | (F.size(shared) / F.greatest(F.lit(1), F.least(F.size("st_a"), F.size("st_b"))) >= 0.45)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import state
-from .registry import ARTICLES, INCOMING, articles, query, sql_folded
+from .registry import ARTICLES, INCOMING, articles, query, sql_folded, sql_values
 
 
 @query(f"""select i.incoming_id, coalesce(min(a.article_id), min(al.duplicate_of_article_id)) as article_id from {INCOMING} i
@@ -25,19 +25,43 @@ _BODY = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(bod
 _OPENING = f"substr(array_to_string((string_split(regexp_replace({_BODY}, '([.!?…]) ', '\\1\n', 'g'), '\n'))[1:2], ' '), 1, 1600)"
 
 
-@query(f"""with a as (select article_id, source_id, title_key, sha256({sql_folded(_OPENING)}) as opening, first_seen_at from {ARTICLES}
+#: Copies that the tables don't hold: (id, source, title key, body, status), all seen at one time.
+PLANTED_COPIES = [
+    ("c1", "s", "k", "First sentence here. Second one follows! Then more.", "COMPLETE"),
+    ("c2", "s", "k", "FIRST  sentence\u00a0here. second one follows! Other text.", "EXCERPT"),
+    ("c3", "t", "k", "First sentence here. Second one follows! Then more.", "COMPLETE"),
+    ("c4", "s", "other", "First sentence here. Second one follows! Then more.", "COMPLETE"),
+    ("c5", "s", "k", "First sentence here. Second one follows! Then more.", "FAILED"),
+    ("c6", "s", "k", "Straße… And &amp; more. Tail", "COMPLETE"),
+    ("c7", "s", "k", "STRASSE... and & more. tail", "COMPLETE"),
+    ("c8", "s", "k", " ", "COMPLETE"),
+    ("c9", "s", "k", " ", "COMPLETE"),
+]
+_COPIES = f"""(select article_id, source_id, title_key, body, content_status, first_seen_at from {ARTICLES}
+    union all select *, timestamptz '2026-01-01 00:00:00+00' from {sql_values(PLANTED_COPIES)} v(article_id, source_id, title_key, body, content_status))"""
+
+
+@query(f"""with a as (select article_id, source_id, title_key, sha256({sql_folded(_OPENING)}) as opening, first_seen_at from {_COPIES}
         where content_status in ('COMPLETE', 'EXCERPT') and title_key <> '' and trim({_BODY}) <> '' and source_id is not null)
-    select article_id, canonical_id from (select article_id, first_value(article_id) over (partition by source_id, title_key, opening order by first_seen_at nulls last, article_id) as canonical_id from a) where article_id <> canonical_id""")
+    select article_id, canonical_id from (select article_id, first_value(article_id) over (partition by source_id,
+        title_key, opening order by first_seen_at nulls last, article_id) as canonical_id from a) where article_id <> canonical_id""")
 def logical_duplicates(t):
     """Articles of one source, title key and opening (two sentences, case and spacing aside), complete or excerpts; the first seen stands for the rest."""
-    a = articles(t).where("article_id is not null and source_id is not null and title_key <> '' and content_status in ('COMPLETE', 'EXCERPT')")
+    a = articles(t).select("article_id", "source_id", "title_key", "body", "content_status", "first_seen_at")
+    planted = a.sparkSession.createDataFrame(PLANTED_COPIES, "article_id string, source_id string, title_key string, body string, content_status string")
+    return _logical(a.unionByName(planted.withColumn("first_seen_at", F.to_timestamp(F.lit("2026-01-01 00:00:00+00:00")))))
+
+
+def _logical(a):
+    a = a.where("article_id is not null and source_id is not null and title_key <> '' and content_status in ('COMPLETE', 'EXCERPT')")
     a = a.select("article_id", "source_id", "title_key", T.opening_fingerprint(F.col("body")).alias("opening"), "first_seen_at").where("opening is not null")
     first = a.groupBy("source_id", "title_key", "opening").agg(F.min(F.struct(F.col("first_seen_at").isNull(), "first_seen_at", "article_id")).alias("m"))
     return a.join(first, ["source_id", "title_key", "opening"]).select("article_id", F.col("m.article_id").alias("canonical_id")).where("article_id <> canonical_id")
 
 
 @query(f"""select incoming_id from (select incoming_id, row_number() over (order by fetched_at, incoming_id) as k from {INCOMING} a
-    where fetched_at >= (select max(fetched_at) from incoming_articles) - interval 24 hour and not exists (select 1 from article_url_aliases x where x.source_id = a.source_id and x.candidate_url = a.canonical_url)
+    where fetched_at >= (select max(fetched_at) from incoming_articles) - interval 24 hour and not exists (select 1
+        from article_url_aliases x where x.source_id = a.source_id and x.candidate_url = a.canonical_url)
     and not starts_with(coalesce(title, ''), 'AI_EXCLUDED:') and not starts_with(coalesce(title, ''), 'AI_REVIEW:OPENAI_CONTENT_POLICY:')) where k <= 200""")
 def pending_antijoin(t):
     """The queue: not older than 24 hours before the newest, not known by an alias, not marked as excluded; the first 200 in order of fetching."""
@@ -61,11 +85,15 @@ def seen_then_append(t):
     return t("incoming_articles").join(seen, ["source_id", "canonical_url"], "left_anti").select("incoming_id").distinct()
 
 
-@query(f"select i.incoming_id, a.article_id from {INCOMING} i join {ARTICLES} a on a.source_id = i.source_id and a.canonical_url = i.canonical_url where i.content_hash is distinct from a.content_hash")
+@query(f"""select i.incoming_id, a.article_id from {INCOMING} i join {ARTICLES} a on a.source_id = i.source_id and a.canonical_url = i.canonical_url
+    where i.content_hash is distinct from a.content_hash""")
 def changed_hash(t):
     """Known addresses with other content; a missing hash is a change too."""
     i = t("incoming_articles").dropDuplicates(["incoming_id"]).select("incoming_id", "source_id", "canonical_url", F.col("content_hash").alias("h"))
-    return i.join(articles(t).select("article_id", "source_id", "canonical_url", "content_hash"), ["source_id", "canonical_url"]).where(~F.col("h").eqNullSafe(F.col("content_hash"))).select("incoming_id", "article_id")
+    return i.join(
+        articles(t).select("article_id", "source_id", "canonical_url", "content_hash"),
+        ["source_id", "canonical_url"]
+    ).where(~F.col("h").eqNullSafe(F.col("content_hash"))).select("incoming_id", "article_id")
 
 
 _CHANGES = "(select distinct on (doc_id) doc_id, 'late' as lang, source from (select doc_id + 7 as doc_id, source, n_chars from documents) order by doc_id, n_chars desc nulls last, source)"
@@ -87,13 +115,19 @@ def insert_ignore(t):
 
 @query("select t.topic_id, t.headline_pl, case when x.topic_id is not null then 'LINKED' else t.status end as status from topics t left join (select distinct trim(topic_id_a) topic_id from pairs where \"current\" >= 0.9 and not isnan(\"current\")) x on x.topic_id = t.topic_id")
 def conditional_update(t):
-    linked = t("pairs").where("current >= 0.9 and not isnan(current)").select(F.trim("topic_id_a").alias("topic_id"), F.lit("LINKED").alias("status")).where("topic_id is not null").distinct()
+    linked = t("pairs").where("current >= 0.9 and not isnan(current)").select(
+        F.trim("topic_id_a").alias("topic_id"),
+        F.lit("LINKED").alias("status")
+    ).where("topic_id is not null").distinct()
     return state.update_from(t("topics").select("topic_id", "headline_pl", "status"), linked, ["topic_id"], ["status"])
 
 
 @query("select topic_id, status from topics where not coalesce(needs_review and article_count < 2, false)")
 def delete_by_predicate(t):
-    return state.delete_where(t("topics").select("topic_id", "status", "needs_review", "article_count"), F.col("needs_review") & (F.col("article_count") < 2)).select("topic_id", "status")
+    return state.delete_where(
+        t("topics").select("topic_id", "status", "needs_review", "article_count"),
+        F.col("needs_review") & (F.col("article_count") < 2)
+    ).select("topic_id", "status")
 
 
 @query("select o_orderkey from orders o where exists (select 1 from lineitem l where l.l_orderkey = o.o_orderkey and l.l_returnflag = 'R')")
@@ -106,7 +140,8 @@ def not_exists_anti(t):
     return t("orders").join(t("lineitem").where("l_discount > 0.05").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti").select("o_orderkey")
 
 
-@query("select c.c_custkey, o.o_orderkey from customer c left join (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) k from orders) o on o.o_custkey = c.c_custkey and o.k <= 3")
+@query("""select c.c_custkey, o.o_orderkey from customer c left join (select o_custkey, o_orderkey, row_number() over (partition by o_custkey
+    order by o_totalprice desc, o_orderkey) k from orders) o on o.o_custkey = c.c_custkey and o.k <= 3""")
 def left_lateral_topk(t):
     k = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
     top = t("orders").select("o_custkey", "o_orderkey", "o_totalprice").withColumn("k", k).where("k <= 3").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
@@ -128,7 +163,10 @@ def cross_settings(t):
 @query("select o_orderkey, l_linenumber from orders join lineitem on l_orderkey = o_orderkey where l_shipdate >= o_orderdate + interval 100 day or l_shipdate < o_orderdate")
 def residual_time_join(t):
     late = (F.col("l_shipdate") >= F.col("o_orderdate") + F.expr("interval 100 days")) | (F.col("l_shipdate") < F.col("o_orderdate"))
-    return t("orders").select("o_orderkey", "o_orderdate").join(t("lineitem").select("l_orderkey", "l_linenumber", "l_shipdate"), F.col("l_orderkey") == F.col("o_orderkey")).where(late).select("o_orderkey", "l_linenumber")
+    return t("orders").select("o_orderkey", "o_orderdate").join(
+        t("lineitem").select("l_orderkey", "l_linenumber", "l_shipdate"),
+        F.col("l_orderkey") == F.col("o_orderkey")
+    ).where(late).select("o_orderkey", "l_linenumber")
 
 
 @query("select n_nationkey, coalesce(v.name, n_name) as name from nation left join (values (0, 'first'), (3, 'fourth')) v(k, name) on v.k = n_nationkey")
@@ -146,7 +184,10 @@ def null_safe_diff(t):
 @query("""with p as (select trim(topic_id_a) a, min(trim(topic_id_b)) as target from pairs where "current" >= 0.95 and not isnan("current") and trim(topic_id_b) < trim(topic_id_a) group by 1)
     select t.topic_id, coalesce(p.target, t.topic_id) as shown_id from topics t left join p on p.a = t.topic_id""")
 def redirect_one_hop(t):
-    p = t("pairs").where("current >= 0.95 and not isnan(current)").select(F.trim("topic_id_a").alias("topic_id"), F.trim("topic_id_b").alias("target")).where("target < topic_id").groupBy("topic_id").agg(F.min("target").alias("target"))
+    p = t("pairs").where("current >= 0.95 and not isnan(current)").select(
+        F.trim("topic_id_a").alias("topic_id"),
+        F.trim("topic_id_b").alias("target")
+    ).where("target < topic_id").groupBy("topic_id").agg(F.min("target").alias("target"))
     return t("topics").select("topic_id").join(p, "topic_id", "left").select("topic_id", F.coalesce("target", "topic_id").alias("shown_id"))
 
 
@@ -172,10 +213,15 @@ def current_vs_history(t):
     return t("topics").crossJoin(F.broadcast(edge)).select("topic_id", (F.col("last_seen_at") >= F.col("m") - F.expr("interval 24 hours")).alias("is_current"))
 
 
-@query("select topic_id, source_count, article_count from topics where headline_pl is not null and contains(lower(headline_pl), 'strajk') order by source_count desc nulls last, article_count desc nulls last, topic_id")
+@query("""select topic_id, source_count, article_count from topics where headline_pl is not null and contains(lower(headline_pl),
+    'strajk') order by source_count desc nulls last, article_count desc nulls last, topic_id""")
 def topic_feed_sorted(t):
     hit = F.contains(F.lower("headline_pl"), F.lit("strajk"))
-    return t("topics").where(F.col("headline_pl").isNotNull() & hit).select("topic_id", "source_count", "article_count").orderBy(F.desc_nulls_last("source_count"), F.desc_nulls_last("article_count"), "topic_id")
+    return t("topics").where(F.col("headline_pl").isNotNull() & hit).select("topic_id", "source_count", "article_count").orderBy(
+        F.desc_nulls_last("source_count"),
+        F.desc_nulls_last("article_count"),
+        "topic_id"
+    )
 
 
 @query("select source_id from sources intersect select source_id from articles")
@@ -194,7 +240,10 @@ _STREAMS = """(select source_id, 1 as priority, canonical_url as url from articl
 @query(f"select source_id, url, min(priority) as priority, count(*) as sightings from {_STREAMS} where url is not null group by 1, 2")
 def union_with_priority(t):
     """Streams of candidates in order of priority; an address counts for the first stream that has it."""
-    streams = [t("articles").select("source_id", F.lit(1).alias("priority"), F.col("canonical_url").alias("url")), t("article_url_aliases").select("source_id", F.lit(2).alias("priority"), F.col("candidate_url").alias("url"))]
+    streams = [
+        t("articles").select("source_id", F.lit(1).alias("priority"), F.col("canonical_url").alias("url")),
+        t("article_url_aliases").select("source_id", F.lit(2).alias("priority"), F.col("candidate_url").alias("url"))
+    ]
     rows = streams[0].unionByName(streams[1]).unionByName(t("incoming_articles").select("source_id", F.lit(3).alias("priority"), F.col("canonical_url").alias("url")))
     return rows.where("url is not null").groupBy("source_id", "url").agg(F.min("priority").alias("priority"), F.count("*").alias("sightings"))
 
@@ -209,7 +258,11 @@ def extraction_cache(t):
 @query("select s.source_id, coalesce(nullif(trim(s.region), ''), 'unknown') as region, coalesce(m.target_share, 0) as target_share from sources s left join mix_targets m on m.source = s.source_id")
 def config_overlay(t):
     m = t("mix_targets").select(F.col("source").alias("source_id"), "target_share")
-    return t("sources").join(m, "source_id", "left").select("source_id", F.coalesce(T.nonblank(F.trim("region")), F.lit("unknown")).alias("region"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"))
+    return t("sources").join(m, "source_id", "left").select(
+        "source_id",
+        F.coalesce(T.nonblank(F.trim("region")), F.lit("unknown")).alias("region"),
+        F.coalesce("target_share", F.lit(0.0)).alias("target_share")
+    )
 
 
 @query("""select cast(time_bucket(interval 1 hour, ts) as timestamp) as hour, event_type, count(*) as events, round(sum(value), 6) as total from events group by 1, 2""")

@@ -20,7 +20,10 @@ _FORMS = [
     (rf"^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}})(?:[Tt]|{_S}+|$)(?:{_TIME}{_ZONE})?$", "y m d h n s z"),
     (rf"^(\d{{4}})(\d{{2}})(\d{{2}})(?:[Tt ]?(\d{{2}})(\d{{2}})(\d{{2}})?(?:[.,]\d{{1,9}})?{_ZONE})?$", "y m d h n s z"),
     (rf"^(\d{{1,2}})([/.\-])(\d{{1,2}})([/.\-])(\d{{4}})(?:{_GAP}{_TIME}{_HALF}(?:{_S}*Uhr)?{_ZONE})?$", "a q b r y h n s p z"),
-    (rf"^{_DAY_NAME}(\d{{1,2}})(?:\.|er|º|-го)?[\s\x{{00A0}}-]+(?:de{_S}+)?(\p{{L}}{{3,12}})\.?[\s\x{{00A0}}-]+(?:de{_S}+)?(\d{{4}})(?:{_S}*(?:r\.|р\.|г\.|року|года|roku))?(?:{_GAP}{_TIME}{_HALF}(?:{_S}*Uhr)?{_ZONE})?$", "d w y h n s p z"),
+    (
+        rf"^{_DAY_NAME}(\d{{1,2}})(?:\.|er|º|-го)?[\s\x{{00A0}}-]+(?:de{_S}+)?(\p{{L}}{{3,12}})\.?[\s\x{{00A0}}-]+(?:de{_S}+)?(\d{{4}})(?:{_S}*(?:r\.|р\.|г\.|року|года|roku))?(?:{_GAP}{_TIME}{_HALF}(?:{_S}*Uhr)?{_ZONE})?$",
+        "d w y h n s p z"
+    ),
     (rf"^{_DAY_NAME}(\p{{L}}{{3,12}})\.?{_S}+(\d{{1,2}})(?:st|nd|rd|th)?,?{_S}+(\d{{4}})(?:{_GAP}{_TIME}{_HALF}{_ZONE})?$", "w d y h n s p z"),
 ]
 
@@ -38,19 +41,29 @@ def epochs_sql(relation: str, keep: str) -> str:
     month = "case " + " ".join(f"when lower(w) in ({', '.join(repr(x) for x in names.split())}) then {m}" for m, names in instants.MONTHS.items()) + " end"
     zones = "case zz " + " ".join(f"when '{z}' then {m}" for z, m in instants.ABBREVIATIONS.items()) + " end"
     offset = "(epoch(timezone(tz, to_timestamp({0}))) - ({0}))"
-    return f"""(with t0 as (select {keep}, trim(regexp_replace(regexp_replace(x, '^{_S}+|{_S}+$', '', 'g'), '(?i){_LEAD}', '')) as t, regexp_replace(x, '^{_S}+|{_S}+$', '', 'g') as whole, coalesce(tz, 'UTC') as tz, coalesce(ord, 'DMY') as ord from {relation} where x is not null),
+    return f"""(with t0 as (select {keep}, trim(regexp_replace(regexp_replace(x, '^{_S}+|{_S}+$', '', 'g'), '(?i){_LEAD}',
+    '')) as t, regexp_replace(x, '^{_S}+|{_S}+$', '', 'g') as whole, coalesce(tz, 'UTC') as tz, coalesce(ord, 'DMY') as ord
+    from {relation} where x is not null),
         t1 as (select *, {', '.join(parts)} from t0), t2 as (select *, {which} as form from t1),
         t3 as (select {keep}, whole, tz, ord, form, {', '.join(f"{get(n)} as {n}" for n in "y m d h n s z w p a b q".split())} from t2),
-        t4 as (select *, cast(y as int) yy, case when form = 2 then case when q = '/' and ord = 'MDY' then cast(a as int) else cast(b as int) end when form in (3, 4) then {month} else cast(m as int) end mm,
-            case when form = 2 then case when q = '/' and ord = 'MDY' then cast(b as int) else cast(a as int) end else cast(d as int) end dd, coalesce(cast(h as int), 0) h0, coalesce(cast(n as int), 0) nn, coalesce(cast(s as int), 0) ss, upper(replace(replace(coalesce(z, ''), '−', '-'), ':', '')) zz from t3),
+        t4 as (select *, cast(y as int) yy, case when form = 2 then case when q = '/' and ord = 'MDY' then cast(a as int)
+            else cast(b as int) end when form in (3, 4) then {month} else cast(m as int) end mm,
+            case when form = 2 then case when q = '/' and ord = 'MDY' then cast(b as int) else cast(a as int) end
+                else cast(d as int) end dd, coalesce(cast(h as int), 0) h0, coalesce(cast(n as int), 0) nn, coalesce(cast(s as int),
+                0) ss, upper(replace(replace(coalesce(z, ''), '−', '-'), ':', '')) zz from t3),
         t5 as (select *, case when p is null then h0 when h0 between 1 and 12 then h0 % 12 + case when lower(p) = 'p' then 12 else 0 end end hh,
             case when mm in (4, 6, 9, 11) then 30 when mm = 2 then case when (yy % 4 = 0 and yy % 100 <> 0) or yy % 400 = 0 then 29 else 28 end else 31 end longest from t4),
-        t6 as (select *, case when yy >= 1000 and mm between 1 and 12 and dd between 1 and longest and hh between 0 and 23 and nn <= 59 and ss <= 60 then cast(epoch(make_date(yy, mm, dd)) as bigint) + hh * 3600 + nn * 60 + least(ss, 59) end as loc,
+        t6 as (select *, case when yy >= 1000 and mm between 1 and 12 and dd between 1 and longest and hh between 0
+            and 23 and nn <= 59 and ss <= 60 then cast(epoch(make_date(yy, mm, dd)) as bigint) + hh * 3600 + nn * 60 + least(ss,
+            59) end as loc,
             regexp_extract(zz, '([+-])\\d{{2,4}}$', 1) sg, regexp_extract(zz, '[+-](\\d{{2,4}})$', 1) dg from t5),
-        t7 as (select *, case when loc is not null and zz = '' then cast({offset.format("loc - 86400")} as bigint) end o1, case when loc is not null and zz = '' then cast({offset.format("loc + 86400")} as bigint) end o2 from t6)
-        select {keep}, cast(case when regexp_matches(whole, '^\\d{{9,10}}(?:\\.\\d+)?$') then cast(regexp_extract(whole, '^(\\d+)', 1) as bigint) when form is null and regexp_matches(whole, '^\\d{{12,13}}$') then cast(whole as bigint) // 1000
+        t7 as (select *, case when loc is not null and zz = '' then cast({offset.format("loc - 86400")} as bigint) end o1,
+            case when loc is not null and zz = '' then cast({offset.format("loc + 86400")} as bigint) end o2 from t6)
+        select {keep}, cast(case when regexp_matches(whole, '^\\d{{9,10}}(?:\\.\\d+)?$') then cast(regexp_extract(whole,
+            '^(\\d+)', 1) as bigint) when form is null and regexp_matches(whole, '^\\d{{12,13}}$') then cast(whole as bigint) // 1000
             when form is null and regexp_matches(whole, '^\\d{{15,16}}$') then cast(whole as bigint) // 1000000
-            when zz <> '' and dg <> '' then loc - (case sg when '-' then -1 else 1 end) * (cast(substr(dg, 1, 2) as int) * 3600 + coalesce(try_cast(nullif(substr(dg, 3, 2), '') as int), 0) * 60) when zz <> '' then loc - {zones} * 60
+            when zz <> '' and dg <> '' then loc - (case sg when '-' then -1 else 1 end) * (cast(substr(dg, 1, 2) as int) * 3600 + coalesce(try_cast(nullif(substr(dg,
+                3, 2), '') as int), 0) * 60) when zz <> '' then loc - {zones} * 60
             when o1 = o2 or {offset.format("loc - o1")} = o1 or {offset.format("loc - o2")} <> o2 then loc - o1 else loc - o2 end as bigint) as epoch_s from t7)"""
 
 
@@ -81,4 +94,8 @@ def candidate_timestamp_order(t):
     k = F.coalesce("first", "second", "third", F.lit(0))
     w = Window.partitionBy("source_id").orderBy(F.desc("epoch_s"), "article_id")
     # a top-k by source: ranks are cut before the shuffle
-    return a.select("article_id", "source_id", k.alias("epoch_s")).withColumn("place", F.row_number().over(w)).where("place <= 500").withColumn("place", F.col("place").cast("bigint"))
+    return a.select(
+        "article_id",
+        "source_id",
+        k.alias("epoch_s")
+    ).withColumn("place", F.row_number().over(w)).where("place <= 500").withColumn("place", F.col("place").cast("bigint"))

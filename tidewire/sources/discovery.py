@@ -178,7 +178,16 @@ def _links(listings: DataFrame) -> DataFrame:
 
 def announced_feeds(listings: DataFrame) -> DataFrame:
     """(source_id, feed) of feeds that listings announce as alternates, each once."""
-    found = pages._rows(listings.select("url", "html"), "url string, feed string", lambda url, html: [(url, pages.urljoin(url, h)) for h in re.findall(r"""(?is)<link\b(?=[^>]*\brel=["']?[^"'>]*alternate)(?=[^>]*\btype=["']?[^"'>]*(?:rss|atom|feed))[^>]*\bhref=["']([^"']+)""", html)])
+    found = pages._rows(
+        listings.select("url", "html"),
+        "url string, feed string",
+        lambda url, html: [
+            (url, pages.urljoin(url, h)) for h in re.findall(
+                r"""(?is)<link\b(?=[^>]*\brel=["']?[^"'>]*alternate)(?=[^>]*\btype=["']?[^"'>]*(?:rss|atom|feed))[^>]*\bhref=["']([^"']+)""",
+                html
+            )
+        ]
+    )
     return found.join(listings.select("source_id", "url").dropDuplicates(), "url").select("source_id", "feed").dropDuplicates()
 
 
@@ -191,7 +200,13 @@ def listing_candidates(listings: DataFrame, homepages: DataFrame, per_endpoint:
         kept = kept.where(U.allowed(F.col("target"), F.col("label"), **lists))
     first = kept.groupBy("source_id", "target").agg(F.min(F.struct("url", "place", "label")).alias("f")).select("source_id", F.col("target"), "f.url", "f.place", "f.label")
     k = F.row_number().over(Window.partitionBy("source_id", "url").orderBy("place"))
-    return first.withColumn("k", k).where(F.col("k") <= per_endpoint).select("source_id", F.col("target").alias("url"), F.substring("label", 1, 500).alias("title"), F.col("url").alias("endpoint"), F.col("k").alias("place"))
+    return first.withColumn("k", k).where(F.col("k") <= per_endpoint).select(
+        "source_id",
+        F.col("target").alias("url"),
+        F.substring("label", 1, 500).alias("title"),
+        F.col("url").alias("endpoint"),
+        F.col("k").alias("place")
+    )
 
 
 def homepage_candidates(listings: DataFrame, homepages: DataFrame, most: int) -> DataFrame:
@@ -200,4 +215,9 @@ def homepage_candidates(listings: DataFrame, homepages: DataFrame, most: int) ->
     kept = links.where(F.col("target").isNotNull() & U.is_candidate(F.col("target"), F.col("homepage"), T.word_count(F.col("label"))))
     first = kept.groupBy("source_id", "target").agg(F.min(F.struct("url", "place", "label")).alias("f"))
     k = F.row_number().over(Window.partitionBy("source_id").orderBy("f.url", "f.place"))
-    return first.withColumn("k", k).where(F.col("k") <= most).select("source_id", F.col("target").alias("url"), F.substring("f.label", 1, 500).alias("title"), F.col("k").alias("place"))
+    return first.withColumn("k", k).where(F.col("k") <= most).select(
+        "source_id",
+        F.col("target").alias("url"),
+        F.substring("f.label", 1, 500).alias("title"),
+        F.col("k").alias("place")
+    )

@@ -213,8 +213,12 @@ def as_pages(articles: DataFrame) -> DataFrame:
     """(url, html): a page for each article, with furniture around the report."""
     lines = F.array_join(F.transform(F.split(_xml(F.col("body")), "\n"), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "")
     html = F.concat(
-        F.lit("<html><head><title>"), _xml(F.col("title")), F.lit('</title><meta name="description" content="'), _xml(F.col("description")), F.lit('"><meta name="author" content="'), _xml(F.col("author")), F.lit('"><link rel="canonical" href="'), _xml(F.col("canonical_url")),
-        F.lit('"></head><body><nav><a href="/">Home</a> <a href="/news">News</a></nav><article>'), lines, F.lit('</article><script>var x = "<p>no</p>";</script><footer><p>End</p></footer></body></html>'),
+        F.lit("<html><head><title>"), _xml(F.col("title")), F.lit(
+            '</title><meta name="description" content="'
+        ), _xml(F.col("description")), F.lit('"><meta name="author" content="'), _xml(F.col("author")), F.lit('"><link rel="canonical" href="'), _xml(F.col("canonical_url")),
+        F.lit('"></head><body><nav><a href="/">Home</a> <a href="/news">News</a></nav><article>'), lines, F.lit(
+            '</article><script>var x = "<p>no</p>";</script><footer><p>End</p></footer></body></html>'
+        ),
     )
     return articles.where("canonical_url is not null").select(F.col("canonical_url").alias("url"), html.alias("html"))
 
@@ -223,11 +227,22 @@ def _joined(articles: DataFrame, item, head: str, tail: str) -> DataFrame:
     """One file per source and day of fetching, so no file gathers a whole source."""
     rows = articles.where("canonical_url is not null").select("source_id", F.to_date("fetched_at").alias("day"), F.struct("canonical_url", item.alias("x")).alias("i"))
     files = rows.groupBy("source_id", "day").agg(F.array_join(F.transform(F.array_sort(F.collect_list("i")), lambda r: r["x"]), "").alias("items"))
-    return files.select(F.concat(F.lit("https://"), "source_id", F.lit(".example/"), F.coalesce(F.col("day").cast("string"), F.lit("undated")), F.lit(".xml")).alias("url"), F.concat(F.lit(head), "items", F.lit(tail)).alias("html"))
+    return files.select(
+        F.concat(F.lit("https://"), "source_id", F.lit(".example/"), F.coalesce(F.col("day").cast("string"), F.lit("undated")), F.lit(".xml")).alias("url"),
+        F.concat(F.lit(head), "items", F.lit(tail)).alias("html")
+    )
 
 
 def as_feeds(articles: DataFrame) -> DataFrame:
-    item = F.concat(F.lit("<item><title>"), _xml(F.col("title")), F.lit("</title><link>"), _xml(F.col("canonical_url")), F.lit("</link><pubDate>"), _xml(F.col("published_at")), F.lit("</pubDate></item>"))
+    item = F.concat(
+        F.lit("<item><title>"),
+        _xml(F.col("title")),
+        F.lit("</title><link>"),
+        _xml(F.col("canonical_url")),
+        F.lit("</link><pubDate>"),
+        _xml(F.col("published_at")),
+        F.lit("</pubDate></item>")
+    )
     return _joined(articles, item, '<rss version="2.0"><channel>', "</channel></rss>")
 
 

@@ -17,7 +17,11 @@ def write_report(rows: DataFrame, folder: str, title: str, most: int = 2000) ->
     The rows are ordered by all their columns, so the files don't depend on partitioning. Texts are escaped for the page.
     """
     kinds = dict(rows.dtypes)
-    plain = rows.select(*[F.round(c, 6).alias(c) if kinds[c] in ("double", "float") else F.to_json(c).alias(c) if kinds[c].startswith(("array", "map", "struct")) else F.col(c) for c in rows.columns])
+    plain = rows.select(
+        *[
+            F.round(c, 6).alias(c) if kinds[c] in ("double", "float") else F.to_json(c).alias(c) if kinds[c].startswith(("array", "map", "struct")) else F.col(c) for c in rows.columns
+        ]
+    )
     ordered = plain.orderBy(*plain.columns)
     paths = {"csv": f"{folder}/csv", "json": f"{folder}/json"}
     ordered.write.mode("overwrite").option("header", True).option("escape", '"').csv(paths["csv"])
@@ -33,7 +37,14 @@ def write_report(rows: DataFrame, folder: str, title: str, most: int = 2000) ->
 def flat_methods(results: DataFrame) -> DataFrame:
     """A row for each source and method of probe results (source_id, status, methods map<string, struct<status, items, notes>>, notes); a method's own notes go before the source's."""
     e = results.select("source_id", "status", "notes", F.explode("methods").alias("method", "m"))
-    return e.select("source_id", "method", F.col("m.status").alias("method_status"), F.col("m.items").alias("items"), F.col("status").alias("technical_status"), F.coalesce(F.when(F.col("m.notes") != "", F.col("m.notes")), F.col("notes")).alias("notes"))
+    return e.select(
+        "source_id",
+        "method",
+        F.col("m.status").alias("method_status"),
+        F.col("m.items").alias("items"),
+        F.col("status").alias("technical_status"),
+        F.coalesce(F.when(F.col("m.notes") != "", F.col("m.notes")), F.col("notes")).alias("notes")
+    )
 
 
 def save_checkpoint(path: str, job: dict) -> None:

@@ -58,7 +58,12 @@ def push_run(run_id: str, local: dict[str, DataFrame], remote: dict[str, DataFra
     started = run.select(F.col("started_at").alias("__started"))  # one row
     own = local["articles"].join(links.select("article_id", F.col("fetched_now").alias("__now")).dropDuplicates(["article_id"]), "article_id").crossJoin(F.broadcast(started))
     fresh = own.where((F.col("__now") == 1) | (F.col("first_seen_at") >= F.col("__started"))).drop("__now", "__started")
-    parts = {"runs": (run, ["run_id"]), "articles": (fresh, ["article_id"]), "run_articles": (links, ["run_id", "article_id"]), "results": (local["results"].where(F.col("run_id") == run_id), ["run_id", "source_id"])}
+    parts = {
+        "runs": (run, ["run_id"]),
+        "articles": (fresh, ["article_id"]),
+        "run_articles": (links, ["run_id", "article_id"]),
+        "results": (local["results"].where(F.col("run_id") == run_id), ["run_id", "source_id"])
+    }
     out = dict(remote)
     for name, (rows, keys) in parts.items():
         out[name] = state.upsert(remote[name], rows.select(*remote[name].columns), keys, [F.col(c) for c in keys])

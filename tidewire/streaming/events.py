@@ -15,11 +15,20 @@ def read_events(spark: SparkSession, folder: str, schema: StructType, files_per_
 
 def hourly(stream: DataFrame, late: str = "2 hours") -> DataFrame:
     w = F.window("ts", "1 hour")
-    return stream.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("total")).select(F.col("w.start").alias("hour"), "event_type", "events", F.round("total", 6).alias("total"))
+    return stream.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("total")).select(
+        F.col("w.start").alias("hour"),
+        "event_type",
+        "events",
+        F.round("total", 6).alias("total")
+    )
 
 
 def sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
-    return stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("events")).select("user_id", F.col("w.start").alias("first_ts"), "events")
+    return stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("events")).select(
+        "user_id",
+        F.col("w.start").alias("first_ts"),
+        "events"
+    )
 
 
 def unseen(stream: DataFrame, keys: list[str], late: str = "2 hours") -> DataFrame:
