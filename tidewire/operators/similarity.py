@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,21 +113,15 @@ def lexical_edges(items: DataFrame, id_col: str, text_cols: list[str]) -> DataFr
     rows = items.where(F.col(id_col).isNotNull())
     total = rows.agg(F.count_distinct(id_col)).first()[0]
     stem_cut, phrase_cut = max(8, min(30, total // 5 or 1)), max(5, min(20, total // 10 or 1))
-    per = rows.select(
-        F.col(id_col).alias("id"),
-        *[T.stems(F.col(c)).alias(f"s{k}") for k, c in enumerate(text_cols)],
-        *[T.bases(F.col(c)).alias(f"e{k}") for k, c in enumerate(text_cols)]
-    )
     n = len(text_cols)
-    gathered = per.select(
-        "id",
-        F.concat(*[F.col(f"s{k}") for k in range(n)]).alias("s"),
-        F.concat(*[T.phrases(F.col(f"s{k}")) for k in range(n)]).alias("p"),
-        F.concat(*[F.col(f"e{k}") for k in range(n)]).alias("e")
-    )
-    tokens = gathered.select("id", F.explode("s").alias("t"), F.lit("s").alias("kind")).unionByName(
-        gathered.select("id", F.explode("p").alias("t"), F.lit("p").alias("kind"))
-    ).unionByName(gathered.select("id", F.explode("e").alias("t"), F.lit("e").alias("kind"))).dropDuplicates(["kind", "t", "id"])
+    # one projection after the other, so that no step is computed once for each of its uses
+    per = rows.select(F.col(id_col).alias("id"), *[T.bases(F.col(c)).alias(f"e{k}") for k, c in enumerate(text_cols)])
+    per = per.select("*", *[F.transform(f"e{k}", T.stem).alias(f"s{k}") for k in range(n)])
+    named = lambda kind, values: F.transform(values, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("t")))
+    parts = [named("s", F.array_distinct(F.concat(*[F.col(f"s{k}") for k in range(n)]))), named("e", F.array_distinct(F.concat(*[F.col(f"e{k}") for k in range(n)])))]
+    parts.append(named("p", F.array_distinct(F.concat(*[T.phrases(F.col(f"s{k}")) for k in range(n)]))))
+    # kept, as the counts, the postings and the exact tokens are all read from it
+    tokens = cut_lineage(per.select("id", F.explode(F.concat(*parts)).alias("x")).select("id", "x.kind", "x.t").dropDuplicates(["kind", "t", "id"]))
     often = tokens.where("kind <> 'e'").groupBy("kind", "t").agg(F.count("*").alias("df")).where(
         (F.col("df") > 1) & (F.col("df") <= F.when(F.col("kind") == "s", stem_cut).otherwise(phrase_cut))
     )
@@ -165,21 +160,26 @@ def token_set_links(items: DataFrame, id_col: str, tokens_col: str, least: int =
         for batch in batches:
             for i in range(batch.num_rows):
                 x, y, left, right = (batch.column(k)[i].as_py() for k in range(4))
-                words = {w: k for k, w in enumerate({w for c in (*left, *right) for w in c["t"]})}
+                # what only one class holds is shared with none
+                seen = Counter(w for c in (left if x == y else (*left, *right)) for w in c["t"])
+                words = {w: k for k, w in enumerate(w for w, n in seen.items() if n > 1)}
 
                 def matrix(side: list) -> np.ndarray:
                     m = np.zeros((len(side), len(words)), np.float32)
                     for k, c in enumerate(side):
-                        m[k, [words[w] for w in c["t"]]] = 1
+                        m[k, [words[w] for w in c["t"] if w in words]] = 1
                     return m
 
+                def sums(met: np.ndarray, side: list) -> list:
+                    return (met.astype(np.float32) @ np.array([c["n"] for c in side], np.float64)).astype(np.int64).tolist()
+
                 met = (matrix(left) @ matrix(right).T) >= least
                 if x == y:
                     np.fill_diagonal(met, False)
-                ids, links = [c["class_id"] for c in left], (met @ np.array([c["n"] for c in right], np.int64)).tolist()
+                ids, links = [c["class_id"] for c in left], sums(met, right)
                 if x != y:
                     ids += [c["class_id"] for c in right]
-                    links += (met.T @ np.array([c["n"] for c in left], np.int64)).tolist()
+                    links += sums(met.T, left)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(2).type.value_type.field("class_id").type), pa.array(links, pa.int64())], names=["class_id", "links"])
 
     counted = pairs.select("x", "y", "l", "r").mapInArrow(count, f"class_id {kind}, links bigint").groupBy("class_id").agg(F.sum("links").alias("links"))
