@@ -31,6 +31,9 @@ from .residue import fold, is_residue
 
 #: Bound of the unlabelled part of the training: so many pages, the smallest by a hash of the id.
 SAMPLE_PAGES = 3000
+#: What a worker remembers of lines that come again: so many lines of so many sources, about 100 MB; it changes no result.
+REMEMBERED_LINES = 1500
+REMEMBERED_SOURCES = 100
 #: A line labelled by hand counts as so many of the sample.
 LABEL_WEIGHT = 20.0
 #: A short line counts as known furniture when it stands in so many sample pages of one source.
@@ -288,7 +291,7 @@ class LineFacts:
         if x is None:
             x = self._read(line)
             if x.words < PARAGRAPH_WORDS:
-                if len(self.memo) > 20_000:
+                if len(self.memo) > REMEMBERED_LINES:
                     self.memo.clear()
                 self.memo[line] = x
         return x
@@ -389,7 +392,7 @@ class TreeModel:
             return LineFacts(source, source_key, own, self.menu)
         key = (source, source_key)
         if key not in self._facts:
-            if len(self._facts) > 200:
+            if len(self._facts) > REMEMBERED_SOURCES:
                 self._facts.clear()
             self._facts[key] = LineFacts(source, source_key, self.frequent or frozenset(), self.menu)
         return self._facts[key]
