@@ -163,13 +163,51 @@ def anchored_groups(t):
     return cluster.anchored_groups(_edges(t), GROUPS_AT).withColumn("anchor_score", F.round("anchor_score", 6)).withColumn("least_score", F.round("least_score", 6))
 
 
-@query()
+# the edges of each component as one list; the rule then goes on step by step
+_LISTED = f"{_REACH}, z as (select c.c as component, list({{'a': e.a, 'b': e.b, 's': round(e.s, 12)}}) as edges from (select a, b, s from {_COS} where s >= {GROUPS_AT}) e join c on c.n = e.a group by 1)"
+_FREE_END = "lambda e: list_contains(g, e.a) <> list_contains(g, e.b)"
+
+
+@query(f"""{_LISTED}, k as (select component, cast(0 as int) as no, edges as rest, cast([] as bigint[]) as g, false as closed from z
+        union all
+        select component, case when closed then no + 1 else no end, case when closed then list_filter(rest, lambda e: not (list_contains(g, e.a) and list_contains(g, e.b))) else rest end,
+            case when closed then [] when len(g) = 0 then [best.a, best.b] when next is not null and len(g) < 6 then list_append(g, next) else g end,
+            case when closed or len(g) = 0 then false else not (next is not null and len(g) < 6) end
+        from (select *, list_sort(list_transform(rest, lambda e: {{'s': e.s, 'a': e.a, 'b': e.b}}), 'DESC')[1] as best,
+            (list_sort(list_transform(list_distinct(list_transform(list_filter(rest, {_FREE_END}), lambda e: case when list_contains(g, e.a) then e.b else e.a end)),
+                lambda m: {{'s': list_sum(list_transform(list_filter(rest, lambda e: (e.a = m and list_contains(g, e.b)) or (e.b = m and list_contains(g, e.a))), lambda e: e.s)),
+                    'n': len(list_filter(rest, lambda e: (e.a = m and list_contains(g, e.b)) or (e.b = m and list_contains(g, e.a)))), 'm': m}}), 'DESC')[1]).m as next
+            from k where len(rest) > 0))
+    select component, no as group_no, unnest(g) as member from k where closed""")
 def edge_cover_groups(t):
+    """Overlapping groups of six at most that hold every edge: the strongest edge left, and who adds most to it, one after the other."""
     return cluster.edge_cover(_edges(t), 6)
 
 
-@query()
+_DEGREE = "len(list_filter(edges, lambda e: (e.a = {0} and list_contains(free, e.b)) or (e.b = {0} and list_contains(free, e.a))))"
+
+
+@query(f"""{_LISTED}, k as (select component, edges, list_distinct(flatten(list_transform(edges, lambda e: [e.a, e.b]))) as free, cast([] as bigint[]) as queue, cast([] as bigint[]) as seen,
+            cast([] as bigint[]) as chunk, cast([] as bigint[][]) as chunks, cast([] as bigint[]) as alone from z
+        union all
+        select component, edges, case when walking then list_filter(free, lambda n: n <> queue[1]) else free end,
+            case when walking then list_concat(queue[2:], fresh) when len(chunk) > 0 then [] else [dense] end,
+            case when walking then list_concat(seen, fresh) when len(chunk) > 0 then [] else [dense] end,
+            case when walking then list_append(chunk, queue[1]) else [] end,
+            case when not walking and len(chunk) > 1 then list_append(chunks, chunk) else chunks end,
+            case when not walking and len(chunk) = 1 then list_concat(alone, chunk) else alone end
+        from (select *, len(queue) > 0 and len(chunk) < 5 as walking, (list_sort(list_transform(free, lambda n: {{'d': {_DEGREE.format('n')}, 'n': n}}), 'DESC')[1]).n as dense,
+            list_transform(list_sort(list_transform(list_filter(free, lambda m: m <> queue[1] and not list_contains(seen, m) and len(list_filter(edges, lambda e: (e.a = m and e.b = queue[1]) or (e.b = m and e.a = queue[1]))) > 0),
+                lambda m: {{'d': -len(list_filter(edges, lambda e: (e.a = m and e.b <> queue[1] and list_contains(free, e.b)) or (e.b = m and e.a <> queue[1] and list_contains(free, e.a)))), 'm': m}})), lambda x: x.m) as fresh
+            from k where len(free) > 0 or len(chunk) > 0)),
+    f as (select component, chunks, alone from k where len(free) = 0 and len(chunk) = 0),
+    x as (select component, chunks, list_transform(range(0, cast(len(alone) as bigint), 5), lambda i: alone[i + 1:i + 5]) as extra, alone from f),
+    y as (select component, case when len(extra) > 1 and len(extra[len(extra)]) = 1 then list_concat(chunks, extra[1:len(extra) - 2], [extra[len(extra) - 1][1:4], list_prepend(extra[len(extra) - 1][5], extra[len(extra)])])
+        else list_concat(chunks, list_filter(extra, lambda c: len(c) > 1)) end as parts from x),
+    u as (select component, unnest(parts) as part, generate_subscripts(parts, 1) - 1 as no from y)
+    select component, cast(no as int) as chunk_no, unnest(part) as member from u""")
 def bounded_chunks(t):
+    """Disjoint chunks of five at most, walked from the densest node; what is left alone is gathered in chunks of its own."""
     return cluster.bounded_chunks(_edges(t), 5)
 
 
