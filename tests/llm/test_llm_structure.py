@@ -348,3 +348,17 @@ def test_tokens(spark):
     df = spark.createDataFrame([(1, "Hello world"), (2, None), (3, ""), (4, "żółw " * 500)], "doc_id long, text string")
     got = {r.doc_id: r.tokens for r in tokens.with_tokens(df, "text", ["doc_id"]).collect()}
     assert got[1] >= 2 and got[2] == got[3] == 0 and got[4] >= 500
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("name", ["p3_repeated", "p4_found"])
+def test_against_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    from tidewire.llm import queries
+
+    con = duckdb.connect()
+    for table in ("articles", "pairs"):
+        con.execute(f"create view {table} as select * from '/root/testdata/sf0.001/{table}.parquet'")
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()
+    want = con.execute(queries.ORACLES[name]).df()[list(got.columns)]
+    assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist())) and len(got) > 0

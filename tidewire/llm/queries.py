@@ -40,6 +40,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return repeats.repeated_lines(table(spark, d, "articles"))
 
 
+def p3_repeated(spark: SparkSession, d: str) -> DataFrame:
+    """The same over all bodies, residue too."""
+    return repeats.repeated_lines(table(spark, d, "articles"), skip_residue=False)
+
+
 def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return repeats.without_repeated_lines(table(spark, d, "articles").select("article_id", "source_id", "body"))
 
@@ -103,7 +108,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _CLEAN = "nullif(regexp_replace({}, '^[\\s\\x{{00A0}}]+|[\\s\\x{{00A0}}]+$', '', 'g'), '')"
+_SPACES = "[\\s\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x1c-\\x1f]+"
 ORACLES: dict[str, str] = {
+    "p3_repeated": f"""
+        with a as (select distinct on (article_id) article_id, coalesce(source_id, '') as source, body from articles where article_id is not null and body <> ''),
+        l as (select article_id, source, unnest(string_split(body, chr(10))) as line, generate_subscripts(string_split(body, chr(10)), 1) as no from a),
+        k as (select article_id, source, no,
+            regexp_replace(replace(lower(regexp_replace(trim(regexp_replace(line, '{_SPACES}', ' ', 'g')), '[0-9]+', '0', 'g')), 'ß', 'ss'), '[ .,:;!?…]+$', '') as key from l),
+        f as (select source, key from k where key <> '' group by 1, 2 having count(distinct article_id) >= 5)
+        select article_id, cast(no as int) as line_no from k join f using (source, key)""",
     "p4_found": f"""
         with recursive raw as (
             select {_CLEAN.format('topic_id_a')} a, {_CLEAN.format('topic_id_b')} b, "current" c, coalesce(case when isnan(threshold) then 0.78 else threshold end, 0.78) t from pairs),
