@@ -439,20 +439,15 @@ def run_counters(t):
     return by.withColumn("line", F.concat(F.lit("fetched: "), "fetched", F.lit(", known: "), "known"))
 
 
-@query(f"""with x as (select doc_id, coalesce(text, '') as raw from documents) select doc_id, case when length(raw) > 400 then cast(json_object('parsed', false, 'raw_response', substr(raw, 1, 200)) as varchar) else cast(json_object('parsed', true, 'raw_response', '') as varchar) end as stored from x where regexp_matches(raw, '^[ -~]*$') and not contains(raw, '/')""")
+@query("""with x as (select doc_id, coalesce(text, '') as raw from documents)
+    select doc_id, case when length(raw) > 400 then cast(json_object('parsed', false, 'raw_response', substr(raw, 1, 20000)) as varchar)
+        else cast(json_object('parsed', true, 'raw_response', '') as varchar) end as stored from x""")
 def stored_responses(t):
-    """Answers as they are stored: the parsed form, or of one that couldn't be read the first signs (here of texts in plain letters)."""
+    """Answers as they are stored: the parsed form, or of one that couldn't be read (here a text of over 400 signs) its first 20 000 signs."""
     raw = F.coalesce("text", F.lit(""))
-    rows = t("documents").select("doc_id", raw.alias("raw")).where(F.col("raw").rlike("^[ -~]*$") & ~F.contains(F.col("raw"), F.lit("/")))
-    return rows.select(
-        "doc_id",
-        F.to_json(
-            F.when(
-                F.length("raw") > 400,
-                F.struct(F.lit(False).alias("parsed"), F.substring("raw", 1, 200).alias("raw_response"))
-            ).otherwise(F.struct(F.lit(True).alias("parsed"), F.lit("").alias("raw_response")))
-        ).alias("stored")
-    )
+    failed = F.struct(F.lit(False).alias("parsed"), F.substring(raw, 1, 20000).alias("raw_response"))
+    whole = F.struct(F.lit(True).alias("parsed"), F.lit("").alias("raw_response"))
+    return t("documents").select("doc_id", F.to_json(F.when(F.length(raw) > 400, failed).otherwise(whole)).alias("stored"))
 
 
 @query("""with b as (select source_id, batch_no, string_agg(distinct incoming_id, ',' order by incoming_id) as ids
