@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.operators import ledger
-from tidewire.sources import export, reports, store
+from tidewire.sources import discovery, export, pages, reports, store
 
 
 def test_hydrate_is_all_or_nothing(spark):
@@ -114,3 +114,27 @@ def test_requests():
     edges = {tuple(sorted(rng.sample(ids, 2))) for _ in range(20)}
     parts = ledger.split_request([(x, "one") for x in ids], edges)
     assert all(len(p) <= 6 for p in parts) and all(any({a, b} <= {x for x, _ in p} for p in parts) for a, b in edges)
+
+
+GRAPH = """<html><head><title>Site | Story</title><meta property="og:title" content="The  story"><meta property="article:published_time" content="2026-01-02T03:04:05Z">
+<link rel="canonical" href="/story"><script type="application/ld+json">{"@graph":[{"@type":"Organization","name":"Site"},{"@type":"NewsArticle","headline":"Other","author":[{"name":"Ann Bell"}],"articleBody":"Linked body."}]}</script>
+<script type="application/ld+json">broken {</script></head><body><nav><p>Menu</p></nav><article><h2>Part</h2><p>First <b>bold</b> text of the story, longer than the linked one.</p><figure><p>Caption</p></figure><ul><li>Item</li></ul></article>
+<aside><p>More</p></aside><script>var p = "<p>no</p>";</script></body></html>"""
+CLASSED = """<div class="teaser"><p>Teaser</p></div><div class="story text"><p>One.</p><div><p>Two.</p></div></div><p>After</p>"""
+LINKED = """<script type="application/ld+json">[{"headline":"T","datePublished":"2026-05-06","description":"D","author":"Solo","articleBody":"A long body from the linked data of the page."}]</script><main><p>Short</p></main>"""
+
+
+def test_pages_by_hand(spark):
+    p = pages.read_page(GRAPH, "https://site.example/x")
+    assert (p["title"], p["author"], p["published"], p["canonical"]) == ("The  story", "Ann Bell", "2026-01-02T03:04:05Z", "https://site.example/story")
+    assert p["body"] == "Part\nFirst bold text of the story, longer than the linked one.\nItem"
+    p = pages.read_page(LINKED, "u")
+    assert (p["title"], p["author"], p["published"], p["description"], p["body"]) == ("T", "Solo", "2026-05-06", "D", "A long body from the linked data of the page.")
+    df = spark.createDataFrame([("https://a.example/1", CLASSED), ("https://b.example/1", CLASSED), ("x", None)], "url string, html string")
+    got = {r.url: r.body for r in pages.extract_pages(df, {"a.example": frozenset([".story"])}).collect()}
+    assert got == {"https://a.example/1": "One.\nTwo.", "https://b.example/1": "", "x": ""}
+
+
+def test_fragments_by_hand():
+    assert discovery.fragment_text("<p>One <i>two</i></p><ul><li>Three<p>four</p></li></ul><nav><p>no</p></nav><script>x</script>") == "One two Three four"
+    assert discovery.fragment_text("plain &amp; <b>bold</b>") == "plain & bold" and discovery.fragment_text("") == ""

@@ -267,7 +267,7 @@ _FILE = "'https://' || source_id || '.example/' || coalesce(cast(cast(fetched_at
 
 
 @query(f"""with p as (select canonical_url as url, {_SQUEEZED.format('title')} as title, {_STRIPPED.format('description')} as description,
-    {_STRIPPED.format('author')} as author, canonical_url as canonical,
+    {_STRIPPED.format('author')} as author, {_STRIPPED.format('published_at')} as published, canonical_url as canonical,
         array_to_string(list_filter(list_transform(string_split(coalesce(body, ''), chr(10)), lambda x: {_SQUEEZED.format('x')}), lambda x: x <> ''), chr(10)) as body from {_PAGES})
     select *, cast(len(list_filter(string_split(regexp_replace(body, '\\s+', ' ', 'g'), ' '), lambda x: x <> '')) as int) as words from p""")
 def page_extract(t):

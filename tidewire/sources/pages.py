@@ -27,8 +27,11 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Reader(HTMLParser):
-    def __init__(self):
+    """roots: names of elements, or class names with a dot before them, in which the report stands."""
+
+    def __init__(self, roots: frozenset = ROOTS):
         super().__init__(convert_charrefs=True)
+        self.roots, self.rooted = roots, []
         self.open: list[str] = []
         self.meta: dict[str, str] = {}
         self.title, self.text, self.blocks, self.links, self.data = [], [], [], [], []
@@ -48,10 +51,12 @@ class _Reader(HTMLParser):
                 self.canonical = at["href"]
         if tag in VOID:
             return
+        named = {f".{x}" for x in at.get("class", "").split()}
+        self.rooted.append(tag in self.roots or bool(self.roots & named))
         self.open.append("ld+json" if tag == "script" and at.get("type", "").lower() == "application/ld+json" else tag)
         if tag == "a" and at.get("href"):
             self.link = [at["href"], "", "a"]
-        if tag in BLOCKS and ROOTS.intersection(self.open) and not ASIDE.intersection(self.open):
+        if tag in BLOCKS and any(self.rooted) and not ASIDE.intersection(self.open):
             self.block = []
 
     def handle_endtag(self, tag):
@@ -66,7 +71,7 @@ class _Reader(HTMLParser):
             self.block = None
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k] == tag or (tag == "script" and self.open[k] == "ld+json"):
-                del self.open[k:]
+                del self.open[k:], self.rooted[k:]
                 break
 
     def handle_data(self, data):
@@ -84,37 +89,57 @@ class _Reader(HTMLParser):
             self.text.append(_SPACE.sub(" ", data).strip())
 
 
-def _linked_data(texts: list[str]) -> dict:
-    """Fields of the first JSON-LD object that has an article body; @graph and lists are looked through."""
-    todo = []
+def linked_data(texts: list[str]) -> list[dict]:
+    """The objects of JSON-LD scripts: lists and @graph are looked into, broken scripts left out."""
+    out = []
     for text in texts:
         try:
-            todo.append(json.loads(text))
+            found = json.loads(text)
         except ValueError:
             continue
-    while todo:
-        x = todo.pop(0)
-        if isinstance(x, list):
-            todo[:0] = x
-        elif isinstance(x, dict):
-            if x.get("articleBody"):
-                return x
-            todo[:0] = [v for k, v in x.items() if k == "@graph"]
-    return {}
-
-
-def read_page(html: str | None, url: str = "") -> dict:
-    """title, description, author, canonical, text, body and links of a page; null or broken pages give what they hold."""
-    reader = _Reader()
+        todo = [found]
+        while todo:
+            x = todo.pop(0)
+            if isinstance(x, list):
+                todo[:0] = x
+            elif isinstance(x, dict):
+                if x.get("@graph"):
+                    todo[:0] = [x["@graph"]]
+                else:
+                    out.append(x)
+    return out
+
+
+def linked_value(objects: list[dict], key: str) -> str:
+    """The first text that any object has under the key; of an object or list under it its name."""
+    for x in objects:
+        value = x.get(key)
+        if isinstance(value, list) and value:
+            value = value[0]
+        if isinstance(value, dict):
+            value = value.get("name")
+        if isinstance(value, str) and value.strip():
+            return _SPACE.sub(" ", value).strip()
+    return ""
+
+
+def read_page(html: str | None, url: str = "", roots: frozenset = ROOTS) -> dict:
+    """title, description, author, published, canonical, text, body and links of a page; null or broken pages give what they hold.
+
+    Meta elements go before linked data, and that before the page's own elements; the longer of the root's text and the linked body is the body.
+    """
+    reader = _Reader(roots)
     reader.feed(html or "")
     reader.close()
-    data = _linked_data(reader.data)
+    data = linked_data(reader.data)
+    meta = lambda *names: next((reader.meta[n] for n in names if reader.meta.get(n)), "")
     body = "\n".join(reader.blocks)
-    structured = str(data.get("articleBody") or "")
+    structured = max((str(x.get("articleBody") or "") for x in data), key=len, default="")
     return {
-        "title": reader.meta.get("og:title") or _SPACE.sub(" ", "".join(reader.title)).strip(),
-        "description": reader.meta.get("description") or reader.meta.get("og:description", ""),
-        "author": reader.meta.get("author", ""),
+        "title": meta("og:title") or linked_value(data, "headline") or _SPACE.sub(" ", "".join(reader.title)).strip(),
+        "description": meta("description", "og:description") or linked_value(data, "description"),
+        "author": meta("author", "article:author") or linked_value(data, "author"),
+        "published": meta("article:published_time", "datepublished", "date") or linked_value(data, "datePublished"),
         "canonical": urljoin(url, reader.canonical) if reader.canonical else url,
         "body": structured if len(structured) > len(body) else body,
         "text": " ".join(reader.text),
@@ -134,12 +159,16 @@ def _rows(pages: DataFrame, schema: str, function) -> DataFrame:
     return pages.select("url", "html").mapInArrow(run, schema)
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
+def extract_pages(pages: DataFrame, roots: dict[str, frozenset] | None = None) -> DataFrame:
+    """Contents of pages (url, html); roots: by host, the elements in which its reports stand (others have the generic ones)."""
+    own = roots or {}
+
     def one(url, html):
-        p = read_page(html, url)
-        return [(url, p["title"], p["description"], p["author"], p["canonical"], p["body"], len(p["body"].split()))]
+        host = url.split("/")[2].lower() if url.count("/") >= 2 else ""
+        p = read_page(html, url, own.get(host, ROOTS))
+        return [(url, p["title"], p["description"], p["author"], p["published"], p["canonical"], p["body"], len(p["body"].split()))]
 
-    return _rows(pages, "url string, title string, description string, author string, canonical string, body string, words int", one)
+    return _rows(pages, "url string, title string, description string, author string, published string, canonical string, body string, words int", one)
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -215,7 +244,9 @@ def as_pages(articles: DataFrame) -> DataFrame:
     html = F.concat(
         F.lit("<html><head><title>"), _xml(F.col("title")), F.lit(
             '</title><meta name="description" content="'
-        ), _xml(F.col("description")), F.lit('"><meta name="author" content="'), _xml(F.col("author")), F.lit('"><link rel="canonical" href="'), _xml(F.col("canonical_url")),
+        ), _xml(F.col("description")), F.lit(
+            '"><meta property="article:published_time" content="'
+        ), _xml(F.col("published_at")), F.lit('"><meta name="author" content="'), _xml(F.col("author")), F.lit('"><link rel="canonical" href="'), _xml(F.col("canonical_url")),
         F.lit('"></head><body><nav><a href="/">Home</a> <a href="/news">News</a></nav><article>'), lines, F.lit(
             '</article><script>var x = "<p>no</p>";</script><footer><p>End</p></footer></body></html>'
         ),
