@@ -110,7 +110,7 @@ def canonical_choice(t):
 @query(f"""{_LINKED}, k as (select c, arg_min(n, (coalesce(needs_review, true), first_seen_at is null, coalesce(first_seen_at,
     timestamptz '9999-12-31 23:59:59+00'), -coalesce(article_count, 0), n)) as canonical from c left join topics on topic_id = n
     group by c)
-    select canonical as topic_id, min(first_seen_at) as first_seen_at, max(last_seen_at) as last_seen_at, bool_or(coalesce(needs_review,
+    select canonical as topic_id, epoch_us(min(first_seen_at)) as first_seen_us, epoch_us(max(last_seen_at)) as last_seen_us, bool_or(coalesce(needs_review,
         false)) as needs_review, sum(coalesce(article_count, 0)) as article_count, count(*) as merged from c join k using (c)
         left join topics on topic_id = n group by 1 having count(*) >= 2""")
 def merged_topics(t):
@@ -127,7 +127,7 @@ def merged_topics(t):
                 F.col("node")
             )
         ).alias("topic_id"),
-        F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"), F.bool_or(
+        F.unix_micros(F.min("first_seen_at")).alias("first_seen_us"), F.unix_micros(F.max("last_seen_at")).alias("last_seen_us"), F.bool_or(
             F.coalesce("needs_review", F.lit(False))
         ).alias("needs_review"), F.sum(F.coalesce("article_count", F.lit(0))).alias("article_count"), F.count("*").alias("merged"),
     ).where("merged >= 2").drop("component")

@@ -73,13 +73,13 @@ def save_outcomes(t):
     return saved.select("item_id", "outcome", "target_id")
 
 
-@query(f"""select a.article_id, greatest(a.last_seen_on_homepage_at, max(i.fetched_at)) as last_seen from {ARTICLES} a join incoming_articles i on i.source_id = a.source_id and i.canonical_url = a.canonical_url group by a.article_id, a.last_seen_on_homepage_at""")
+@query(f"""select a.article_id, epoch_us(greatest(a.last_seen_on_homepage_at, max(i.fetched_at))) as last_seen_us from {ARTICLES} a join incoming_articles i on i.source_id = a.source_id and i.canonical_url = a.canonical_url group by a.article_id, a.last_seen_on_homepage_at""")
 def touched_articles(t):
     """Articles seen again, with the time of their last sight."""
     seen = t("incoming_articles").groupBy("source_id", "canonical_url").agg(F.max("fetched_at").alias("at"))
     return articles(t).select("article_id", "source_id", "canonical_url", "last_seen_on_homepage_at").join(seen, ["source_id", "canonical_url"]).select(
         "article_id",
-        F.greatest("last_seen_on_homepage_at", "at").alias("last_seen")
+        F.unix_micros(F.greatest("last_seen_on_homepage_at", "at")).alias("last_seen_us")
     )
 
 
@@ -102,7 +102,7 @@ PLANTED_REJECTED = [("r", "u://1", 20, 30), ("r", "u://2", 20, 150), ("r", "u://
         from articles where content_status in ('FAILED', 'METADATA_ONLY', 'CAPTCHA') or word_count < 100 group by 1, 2
         union all select source_id, canonical_url, before, timestamptz '2026-01-01 00:00:00+00' from p),
     i as (select item_id, source_id, canonical_url, words from {_ITEMS} union all select canonical_url, source_id, canonical_url, now from p)
-    select i.item_id, coalesce(r.words < 100 and i.words < 100, false) as skipped, r.first_seen from i join r on r.source_id = i.source_id and r.canonical_url = i.canonical_url""")
+    select i.item_id, coalesce(r.words < 100 and i.words < 100, false) as skipped, epoch_us(r.first_seen) as first_seen_us from i join r on r.source_id = i.source_id and r.canonical_url = i.canonical_url""")
 def rejected_cache(t):
     """Addresses rejected before: skipped while they are still too short, tried again when they now come with enough words; the first sight stays."""
     rejected = t("articles").where("content_status in ('FAILED', 'METADATA_ONLY', 'CAPTCHA') or word_count < 100")
@@ -112,7 +112,7 @@ def rejected_cache(t):
     items = _items(t).select("item_id", "source_id", "canonical_url", "words")
     items = items.unionByName(p.select(F.col("canonical_url").alias("item_id"), "source_id", "canonical_url", "words"))
     short = (F.col("before") < 100) & (F.col("words") < 100)
-    return items.join(r, ["source_id", "canonical_url"]).select("item_id", F.coalesce(short, F.lit(False)).alias("skipped"), "first_seen")
+    return items.join(r, ["source_id", "canonical_url"]).select("item_id", F.coalesce(short, F.lit(False)).alias("skipped"), F.unix_micros("first_seen").alias("first_seen_us"))
 
 
 @query("""select topic_id, case when topic_id = 'gone' then 'missing' when article_count % 5 = 0 then 'already_applied'
@@ -273,7 +273,7 @@ def section_sizes(t):
 
 @query("""with r as (select batch_no, min(fetched_at) as started_at from incoming_articles group by 1), c as (select batch_no,
     source_id, count(distinct incoming_id) as n from incoming_articles group by 1, 2)
-    select c.source_id, r.batch_no, r.started_at, c.n as fetched, sum(c.n) over (partition by c.source_id order by r.started_at, r.batch_no) as so_far from c join r on r.batch_no = c.batch_no""")
+    select c.source_id, r.batch_no, epoch_us(r.started_at) as started_us, c.n as fetched, sum(c.n) over (partition by c.source_id order by r.started_at, r.batch_no) as so_far from c join r on r.batch_no = c.batch_no""")
 def run_results(t):
     """Results joined with their runs, with the running sum of each source over its runs (a row a run)."""
     i = t("incoming_articles")
@@ -282,24 +282,26 @@ def run_results(t):
     return c.join(r, "batch_no").select(
         "source_id",
         "batch_no",
-        "started_at",
+        F.unix_micros("started_at").alias("started_us"),
         "fetched",
         F.sum("fetched").over(Window.partitionBy("source_id").orderBy("started_at", "batch_no")).alias("so_far")
     )
 
 
 @query(f"""with a as (select section as topic, article_id, source_id, title, fetched_at from {ARTICLES} where section is not null)
-    select topic, count(*) as article_count, count(distinct source_id) as source_count, min(fetched_at) as first_seen_at,
-        max(fetched_at) as last_seen_at, string_agg(distinct source_id, ',' order by source_id) as sources, arg_max(title,
+    select topic, count(*) as article_count, count(distinct source_id) as source_count, epoch_us(min(fetched_at)) as first_seen_us,
+        epoch_us(max(fetched_at)) as last_seen_us, string_agg(distinct source_id, ',' order by source_id) as sources, arg_max(title,
         (fetched_at, article_id)) as newest_title from a group by 1""")
 def topic_model(t):
     """A topic with what belongs to it, from links, articles and sources joined."""
     a = articles(t).where("section is not null").select(F.col("section").alias("topic"), "article_id", "source_id", "title", "fetched_at")
     return a.groupBy("topic").agg(
-        F.count("*").alias("article_count"), F.count_distinct("source_id").alias("source_count"), F.min("fetched_at").alias("first_seen_at"), F.max("fetched_at").alias("last_seen_at"), F.array_join(
-            F.array_sort(F.collect_set("source_id")),
-            ","
-        ).alias("sources"), F.max_by("title", F.struct("fetched_at", "article_id")).alias("newest_title")
+        F.count("*").alias("article_count"),
+        F.count_distinct("source_id").alias("source_count"),
+        F.unix_micros(F.min("fetched_at")).alias("first_seen_us"),
+        F.unix_micros(F.max("fetched_at")).alias("last_seen_us"),
+        F.array_join(F.array_sort(F.collect_set("source_id")), ",").alias("sources"),
+        F.max_by("title", F.struct("fetched_at", "article_id")).alias("newest_title"),
     )
 
 
