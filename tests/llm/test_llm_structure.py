@@ -194,10 +194,14 @@ def test_history_in_batches(spark):
     history.append(one.join(found.select("id"), "id", "left_anti"))
     two = spark.createDataFrame([("c1", "t", None, "SHA256:H1", None), ("c2", "t", None, None, bodies[1]), ("c3", "t", None, None, bodies[2])], schema)
     assert {(r.id, r.duplicate_of) for r in history.match(two).collect()} == {("c1", "A1"), ("c2", "b2")}
-    wanted = incremental.piece_rows(two, None).select("key").dropDuplicates(["key"])
-    plan = history.table("pieces").where("size > 0").join(wanted.hint("shuffle_hash"), "key", "left_semi")._jdf.queryExecution().executedPlan().toString()
-    # the batch's keys are shuffled (once, for the distinct too); the stored ones stay in their buckets
-    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    # the batch's keys are shuffled (once, for the distinct too); the stored ones stay in their buckets, with fewer and with more shuffle partitions
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for partitions in ("2", "200"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        wanted = incremental.at_home(incremental.piece_rows(two, None), history.buckets)
+        plan = history.table("pieces").where("size > 0").join(wanted, "key", "left_semi")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    spark.conf.set("spark.sql.shuffle.partitions", before)
     history.drop()
     assert not spark.catalog.tableExists("hist_test_pieces")
 

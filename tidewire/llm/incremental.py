@@ -261,16 +261,20 @@ def _plain_keys(records: DataFrame, aliases: DataFrame | None) -> DataFrame:
     return keys.where("__ok and id is not null").select("key", "id").dropDuplicates(["key", "id"])
 
 
-def _text_matches(own: DataFrame, old: DataFrame, new_texts: DataFrame, old_texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def at_home(keys: DataFrame, buckets: int) -> DataFrame:
+    """Distinct keys in as many partitions as a table has buckets, so that a join with it moves nothing of the table, whatever the session's shuffle partitions."""
+    return keys.select("key").repartition(buckets, "key").dropDuplicates(["key"]).hint("shuffle_hash")
+
+
+def _text_matches(own: DataFrame, old: DataFrame, new_texts: DataFrame, old_texts: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of contents: (text_key, other) with the smallest old record that repeats a new content, and (a, b) of new ones.
 
     own and old are piece_rows in one order; old may be a bucketed table, whose rows then stay where they are until they have met one of
     the new keys. Equal contents are one: copies, however many, are never paired with each other.
     """
     mine = cut_lineage(own.where("size > 0").select("key", "text_key", "size").dropDuplicates(["text_key", "key"]))
-    wanted = mine.select("key").dropDuplicates(["key"])
     # of a bucketed table only rows of wanted keys leave their bucket
-    met_old = old.where("size > 0").select("key", "text_key", "size").join(wanted.hint("shuffle_hash"), "key", "left_semi")
+    met_old = old.where("size > 0").select("key", "text_key", "size").join(at_home(mine, buckets), "key", "left_semi")
     met = met_old.unionByName(mine.select("key", "text_key", "size")).dropDuplicates(["text_key", "key"]).select("key", F.col("text_key").alias("b"), F.col("size").alias("n_b"))
     met = mine.select("key", F.col("text_key").alias("a"), F.col("size").alias("n_a")).join(met, "key").where("a <> b")
     # what two prefixes share is all that lies before the first end of them, so the rest adds at most what is left of that set
@@ -281,8 +285,8 @@ def _text_matches(own: DataFrame, old: DataFrame, new_texts: DataFrame, old_text
     pairs = cut_lineage(shared.where(F.col("shared") + F.least(left_over, small) >= least).select("a", "b"))
     contents = own.where("size = 0").select("text_key", "id")
     same = contents.select(F.col("text_key").alias("b")).dropDuplicates(["b"])
-    sides = pairs.select("b").union(same).dropDuplicates(["b"]).withColumnRenamed("b", "key")
-    old_first = old.where("size = 0").select("key", "id").join(sides.hint("shuffle_hash"), "key", "left_semi").groupBy("key").agg(F.min("id").alias("id"))
+    sides = pairs.select("b").union(same).withColumnRenamed("b", "key")
+    old_first = old.where("size = 0").select("key", "id").join(at_home(sides, buckets), "key", "left_semi").groupBy("key").agg(F.min("id").alias("id"))
     old_first = cut_lineage(old_first.withColumnRenamed("key", "text_key"))
     new_first = contents.groupBy("text_key").agg(F.min("id").alias("id"))
     paired = pairs.select(F.col("b").alias("text_key")).dropDuplicates(["text_key"])
@@ -335,12 +339,12 @@ def _resolve(first: DataFrame, groups: DataFrame, among: DataFrame) -> DataFrame
     return rows
 
 
-def _match(new: DataFrame, old_keys: DataFrame, own: DataFrame, old: DataFrame, old_texts: DataFrame) -> DataFrame:
+def _match(new: DataFrame, old_keys: DataFrame, own: DataFrame, old: DataFrame, old_texts: DataFrame, buckets: int) -> DataFrame:
     new_keys = cut_lineage(_plain_keys(new, None))
-    to_old, among = _text_matches(own, old, new.select("id", "body"), old_texts)
+    to_old, among = _text_matches(own, old, new.select("id", "body"), old_texts, buckets)
     contents = own.where("size = 0").select("text_key", "id").dropDuplicates(["text_key", "id"])
     by_text = contents.join(to_old, "text_key").select("id", "other", F.lit(1).alias("rank"))
-    first_old = old_keys.join(new_keys.select("key").dropDuplicates(["key"]).hint("shuffle_hash"), "key", "left_semi").groupBy("key").agg(F.min("id").alias("other"))
+    first_old = old_keys.join(at_home(new_keys, buckets), "key", "left_semi").groupBy("key").agg(F.min("id").alias("other"))
     by_key = new_keys.join(first_old, "key").select("id", "other", F.lit(0).alias("rank"))
     first = by_key.unionByName(by_text).groupBy("id").agg(F.min(F.struct("rank", "other")).alias("__m")).select("id", F.col("__m.other").alias("duplicate_of"))
     # a content's key is told from the others by its own hash
@@ -384,7 +388,8 @@ class History:
 
     def append(self, records: DataFrame, aliases: DataFrame | None = None) -> None:
         tasks = records.rdd.getNumPartitions()
-        self._write(_plain_keys(records, aliases), "keys", "key", 1)
+        # these come out of a shuffle of any width, and are few bytes each
+        self._write(_plain_keys(records, aliases), "keys", "key", MOST_FILES)
         self._write(piece_rows(records, self._order(records)), "pieces", "key", tasks)
         if self.keep_texts:
             self._write(records.select("id", "body"), "texts", "id", tasks)
@@ -395,7 +400,7 @@ class History:
         texts: (id, body) of the accepted records where this history doesn't keep them.
         """
         own = cut_lineage(piece_rows(batch, self._order(batch)))
-        return _match(batch, self.table("keys"), own, self.table("pieces"), self.table("texts") if texts is None else texts.select("id", "body"))
+        return _match(batch, self.table("keys"), own, self.table("pieces"), self.table("texts") if texts is None else texts.select("id", "body"), self.buckets)
 
     def drop(self) -> None:
         """Removes the tables and their files."""
@@ -411,13 +416,13 @@ def duplicates(incoming: DataFrame, articles: DataFrame, aliases: DataFrame | No
     The articles are appended once to a History of its own, and the incoming records matched as one batch, which gives the same rows as batch after batch
     with what was accepted appended in between. Where a record repeats several accepted ones, equal addresses and hashes go before similar contents, then
     the smallest id. Repeated rows of either table count once; records with a null id are left out; null or empty bodies, hashes and
-    addresses give no key. Extra columns are ignored. Without a number of buckets it is that of the session's shuffle partitions.
+    addresses give no key. Extra columns are ignored. Without a number of buckets it is that of the session's shuffle partitions, BUCKETS at most.
     """
     fields = ("source_id", "canonical_url", "content_hash", "body")
     new = incoming.where(F.col("incoming_id").isNotNull()).select(F.col("incoming_id").cast("string").alias("id"), *fields)
     old = articles.where(F.col("article_id").isNotNull()).select(F.col("article_id").cast("string").alias("id"), *fields)
     spark = incoming.sparkSession
-    history = History(spark, f"history_{uuid.uuid4().hex[:12]}", buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), keep_texts=False)
+    history = History(spark, f"history_{uuid.uuid4().hex[:12]}", buckets or min(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))), keep_texts=False)
     history.append(old, aliases)
     found = history.match(new, old).select(F.col("id").alias("incoming_id"), "duplicate_of")
     # the rows are kept by checkpoints, so the tables may go
