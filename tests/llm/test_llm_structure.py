@@ -1,7 +1,9 @@
 import itertools
 import os
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 
 from tidewire.llm import components, incremental, mixing, packing, tokens
@@ -255,6 +257,19 @@ def test_pieces_against_plain_python():
         by[k] = own
 
 
+def test_order_of_pieces_is_small_on_the_driver(spark):
+    texts = [" ".join(f"w{(k * 7 + j) % 97}" for j in range(40)) for k in range(60)] + ["", None, "four words no piece"]
+    df = spark.createDataFrame([(t,) for t in texts], "body string")
+    tracemalloc.start()
+    often = incremental.piece_order(df)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24e6  # the table has 4 MB; with its counts as numbers of 4 and 8 bytes it was 84
+    pieces = incremental.text_pieces([t for t in texts if t])[2]
+    counts = np.bincount((pieces >> np.uint64(64 - incremental.COUNTER_BITS)).astype(np.int64), minlength=len(often))
+    assert often.dtype == np.uint8 and (often == np.minimum(255, np.round(8 * np.log2(np.maximum(counts, 1))))).all()
+
+
 def test_order_changes_no_result():
     """With any table of how often pieces are used, sets that have three fifths of their union in common share a stored piece."""
     import numpy as np

@@ -180,13 +180,20 @@ def piece_order(texts: DataFrame, text_col: str = "body") -> np.ndarray:
         counts = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32)
         return pa.table({"chunk": part.column("chunk").slice(0, 1), "task": pa.array([0], pa.int32()), "counts": pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())})
 
+    def scaled(part: pa.Table) -> pa.Table:
+        whole = add(part)
+        counts = np.frombuffer(zlib.decompress(whole.column("counts")[0].as_py()), np.uint32)
+        steps = np.minimum(255, np.round(8 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
+        return whole.set_column(2, "counts", pa.array([steps.tobytes()], pa.binary()))
+
     schema = "chunk int, task int, counts binary"
     # at most 256 tasks' counters meet in a group, then one row for 256 tasks
     summed = texts.select(text_col).mapInArrow(count, schema).groupBy("chunk", "task").applyInArrow(add, schema)
-    total = np.zeros(1 << COUNTER_BITS, np.uint32)
-    for row in summed.groupBy("chunk").applyInArrow(add, schema).collect():  # _CHUNKS rows of fixed size
-        total[row["chunk"] * width : (row["chunk"] + 1) * width] = np.frombuffer(zlib.decompress(row["counts"]), np.uint32)
-    return np.minimum(255, np.round(8 * np.log2(np.maximum(total, 1)))).astype(np.uint8)
+    often = np.zeros(1 << COUNTER_BITS, np.uint8)
+    # _CHUNKS rows of a byte a counter, 4 MB in all: the driver never holds the counts
+    for row in summed.groupBy("chunk").applyInArrow(scaled, schema).collect():
+        often[row["chunk"] * width : (row["chunk"] + 1) * width] = np.frombuffer(row["counts"], np.uint8)
+    return often
 
 
 PIECE_ROWS = "key bigint, text_key bigint, size int, id string"
@@ -261,6 +268,11 @@ def _plain_keys(records: DataFrame, aliases: DataFrame | None) -> DataFrame:
     return keys.where("__ok and id is not null").select("key", "id").dropDuplicates(["key", "id"])
 
 
+def free_driver(spark: SparkSession) -> None:
+    """Lets go of what finished steps left on the driver (plans, broadcasts) and, through it, of their shuffle files; else they stay until its heap happens to fill."""
+    spark._jvm.System.gc()
+
+
 def at_home(keys: DataFrame, buckets: int) -> DataFrame:
     """Distinct keys in as many partitions as a table has buckets, so that a join with it moves nothing of the table, whatever the session's shuffle partitions."""
     return keys.select("key").repartition(buckets, "key").dropDuplicates(["key"]).hint("shuffle_hash")
@@ -322,7 +334,9 @@ def _resolve(first: DataFrame, groups: DataFrame, among: DataFrame) -> DataFrame
     groups = cut_lineage(groups.join(cases.select("id"), "id", "left_anti"))
     out = [cases]
     while True:
-        lead = groups.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n"))
+        free_driver(groups.sparkSession)
+        # read three times below
+        lead = cut_lineage(groups.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("n")))
         inside = groups.join(lead.where("n > 1").select("key", "lead"), "key").where("id <> lead").select("id", F.col("lead").alias("other"))
         ends = among.join(lead.select(F.col("key").alias("a"), F.col("lead").alias("x")), "a").join(lead.select(F.col("key").alias("b"), F.col("lead").alias("y")), "b")
         across = ends.where("x <> y").select(F.greatest("x", "y").alias("id"), F.least("x", "y").alias("other"))
@@ -424,6 +438,7 @@ def duplicates(incoming: DataFrame, articles: DataFrame, aliases: DataFrame | No
     spark = incoming.sparkSession
     history = History(spark, f"history_{uuid.uuid4().hex[:12]}", buckets or min(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))), keep_texts=False)
     history.append(old, aliases)
+    free_driver(spark)
     found = history.match(new, old).select(F.col("id").alias("incoming_id"), "duplicate_of")
     # the rows are kept by checkpoints, so the tables may go
     history.drop()
